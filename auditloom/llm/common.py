@@ -7,9 +7,10 @@ bytes at a time (a single text longer than the bound is handled alone).
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +72,16 @@ def materialise(df: DataFrame, label: str, keep: bool = True) -> DataFrame:
         _made[app] = []
         atexit.register(_remove, spark, _made[app])
     _made[app].append(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table of materialise() that nothing reads any more."""
     paths = {f.rpartition("/")[0] for f in df.inputFiles()}
@@ -176,3 +184,80 @@ def ngram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarra
 
 def to_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Groups into which the rows of one file are dealt, and those of a table without files.
+SPLITS, SPLITS_WITHOUT_FILE = 16, 64
+
+
+def routed(documents: DataFrame) -> DataFrame:
+    """g, doc_id, text: g is the same for a row in every scan, and a task of a scan meets few of them.
+
+    So a task can ask other tasks about what its rows hold, and the answers find the rows again.
+    """
+    file, h = F.input_file_name(), F.xxhash64(F.col("doc_id").cast("long"))
+    split = F.when(file == "", F.pmod(h, F.lit(SPLITS_WITHOUT_FILE))).otherwise(F.pmod(h, F.lit(SPLITS)))
+    return documents.select(F.xxhash64(file, split).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+
+def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows (g, doc_id, text) and answers (g, payload) dealt by g: within a group the answers come first."""
+    asked = answers.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload")
+    both = rows.select("g", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload")).unionByName(asked)
+    return both.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "kind")
+
+
+def by_group(batches: Iterator[pa.RecordBatch], prepare: Callable[[list[bytes]], object], step: Callable[[object, int, pa.Array, pa.Array], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Runs over with_answers() rows: step(prepare(the group's answers), g, doc ids, texts) for each run of a group's rows."""
+    group, payloads, ready = None, [], None
+    for batch in batches:
+        g, kind = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+        edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (kind[1:] != kind[:-1]))) if len(g) else np.zeros(0, bool)).tolist()
+        for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
+            if g[lo] != group:
+                group, payloads, ready = g[lo], [], None
+            if kind[lo] == 0:
+                payloads += batch.column(4).slice(lo, hi - lo).to_pylist()
+                continue
+            if ready is None:
+                ready = (prepare(payloads),)
+                payloads = []
+            yield from step(ready[0], int(group), batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo))
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    """doc ids as int64; null is the largest, after all others."""
+    return np.asarray(column.fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """rows left-joined with a table that has one row per key; rows of one key are dealt over many tasks."""
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    return rows.join(table, [*keys, "_salt"], "left").drop("_salt")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of links (a, b): the least node reachable. Large-star and small-star by turns."""
+    spark = links.sparkSession
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        new = materialise(small, "edges")
+        # the edges stand still when no other star operation changes them: compared by count and sum of hashes
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
+        old, edges = edges, new
+        discard(old)
+        if now == seen:
+            break
+        seen = now
+    found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    release(spark)
+    return found.unionByName(roots.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
