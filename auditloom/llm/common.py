@@ -66,7 +66,7 @@ def materialise(df: DataFrame, label: str, keep: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/auditloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = []

@@ -1,19 +1,20 @@
 """Exact n-gram Jaccard join by token-combination prefixes, and its connected components.
 
-A document's tokens are its distinct word n-grams, in an order in which the tokens of the
-frequent class come last. A set of n tokens that links with others shares at least two
-tokens with each of them within its first n - need + 2 (need: the least overlap). So it
-is enough to index the rare tokens there one by one and the frequent ones by pairs. The
-frequent class holds the tokens that at least one in FREQUENT documents has early in its
-order; at most FREQUENT tokens for each token of a mean document are so frequent, whatever
-the size of the corpus. Any class gives right links; this one keeps the lists short.
+A document's tokens are its distinct word n-grams, in an order in which rare tokens come
+first, then common, then frequent ones. A set of n tokens that links with others shares
+at least two tokens with each of them within its first n - need + 2 (need: the least
+overlap). So it is enough to index the rare and common tokens there one by one and the
+frequent ones by pairs. A token is common or frequent if one in COMMON or FREQUENT
+documents has it early in its order, as far as tasks have seen it there; so there are at
+most twice COMMON tokens for each early token of a mean document, whatever the size of the
+corpus. Any classes give right links; these keep the lists short.
 
 Equal sets are one class from the start. Members of an index list are first verified
 against the list's least member only (of several lists, that with the most in common),
-and the links give components. Then the lists that still join different components are
-gone through: pairs from different components, whose sizes and bit sketches (1024 parity
-bits, whose Hamming distance never exceeds the sets' difference) allow a link, are
-verified as well. No link between components is lost, and copies never meet in all pairs.
+if sizes and sketches allow a link, and the links give components. Then the lists that still join different components are
+gone through: pairs from different components whose sizes and sketches (1024 parity bits,
+whose Hamming distance never exceeds the sets' difference) allow a link are verified as
+well. No link between components is lost, and copies never meet in all pairs.
 
 Results in special cases: a null text counts as empty; an empty set links with nothing;
 equal texts and repeated rows link; a row without doc_id is no component's smallest
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, buffers, components, discard, materialise, mix, ngram_hashes, partitions, prefix_hashes, release, salted_lookup, span_hashes, text_of, to_long, word_spans
 
-#: A token is frequent if one in so many documents has it early in its order, and no fewer than LEAST do.
-FREQUENT, LEAST = 200, 64
+#: A token is common or frequent if one in so many documents has it early in its order, and no fewer than LEAST do.
+COMMON, FREQUENT, LEAST = 4000, 200, (8, 64)
 SKETCH = 1024
 #: Tasks that the members of one list are dealt over to be verified.
 SALTS = 8
@@ -96,6 +97,9 @@ def profile(size: int, num: int, den: int, buckets: int):  # noqa: ANN201
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(early), return_counts=True) if early else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            # what is common in the corpus is so in some of these shares of it
+            often = counts >= max(2, len(early) // (2 * COMMON))
+            values, counts = values[often], counts[often]
             early.clear()
             b, k, c = zip(*_blobs(values, counts.astype(np.int64), buckets), strict=True) if len(values) else ((), (), ())
             none = pa.nulls(len(b), pa.int64())
@@ -129,29 +133,34 @@ def _counted(least: int):  # noqa: ANN202
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64)
         values, place = np.unique(tokens, return_inverse=True)
         total = np.bincount(place, counts)
-        return pa.table({"token": pa.array(to_long(values[total >= least]), pa.int64())})
+        return pa.table({"token": pa.array(to_long(values[total >= least]), pa.int64()), "places": pa.array(total[total >= least].astype(np.int64))})
 
     return run
 
 
-def keys_of(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The index keys of a set: rare tokens of its extended prefix, and pairs of frequent ones."""
+def _in(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), dtype=bool)
+
+
+def keys_of(s: np.ndarray, common: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The index keys of a set: rare and common tokens of its extended prefix, and pairs of frequent ones. common holds frequent."""
     n = len(s)
     if n < 2:
         return np.zeros(0, np.uint64)
     take = min(n, n - least_overlap(n, num, den) + 2)
-    if not len(frequent):
+    usual = _in(s, common)
+    if not usual.any():
         return s[:take]
-    common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-    rare = s[~common][:take]
-    often = s[common][: take - len(rare)]
+    hot = _in(s, frequent)
+    rare = np.concatenate((s[~usual], s[usual & ~hot]))[:take]
+    often = s[hot][: take - len(rare)]
     if len(often) < 2:
         return rare
     i, j = np.triu_indices(len(often), 1)
     return np.concatenate((rare, mix(often[i] * np.uint64(0x9E3779B97F4A7C15) + often[j])))
 
 
-def index(size: int, num: int, den: int, frequent: np.ndarray, buckets: int):  # noqa: ANN201
+def index(size: int, num: int, den: int, common: np.ndarray, frequent: np.ndarray, buckets: int):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -167,7 +176,7 @@ def index(size: int, num: int, den: int, frequent: np.ndarray, buckets: int):  #
         for batch in batches:
             for _, _, data, offsets in buffers(batch.column(0)):
                 for s in shingle_sets(data, offsets, size):
-                    found = keys_of(s, frequent, num, den)
+                    found = keys_of(s, common, frequent, num, den)
                     if len(found):
                         keys.append(found)
                         owners.append(np.full(len(found), digest(s)[0], dtype=np.int64))
@@ -220,6 +229,27 @@ def verify(size: int, num: int, den: int):  # noqa: ANN201
     return run
 
 
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m tokens whose sketches are apart by so many bits may link."""
+    # linked sets differ in at most (den - num) / (den + num) of both sizes
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((den + num) * apart.astype(np.int64) <= (den - num) * (n + m))
+
+
+def close(num: int, den: int):  # noqa: ANN201
+    """Pairs (a, b, n, m, sketch, other) to those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(len(n), -1) for k in (4, 5))
+            mask = pa.array(may_link(n, m, np.bitwise_count(x ^ y).sum(axis=1), num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
 def across(num: int, den: int):  # noqa: ANN201
     """Lists with their members' components, sizes and sketches to the pairs that may link different components."""
 
@@ -233,12 +263,9 @@ def across(num: int, den: int):  # noqa: ANN201
         for lo, hi in zip(first, np.concatenate((first[1:], [len(key)])), strict=True):
             for i in range(lo, hi - 1):
                 rest = np.arange(i + 1, hi)
-                small, large = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-                rest = rest[(comp[rest] != comp[i]) & (den * small >= num * large)]
+                rest = rest[comp[rest] != comp[i]]
                 if len(rest):
-                    apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
-                    # linked sets differ in at most (den - num) / (den + num) of both sizes
-                    rest = rest[(den + num) * apart.astype(np.int64) <= (den - num) * (n[rest] + n[i])]
+                    rest = rest[may_link(n[rest], n[i], np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1), num, den)]
                     left.append(np.full(len(rest), sid[i]))
                     right.append(sid[rest])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
@@ -255,29 +282,34 @@ def jaccard_components(documents: DataFrame, size: int = 4, num: int = 85, den:
     seen = materialise(texts.mapInArrow(profile(size, num, den, parts), PROFILE), "profiles")
     docs = seen.where(F.col("bucket").isNull()).select("doc_id", "n", "sid", "check", "sketch")
     total = docs.count()
-    least = max(LEAST, total // FREQUENT)
+    least = [max(LEAST[0], total // (2 * COMMON)), max(LEAST[1], total // (2 * FREQUENT))]
     counted = seen.where(F.col("bucket").isNotNull()).select("bucket", "tokens", "counts")
-    # bounded: see FREQUENT above
-    frequent = np.array(sorted(r["token"] & 0xFFFFFFFFFFFFFFFF for r in counted.groupBy("bucket").applyInArrow(_counted(least), "token long").collect()), dtype=np.uint64)
-    made = texts.select("text").mapInArrow(index(size, num, den, frequent, parts), "bucket int, keys binary, sids binary")
+    # bounded: see COMMON above
+    usual = counted.groupBy("bucket").applyInArrow(_counted(least[0]), "token long, places long").collect()
+    common, frequent = (np.array(sorted(r["token"] & 0xFFFFFFFFFFFFFFFF for r in usual if r["places"] >= k), dtype=np.uint64) for k in least)
+    made = texts.select("text").mapInArrow(index(size, num, den, common, frequent, parts), "bucket int, keys binary, sids binary")
     posted = materialise(made.groupBy("bucket").applyInArrow(lists, "key long, hub long, sid long"), "lists")
     classes = docs.where("n > 0").groupBy("sid", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
     # each set against the hub of most of its lists
     scored = posted.where("hub <> sid").groupBy("hub", "sid").agg(F.count("*").alias("c"))
     first = scored.groupBy("sid").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"), "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("sid").alias("b"))
-    first = materialise(first, "pairs")
-    # texts of all sets that stand in a list, by one document each
+    size_of = classes.select("sid", "n", "sketch")
+    both = first.join(size_of.withColumnsRenamed({"sid": "a"}), "a").join(size_of.withColumnsRenamed({"sid": "b", "n": "m", "sketch": "other"}), "b")
+    first = materialise(both.select("a", "b", "n", "m", "sketch", "other").mapInArrow(close(num, den), "a long, b long"), "pairs")
     lowest = F.lit(-(1 << 63)).cast("long")
-    wanted = posted.select("sid").distinct().join(classes.select("sid", F.coalesce("rep", lowest).alias("row")), "sid")
-    held = materialise(texts.withColumn("row", F.coalesce("doc_id", lowest)).join(wanted, "row").select("sid", "text"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        # the texts of the sets in pairs, by one document each
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", F.coalesce("rep", lowest).alias("row")), "sid")
+        held = materialise(texts.withColumn("row", F.coalesce("doc_id", lowest)).join(wanted, "row").select("sid", "text"), "texts")
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
         members = salted.join(held.withColumnRenamed("sid", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
         hubs = salted.select("a", "salt").distinct().join(held.withColumnRenamed("sid", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
         both = hubs.unionByName(members).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "kind")
-        return materialise(both.mapInArrow(verify(size, num, den), "a long, b long"), "links")
+        out = materialise(both.mapInArrow(verify(size, num, den), "a long, b long"), "links")
+        discard(held)
+        return out
 
     links = linked(first)
     found = materialise(components(links), "components")
@@ -289,11 +321,11 @@ def jaccard_components(documents: DataFrame, size: int = 4, num: int = 85, den:
     rest = posted.select("key", "sid").join(open_keys, "key").join(of, "sid").select("key", "sid", "component", "n", "sketch", F.pmod(F.xxhash64("key"), F.lit(parts * 4)).alias("part"))
     pairs = materialise(rest.groupBy("part").applyInArrow(across(num, den), "a long, b long").distinct(), "pairs2")
     links = links.unionByName(linked(pairs))
+    discard(posted)
     found = components(links)
     labelled = classes.select("sid", "check", "n", "rep", "copies").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     # a class of one document outside all links is its own component; the others are looked up
     named = labelled.join(smallest, "component").where("copies > 1 or component_id is null or component_id <> rep").select("sid", "check", "n", "component_id")
     out = salted_lookup(docs.select("doc_id", "n", "sid", "check"), materialise(named, "named"), ["sid", "check", "n"])
-    discard(held)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, by_group, discard, ids_of, materialise, mix, partitions, prefix_hashes, routed, span_hashes, to_long, with_answers
+from .common import buffers, by_group, discard, ids_of, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, to_long, with_answers
 
 #: Bytes of a repeated string, of an anchor, and anchors' places in a window.
 LENGTH, K = 50, 24
@@ -41,12 +41,15 @@ LEFT = PLACES - 1
 GATHER, ROWS = 3_000_000, 20_000
 PIECE = 1 << 22
 ORDER = np.uint64((1 << 24) - 1)
+#: Bytes of a shipped suffix with its two bounds, and what is known of each place where it stands.
+WIDE = LENGTH + LEFT + 2
+HELD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("place", "<i4")])
 HASH_BYTES = 5
 HASH_MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
 SHARED = "g long, payload binary"
 COUNTED = "bucket int, g long, hashes binary, many binary"
-SUFFIXES = "suffix binary, first int, last int, keys binary, docs binary, places binary"
+SUFFIXES = "suffix binary, held binary"
 MARKS = "g long, payload binary, w1 long, w2 long, doc long, key long, place long"
 
 
@@ -190,26 +193,20 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 identity = mix(span_hashes(prefix_hashes(flat), cuts, cuts + body.shape[1]) + (near * 64 + far).astype(np.uint64))
                 order = np.lexsort((owner[b], identity))
                 new = np.flatnonzero(np.concatenate(([True], identity[order][1:] != identity[order][:-1])))
-                ends = np.concatenate((new[1:], [len(order)]))
                 lead = order[new]
-                raw, k, d, p = body[lead].tobytes(), keys[b][order], owner[b][order], (place[b] - begin[b])[order]
-                width = body.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([raw[i * width : (i + 1) * width] for i in range(len(lead))], pa.binary()),
-                        pa.array(near[lead], pa.int32()),
-                        pa.array(far[lead], pa.int32()),
-                        *(pa.array(_slices(x, new, ends), pa.binary()) for x in (k, d, p)),
-                    ],
-                    names=["suffix", "first", "last", "keys", "docs", "places"],
-                )
+                # the suffix, and the least and most bytes by which its windows start before the anchor
+                raw = np.concatenate((body[lead], near[lead, None].astype(np.uint8), far[lead, None].astype(np.uint8)), axis=1).tobytes()
+                # where it stands: row key, doc_id, place
+                held = np.empty(len(order), dtype=HELD)
+                held["key"], held["doc"], held["place"] = keys[b][order], owner[b][order], (place[b] - begin[b])[order]
+                yield pa.RecordBatch.from_arrays([pa.array(_slices(raw, np.arange(len(lead)), WIDE), pa.binary()), pa.array(_slices(held.tobytes(), np.append(new, len(order)), HELD.itemsize), pa.binary())], names=["suffix", "held"])
 
     return by_group(batches, lambda raws: np.unique(np.concatenate([unpacked(x) for x in raws])) if raws else np.zeros(0, np.uint64), step)
 
 
-def _slices(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
-    raw = np.ascontiguousarray(x).tobytes()
-    return [raw[i:j] for i, j in zip((begin * 8).tolist(), (end * 8).tolist(), strict=True)]
+def _slices(raw: bytes, begin: np.ndarray, width: int) -> list[bytes]:
+    edges = (begin * width).tolist()
+    return [raw[i:j] for i, j in zip(edges, [*edges[1:], len(raw)], strict=True) if i < j]
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -242,9 +239,9 @@ def compare(groups: int):  # noqa: ANN201
         if not sum(b.num_rows for b in parts):
             return
         table = pa.Table.from_batches(parts)
-        body = np.frombuffer(b"".join(table.column(0).to_pylist()), dtype=np.uint8).reshape(-1, LENGTH + LEFT)
-        near, far = (table.column(k).to_numpy() for k in (1, 2))
-        lists = [table.column(k).to_pylist() for k in (3, 4, 5)]
+        wide = np.frombuffer(b"".join(table.column(0).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
+        body, near, far = wide[:, : LENGTH + LEFT], wide[:, -2].astype(np.int64), wide[:, -1].astype(np.int64)
+        lists = table.column(1).to_pylist()
         del table, parts
         padded = np.zeros((len(body), 80), dtype=np.uint8)
         padded[:, : LENGTH + LEFT] = body
@@ -254,7 +251,7 @@ def compare(groups: int):  # noqa: ANN201
         new = np.concatenate(([True], (lead[1:] != lead[:-1]).any(axis=1)))
         run_of = np.cumsum(new) - 1
         del words, padded, lead
-        sizes = np.array([len(x) // 8 for x in lists[0]], dtype=np.int64)
+        sizes = np.array([len(x) // HELD.itemsize for x in lists], dtype=np.int64)
         runs = int(run_of[-1]) + 1
         held = np.bincount(run_of, sizes[order], minlength=runs)
         border = (run_of == 0) | (run_of == runs - 1)
@@ -273,9 +270,8 @@ def compare(groups: int):  # noqa: ANN201
             turned = np.concatenate((body[mine, LENGTH:], body[mine, :LENGTH]), axis=1)
             sums = prefix_hashes(np.ascontiguousarray(turned).ravel())
             start = np.arange(len(mine)) * (LENGTH + LEFT) + LEFT
-            keys = np.frombuffer(b"".join(lists[0][i] for i in mine), dtype=np.uint64)
-            docs = np.frombuffer(b"".join(lists[1][i] for i in mine), dtype=np.int64)
-            places = np.frombuffer(b"".join(lists[2][i] for i in mine), dtype=np.int64)
+            held_at = np.frombuffer(b"".join(lists[i] for i in mine), dtype=HELD)
+            keys, docs, places = held_at["key"].copy(), held_at["doc"].copy(), held_at["place"].astype(np.int64)
             suffix = np.repeat(np.arange(len(mine)), sizes[mine])
             least = docs[np.concatenate(([0], np.cumsum(sizes[mine])))[:-1]]  # each list is in order of doc
             mask = np.zeros(len(docs), dtype=np.int64)
@@ -385,13 +381,14 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     rows = routed(documents)
     asked = rows.mapInArrow(ask(parts), COUNTED)
     shared = materialise(asked.groupBy("bucket").applyInArrow(answer, SHARED), "shared")
-    found = materialise(with_answers(rows, shared).mapInArrow(suffixes, SUFFIXES), "suffixes")
-    discard(shared)
+    found = with_answers(rows, shared).mapInArrow(suffixes, SUFFIXES)
     groups = parts * 4
     # Spark samples the splitters; all that share a leading part may still be split between buckets
     sorted_ = found.repartitionByRange(parts, "suffix")
     marks = materialise(sorted_.mapInArrow(compare(groups), MARKS), "marks")
-    discard(found)
+    discard(shared)
+    del found, sorted_
+    release(spark)
     borders = marks.where(F.col("w1").isNotNull()).select("w1", "w2", "doc", "key", "place")
     least = borders.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     gone = borders.join(least, ["w1", "w2"]).where("doc > least").select("key", "place")
