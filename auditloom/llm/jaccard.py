@@ -36,6 +36,8 @@ from .common import LOWER, buffers, components, discard, materialise, mix, ngram
 #: A token is common or frequent if one in so many documents has it early in its order, and no fewer than LEAST do.
 COMMON, FREQUENT, LEAST = 4000, 200, (8, 64)
 SKETCH = 1024
+#: Rounds in which a member of a list gives one pair at most, before all pairs that are left.
+ROUNDS = 2
 #: Tasks that the members of one list are dealt over to be verified.
 SALTS = 8
 PROFILE = "doc_id long, n long, sid long, check long, sketch binary, bucket int, tokens binary, counts binary"
@@ -250,8 +252,12 @@ def close(num: int, den: int):  # noqa: ANN201
     return run
 
 
-def across(num: int, den: int):  # noqa: ANN201
-    """Lists with their members' components, sizes and sketches to the pairs that may link different components."""
+def across(num: int, den: int, every: bool):  # noqa: ANN201
+    """Lists with their members' components, sizes and sketches to pairs that may link different components.
+
+    Each member gives at most one pair, with the nearest of the least members of the other
+    components; or all its pairs, if every.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         key, sid, comp, n = (table.column(c).to_numpy() for c in ("key", "sid", "component", "n"))
@@ -260,15 +266,24 @@ def across(num: int, den: int):  # noqa: ANN201
         key, sid, comp, n, bits = key[order], sid[order], comp[order], n[order], bits[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(first, np.concatenate((first[1:], [len(key)])), strict=True):
-            for i in range(lo, hi - 1):
-                rest = np.arange(i + 1, hi)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            if every:
+                others = [(i, np.arange(i + 1, hi)) for i in range(lo, hi - 1)]
+            else:
+                least = lo + np.unique(comp[lo:hi], return_index=True)[1]
+                others = [(i, least) for i in range(lo, hi)] if len(least) > 1 else []
+            for i, rest in others:
                 rest = rest[comp[rest] != comp[i]]
                 if len(rest):
-                    rest = rest[may_link(n[rest], n[i], np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1), num, den)]
+                    apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
+                    may = may_link(n[rest], n[i], apart, num, den)
+                    rest = rest[may]
+                    if not every and len(rest) > 1:
+                        rest = rest[[np.argmin(apart[may])]]
                     left.append(np.full(len(rest), sid[i]))
                     right.append(sid[rest])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
@@ -298,31 +313,31 @@ def jaccard_components(documents: DataFrame, size: int = 4, num: int = 85, den:
     both = first.join(size_of.withColumnsRenamed({"sid": "a"}), "a").join(size_of.withColumnsRenamed({"sid": "b", "n": "m", "sketch": "other"}), "b")
     first = materialise(both.select("a", "b", "n", "m", "sketch", "other").mapInArrow(close(num, den), "a long, b long"), "pairs")
     lowest = F.lit(-(1 << 63)).cast("long")
+    # the texts of the sets in lists, by one document each
+    wanted = posted.select("sid").distinct().join(classes.select("sid", F.coalesce("rep", lowest).alias("row")), "sid")
+    held = materialise(texts.withColumn("row", F.coalesce("doc_id", lowest)).join(wanted, "row").select("sid", "text"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        # the texts of the sets in pairs, by one document each
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", F.coalesce("rep", lowest).alias("row")), "sid")
-        held = materialise(texts.withColumn("row", F.coalesce("doc_id", lowest)).join(wanted, "row").select("sid", "text"), "texts")
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
         members = salted.join(held.withColumnRenamed("sid", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
         hubs = salted.select("a", "salt").distinct().join(held.withColumnRenamed("sid", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
         both = hubs.unionByName(members).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "kind")
-        out = materialise(both.mapInArrow(verify(size, num, den), "a long, b long"), "links")
-        discard(held)
-        return out
-
-    links = linked(first)
-    found = materialise(components(links), "components")
-    release(spark)
-    # lists that still join different components
-    of = classes.select("sid", "n", "sketch").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = posted.select("key", "sid").join(of.select("sid", "component"), "sid")
-    open_keys = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = posted.select("key", "sid").join(open_keys, "key").join(of, "sid").select("key", "sid", "component", "n", "sketch", F.pmod(F.xxhash64("key"), F.lit(parts * 4)).alias("part"))
-    pairs = materialise(rest.groupBy("part").applyInArrow(across(num, den), "a long, b long").distinct(), "pairs2")
-    links = links.unionByName(linked(pairs))
+        return materialise(both.mapInArrow(verify(size, num, den), "a long, b long"), "links")
+
+    found = materialise(components(linked(first)), "components")
+    # lists that still join different components: a pair or so for each member, while that links, then all pairs that are left
+    for k in range(ROUNDS + 1):
+        of = size_of.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        mixed = posted.select("key", "sid").join(of.select("sid", "component"), "sid")
+        open_keys = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        rest = posted.select("key", "sid").join(open_keys, "key").join(of, "sid").select("key", "sid", "component", "n", "sketch", F.pmod(F.xxhash64("key"), F.lit(parts * 4)).alias("part"))
+        pairs = materialise(rest.groupBy("part").applyInArrow(across(num, den, k == ROUNDS), "a long, b long").distinct(), "pairs")
+        links = linked(pairs)
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = materialise(components(stars.unionByName(links)), "components")
+        release(spark)
     discard(posted)
-    found = components(links)
+    discard(held)
     labelled = classes.select("sid", "check", "n", "rep", "copies").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     # a class of one document outside all links is its own component; the others are looked up

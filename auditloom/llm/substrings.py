@@ -199,7 +199,9 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # where it stands: row key, doc_id, place
                 held = np.empty(len(order), dtype=HELD)
                 held["key"], held["doc"], held["place"] = keys[b][order], owner[b][order], (place[b] - begin[b])[order]
-                yield pa.RecordBatch.from_arrays([pa.array(_slices(raw, np.arange(len(lead)), WIDE), pa.binary()), pa.array(_slices(held.tobytes(), np.append(new, len(order)), HELD.itemsize), pa.binary())], names=["suffix", "held"])
+                rows = pa.RecordBatch.from_arrays([pa.array(_slices(raw, np.arange(len(lead)), WIDE), pa.binary()), pa.array(_slices(held.tobytes(), np.append(new, len(order)), HELD.itemsize), pa.binary())], names=["suffix", "held"])
+                # sorted rows compress better on their way
+                yield rows.take(pa.array(np.lexsort(np.ascontiguousarray(body[lead, :16]).view(">u8").T[::-1])))
 
     return by_group(batches, lambda raws: np.unique(np.concatenate([unpacked(x) for x in raws])) if raws else np.zeros(0, np.uint64), step)
 
@@ -280,22 +282,20 @@ def compare(groups: int):  # noqa: ANN201
                 if not len(here):
                     continue
                 window = span_hashes(sums, start[here] - o, start[here] - o + LENGTH)
-                inner = np.flatnonzero(~edge[here])
-                if len(inner):
-                    _, place = np.unique(window[inner], return_inverse=True)
-                    low = np.full(place.max() + 1, np.iinfo(np.int64).max)
-                    np.minimum.at(low, place, least[here[inner]])
-                    bound = np.full(len(mine), np.iinfo(np.int64).max)
-                    bound[here[inner]] = low[place]
-                    mask |= (docs > bound[suffix]).astype(np.int64) << o
+                _, place = np.unique(window, return_inverse=True)
+                low = np.full(place.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(low, place, least[here])
+                bound = np.full(len(mine), np.iinfo(np.int64).max)
+                bound[here] = low[place]
+                mask |= (docs > bound[suffix]).astype(np.int64) << o
                 outer = np.flatnonzero(edge[here])
                 if len(outer):
-                    # these may have equals in other buckets
+                    # the least of these may have equals in other buckets
                     w1 = np.zeros(len(mine), dtype=np.uint64)
                     w1[here[outer]] = window[outer]
                     chosen = np.zeros(len(mine), dtype=bool)
                     chosen[here[outer]] = True
-                    e = np.flatnonzero(chosen[suffix])
+                    e = np.flatnonzero(chosen[suffix] & (docs == bound[suffix]))
                     w = w1[suffix[e]]
                     yield _marks(w1=to_long(w), w2=to_long(mix(w + np.uint64(o + 1))), doc=docs[e], key=to_long(keys[e]), place=places[e] - o)
             gone = np.flatnonzero(mask)
