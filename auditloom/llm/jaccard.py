@@ -332,6 +332,8 @@ def jaccard_components(documents: DataFrame, size: int = 4, num: int = 85, den:
         open_keys = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         rest = posted.select("key", "sid").join(open_keys, "key").join(of, "sid").select("key", "sid", "component", "n", "sketch", F.pmod(F.xxhash64("key"), F.lit(parts * 4)).alias("part"))
         pairs = materialise(rest.groupBy("part").applyInArrow(across(num, den, k == ROUNDS), "a long, b long").distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
         links = linked(pairs)
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = materialise(components(stars.unionByName(links)), "components")
