@@ -2,10 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import urls
+from ..operators import content, crawl, replies, report, sampling, site_type
+from ..sources import tables
+from . import examples as E
+from .sql import oracle_sql
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
+
+BUDGET, MOST = 5, 8
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return tables.pages(s, d)
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return crawl.page_text(_pages(s, d))
+
+
+def _main(s: SparkSession, d: str) -> DataFrame:
+    return content.main_content(_texts(s, d))
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return replies.stand_in_scores(_pages(s, d), tables.table(s, d, "labels"))
+
+
+def _numbered(s: SparkSession, values: list, names: str) -> DataFrame:
+    rows = [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in enumerate(values)]
+    return tables.inline(s, rows, names)
+
+
+def _types(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d)
+    return site_type.site_type(site_type.site_features(crawl.page_signals(p), crawl.page_meta(p)))
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return report.check_items(_pages(s, d), replies.compliance_item(_scored(s, d)))
+
+
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    own = _pages(s, d).select("url")
+    fixed = _numbered(s, E.URLS, "ordinal int, p string").select(F.concat(F.lit("https://fixed.example"), "p").alias("url"))
+    return own.unionByName(fixed).distinct().select("url", urls.page_type(urls.path(F.col("url"))).alias("type"))
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    out = report.site_report(_items(s, d), replies.site_scores(_scored(s, d)).select("site", "vot", "cap"))
+    return out.join(_types(s, d).select("site", "n_pages", "type"), "site")
+
+
+def _expanded(s: SparkSession) -> DataFrame:
+    return crawl.sitemap_urls(crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")), tables.inline(s, E.SITEMAPS, "sitemap string, xml string"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "url_normalize_dedup": lambda s, d: crawl.distinct_pages(_pages(s, d)),
+        "url_classify": _classes,
+        "content_url_filter": lambda s, d: crawl.content_urls(_pages(s, d)),
+        "url_freshness": lambda s, d: sampling.by_freshness(_numbered(s, E.PATHS, "ordinal int, path string")),
+        "stratified_sample": lambda s, d: sampling.sample_by_type(_pages(s, d), BUDGET, MOST),
+        "page_text": lambda s, d: _texts(s, d).select("site", "page_id", "text"),
+        "page_meta": lambda s, d: crawl.page_meta(_pages(s, d)),
+        "page_links_internal": lambda s, d: crawl.internal_links(_pages(s, d)),
+        "page_signals": lambda s, d: crawl.page_signals(_pages(s, d)).drop("iframe_srcs"),
+        "heading_skip": lambda s, d: crawl.headings(_pages(s, d)),
+        "required_pages": lambda s, d: crawl.required_pages(_pages(s, d)),
+        "main_content": lambda s, d: _main(s, d).select("site", "page_id", "main_text"),
+        "content_ratio_depth": lambda s, d: content.ratio_status(_main(s, d)),
+        "content_ratio_pages": lambda s, d: content.ratios(_main(s, d)),
+        "filler_scan": lambda s, d: content.filler(tables.table(s, d, "documents"), "doc_id"),
+        "filler_repeats": lambda s, d: content.repeats(tables.table(s, d, "documents"), "doc_id"),
+        "ngram_jaccard_pairs": lambda s, d: content.jaccard_pairs(_main(s, d)),
+        "duplication_score": lambda s, d: content.duplication(_main(s, d)),
+        "template_pairs": lambda s, d: content.template_pairs(_texts(s, d)),
+        "template_clusters": lambda s, d: content.template_clusters(_texts(s, d)),
+        "freshness_dates": lambda s, d: content.freshness(_numbered(s, E.TEXTS, "text_id int, text string").withColumn("text_id", F.col("text_id").cast("long")), E.AS_OF),
+        "policy_keywords": lambda s, d: content.policy_hits(_texts(s, d)),
+        "policy_verdict": lambda s, d: content.policy_verdict(_texts(s, d)),
+        "site_type_detect": _types,
+        "site_scale": lambda s, d: crawl.site_pages(_pages(s, d)),
+        "ai_parse_scores": lambda s, d: replies.parse_replies(_numbered(s, E.REPLIES, "reply_id int, lang string, response string")),
+        "page_ai_score": lambda s, d: replies.page_scores(_scored(s, d)).select("site", "page_id", "ai_score"),
+        "page_vot": lambda s, d: replies.page_scores(_scored(s, d)).where("analysed").select("site", "page_id", "vot"),
+        "site_ai_score": lambda s, d: replies.site_scores(_scored(s, d)).select("site", "ai_score"),
+        "site_vot": lambda s, d: replies.site_scores(_scored(s, d)).select("site", "vot"),
+        "ai_dimension_stats": lambda s, d: replies.dimension_stats(_scored(s, d)),
+        "ai_compliance": lambda s, d: replies.compliance_item(_scored(s, d)),
+        "score_caps": lambda s, d: replies.site_scores(_scored(s, d)).select("site", "least_compliance", "mean_relevance", "cap"),
+        "check_items": _items,
+        "category_scores": lambda s, d: report.category_scores(_items(s, d)),
+        "hard_status": lambda s, d: report.status_counts(_items(s, d)).select("site", "hard_status", "passed", "warned", "failed", "pass_percent"),
+        "warning_ratio": lambda s, d: report.status_counts(_items(s, d)).select("site", "warning_ratio", "penalty"),
+        "composite_score": lambda s, d: report.composites(_numbered(s, E.COMPOSITES, "case_id int, vot int, site_quality int, home_quality int, least_compliance int, mean_relevance int")),
+        "approval_estimate": lambda s, d: report.approval(_numbered(s, E.APPROVALS, "case_id int, composite int, hard_status string, ai_score int, least_originality int, low_percent int, n_pages int").withColumn("low_ratio", F.col("low_percent") / 100)),
+        "robots_sitemaps": lambda s, d: crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")),
+        "sitemap_expand": lambda s, d: _expanded(s),
+        "suggestion_dedup": lambda s, d: sampling.distinct_suggestions(_numbered(s, E.SUGGESTIONS, "ordinal int, suggestion string")),
+        "site_quality_report": _report,
+    }
