@@ -57,11 +57,18 @@ def first_group(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
-def grams(text: Column) -> Column:
-    """Word 4-grams in order, words of one character left out; of fewer than four words the words themselves."""
-    words = F.filter(F.split(F.lower(text), f"{WS}+"), lambda w: F.length(w) > 1)
-    at = F.sequence(F.lit(1), F.size(words) - (GRAM - 1))
-    return F.when(F.size(words) < GRAM, words).otherwise(F.transform(at, lambda i: F.array_join(F.slice(words, i, GRAM), " ")))
+def words(text: Column) -> Column:
+    """Words in lower case; those of one character are left out."""
+    return F.filter(F.split(F.lower(text), f"{WS}+"), lambda w: F.length(w) > 1)
+
+
+def grams(own: str) -> Column:
+    """4-grams of a column of words, in order; of fewer than four words the words themselves.
+
+    The words must be a column: an expression would be evaluated again for every gram.
+    """
+    at = F.sequence(F.lit(1), F.size(own) - (GRAM - 1))
+    return F.when(F.size(own) < GRAM, F.col(own)).otherwise(F.transform(at, lambda i: F.array_join(F.slice(own, i, GRAM), " ")))
 
 
 def skeleton(text: Column) -> Column:

@@ -69,8 +69,12 @@ def jaccard_pairs(main: DataFrame) -> DataFrame:
 
     Pages with fewer than three grams are left out; pairs that share none have similarity 0.
     """
-    grams = main.select("site", "page_id", T.grams(F.col("main_text")).alias("g")).where(F.size("g") >= T.LEAST_GRAMS).withColumn("g", F.array_distinct("g"))
-    long = grams.select("site", "page_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    own = main.select("site", "page_id", T.words(F.col("main_text")).alias("own"))
+    # at least three grams, told by the words: a filter on the grams, written or inferred from explode(),
+    # would be pushed below them and split the text again for every gram
+    enough = own.where((F.size("own") == T.LEAST_GRAMS) | (F.size("own") >= T.LEAST_GRAMS + T.GRAM - 1))
+    grams = enough.select("site", "page_id", T.grams("own").alias("g")).select("site", "page_id", F.array_distinct("g").alias("g"))
+    long = grams.select("site", "page_id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
     a, b = long.alias("a"), long.alias("b")
     both = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.page_id") < F.col("b.page_id")))
     common = both.groupBy(F.col("a.site").alias("site"), F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))

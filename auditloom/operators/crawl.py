@@ -23,6 +23,29 @@ def _plain(markup: Column) -> Column:
     return T.trimmed(T.decoded(F.regexp_replace(markup, "<[^>]*>", "")))
 
 
+def nav_text(html: Column) -> Column:
+    return _plain(F.regexp_extract(html, "(?is)<nav[^>]*>(.*?)</nav>", 1))
+
+
+def h1_count(html: Column) -> Column:
+    return F.regexp_count(html, F.lit(r"(?i)<h1[\s>]")).cast("long")
+
+
+def has_viewport(html: Column) -> Column:
+    return html.rlike(r"""(?i)<meta\s[^>]*name\s*=\s*["']viewport["']""")
+
+
+def heading_levels(html: Column) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])[\s>]"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def skips(levels: Column, sign: int) -> Column:
+    """Whether a level falls (sign 1) or rises (sign -1) by more than one from a heading to the next."""
+    at = F.sequence(F.lit(1), F.size(levels) - 1)
+    steps = F.transform(at, lambda i: (F.element_at(levels, i) - F.element_at(levels, i + 1)) * sign)
+    return F.when(F.size(levels) > 1, F.exists(steps, lambda d: d > 1)).otherwise(F.lit(False))
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """site, page_id, url, text. Narrow: markup is dropped here, so it never reaches a shuffle."""
     return pages.select("site", "page_id", "url", T.visible(F.col("html")).alias("text"))
@@ -38,10 +61,10 @@ def page_meta(pages: DataFrame) -> DataFrame:
         _plain(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
         F.coalesce(F.regexp_extract(html, r"""(?is)<meta\s[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["']([^"']*)["']""", 1), F.lit("")).alias("description"),
         F.coalesce(T.first_group(html, r"""(?is)<html[^>]*\slang\s*=\s*["']([^"']*)["']"""), F.lit("en")).alias("lang"),
-        _plain(F.regexp_extract(html, "(?is)<nav[^>]*>(.*?)</nav>", 1)).alias("nav_text"),
+        nav_text(html).alias("nav_text"),
         _plain(F.regexp_extract(html, "(?is)<footer[^>]*>(.*?)</footer>", 1)).alias("footer_text"),
         F.array_join(heads, " ").alias("h1_text"),
-        F.regexp_count(html, F.lit(r"(?i)<h1[\s>]")).cast("long").alias("h1_count"),
+        h1_count(html).alias("h1_count"),
     )
 
 
@@ -91,17 +114,14 @@ def page_signals(pages: DataFrame) -> DataFrame:
         html.rlike(r"""(?i)class\s*=\s*["'][^"']*pagination|rel\s*=\s*["']next["']""").alias("has_pagination"),
         html.rlike(r"""(?i)class\s*=\s*["'][^"']*categor""").alias("has_categories"),
         html.rlike(r"""(?i)<input\s[^>]*type\s*=\s*["']search["']|role\s*=\s*["']search["']|<form\s[^>]*search""").alias("has_search"),
-        html.rlike(r"""(?i)<meta\s[^>]*name\s*=\s*["']viewport["']""").alias("has_viewport"),
+        has_viewport(html).alias("has_viewport"),
     )
 
 
 def headings(pages: DataFrame) -> DataFrame:
     """Per page: headings, and whether a level falls (or rises) by more than one from one to the next."""
-    levels = F.transform(F.regexp_extract_all("html", F.lit(r"(?i)<h([1-6])[\s>]"), F.lit(1)), lambda x: x.cast("int"))
-    df = pages.select("site", "page_id", levels.alias("levels"))
-    at = F.sequence(F.lit(1), F.size("levels") - 1)
-    steps = F.when(F.size("levels") > 1, F.transform(at, lambda i: F.element_at("levels", i) - F.element_at("levels", i + 1))).otherwise(F.array().cast("array<int>"))
-    return df.select("site", "page_id", F.size("levels").cast("long").alias("n_headings"), F.exists(steps, lambda d: d > 1).alias("heading_skip"), F.exists(steps, lambda d: d < -1).alias("heading_skip_down"))
+    df = pages.select("site", "page_id", heading_levels(F.col("html")).alias("levels"))
+    return df.select("site", "page_id", F.size("levels").cast("long").alias("n_headings"), skips(F.col("levels"), 1).alias("heading_skip"), skips(F.col("levels"), -1).alias("heading_skip_down"))
 
 
 def required_pages(pages: DataFrame) -> DataFrame:

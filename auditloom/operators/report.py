@@ -14,34 +14,60 @@ BUCKETS = {"site_scale": "H", "about": "H", "privacy": "H", "contact": "H", "ter
 
 
 def check_items(pages: DataFrame, compliance: DataFrame | None = None) -> DataFrame:
-    """site, item, bucket, status. Each check is one aggregate per site; compliance adds its own item where given."""
-    texts = crawl.page_text(pages)
-    main = content.main_content(texts)
-    home = pages.groupBy("site").agg(F.min("page_id").alias("page_id"))
+    """site, item, bucket, status; compliance adds its own item where given.
+
+    Markup is read once for all that a page says by itself; what a site says is one row,
+    and rows of sites become items only at the end.
+    """
+    html = F.col("html")
+    levels = crawl.heading_levels(html)
+    facts = pages.select(
+        "site",
+        "page_id",
+        "url",
+        T.visible(html).alias("text"),
+        crawl.h1_count(html).alias("h1_count"),
+        crawl.nav_text(html).alias("nav_text"),
+        crawl.has_viewport(html).alias("has_viewport"),
+        crawl.skips(levels, 1).alias("heading_skip"),
+    ).persist()
+    texts = facts.select("site", "page_id", "url", "text")
+    main = content.main_content(texts).persist()
+    fillers = F.sum(F.regexp_count("text", F.lit(T.FILLER_ZH)) + F.regexp_count("text", F.lit(T.FILLER_EN)))
+    home = F.min_by(F.struct("h1_count", "nav_text", "has_viewport", "heading_skip"), "page_id")
+    sites = facts.groupBy("site").agg(F.count("*").alias("n"), fillers.alias("fillers"), home.alias("home"), F.min("page_id").alias("page_id"))
+    size = content.ratios(main).groupBy("site").agg(F.min_by("main_length", "page_id").alias("home_length"))
+    links = sites.select("site", "page_id").join(crawl.internal_links(pages), ["site", "page_id"]).select("site", "n_internal")
+    named = lambda df, name: df.select("site", F.col("status").alias(name))
+    required = crawl.required_pages(pages).groupBy("site").agg(*(F.bool_or((F.col("required") == n) & (F.col("found_by") != "missing")).alias(n) for n, _, _ in crawl.REQUIRED_PAGES))
+    frames = [named(crawl.site_pages(pages), "site_scale"), named(content.policy_verdict(texts), "policy"), named(content.duplication(main), "dup"), content.ratio_status(main), size, required, links]
+    if compliance is not None:
+        frames.append(named(compliance, "comply"))
+    wide = sites
+    for f in frames:
+        wide = wide.join(f, "site", "left")
+    c = F.col
     warn = lambda ok: F.when(ok, "pass").otherwise("warn")
-    item = lambda df, name, status="status": df.select("site", F.lit(name).alias("item"), (F.col(status) if isinstance(status, str) else status).alias("status"))
-    parts = [item(crawl.site_pages(pages), "site_scale"), item(content.policy_verdict(texts), "policy_keywords"), item(content.duplication(main), "duplication")]
-    parts.append(crawl.required_pages(pages).select("site", F.col("required").alias("item"), warn(F.col("found_by") != "missing").alias("status")))
-    ratio = content.ratio_status(main)
-    parts += [item(ratio, "content_ratio", "ratio_status"), item(ratio, "subpage_depth", "depth_status")]
-    filler = content.filler(texts, "page_id").join(texts.select("page_id", "site"), "page_id").groupBy("site").agg(F.sum(F.col("n_zh") + F.col("n_en")).alias("n"), F.count("*").alias("pages"))
-    parts.append(item(filler, "filler", warn(F.col("n") <= 3 * F.col("pages"))))
-    parts.append(item(texts.groupBy("site").count().where("count >= 3"), "template", F.lit("pass")))
-    lengths = content.ratios(main).join(home, ["site", "page_id"])
-    parts.append(item(lengths, "home_content", F.when(F.col("main_length") >= 500, "pass").otherwise("fail")))
-    meta = crawl.page_meta(pages).join(home, ["site", "page_id"])
-    parts += [item(meta, "h1", warn(F.col("h1_count") == 1)), item(meta, "navigation", warn(F.col("nav_text") != ""))]
-    links = home.join(crawl.internal_links(pages), ["site", "page_id"], "left")
-    parts.append(item(links, "internal_links", warn(F.coalesce("n_internal", F.lit(0)) >= 5)))
-    parts.append(item(crawl.page_signals(pages).join(home, ["site", "page_id"]), "viewport", warn(F.col("has_viewport"))))
-    parts.append(item(crawl.headings(pages).join(home, ["site", "page_id"]), "heading_order", warn(~F.col("heading_skip"))))
+    status = {
+        "site_scale": c("site_scale"),
+        **{n: warn(c(n)) for n, _, _ in crawl.REQUIRED_PAGES},
+        "policy_keywords": c("policy"),
+        "content_ratio": c("ratio_status"),
+        "subpage_depth": c("depth_status"),
+        "filler": warn(c("fillers") <= 3 * c("n")),
+        "duplication": c("dup"),
+        "template": F.when(c("n") >= 3, "pass"),
+        "home_content": F.when(c("home_length") >= 500, "pass").otherwise("fail"),
+        "h1": warn(c("home.h1_count") == 1),
+        "internal_links": warn(F.coalesce("n_internal", F.lit(0)) >= 5),
+        "viewport": warn(c("home.has_viewport")),
+        "heading_order": warn(~c("home.heading_skip")),
+        "navigation": warn(c("home.nav_text") != ""),
+    }
     if compliance is not None:
-        parts.append(item(compliance, "ai_compliance"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    bucket = F.create_map(*(F.lit(x) for pair in BUCKETS.items() for x in pair))
-    return out.select("site", "item", bucket[F.col("item")].alias("bucket"), "status")
+        status["ai_compliance"] = c("comply")
+    items = [F.struct(F.lit(n).alias("item"), F.lit(BUCKETS[n]).alias("bucket"), x.alias("status")) for n, x in status.items()]
+    return wide.select("site", F.explode(F.array(*items)).alias("i")).select("site", "i.item", "i.bucket", "i.status").where("status is not null")
 
 
 def category_scores(items: DataFrame) -> DataFrame:
@@ -49,25 +75,35 @@ def category_scores(items: DataFrame) -> DataFrame:
     return items.groupBy("site", "bucket").agg(F.sum(S.status_points(F.col("status"))).alias("score"), (F.count("*") * 100).alias("max_score"))
 
 
+def _tallied(items: DataFrame) -> DataFrame:
+    """Per site, in one aggregate: checks by status, hard status, qualities."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    hard, points = F.col("bucket") == "H", S.status_points(F.col("status"))
+    return items.groupBy("site").agg(
+        n("pass").alias("passed"),
+        n("warn").alias("warned"),
+        n("fail").alias("failed"),
+        n("skip").alias("skipped"),
+        F.when(F.bool_or(hard & (F.col("status") == "fail")), "fail").when(F.bool_or(hard & (F.col("status") == "warn")), "warn").otherwise("ready").alias("hard_status"),
+        F.count("*").alias("n"),
+        T.rounded(F.coalesce(F.avg(F.when(F.col("bucket").isin("H", "C", "U"), points)), F.lit(100.0))).alias("site_quality"),
+        T.rounded(F.coalesce(F.avg(F.when(F.col("bucket") == "L", points)), F.lit(100.0))).alias("home_quality"),
+    )
+
+
 def status_counts(items: DataFrame) -> DataFrame:
     """Per site: checks by status, hard status, warning ratio and penalty, and the share that passed."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    hard = F.col("bucket") == "H"
-    df = items.groupBy("site").agg(n("pass").alias("passed"), n("warn").alias("warned"), n("fail").alias("failed"), n("skip").alias("skipped"), F.bool_or(hard & (F.col("status") == "fail")).alias("f"), F.bool_or(hard & (F.col("status") == "warn")).alias("w"), F.count("*").alias("n"))
     ratio = F.col("warned") / F.col("n")
-    return df.select("site", "passed", "warned", "failed", "skipped", F.when(F.col("f"), "fail").when(F.col("w"), "warn").otherwise("ready").alias("hard_status"), F.round(ratio, 6).alias("warning_ratio"), F.when(ratio > 0.15, T.rounded((ratio - 0.15) * 100)).otherwise(0).cast("long").alias("penalty"), T.rounded(F.col("passed") * 100 / F.col("n")).alias("pass_percent"))
+    return _tallied(items).select("site", "passed", "warned", "failed", "skipped", "hard_status", F.round(ratio, 6).alias("warning_ratio"), F.when(ratio > 0.15, T.rounded((ratio - 0.15) * 100)).otherwise(0).cast("long").alias("penalty"), T.rounded(F.col("passed") * 100 / F.col("n")).alias("pass_percent"))
 
 
 def site_report(items: DataFrame, scores: DataFrame) -> DataFrame:
     """Per site: site and home quality, value, cap, composite and soft score, and hard status."""
-    points = S.status_points(F.col("status"))
-    site = T.rounded(F.coalesce(F.avg(F.when(F.col("bucket").isin("H", "C", "U"), points)), F.lit(100.0)))
-    home = T.rounded(F.coalesce(F.avg(F.when(F.col("bucket") == "L", points)), F.lit(100.0)))
-    df = items.groupBy("site").agg(site.alias("site_quality"), home.alias("home_quality")).join(scores, "site", "left").join(status_counts(items), "site")
+    df = _tallied(items).join(scores, "site", "left")
     vot = F.col("vot")
     value = F.coalesce(T.rounded(vot), T.rounded((F.col("site_quality") + F.col("home_quality")) / 2))
     soft = T.rounded(value * 0.6 + (F.col("site_quality") + F.col("home_quality")) / 2 * 0.4)
-    return df.select("site", "site_quality", "home_quality", value.alias("vot"), F.coalesce("cap", F.lit(100)).cast("long").alias("cap"), S.composite(T.rounded(vot), F.col("site_quality"), F.col("home_quality"), F.coalesce("cap", F.lit(100))).alias("composite"), soft.alias("soft_score"), "hard_status", "passed", "warned", "failed", "warning_ratio")
+    return df.select("site", "site_quality", "home_quality", value.alias("vot"), F.coalesce("cap", F.lit(100)).cast("long").alias("cap"), S.composite(T.rounded(vot), F.col("site_quality"), F.col("home_quality"), F.coalesce("cap", F.lit(100))).alias("composite"), soft.alias("soft_score"), "hard_status", "passed", "warned", "failed", F.round(F.col("warned") / F.col("n"), 6).alias("warning_ratio"))
 
 
 def composites(rows: DataFrame) -> DataFrame:
