@@ -12,8 +12,9 @@ corpus. Any classes give right links; these keep the lists short.
 Equal sets are one class from the start. Members of an index list are first verified
 against the list's least member only (of several lists, that with the most in common),
 if sizes and sketches allow a link, and the links give components. Then the lists that still join different components are
-gone through: pairs from different components whose sizes and sketches (1024 parity bits,
-whose Hamming distance never exceeds the sets' difference) allow a link are verified as
+gone through: pairs from different components whose sizes and sketches (parity bits, in number
+about the set's size and 1024 at least; their Hamming distance never exceeds the sets'
+difference) allow a link are verified as
 well. No link between components is lost, and copies never meet in all pairs.
 
 Results in special cases: a null text counts as empty; an empty set links with nothing;
@@ -75,8 +76,45 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens' places among SKETCH bits."""
-    return np.packbits(np.bincount((mix(tokens) >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    """Parity of the tokens' places among SKETCH bits, or half as many bits as tokens or more: a power of two."""
+    bits = max(SKETCH, 1 << (max(1, len(tokens) // 2) - 1).bit_length())
+    return np.packbits(np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of several widths; two are compared in the width of the smaller one."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        width = np.array([len(b) * 8 for b in blobs], dtype=np.int64)
+        self.width, self.place, self.rows = width, {}, {}
+        for w in np.unique(width).tolist():
+            # sizes of linked sets differ too little for more than one fold; all have the least width
+            of = np.flatnonzero((width == w) | (width == 2 * w)) if w > SKETCH else np.arange(len(blobs))
+            self.place[w] = np.full(len(blobs), -1, dtype=np.int64)
+            self.place[w][of] = np.arange(len(of))
+            self.rows[w] = np.stack([self._fold(blobs[k], w) for k in of.tolist()])
+        if len(blobs) and SKETCH not in self.rows:
+            self.place[SKETCH] = np.arange(len(blobs))
+            self.rows[SKETCH] = np.stack([self._fold(b, SKETCH) for b in blobs])
+
+    @staticmethod
+    def _fold(blob: bytes, w: int) -> np.ndarray:
+        """Halves added modulo two until w bits are left: what a sketch of w bits would be."""
+        bits = np.frombuffer(blob, dtype=np.uint64)
+        while len(bits) * 64 > w:
+            half = len(bits) // 2
+            bits = bits[:half] ^ bits[half:]
+        return bits
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many tokens the sets i and j differ in at least, pair by pair."""
+        out = np.bitwise_count(self.rows[SKETCH][i] ^ self.rows[SKETCH][j]).sum(axis=1, dtype=np.int64)
+        least = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(least[least > SKETCH]).tolist():
+            a, b = self.place[w][i], self.place[w][j]
+            at = np.flatnonzero((least == w) & (a >= 0) & (b >= 0))
+            out[at] = np.bitwise_count(self.rows[w][a[at]] ^ self.rows[w][b[at]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -245,8 +283,8 @@ def close(num: int, den: int):  # noqa: ANN201
             if not batch.num_rows:
                 continue
             n, m = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(len(n), -1) for k in (4, 5))
-            mask = pa.array(may_link(n, m, np.bitwise_count(x ^ y).sum(axis=1), num, den))
+            both, at = Sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist()), np.arange(len(n))
+            mask = pa.array(may_link(n, m, both.apart(at, at + len(n)), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
@@ -261,9 +299,9 @@ def across(num: int, den: int, every: bool):  # noqa: ANN201
 
     def run(table: pa.Table) -> pa.Table:
         key, sid, comp, n = (table.column(c).to_numpy() for c in ("key", "sid", "component", "n"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
         order = np.lexsort((sid, key))
-        key, sid, comp, n, bits = key[order], sid[order], comp[order], n[order], bits[order]
+        bits = Sketches(table.column("sketch").take(pa.array(order)).to_pylist())
+        key, sid, comp, n = key[order], sid[order], comp[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
@@ -275,7 +313,8 @@ def across(num: int, den: int, every: bool):  # noqa: ANN201
             for i, rest in others:
                 rest = rest[comp[rest] != comp[i]]
                 if len(rest):
-                    apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
+                    rest = rest[den * np.minimum(n[rest], n[i]) >= num * np.maximum(n[rest], n[i])]
+                    apart = bits.apart(np.full(len(rest), i), rest)
                     may = may_link(n[rest], n[i], apart, num, den)
                     rest = rest[may]
                     if not every and len(rest) > 1:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from auditloom.llm import common, exact, jaccard, language_model, leaks, main_text, mixing, personal, quality, secrets, substrings
@@ -167,6 +168,19 @@ def test_jaccard(docs, nothing, monkeypatch, size, num, frequent):
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), least[r["doc_id"]])
 
 
+def test_sketches_of_all_widths():
+    """No sketch distance exceeds the sets' difference, and long sets far apart are told so."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [base[:k] for k in (1, 900, 2048, 2049, 4096, 4200, 8190, 8200, 9000)] + [rng.integers(0, 1 << 63, 8200).astype(np.uint64)]
+    found = jaccard.Sketches([jaccard.sketch(s) for s in sets])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = found.apart(i, j)
+    for a, b, d in zip(i.tolist(), j.tolist(), apart.tolist(), strict=True):
+        assert d <= len(np.setxor1d(sets[a], sets[b]))
+    assert not jaccard.may_link(np.array([8200]), np.array([8200]), found.apart(np.array([7]), np.array([9])), 85, 100)[0]
+
+
 def test_substrings(docs, nothing):
     assert got(substrings.repeated_substrings(nothing)) == []
     seen, want = {}, {}
