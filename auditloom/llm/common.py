@@ -230,13 +230,6 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return np.asarray(column.fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
-    """rows left-joined with a table that has one row per key; rows of one key are dealt over many tasks."""
-    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return rows.join(table, [*keys, "_salt"], "left").drop("_salt")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the least node reachable. Large-star and small-star by turns."""
     spark = links.sparkSession

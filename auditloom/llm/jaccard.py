@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, components, discard, materialise, mix, ngram_hashes, partitions, prefix_hashes, release, salted_lookup, span_hashes, text_of, to_long, word_spans
+from .common import LOWER, buffers, components, discard, materialise, mix, ngram_hashes, partitions, prefix_hashes, release, span_hashes, text_of, to_long, word_spans
 
 #: A token is common or frequent if one in so many documents has it early in its order, and no fewer than LEAST do.
 COMMON, FREQUENT, LEAST = 4000, 200, (8, 64)
@@ -41,6 +41,8 @@ SKETCH = 1024
 ROUNDS = 2
 #: Tasks that the members of one list are dealt over to be verified.
 SALTS = 8
+#: A class of more than one in so many documents is looked up by broadcast.
+LARGE = 1000
 PROFILE = "doc_id long, n long, sid long, check long, sketch binary, bucket int, tokens binary, counts binary"
 #: Tokens gathered before they are sent on.
 GATHER = 2_000_000
@@ -382,6 +384,19 @@ def jaccard_components(documents: DataFrame, size: int = 4, num: int = 85, den:
     labelled = classes.select("sid", "check", "n", "rep", "copies").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     # a class of one document outside all links is its own component; the others are looked up
-    named = labelled.join(smallest, "component").where("copies > 1 or component_id is null or component_id <> rep").select("sid", "check", "n", "component_id")
-    out = salted_lookup(docs.select("doc_id", "n", "sid", "check"), materialise(named, "named"), ["sid", "check", "n"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = labelled.join(smallest, "component").where("copies > 1 or component_id is null or component_id <> rep").select("sid", "check", "n", "component_id", "copies")
+    return _labels(docs, materialise(named, "named"), total).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labels(docs: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """docs with the component_id of their classes, where those are named.
+
+    Classes of more than one in LARGE documents are fewer than LARGE: they are broadcast.
+    Their members and empty sets don't meet in one task of the join with the others.
+    """
+    keys, large = ["sid", "check", "n"], F.col("copies") * LARGE > total
+    known = docs.select("doc_id", *keys).join(F.broadcast(named.where(large).select(*keys, F.col("component_id").alias("of_large"), F.lit(True).alias("large"))), keys, "left")
+    spread = F.when(F.col("large") | (F.col("n") == 0), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(0)
+    rest = named.where(~large).select(*keys, "component_id", F.lit(0).cast("long").alias("spread"))
+    out = known.withColumn("spread", spread.cast("long")).join(rest, [*keys, "spread"], "left")
+    return out.select("doc_id", "n", F.coalesce("of_large", "component_id").alias("component_id"))
