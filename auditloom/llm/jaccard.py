@@ -38,7 +38,7 @@ from .common import LOWER, buffers, components, discard, materialise, mix, ngram
 COMMON, FREQUENT, LEAST = 4000, 200, (8, 64)
 SKETCH = 1024
 #: Rounds in which a member of a list gives one pair at most, before all pairs that are left.
-ROUNDS = 2
+ROUNDS = 1
 #: Tasks that the members of one list are dealt over to be verified.
 SALTS = 8
 #: A class of more than one in so many documents is looked up by broadcast.
