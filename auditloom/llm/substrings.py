@@ -25,10 +25,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffers, by_group, discard, ids_of, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, to_long, with_answers
@@ -38,8 +39,11 @@ LENGTH, K = 50, 24
 PLACES = LENGTH - K + 1
 LEFT = PLACES - 1
 #: Anchors a task gathers before it sends them on; rows that are hashed at once in a bucket.
-GATHER, ROWS = 3_000_000, 20_000
-PIECE = 1 << 22
+GATHER, ROWS = 2_000_000, 20_000
+#: Bytes that are hashed at once: some ten arrays of 8 bytes for each of them are held.
+PIECE = 1 << 18
+#: Rows of an Arrow batch while anchors are counted and compared: the JVM holds each batch several times over.
+BATCH_ROWS = 1000
 ORDER = np.uint64((1 << 24) - 1)
 #: Bytes of a shipped suffix with its two bounds, and what is known of each place where it stands.
 WIDE = LENGTH + LEFT + 2
@@ -122,7 +126,7 @@ def ask(buckets: int):  # noqa: ANN201
 
         for batch in batches:
             group = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-            for lo, _, data, offsets in buffers(batch.column(2)):
+            for lo, _, data, offsets in buffers(batch.column(2), PIECE):
                 place, hashes, _, _ = anchors(data, offsets)
                 row = np.searchsorted(offsets, place, side="right") - 1
                 values = hashes & HASH_MASK
@@ -135,9 +139,9 @@ def ask(buckets: int):  # noqa: ANN201
                 for g in np.unique(own).tolist():
                     gathered[g].append(values[own == g])
                 count += len(values)
-            if count > GATHER:
-                yield from flush()
-                count = 0
+                if count > GATHER:
+                    yield from flush()
+                    count = 0
         yield from flush()
 
     return run
@@ -374,18 +378,35 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return by_group(batches, prepare, step)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches have at most BATCH_ROWS rows; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def repeated_substrings(documents: DataFrame) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans and kept_sha256."""
     spark = documents.sparkSession
     parts = partitions(spark)
     rows = routed(documents)
     asked = rows.mapInArrow(ask(parts), COUNTED)
-    shared = materialise(asked.groupBy("bucket").applyInArrow(answer, SHARED), "shared")
+    with small_batches(spark):
+        shared = materialise(asked.groupBy("bucket").applyInArrow(answer, SHARED), "shared")
     found = with_answers(rows, shared).mapInArrow(suffixes, SUFFIXES)
     groups = parts * 4
     # Spark samples the splitters; all that share a leading part may still be split between buckets
     sorted_ = found.repartitionByRange(parts, "suffix")
-    marks = materialise(sorted_.mapInArrow(compare(groups), MARKS), "marks")
+    with small_batches(spark):
+        marks = materialise(sorted_.mapInArrow(compare(groups), MARKS), "marks")
     discard(shared)
     del found, sorted_
     release(spark)
