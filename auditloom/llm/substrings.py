@@ -11,7 +11,8 @@ Those suffixes, each with the bytes before it that its windows need, are range-p
 by leading bytes at sampled splitters. Each bucket is sorted by multikey quicksort on
 8-byte words; within a run of equal anchors, windows at the same place are grouped and the
 least doc_id of each group found. Runs that may go on beyond a bucket's borders are
-compared across them by a second grouping of their windows. Suffixes that a task meets
+compared across them by a second grouping of those of their windows that share all bytes
+from the anchor on with the suffix at the border. Suffixes that a task meets
 more than once travel once.
 
 Results in special cases: a null text counts as empty; an empty text has nothing removed;
@@ -267,12 +268,13 @@ def compare(groups: int):  # noqa: ANN201
             # whole runs at a time
             stop = int(np.searchsorted(run_of, run_of[min(at + ROWS, len(order)) - 1], side="right"))
             mine = order[at:stop]
-            own_run, edge = run_of[at:stop], border[at:stop]
-            busy = np.flatnonzero((held[own_run] > 1) | edge)
-            mine, own_run, edge = mine[busy], own_run[busy], edge[busy]
+            busy = np.flatnonzero((held[run_of[at:stop]] > 1) | border[at:stop])
+            mine = mine[busy]
             at = stop
             if not len(mine):
                 continue
+            # equal windows beyond a border share their bytes from the anchor on with the row at that border
+            reach = np.maximum(*(np.where((same := body[mine, :LENGTH] == body[end, :LENGTH]).all(axis=1), LENGTH, same.argmin(axis=1)) for end in (order[0], order[-1])))
             turned = np.concatenate((body[mine, LENGTH:], body[mine, :LENGTH]), axis=1)
             sums = prefix_hashes(np.ascontiguousarray(turned).ravel())
             start = np.arange(len(mine)) * (LENGTH + LEFT) + LEFT
@@ -292,7 +294,7 @@ def compare(groups: int):  # noqa: ANN201
                 bound = np.full(len(mine), np.iinfo(np.int64).max)
                 bound[here] = low[place]
                 mask |= (docs > bound[suffix]).astype(np.int64) << o
-                outer = np.flatnonzero(edge[here])
+                outer = np.flatnonzero(reach[here] >= LENGTH - o)
                 if len(outer):
                     # the least of these may have equals in other buckets
                     w1 = np.zeros(len(mine), dtype=np.uint64)
