@@ -1,13 +1,14 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-A first pass sends every task's distinct tokens and bigrams, with their counts in training
-documents, to buckets. A bucket adds the counts up, answers each group of rows with the
-exact counts of the tokens it holds, and writes its segment of the filter: an n-gram that
-occurs c times is inserted once for each level 1 to 1 + floor(log2 c). The filter has at
-most FILTER_BITS bits (64 MB), whatever the corpus, and is sent to all workers. Scoring
-probes an n-gram's levels until one is missing, which gives its quantised count (never
-too low; too high where other n-grams' bits collide), and mixes the bigram's relative
-frequency with the smoothed one of the word.
+A first pass sends every group of rows' distinct tokens and bigrams, with their counts in
+training documents, to buckets. A bucket adds the counts up and builds its segment of the
+filter: an n-gram that occurs c times is inserted once for each level 1 to 1 + floor(log2 c).
+A segment has BITS_PER_GRAM bits for each of its n-grams, whatever the corpus; it stays in
+its bucket, and each group's n-grams are probed there. A probe goes up an n-gram's levels
+until one is missing, which gives its quantised count (never too low; too high where other
+n-grams' bits collide). The answers go back to the groups: a token's exact count and level,
+and the levels of bigrams. Scoring mixes the bigram's relative frequency with the smoothed
+one of the word.
 
 base_score uses exact counts: log10((c + 0.5) / (N + 0.5 (V + 1))) summed over tokens.
 
@@ -18,6 +19,7 @@ one; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,19 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, by_group, hash_share, materialise, mix, partitions, prefix_hashes, routed, span_hashes, with_answers, word_spans
+from .common import LOWER, buffers, by_group, hash_share, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, with_answers, word_spans
 
 FOLDS, HELD_OUT = 5, 1
-#: Bits of the whole filter, its hash functions, and bits spent on an n-gram while there is room.
-FILTER_BITS, HASHES, BITS_PER_GRAM = 1 << 29, 3, 16
+#: The filter's hash functions, and bits spent on an n-gram.
+HASHES, BITS_PER_GRAM = 3, 16
 #: Weight of the bigram's relative frequency.
 BIGRAM = 0.6
 #: Tokens and bigrams gathered before they are sent on.
 GATHER = 3_000_000
 END = np.uint64(0x7E57AB1E0FC0FFEE)
 START = np.uint64(0x0DDBA11C0DE0F00D)
-COUNTED = "bucket int, g long, grams binary, counts binary, bigrams binary, pairs binary"
-ANSWERED = "g long, payload binary, tokens long, distinct long, grams long, segment binary, bucket int"
+#: A listed bigram is told by its leading 40 bits among those of its group.
+SHORT = np.uint64(24)
+COUNTED = "bucket int, g long, grams binary, counts binary, bigrams binary, pairs binary, held binary"
+ANSWERED = "g long, payload binary, tokens long, distinct long"
+
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,50 +74,60 @@ def summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return v[new], np.add.reduceat(c, new) if len(new) else c
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: zeros and the leading bytes of ordered values compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind: type, count: int | None = None, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    count = (len(raw) - at) // size if count is None else count
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, count * size, at).reshape(size, count).T).view(kind).reshape(count)
+
+
 def dealt(values: np.ndarray, counts: np.ndarray, buckets: int) -> dict[int, tuple[bytes, bytes]]:
     to = (values >> np.uint64(32)).astype(np.int64) % buckets
     order = np.argsort(to, kind="stable")
     edges = np.searchsorted(to[order], np.arange(buckets + 1))
     values, counts = values[order], counts[order].astype(np.uint32)
-    return {b: (values[edges[b] : edges[b + 1]].tobytes(), counts[edges[b] : edges[b + 1]].tobytes()) for b in range(buckets) if edges[b] < edges[b + 1]}
+    return {b: (planes(values[edges[b] : edges[b + 1]]), planes(counts[edges[b] : edges[b + 1]])) for b in range(buckets) if edges[b] < edges[b + 1]}
 
 
 def gather(buckets: int):  # noqa: ANN201
-    """Batches of (g, training, text) to token and bigram counts, by bucket."""
+    """Batches of (g, training, text) to a group's token and bigram counts and its held-out bigrams, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        pairs: tuple[list, list] = ([], [])
+        # of a group: tokens, bigrams of training rows, bigrams of held-out rows
+        own: dict[int, tuple[tuple[list, list], ...]] = defaultdict(lambda: tuple(([], []) for _ in range(3)))
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
-            for g, (v, c) in own.items():
-                rows += [(b, g, *x, None, None) for b, x in dealt(*summed(v, c), buckets).items()]
-            rows += [(b, 0, None, None, *x) for b, x in dealt(*summed(*pairs), buckets).items()]
+            for g, kinds in own.items():
+                parts = [dealt(*summed(*x), buckets) for x in kinds]
+                for b in set().union(*parts):
+                    found = [x.get(b, (None, None)) for x in parts]
+                    rows.append((b, g, *found[0], *found[1], found[2][0]))
             own.clear()
-            pairs[0].clear()
-            pairs[1].clear()
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["bucket", "g", "grams", "counts", "bigrams", "pairs"])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["bucket", "g", "grams", "counts", "bigrams", "pairs", "held"])
 
         for batch in batches:
             group, training = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
             for lo, _, data, offsets in buffers(batch.column(2), 4 << 20):
                 words, rows = tokens(data, offsets)
+                two = bigrams(words, rows)
                 learn = training[lo + rows].astype(bool)
                 g = group[lo + rows]
                 for one in np.unique(g).tolist():
                     mine = g == one
                     values, place = np.unique(words[mine], return_inverse=True)
-                    own[one][0].append(values)
-                    own[one][1].append(np.bincount(place, learn[mine], len(values)).astype(np.int64))
-                    held += len(values)
-                values, counts = np.unique(bigrams(words, rows)[learn], return_counts=True)
-                pairs[0].append(values)
-                pairs[1].append(counts)
-                held += len(values)
+                    counts = np.bincount(place, learn[mine], len(values)).astype(np.int64)
+                    for kind, (v, c) in enumerate(((values, counts), *(np.unique(two[mine & x], return_counts=True) for x in (learn, ~learn)))):
+                        own[one][kind][0].append(v)
+                        own[one][kind][1].append(c)
+                        held += len(v)
                 if held > GATHER:
                     yield from flush()
                     held = 0
@@ -129,112 +144,128 @@ def places(grams: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
     return (mix(grams + np.uint64((level * HASHES + k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)).astype(np.int64)
 
 
-def segment_bits(grams: int, buckets: int) -> int:
-    """Bits of a segment: a multiple of 8."""
-    return max(64, min(FILTER_BITS // buckets, BITS_PER_GRAM * grams)) // 8 * 8
-
-
-def reduce_bucket(buckets: int):  # noqa: ANN201
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        v, c, g, bv, bc = [], [], [], [], []
-        for x, grams, counts, two, pairs in zip(*(table.column(k).to_pylist() for k in ("g", "grams", "counts", "bigrams", "pairs")), strict=True):
-            if grams is not None:
-                g.append(x)
-                v.append(np.frombuffer(grams, dtype=np.uint64))
-                c.append(np.frombuffer(counts, dtype=np.uint32).astype(np.int64))
-            else:
-                bv.append(np.frombuffer(two, dtype=np.uint64))
-                bc.append(np.frombuffer(pairs, dtype=np.uint32).astype(np.int64))
-        words, counts = summed(v, c)
-        two, pairs = summed(bv, bc)
-        known = counts > 0
-        grams, of = np.concatenate((words[known], two)), levels(np.concatenate((counts[known], pairs)))
-        bits = segment_bits(len(grams), buckets)
-        cells = np.zeros(bits, dtype=bool)
-        for level in range(1, int(of.max()) + 1 if len(of) else 1):
-            here = grams[of >= level]
-            for k in range(HASHES):
-                cells[places(here, level, k, bits)] = True
-        asked: dict[int, list[np.ndarray]] = defaultdict(list)
-        for x, values in zip(g, v, strict=True):
-            asked[x].append(values)
-        payload = []
-        for values in asked.values():
-            values = np.unique(np.concatenate(values))
-            payload.append(np.stack([values, counts[np.searchsorted(words, values)].astype(np.uint64)], axis=1).tobytes())
-        n = len(payload)
-        kinds = {"g": pa.int64(), "payload": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64(), "grams": pa.int64(), "segment": pa.binary(), "bucket": pa.int32()}
-        columns = {"g": [*asked, None], "payload": [*payload, None], "tokens": [None] * n + [int(counts.sum())], "distinct": [None] * n + [int(known.sum())], "grams": [None] * n + [len(grams)], "segment": [None] * n + [np.packbits(cells).tobytes()], "bucket": [None] * n + [bucket]}
-        return pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()})
-
-    return run
+def segment_bits(grams: int) -> int:
+    """Bits of a segment."""
+    return max(64, BITS_PER_GRAM * grams)
 
 
-class Filter:
-    """The segments side by side, and probes into them."""
+class Segment:
+    """A bucket's part of the filter, and probes into it."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int) -> None:
-        self.buckets = buckets
-        self.bits = np.zeros(buckets, dtype=np.int64)
-        self.starts = np.zeros(buckets, dtype=np.int64)
-        at, parts = 0, []
-        for b in range(buckets):
-            raw = segments.get(b, bytes(8))
-            self.bits[b], self.starts[b] = len(raw) * 8, at * 8
-            at += len(raw)
-            parts.append(raw)
-        self.raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.bits = segment_bits(len(grams))
+        self.cells = np.zeros(self.bits, dtype=bool)
+        of = levels(counts)
+        for level in range(1, int(of.max()) + 1 if len(of) else 1):
+            here = grams[of >= level]
+            for k in range(HASHES):
+                self.cells[places(here, level, k, self.bits)] = True
 
     def level(self, grams: np.ndarray) -> np.ndarray:
         """The highest level up to which the filter has each n-gram; 0 if it has none."""
-        out = np.zeros(len(grams), dtype=np.int64)
-        bucket = (grams >> np.uint64(32)).astype(np.int64) % self.buckets
-        bits, start = self.bits[bucket].astype(np.uint64), self.starts[bucket]
+        out = np.zeros(len(grams), dtype=np.uint8)
         alive, level = np.arange(len(grams)), 1
         while len(alive) and level < 64:
             for k in range(HASHES):
-                x = mix(grams[alive] + np.uint64((level * HASHES + k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % bits[alive]
-                at = start[alive] + x.astype(np.int64)
-                alive = alive[(self.raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+                alive = alive[self.cells[places(grams[alive], level, k, self.bits)]]
             out[alive] = level
             level += 1
         return out
 
-    def count(self, grams: np.ndarray) -> np.ndarray:
-        """Quantised counts: the middle of the level's range, 1 at the first."""
-        level = self.level(grams)
-        return np.where(level == 0, 0.0, 1.5 * 2.0 ** (level - 1) - 0.5)
-
 
-def scorer(source, total: int, distinct: int, buckets: int):  # noqa: ANN001, ANN201
+def quantised(level: np.ndarray) -> np.ndarray:
+    """Counts of levels: the middle of the level's range, 1 at the first."""
+    return np.where(level == 0, 0.0, 1.5 * 2.0 ** (level.astype(np.float64) - 1) - 0.5)
+
+
+def packed(words: np.ndarray, counts: np.ndarray, word_levels: np.ndarray, two: np.ndarray, two_levels: np.ndarray) -> bytes:
+    """A bucket's answer to a group, for unpacked()."""
+    sizes = np.array([len(words), len(two)], dtype=np.uint64)
+    high, low = (two >> np.uint64(8)).astype(np.uint32), two.astype(np.uint8)
+    return sizes.tobytes() + b"".join(planes(x) for x in (words, counts.astype(np.uint64), word_levels, high, low, two_levels))
+
+
+def unpacked(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Tokens in order with counts and levels, and bigrams' leading bits in order with levels."""
+    parts: tuple[list[np.ndarray], ...] = ([], [], [], [], [], [])
+    for raw in raws:
+        n, m = np.frombuffer(raw, dtype=np.uint64, count=2).tolist()
+        at = 16
+        for part, size, kind in zip(parts, (n, n, n, m, m, m), (np.uint64, np.uint64, np.uint8, np.uint32, np.uint8, np.uint8), strict=True):
+            part.append(unplanes(raw, kind, size, at))
+            at += part[-1].nbytes
+    words, counts, word_levels, high, low, two_levels = (np.concatenate(x) for x in parts)
+    two = high.astype(np.uint64) << np.uint64(8) | low
+    one, pair = np.argsort(words), np.argsort(two)
+    return words[one], counts[one].astype(np.float64), word_levels[one], two[pair], two_levels[pair]
+
+
+def reduce_bucket(table: pa.Table) -> pa.Table:
+    """A bucket's counts to its answers to the groups, and its totals.
+
+    A bigram of a training row has level 1 at least, so it is listed from level 2 on; one of a
+    held-out row is listed from level 1 on.
+    """
+    empty = np.zeros(0, np.uint64)
+    values = lambda name, kind: [unplanes(x, kind) if x is not None else empty.astype(kind) for x in table.column(name).to_pylist()]
+    g = np.array(table.column("g").to_pylist())
+    v, c = values("grams", np.uint64), values("counts", np.uint32)
+    bv, bc, held = values("bigrams", np.uint64), values("pairs", np.uint32), values("held", np.uint64)
+    words, counts = summed(v, [x.astype(np.int64) for x in c])
+    two, pairs = summed(bv, [x.astype(np.int64) for x in bc])
+    known = counts > 0
+    segment = Segment(np.concatenate((words[known], two)), np.concatenate((counts[known], pairs)))
+    word_levels, two_levels = segment.level(words), segment.level(two)
+    groups, payload = [], []
+    order = np.argsort(g, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+        own = np.unique(np.concatenate([v[i] for i in mine]))
+        at = np.searchsorted(words, own)
+        seen = np.unique(np.concatenate([bv[i] for i in mine]))
+        seen_levels = two_levels[np.searchsorted(two, seen)]
+        asked = np.unique(np.concatenate([held[i] for i in mine]))
+        asked_levels = segment.level(asked)
+        listed = np.concatenate((seen[seen_levels > 1], asked[asked_levels > 0])) >> SHORT
+        listed, first = np.unique(listed, return_index=True)
+        listed_levels = np.concatenate((seen_levels[seen_levels > 1], asked_levels[asked_levels > 0]))[first]
+        groups.append(int(g[mine[0]]))
+        payload.append(packed(own, counts[at], word_levels[at], listed, listed_levels))
+    n = len(payload)
+    kinds = {"g": pa.int64(), "payload": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64()}
+    columns = {"g": [*groups, None], "payload": [*payload, None], "tokens": [None] * n + [int(counts.sum())], "distinct": [None] * n + [int(known.sum())]}
+    return pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()})
+
+
+def looked_up(keys: np.ndarray, levels_: np.ndarray, asked: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """The levels of bigrams, and the default for those not listed."""
+    if not len(keys):
+        return default
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, levels_[at], default)
+
+
+def scorer(total: int, distinct: int):  # noqa: ANN201
     """Rows with answers to their scores."""
     floor = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Filter(source.value, buckets)
-
-        def prepare(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            both = np.frombuffer(b"".join(raws), dtype=np.uint64).reshape(-1, 2)
-            order = np.argsort(both[:, 0], kind="stable")
-            return both[order, 0], both[order, 1].astype(np.float64)
-
-        def step(table: tuple[np.ndarray, np.ndarray], g: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        def step(table: tuple[np.ndarray, ...], g: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
             n, known, base, score = [], [], [], []
+            ends = table[2][np.searchsorted(table[0], END)]
+            training = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS != HELD_OUT for x in ids.to_pylist()], dtype=bool)
             for lo, hi, data, offsets in buffers(texts):
                 words, rows = tokens(data, offsets)
-                count = table[1][np.searchsorted(table[0], words)]
+                at = np.searchsorted(table[0], words)
+                count, single = table[1][at], quantised(table[2][at])
                 size = hi - lo
                 n.append(np.bincount(rows, minlength=size))
                 known.append(np.bincount(rows, count > 0, size))
                 base.append(np.bincount(rows, np.log10(count + 0.5) - floor, size))
-                distinct_, place = np.unique(words, return_inverse=True)
-                single = model.count(distinct_)[place]
                 before = np.empty_like(single)
                 before[1:] = single[:-1]
                 new = np.concatenate(([True], rows[1:] != rows[:-1]))
-                before[new] = max(1.0, float(model.count(np.array([END]))[0]))  # as many starts as ends
-                two = model.count(bigrams(words, rows))
+                before[new] = max(1.0, float(quantised(ends)))  # as many starts as ends
+                two = quantised(looked_up(table[3], table[4], bigrams(words, rows) >> SHORT, training[lo + rows].astype(np.uint8)))
                 share = np.minimum(1.0, np.divide(two, before, out=np.zeros_like(two), where=before > 0))
                 # where the word before is unknown, the word alone decides
                 weight = np.where(before > 0, BIGRAM, 0.0)
@@ -245,7 +276,7 @@ def scorer(source, total: int, distinct: int, buckets: int):  # noqa: ANN001, AN
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-        yield from by_group(batches, prepare, step)
+        yield from by_group(batches, unpacked, step)
 
     return run
 
@@ -257,12 +288,10 @@ def language_model_scores(documents: DataFrame) -> DataFrame:
     rows = routed(documents)
     held = hash_share(F.col("doc_id"), FOLDS) == HELD_OUT
     counted = rows.select("g", (~held).alias("training"), "text").mapInArrow(gather(parts), COUNTED)
-    reduced = materialise(counted.groupBy("bucket").applyInArrow(reduce_bucket(parts), ANSWERED), "counts")
-    # bounded: one row per bucket, FILTER_BITS in all
-    stats = reduced.where(F.col("bucket").isNotNull()).select("tokens", "distinct", "bucket", "segment").collect()
-    total, distinct = sum(r["tokens"] for r in stats), sum(r["distinct"] for r in stats)
-    sent = spark.sparkContext.broadcast({r["bucket"]: bytes(r["segment"]) for r in stats})
-    del stats
+    reduced = materialise(counted.groupBy("bucket").applyInArrow(reduce_bucket, ANSWERED), "counts")
+    del counted
+    release(spark)
+    total, distinct = reduced.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).collect()[0]
     answers = reduced.where(F.col("payload").isNotNull()).select("g", "payload")
-    scored = with_answers(rows, answers).mapInArrow(scorer(sent, total, distinct, parts), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = with_answers(rows, answers).mapInArrow(scorer(total, distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (hash_share(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

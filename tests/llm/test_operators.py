@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from auditloom.llm import common, exact, jaccard, language_model, leaks, main_text, mixing, personal, quality, secrets, substrings
@@ -121,6 +122,42 @@ def test_language_model(docs, nothing):
         assert r["score"] < 0
 
 
+def test_language_model_filter_grows(spark, monkeypatch):
+    """A filter of as many bits as its n-grams need, and scores as of exact quantised counts."""
+    monkeypatch.setattr(language_model, "FILTER_BITS", 1 << 12, raising=False)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(400))) for k in range(50)]
+    rows.append((51, rows[1][1]))
+    training = {k: zlib.crc32(str(k).encode()) % 5 != 1 for k, _ in rows}
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([7] * len(some)), pa.array([training[k] for k, _ in some]), pa.array([t for _, t in some])], names=["g", "training", "text"])
+    counted = pa.Table.from_batches(language_model.gather(1)(iter([batch(rows[:25]), batch(rows[25:])])))
+    reduced = language_model.reduce_bucket(counted)
+    payload = [x for x in reduced.column("payload").to_pylist() if x is not None]
+    total, distinct = (next(x for x in reduced.column(k).to_pylist() if x is not None) for k in ("tokens", "distinct"))
+    answered = pa.RecordBatch.from_arrays(
+        [pa.array([7] * (len(payload) + len(rows))), pa.array([0] * len(payload) + [1] * len(rows)), pa.array([None] * len(payload) + [k for k, _ in rows], pa.int64()), pa.array([None] * len(payload) + [t for _, t in rows]), pa.array(payload + [None] * len(rows), pa.binary())],
+        names=["g", "kind", "doc_id", "text", "payload"],
+    )
+    one, two = collections.Counter(), collections.Counter()
+    for k, t in rows:
+        if training[k]:
+            own = [*words(t), "\n"]
+            one.update(own)
+            two.update(zip(["", *own[:-1]], own, strict=True))
+    quantised = lambda c: 1.5 * 2.0 ** int(math.log2(c)) - 0.5 if c else 0.0
+    floor = total + 0.5 * (distinct + 1)
+    errors = []
+    for r in pa.Table.from_batches(language_model.scorer(total, distinct)(iter([answered]))).to_pylist():
+        own = [*words(dict(rows)[r["doc_id"]]), "\n"]
+        want = 0.0
+        for a, b in zip(["", *own[:-1]], own, strict=True):
+            before = quantised(one[a]) if a else max(1.0, quantised(one["\n"]))
+            weight = language_model.BIGRAM if before else 0.0
+            want += math.log10(weight * min(1.0, quantised(two[a, b]) / before if before else 0.0) + (1 - weight) * min(1.0, (quantised(one[b]) + 0.5) / floor))
+        errors.append((r["score"] - want) / len(own))
+    assert len(errors) == len(rows) and max(map(abs, errors)) < 0.1
+
+
 def test_mixing(docs, nothing):
     assert got(mixing.mix_sources(nothing)) == []
     rows = got(mixing.mix_sources(docs))
