@@ -38,6 +38,7 @@ PATTERNS = {
 }
 #: A plain test that every text with a match passes.
 GUARDS = {"email": "@", "ip": ".", "phone": "+", "identity": "-"}
+LONG_NUMBER = r"[0-9](?:[\x20-]?[0-9]){13}"
 BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 CONTEXT = r"(?i)(?:mail|contact|phone|call|tel|mobile|fax|card|visa|credit|ip|host|server|ssn|social|identity|write)[^A-Za-z]*$"
 GAZETTEER = r"(?i)(?:\.|dot\)?\]?\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
@@ -127,14 +128,15 @@ def candidates(documents: DataFrame) -> DataFrame:
     """doc_id and an array of (start, kind, label, strict, votes), strict ones checked."""
     text = F.col("text")
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    df = df.withColumn("numbers", text.rlike("[0-9]{3}"))
     for kind in KINDS:
         if kind in GUARDS:
             may = text.contains(GUARDS[kind])
         elif kind == "written_email":
             may = text.rlike(r"(?:\(at\)|\[at\]|\x20at\x20)") & text.rlike(r"(?:\(dot\)|\[dot\]|\x20dot\x20)")
+        elif kind == "card":
+            may = text.rlike(LONG_NUMBER)
         else:
-            may = F.col("numbers")
+            may = text.rlike("[0-9]{3}")
         none = F.array().cast("array<string>")
         df = df.withColumn(f"m_{kind}", F.when(may, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none))
     for kind in KINDS:

@@ -105,6 +105,16 @@ def test_personal(docs, nothing):
         assert r["base_sha256"] == hashlib.sha256(joined(personal.KINDS, spans).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("text", ["41 11 11 11 11 11 11 11", "pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now", "4-1 11 11-11 11 11 11 11", "4111 1111 1111 1111"])
+def test_cards_of_any_grouping(spark, text):
+    """Digits one by one or in pairs make a card number without a run of three."""
+    m = re.search(r"[0-9]([\x20-]?[0-9])+", text)
+    assert luhn(re.sub("[^0-9]", "", m[0]))
+    (r,) = got(personal.personal_data(spark.createDataFrame([(1, text, "en", "s", 1, 1.0, 2)], SCHEMA)))
+    label = f"card:{m.start()}:{m.end()}"
+    assert (r["n_card"], r["base_sha256"], r["spans"]) == (1, hashlib.sha256(label.encode()).hexdigest(), label)
+
+
 def test_language_model(docs, nothing):
     assert got(language_model.language_model_scores(nothing)) == []
     rows = got(language_model.language_model_scores(docs))
