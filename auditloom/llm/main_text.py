@@ -5,7 +5,9 @@ footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 out: such a line has length 0. The lengths of the lines are summed over a sliding window;
 where a sum rises above a threshold the text surges, where it falls to nothing it dives.
 The stretch with the most text between a surge and its dive holds the article. If an
-article or main element holds that stretch, its lines are the text, else the stretch's.
+article or main element holds that stretch, its lines are the text. Else only lines left
+out make a sum fall to nothing, so a dive is an advert or form amid the text: all lines
+from the first surge on are the text, but for those in an article or main element elsewhere.
 
 Results in special cases: null, empty and text-free html give an empty text; markup cut
 off at the end is dropped; repeated rows each give a row; an empty table gives an empty
@@ -184,7 +186,9 @@ def main_text(html: str | None) -> str:
         mass = {h: sum(n for n, (_, _, x) in zip(lengths, found, strict=True) if x == h) for h in inside}
         best = max(mass, key=lambda h: (mass[h], -h))
         return "\n".join(text for text, gone, holder in found if holder == best and not gone)
-    return "\n".join(text for text, gone, _ in found[lo:hi] if not gone)
+    kept = [text for text, gone, holder in found if not gone and not holder]
+    joined = surges([len(text) for text in kept]) if spans else []
+    return "\n".join(kept[joined[0][0] :] if joined else kept)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,6 +296,16 @@ def test_main_text():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p") == ""
 
 
+@pytest.mark.parametrize("block", ['<div class="ad"><p>Buy</p><p>now</p><p>here</p></div>', "<nav><ul><li>A<li>B<li>C<li>D</ul></nav>", '<form><p>Join</p><p>our</p><p>letter</p><p>today</p></form>'])
+def test_main_text_around_blocks(block):
+    """Without an article element, no paragraph beside a block that is left out is lost, short ones included."""
+    first, second, last = "A first paragraph that is long enough to surge.", "The second one, after the block, is longer still and goes on for a while.", "The end."
+    page = f"<body><div><p>{first}</p>{block}<p>{second}</p>{block}<p>{last}</p></div></body>"
+    assert main_text.main_text(page) == f"{first}\n{second}\n{last}"
+    teaser = "<article><p>A teaser of another page.</p></article>"
+    assert main_text.main_text(page.replace("</body>", f"{block}{teaser}</body>")) == f"{first}\n{second}\n{last}"
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (7, 9), (5, 5)] + [(k, k + 1) for k in range(100, 130)], "a long, b long")
     found = {r["node"]: r["component"] for r in got(common.components(links))}
