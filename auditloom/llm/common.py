@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,14 @@ _made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset, in local mode alone (tests), a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = got.get() if got.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='auditloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -92,6 +95,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def identified(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """df with two last columns that tell each row from all others in every scan, and their names: its file and its place there.
+
+    A table that isn't read from files is written to the shared folder first.
+    """
+    file, at = unused(df, "in_file"), unused(df, "at_row")
+    columns = lambda x: x.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    try:
+        return columns(df), file, at
+    except AnalysisException:
+        return columns(materialise(df, "rows")), file, at
+
+
 def text_of(name: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -231,7 +255,10 @@ def ids_of(column: pa.Array) -> np.ndarray:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links (a, b): the least node reachable. Large-star and small-star by turns."""
+    """(node, component) for every node of links (a, b): the least node reachable. Large-star and small-star by turns.
+
+    A large star hands each node but to its least neighbour, so no node's neighbours are paired with each other.
+    """
     spark = links.sparkSession
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None

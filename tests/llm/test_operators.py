@@ -194,6 +194,22 @@ def test_exact(docs, nothing):
     assert exact.chunk_dictionary(exact.chunk_recipes(docs)).count() > 0
 
 
+def plain_components(sets, num):
+    """The least doc_id that links reach, by comparing all pairs."""
+    least = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                old, new = max(least[a], least[b]), min(least[a], least[b])
+                least = {k: new if v == old else v for k, v in least.items()}
+    return least
+
+
+def shingles(t, size):
+    w = words(t)
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+
 @pytest.mark.parametrize(("size", "num", "frequent"), [(4, 85, (8, 64)), (5, 80, (2, 3))])
 def test_jaccard(docs, nothing, monkeypatch, size, num, frequent):
     monkeypatch.setattr(jaccard, "LEAST", frequent)
@@ -201,20 +217,45 @@ def test_jaccard(docs, nothing, monkeypatch, size, num, frequent):
     monkeypatch.setattr(jaccard, "COMMON", 10**6)
     if frequent[0] == 8:
         assert got(jaccard.jaccard_components(nothing, size, num)) == []
-    sets = {}
-    for k, t in TEXTS.items():
-        w = words(t)
-        sets[k] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
-    least = {k: k for k in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
-                    least[a] = least[b] = min(least[a], least[b])
-    for r in got(jaccard.jaccard_components(docs, size, num)):
+    sets = {k: shingles(t, size) for k, t in TEXTS.items()}
+    least = plain_components(sets, num)
+    rows = got(jaccard.jaccard_components(docs, size, num))
+    assert len(rows) == len(ROWS)
+    for r in rows:
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), least[r["doc_id"]])
 
 
+@pytest.mark.parametrize("limits", [{}, {"LIST": 8, "SMALL": 3, "CLUSTER": 12, "SAMPLE": 8}])
+def test_jaccard_of_many_near_copies(spark, monkeypatch, limits):
+    """One text with many kinds of edits: lists and clusters beyond a task's share are split without losing a link."""
+    monkeypatch.setattr(jaccard, "LEAST", (3, 6))
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(11)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(40)] for _ in range(3)]
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for k in range(30)]
+    for k in range(30, 170):
+        own = list(bases[0 if k % 4 else rng.randrange(3)])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 2)] = [f"e{rng.randrange(12)}"]
+        rows.append((k, " ".join(own)))
+    sets = {k: shingles(t, 4) for k, t in rows}
+    least = plain_components(sets, 80)
+    found = {r["doc_id"]: r["component_id"] for r in got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80))}
+    assert len(set(least.values())) > 35 and found == least
+
+
+def test_jaccard_of_repeated_and_missing_ids(spark):
+    """Rows are told apart by where they stand, not by doc_id."""
+    rng = random.Random(12)
+    one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(3))
+    rows = [(7, one), (7, two), (9, one + " end"), (None, two), (None, three), (None, three), (3, "x y"), (3, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got(jaccard.jaccard_components(df)))
+    assert found == [(0, 37, 0), (0, 37, 0), (0, 37, 7), (3, 1, 3), (3, 1, 3), (7, 37, 7), (7, 37, 7), (9, 38, 7)]
+
+
 def test_sketches_of_all_widths():
     """No sketch distance exceeds the sets' difference, and long sets far apart are told so."""
     rng = np.random.default_rng(5)
