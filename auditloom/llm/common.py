@@ -214,14 +214,16 @@ def to_long(x: np.ndarray) -> np.ndarray:
 SPLITS, SPLITS_WITHOUT_FILE = 16, 64
 
 
-def routed(documents: DataFrame) -> DataFrame:
+def routed(documents: DataFrame, first: int | None = None) -> DataFrame:
     """g, doc_id, text: g is the same for a row in every scan, and a task of a scan meets few of them.
 
     So a task can ask other tasks about what its rows hold, and the answers find the rows again.
+    first: give only so many groups of each file.
     """
     file, h = F.input_file_name(), F.xxhash64(F.col("doc_id").cast("long"))
     split = F.when(file == "", F.pmod(h, F.lit(SPLITS_WITHOUT_FILE))).otherwise(F.pmod(h, F.lit(SPLITS)))
-    return documents.select(F.xxhash64(file, split).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    out = documents.select(F.xxhash64(file, split).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), split.alias("split"))
+    return (out if first is None else out.where(F.col("split") < first)).drop("split")
 
 
 def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:

@@ -3,22 +3,27 @@
 A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller
 doc_id. Of the K-byte strings in every such window the one with the least hash is its
 anchor; equal windows have equal anchors at equal places, so it is enough to sort the
-suffixes that start at anchors, 1 byte in 14, and among them those whose anchor occurs in
-two documents (a first pass counts anchors by hash, 5 bytes each, and tells each group of
-rows which of its own are shared).
-
-Those suffixes, each with the bytes before it that its windows need, are range-partitioned
-by leading bytes at sampled splitters. Each bucket is sorted by multikey quicksort on
-8-byte words; within a run of equal anchors, windows at the same place are grouped and the
-least doc_id of each group found. Runs that may go on beyond a bucket's borders are
-compared across them by a second grouping of those of their windows that share all bytes
-from the anchor on with the suffix at the border. Suffixes that a task meets
-more than once travel once.
+suffixes that start at anchors, 1 byte in 14. Every window of an anchor holds the anchor
+with the HALF bytes after it, or with the HALF bytes before it. A first pass counts both
+strings by hash, 5 bytes each, and tells each group of rows which of its own occur in two
+documents; windows that hold neither go no further.
+
+The suffixes that are left, each with the bytes before it that its windows need, are
+range-partitioned by leading bytes at sampled splitters. A splitter lies between two
+anchors, unless one anchor fills a bucket by itself. Each bucket is sorted by its leading
+bytes, 8 at a time, ties alone by the next 8 (as multikey quicksort does, with numpy's sort
+for the partitions); within a run of equal anchors, windows at the same place are grouped
+and the least doc_id of each group found. Where a splitter cuts through a run, its windows
+that share all bytes from the anchor on with the suffix at the border are compared across it.
+
+A suffix that a group of rows holds many times travels once, with the least and greatest
+doc_id; the answer, which windows are in which smaller doc_id, goes back to the group, which
+finds the places again. So a passage in most documents costs a row for each group of rows.
 
 Results in special cases: a null text counts as empty; an empty text has nothing removed;
 a row without doc_id comes after all others; rows that repeat a doc_id don't count against
-each other; an empty table gives an empty one; columns other than doc_id and text are not
-read.
+each other; a very long text is worked through in pieces of PIECE bytes; an empty table
+gives an empty one; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,29 +38,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, by_group, discard, ids_of, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, to_long, with_answers
+from .common import SPLITS, buffers, by_group, discard, ids_of, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, with_answers
 
 #: Bytes of a repeated string, of an anchor, and anchors' places in a window.
 LENGTH, K = 50, 24
 PLACES = LENGTH - K + 1
 LEFT = PLACES - 1
-#: Anchors a task gathers before it sends them on; rows that are hashed at once in a bucket.
-GATHER, ROWS = 2_000_000, 20_000
+#: Bytes after an anchor that its windows with the lesser places hold, and before it those with the greater ones.
+HALF = (PLACES - 1) // 2
+#: Hashes a task gathers before it sends them on; suffixes of a group that are compared before they are; rows that are hashed at once in a bucket.
+GATHER, TOGETHER, ROWS = 2_000_000, 200_000, 20_000
+#: Suffixes in the sample that splitters are taken from, and the groups of a file that give it.
+SAMPLE, SAMPLED = 50_000, 1
 #: Bytes that are hashed at once: some ten arrays of 8 bytes for each of them are held.
 PIECE = 1 << 18
 #: Rows of an Arrow batch while anchors are counted and compared: the JVM holds each batch several times over.
 BATCH_ROWS = 1000
 ORDER = np.uint64((1 << 24) - 1)
-#: Bytes of a shipped suffix with its two bounds, and what is known of each place where it stands.
+#: Bytes of a shipped suffix with its two bounds; the group of rows that holds it and how it calls it, and the least and greatest doc_id there.
 WIDE = LENGTH + LEFT + 2
-HELD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("place", "<i4")])
+HELD = np.dtype([("g", "<i8"), ("id", "<u8"), ("least", "<i8"), ("most", "<i8")])
+#: What a group is told: windows (by place) of a suffix that start in a smaller document, and that document.
+TOLD = np.dtype([("id", "<u8"), ("doc", "<i8"), ("mask", "<i8")])
+#: A window at a border.
+OUTER = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("g", "<i8"), ("id", "<u8"), ("place", "<i8")])
 HASH_BYTES = 5
 HASH_MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
 SHARED = "g long, payload binary"
 COUNTED = "bucket int, g long, hashes binary, many binary"
-SUFFIXES = "suffix binary, held binary"
-MARKS = "g long, payload binary, w1 long, w2 long, doc long, key long, place long"
+SUFFIXES = "bucket int, suffix binary, held binary"
+MARKS = "g long, bucket int, payload binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +117,17 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors with what is counted of them: (place, first window, last window, hash after, whether it has windows there, hash before, whether there)."""
+    place, _, first, last = anchors(data, offsets)
+    sums = prefix_hashes(data)
+    after, before = place - last <= HALF, place - first >= HALF
+    one, two = np.zeros(len(place), dtype=np.uint64), np.zeros(len(place), dtype=np.uint64)
+    one[after] = span_hashes(sums, place[after], place[after] + K + HALF)
+    two[before] = ~span_hashes(sums, place[before] - HALF, place[before] + K)
+    return place, first, last, one & HASH_MASK, after, two & HASH_MASK, before
+
+
 def ask(buckets: int):  # noqa: ANN201
     """Batches of (g, doc_id, text) to the anchors in them, by bucket and group."""
 
@@ -128,9 +152,9 @@ def ask(buckets: int):  # noqa: ANN201
         for batch in batches:
             group = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
             for lo, _, data, offsets in buffers(batch.column(2), PIECE):
-                place, hashes, _, _ = anchors(data, offsets)
-                row = np.searchsorted(offsets, place, side="right") - 1
-                values = hashes & HASH_MASK
+                place, _, _, one, after, two, before = halves(data, offsets)
+                row = np.searchsorted(offsets, np.concatenate((place[after], place[before])), side="right") - 1
+                values = np.concatenate((one[after], two[before]))
                 # once for each row
                 order = np.lexsort((values, row))
                 values, row = values[order], row[order]
@@ -164,51 +188,85 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(list(kept), pa.int64()), "payload": pa.array(list(kept.values()), pa.binary())})
 
 
-def row_keys(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each row, by doc_id and text."""
-    return mix(docs.view(np.uint64) ^ span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]))
+def named(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """What a group calls a suffix: a hash of all its windows' bytes and their places."""
+    return mix(span_hashes(prefix_hashes(data), first, last + LENGTH) + ((place - last) * 64 + place - first).astype(np.uint64))
 
 
-def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with answers to the suffixes at shared anchors: 50 bytes from the anchor on, then the 26 before it."""
+def suffixes(splitters: list[bytes], every: int = 1):  # noqa: ANN201
+    """Rows with answers to the suffixes at shared anchors, once for each group: 50 bytes from the anchor on, then the 26 before it.
 
-    def step(shared: np.ndarray, g: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        docs = ids_of(ids)
-        if not len(shared):
-            return
-        for lo, hi, data, offsets in buffers(texts, 4 << 20):
-            place, hashes, first, last = anchors(data, offsets)
-            values = hashes & HASH_MASK
-            known = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, values), len(shared) - 1)] == values)
-            if not len(known):
-                continue
-            place, first, last = place[known], first[known], last[known]
-            row = np.searchsorted(offsets, place, side="right") - 1
-            keys = row_keys(docs[lo:hi], data, offsets)[row]
-            owner = docs[lo:hi][row]
-            begin = offsets[row]
-            for a in range(0, len(place), 200_000):
-                b = slice(a, a + 200_000)
-                at = place[b, None] + np.concatenate((np.arange(LENGTH), np.arange(-LEFT, 0)))
-                inside = (at >= first[b, None]) & (at < last[b, None] + LENGTH)
-                body = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
-                near, far = place[b] - last[b], place[b] - first[b]  # the windows' starts, in bytes before the anchor
-                flat = np.ascontiguousarray(body).ravel()
-                cuts = np.arange(len(body)) * body.shape[1]
-                identity = mix(span_hashes(prefix_hashes(flat), cuts, cuts + body.shape[1]) + (near * 64 + far).astype(np.uint64))
-                order = np.lexsort((owner[b], identity))
-                new = np.flatnonzero(np.concatenate(([True], identity[order][1:] != identity[order][:-1])))
+    every: give only those whose name is a multiple of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array(splitters, dtype=f"S{LENGTH + LEFT}")
+
+        def step(shared: np.ndarray, g: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+            docs = ids_of(ids)
+            if not len(shared):
+                return
+            known = lambda values: shared[np.minimum(np.searchsorted(shared, values), len(shared) - 1)] == values
+            kept: list[tuple[np.ndarray, ...]] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                name, owner, body, near, far = (np.concatenate(x) for x in zip(*kept, strict=True))
+                kept.clear()
+                order = np.lexsort((owner, name))
+                new = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
                 lead = order[new]
+                held = np.empty(len(new), dtype=HELD)
+                held["g"], held["id"], held["least"] = g, name[lead], owner[lead]
+                held["most"] = owner[order[np.append(new[1:], len(order)) - 1]]
+                # sorted rows compress better on their way
+                by = np.lexsort(np.ascontiguousarray(body[lead, :16]).view(">u8").T[::-1])
+                lead, held = lead[by], held[by]
+                bucket = np.searchsorted(bounds, np.ascontiguousarray(body[lead]).view(f"S{LENGTH + LEFT}").ravel(), side="right")
                 # the suffix, and the least and most bytes by which its windows start before the anchor
                 raw = np.concatenate((body[lead], near[lead, None].astype(np.uint8), far[lead, None].astype(np.uint8)), axis=1).tobytes()
-                # where it stands: row key, doc_id, place
-                held = np.empty(len(order), dtype=HELD)
-                held["key"], held["doc"], held["place"] = keys[b][order], owner[b][order], (place[b] - begin[b])[order]
-                rows = pa.RecordBatch.from_arrays([pa.array(_slices(raw, np.arange(len(lead)), WIDE), pa.binary()), pa.array(_slices(held.tobytes(), np.append(new, len(order)), HELD.itemsize), pa.binary())], names=["suffix", "held"])
-                # sorted rows compress better on their way
-                yield rows.take(pa.array(np.lexsort(np.ascontiguousarray(body[lead, :16]).view(">u8").T[::-1])))
+                at = np.arange(len(lead))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(_slices(raw, at, WIDE), pa.binary()), pa.array(_slices(held.tobytes(), at, HELD.itemsize), pa.binary())], names=["bucket", "suffix", "held"])
+
+            count = 0
+            # whole rows, or pieces of one: a suffix has the same name whatever it is read with
+            for lo, hi, data, offsets in buffers(texts, PIECE):
+                place, first, last, one, after, two, before = halves(data, offsets)
+                after[after], before[before] = known(one[after]), known(two[before])
+                some = np.flatnonzero(after | before)
+                name = named(data, place[some], first[some], last[some])
+                if every > 1:
+                    some, name = some[name % np.uint64(every) == 0], name[name % np.uint64(every) == 0]
+                if not len(some):
+                    continue
+                place = place[some]
+                owner = docs[lo:hi][np.searchsorted(offsets, place, side="right") - 1]
+                near, far = place - last[some], place - first[some]
+                near, far = np.where(after[some], near, np.maximum(near, HALF)), np.where(before[some], far, np.minimum(far, HALF))
+                at = place[:, None] + np.concatenate((np.arange(LENGTH), np.arange(-LEFT, 0)))
+                inside = (at >= (place - far)[:, None]) & (at < (place - near)[:, None] + LENGTH)
+                kept.append((name, owner, np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), near, far))
+                count += len(some)
+                if count > TOGETHER:
+                    yield from flush()
+                    count = 0
+            if kept:
+                yield from flush()
+
+        yield from by_group(batches, lambda raws: np.unique(np.concatenate([unpacked(x) for x in raws])) if raws else np.zeros(0, np.uint64), step)
 
-    return by_group(batches, lambda raws: np.unique(np.concatenate([unpacked(x) for x in raws])) if raws else np.zeros(0, np.uint64), step)
+    return run
+
+
+def chosen(sample: list[bytes], parts: int) -> list[bytes]:
+    """At most parts - 1 splitters: quantiles of the sample, moved to where their anchor begins unless a splitter is there already."""
+    sample, out = sorted(sample), []
+    for k in range(1, parts):
+        if sample:
+            s = sample[min(len(sample) - 1, k * len(sample) // parts)]
+            cut = s[:K] if not out or s[:K] > out[-1] else s
+            if not out or cut.rstrip(b"\0") > out[-1].rstrip(b"\0"):
+                out.append(cut)
+    return out
 
 
 def _slices(raw: bytes, begin: np.ndarray, width: int) -> list[bytes]:
@@ -238,18 +296,21 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def compare(groups: int):  # noqa: ANN201
-    """A bucket of suffixes to what goes: per group of rows (key, place of the anchor, mask of windows), and windows at the borders."""
+def compare(splitters: list[bytes], parts: int):  # noqa: ANN201
+    """A bucket of suffixes to what each group of rows is told, and windows at the borders that cut through a run, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(b.num_rows for b in parts):
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
             return
-        table = pa.Table.from_batches(parts)
-        wide = np.frombuffer(b"".join(table.column(0).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
+        table = pa.Table.from_batches(batches)
+        wide = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
         body, near, far = wide[:, : LENGTH + LEFT], wide[:, -2].astype(np.int64), wide[:, -1].astype(np.int64)
-        lists = table.column(1).to_pylist()
-        del table, parts
+        held = np.frombuffer(b"".join(table.column(2).to_pylist()), dtype=HELD)
+        bucket = np.asarray(table.column(0).to_numpy())
+        # a splitter of an anchor's bytes alone lies before all of that anchor's suffixes
+        cut = [k for k, b in ((0, int(bucket.min()) - 1), (-1, int(bucket.max()))) if 0 <= b < len(splitters) and len(splitters[b]) > K]
+        del table, batches
         padded = np.zeros((len(body), 80), dtype=np.uint8)
         padded[:, : LENGTH + LEFT] = body
         words = padded.view(">u8").astype(np.uint64)
@@ -258,31 +319,30 @@ def compare(groups: int):  # noqa: ANN201
         new = np.concatenate(([True], (lead[1:] != lead[:-1]).any(axis=1)))
         run_of = np.cumsum(new) - 1
         del words, padded, lead
-        sizes = np.array([len(x) // HELD.itemsize for x in lists], dtype=np.int64)
         runs = int(run_of[-1]) + 1
-        held = np.bincount(run_of, sizes[order], minlength=runs)
-        border = (run_of == 0) | (run_of == runs - 1)
-        marks_key, marks_place, marks_mask = [], [], []
+        several = np.bincount(run_of, 1 + (held["least"] < held["most"])[order], minlength=runs)
+        border = np.isin(run_of, [run_of[k] for k in cut])
+        told: list[np.ndarray] = []
+        outer: list[np.ndarray] = []
         at = 0
         while at < len(order):
             # whole runs at a time
             stop = int(np.searchsorted(run_of, run_of[min(at + ROWS, len(order)) - 1], side="right"))
-            mine = order[at:stop]
-            busy = np.flatnonzero((held[run_of[at:stop]] > 1) | border[at:stop])
-            mine = mine[busy]
+            busy = np.flatnonzero((several[run_of[at:stop]] > 1) | border[at:stop])
+            mine = order[at:stop][busy]
             at = stop
             if not len(mine):
                 continue
             # equal windows beyond a border share their bytes from the anchor on with the row at that border
-            reach = np.maximum(*(np.where((same := body[mine, :LENGTH] == body[end, :LENGTH]).all(axis=1), LENGTH, same.argmin(axis=1)) for end in (order[0], order[-1])))
+            reach = np.zeros(len(mine), dtype=np.int64)
+            for k in cut:
+                same = body[mine, :LENGTH] == body[order[k], :LENGTH]
+                reach = np.maximum(reach, np.where(same.all(axis=1), LENGTH, same.argmin(axis=1)))
             turned = np.concatenate((body[mine, LENGTH:], body[mine, :LENGTH]), axis=1)
             sums = prefix_hashes(np.ascontiguousarray(turned).ravel())
             start = np.arange(len(mine)) * (LENGTH + LEFT) + LEFT
-            held_at = np.frombuffer(b"".join(lists[i] for i in mine), dtype=HELD)
-            keys, docs, places = held_at["key"].copy(), held_at["doc"].copy(), held_at["place"].astype(np.int64)
-            suffix = np.repeat(np.arange(len(mine)), sizes[mine])
-            least = docs[np.concatenate(([0], np.cumsum(sizes[mine])))[:-1]]  # each list is in order of doc
-            mask = np.zeros(len(docs), dtype=np.int64)
+            own = held[mine]
+            rows, bounds, bits = [], [], []
             for o in range(PLACES):
                 here = np.flatnonzero((near[mine] <= o) & (o <= far[mine]))
                 if not len(here):
@@ -290,90 +350,108 @@ def compare(groups: int):  # noqa: ANN201
                 window = span_hashes(sums, start[here] - o, start[here] - o + LENGTH)
                 _, place = np.unique(window, return_inverse=True)
                 low = np.full(place.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, place, least[here])
-                bound = np.full(len(mine), np.iinfo(np.int64).max)
-                bound[here] = low[place]
-                mask |= (docs > bound[suffix]).astype(np.int64) << o
-                outer = np.flatnonzero(reach[here] >= LENGTH - o)
-                if len(outer):
-                    # the least of these may have equals in other buckets
-                    w1 = np.zeros(len(mine), dtype=np.uint64)
-                    w1[here[outer]] = window[outer]
-                    chosen = np.zeros(len(mine), dtype=bool)
-                    chosen[here[outer]] = True
-                    e = np.flatnonzero(chosen[suffix] & (docs == bound[suffix]))
-                    w = w1[suffix[e]]
-                    yield _marks(w1=to_long(w), w2=to_long(mix(w + np.uint64(o + 1))), doc=docs[e], key=to_long(keys[e]), place=places[e] - o)
-            gone = np.flatnonzero(mask)
-            marks_key.append(keys[gone])
-            marks_place.append(places[gone])
-            marks_mask.append(mask[gone])
-        if marks_key:
-            yield from routed_marks(np.concatenate(marks_key), np.concatenate(marks_place), np.concatenate(marks_mask), groups)
+                np.minimum.at(low, place, own["least"][here])
+                bound = low[place]
+                late = own["most"][here] > bound
+                rows.append(here[late])
+                bounds.append(bound[late])
+                bits.append(np.full(int(late.sum()), 1 << o, dtype=np.int64))
+                # the least of these may have equals in other buckets
+                edge = np.flatnonzero((reach[here] >= LENGTH - o) & (own["least"][here] == bound))
+                if len(edge):
+                    found = np.empty(len(edge), dtype=OUTER)
+                    e = own[here[edge]]
+                    found["w1"], found["w2"], found["doc"], found["g"], found["id"], found["place"] = window[edge], mix(window[edge] + np.uint64(o + 1)), bound[edge], e["g"], e["id"], o
+                    outer.append(found)
+            if rows:
+                told.append(_told(own, *(np.concatenate(x) for x in (rows, bounds, bits))))
+        yield from sent(told)
+        if outer:
+            found = np.concatenate(outer)
+            to = (found["w1"] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            yield _marks(bucket=np.unique(to).astype(np.int32), payload=[found[order[edges[b] : edges[b + 1]]].tobytes() for b in np.unique(to).tolist()])
 
     return run
 
 
-def _marks(**columns) -> pa.RecordBatch:  # noqa: ANN003
-    n = len(next(iter(columns.values())))
-    kinds = {"g": pa.int64(), "payload": pa.binary(), "w1": pa.int64(), "w2": pa.int64(), "doc": pa.int64(), "key": pa.int64(), "place": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+def _told(own: np.ndarray, row: np.ndarray, bound: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """(g, id, doc, mask): the windows of each suffix by the document in which they start."""
+    order = np.lexsort((bound, row))
+    row, bound, bit = row[order], bound[order], bit[order]
+    out = np.zeros(0, dtype=[("g", "<i8"), *TOLD.descr])
+    if len(row):
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (bound[1:] != bound[:-1]))))
+        out = np.empty(len(new), dtype=out.dtype)
+        out["g"], out["id"], out["doc"], out["mask"] = own["g"][row[new]], own["id"][row[new]], bound[new], np.bitwise_or.reduceat(bit, new)
+    return out
 
 
-def routed_marks(key: np.ndarray, place: np.ndarray, mask: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    to = (key % np.uint64(groups)).astype(np.int64)
-    order = np.lexsort((place, key, to))
-    key, place, mask, to = key[order], place[order], mask[order], to[order]
-    edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
-    ends = np.concatenate((edges[1:], [len(to)]))
-    if len(edges):
-        payload = [np.stack([key[a:b].view(np.int64), place[a:b], mask[a:b]], axis=1).tobytes() for a, b in zip(edges, ends, strict=True)]
-        yield _marks(g=to[edges], payload=payload)
+def sent(told: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What groups are told, a row for each group."""
+    all_ = np.concatenate(told) if told else np.zeros(0, dtype=np.int64)
+    if len(all_):
+        all_ = all_[np.lexsort((all_["id"], all_["g"]))]
+        edges = np.flatnonzero(np.concatenate(([True], all_["g"][1:] != all_["g"][:-1])))
+        ends = np.append(edges[1:], len(all_))
+        payload = np.empty(len(all_), dtype=TOLD)
+        for name in TOLD.names:
+            payload[name] = all_[name]
+        yield _marks(g=all_["g"][edges], payload=[payload[a:b].tobytes() for a, b in zip(edges.tolist(), ends.tolist(), strict=True)])
 
 
-def keyed(groups: int):  # noqa: ANN201
-    """(g, doc_id, text) with g by the row's key, so that marks find their rows."""
+def _marks(**columns) -> pa.RecordBatch:  # noqa: ANN003
+    n = len(columns["payload"])
+    kinds = {"g": pa.int64(), "bucket": pa.int32(), "payload": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = ids_of(batch.column(1))
-            g = np.zeros(len(docs), dtype=np.int64)
-            for lo, hi, data, offsets in buffers(batch.column(2)):
-                g[lo:hi] = (row_keys(docs[lo:hi], data, offsets) % np.uint64(groups)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(1), batch.column(2)], names=["g", "doc_id", "text"])
 
-    return run
+def across(table: pa.Table) -> pa.Table:
+    """A bucket of windows at borders to what groups are told of them."""
+    found = np.frombuffer(b"".join(table.column("payload").to_pylist()), dtype=OUTER)
+    order = np.lexsort((found["doc"], found["w2"], found["w1"]))
+    found = found[order]
+    new = np.concatenate(([True], (found["w1"][1:] != found["w1"][:-1]) | (found["w2"][1:] != found["w2"][:-1])))
+    least = found["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    late = np.flatnonzero(found["doc"] > least)
+    batches = list(sent([_told(found, late, least[late], np.int64(1) << found["place"][late])]))
+    return pa.Table.from_batches(batches or [_marks(payload=[])]).select(["g", "payload"])
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their marks to what is left of them."""
+    """Rows with what their group is told to what is left of them."""
 
-    def prepare(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        all_ = np.frombuffer(b"".join(raws), dtype=np.int64).reshape(-1, 3)
-        key = all_[:, 0].view(np.uint64) if len(all_) else np.zeros(0, np.uint64)
-        order = np.argsort(np.ascontiguousarray(key), kind="stable")
-        return np.ascontiguousarray(key)[order], all_[order, 1], all_[order, 2]
+    def prepare(raws: list[bytes]) -> np.ndarray:
+        told = np.frombuffer(b"".join(raws), dtype=TOLD)
+        return told[np.argsort(told["id"], kind="stable")]
 
-    def step(marks: tuple[np.ndarray, np.ndarray, np.ndarray], g: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    def step(told: np.ndarray, g: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         out = []
         docs = ids_of(ids)
-        for lo, hi, data, offsets in buffers(texts):
-            keys = row_keys(docs[lo:hi], data, offsets)
-            begin, end = np.searchsorted(marks[0], keys, side="left"), np.searchsorted(marks[0], keys, side="right")
+        for lo, hi, data, offsets in buffers(texts, PIECE):
+            gone = np.zeros(len(data), dtype=bool)
+            if len(told):
+                place, _, first, last = anchors(data, offsets)
+                name = named(data, place, first, last)
+                begin, end = (np.searchsorted(told["id"], name, side=side) for side in ("left", "right"))
+                some = np.flatnonzero(begin < end)
+                at = np.repeat(some, end[some] - begin[some])
+                of = told[np.arange(len(at)) + np.repeat(begin[some] - np.concatenate(([0], np.cumsum(end[some] - begin[some])))[:-1], end[some] - begin[some])]
+                owner = docs[lo:hi][np.searchsorted(offsets, place[at], side="right") - 1]
+                late = owner > of["doc"]
+                at, mask = place[at][late], of["mask"][late]
+                if len(at):
+                    step_ = np.zeros(len(data) + 1, dtype=np.int64)
+                    for o in range(PLACES):
+                        s = at[(mask >> o & 1).astype(bool)] - o
+                        np.add.at(step_, s, 1)
+                        np.add.at(step_, s + LENGTH, -1)
+                    gone = np.cumsum(step_[:-1]) > 0
             for k in range(hi - lo):
-                own = data[offsets[k] : offsets[k + 1]]
-                if begin[k] == end[k]:
-                    out.append((len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest()))
-                    continue
-                place, mask = marks[1][begin[k] : end[k]], marks[2][begin[k] : end[k]]
-                step_ = np.zeros(len(own) + 1, dtype=np.int64)
-                for o in range(PLACES):
-                    s = place[(mask >> o & 1).astype(bool)] - o
-                    np.add.at(step_, s, 1)
-                    np.add.at(step_, s + LENGTH, -1)
-                gone = np.cumsum(step_[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                out.append((len(own), int(gone.sum()), spans, hashlib.sha256(own[~gone].tobytes()).hexdigest()))
+                own, off = data[offsets[k] : offsets[k + 1]], gone[offsets[k] : offsets[k + 1]]
+                spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum()) if len(off) else 0
+                out.append((len(own), int(off.sum()), spans, hashlib.sha256(own[~off].tobytes() if spans else own.tobytes()).hexdigest()))
         a, b, c, d = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -403,25 +481,18 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     asked = rows.mapInArrow(ask(parts), COUNTED)
     with small_batches(spark):
         shared = materialise(asked.groupBy("bucket").applyInArrow(answer, SHARED), "shared")
-    found = with_answers(rows, shared).mapInArrow(suffixes, SUFFIXES)
-    groups = parts * 4
-    # Spark samples the splitters; all that share a leading part may still be split between buckets
-    sorted_ = found.repartitionByRange(parts, "suffix")
+    # splitters from one group of rows of each file: SAMPLE suffixes or so
+    known = (shared.agg(F.sum(F.length("payload"))).collect()[0][0] or 0) // HASH_BYTES
+    some = routed(documents, SAMPLED)
+    told = shared.join(some.select("g").distinct(), "g", "left_semi")
+    sample = with_answers(some, told).mapInArrow(suffixes([], max(1, known // SPLITS // SAMPLE)), SUFFIXES).select(F.substring("suffix", 1, LENGTH + LEFT).alias("s"))
+    splitters = chosen([bytes(r["s"]) for r in sample.collect()], parts)
+    found = with_answers(rows, shared).mapInArrow(suffixes(splitters), SUFFIXES)
     with small_batches(spark):
-        marks = materialise(sorted_.mapInArrow(compare(groups), MARKS), "marks")
+        marks = materialise(found.repartitionById(parts, "bucket").mapInArrow(compare(splitters, parts), MARKS), "marks")
     discard(shared)
-    del found, sorted_
+    del found
     release(spark)
-    borders = marks.where(F.col("w1").isNotNull()).select("w1", "w2", "doc", "key", "place")
-    least = borders.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    gone = borders.join(least, ["w1", "w2"]).where("doc > least").select("key", "place")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                key, place = (np.ascontiguousarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
-                yield from routed_marks(key.view(np.uint64), place, np.ones(len(key), dtype=np.int64), groups)
-
-    answers = marks.where(F.col("payload").isNotNull()).select("g", "payload").unionByName(gone.mapInArrow(across, MARKS).select("g", "payload"))
-    placed = rows.mapInArrow(keyed(groups), "g long, doc_id long, text string")
-    return with_answers(placed, answers).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    borders = marks.where(F.col("bucket").isNotNull()).groupBy("bucket").applyInArrow(across, SHARED)
+    answers = marks.where(F.col("g").isNotNull()).select("g", "payload").unionByName(borders)
+    return with_answers(rows, answers).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -191,7 +191,26 @@ def test_exact(docs, nothing):
     for r in got(exact.exact_groups(docs)):
         body = SPLIT.sub("", TEXTS[r["doc_id"]])
         assert (r["keep_id"], r["group_size"], r["text_sha256"]) == (min(groups[body])[1], len(groups[body]), hashlib.sha256(body.encode()).hexdigest())
-    assert exact.chunk_dictionary(exact.chunk_recipes(docs)).count() > 0
+
+
+def test_exact_compares_identifiers(spark, monkeypatch):
+    """Groups come from the dictionary's identifiers: without them there are none. A shared digest alone is no equality."""
+    rng = random.Random(2)
+    long = " ".join(f"{rng.random()}" for _ in range(3000))
+    rows = [(1, long), (2, long.replace(" ", "  ")), (3, long + "x"), (4, "short"), (5, " short"), (5, "other"), (None, "short"), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact.chunk_recipes(df).cache()
+    places = exact.occurrences(found)
+    chunks = exact.chunk_dictionary(places)
+    assert max(r["places"] for r in chunks.collect()) >= 3 and places.count() > chunks.count() + 9
+    lists = {r["doc_id"]: r["ids"] for r in found.join(exact.identifier_lists(found), ["in_file", "at_row"]).collect() if r["doc_id"] in (1, 2, 3, 4)}
+    assert lists[1] == lists[2] and len(lists[1]) > 5 and 3 not in lists
+    sizes = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"]) for r in got(exact.exact_groups(df)))
+    assert sizes == [(0, 5, 3), (0, 6, 2), (1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 5, 3), (5, 5, 1), (5, 5, 3), (6, 6, 2)]
+    kept = {(r["in_file"], r["at_row"]) for r in got(exact.exact_rows(df)) if (r["keep"]["in_file"], r["keep"]["at_row"]) == (r["in_file"], r["at_row"])}
+    assert len(kept) == 5
+    monkeypatch.setattr(exact, "chunk_dictionary", lambda places: places.limit(0).select("chunk", exact.F.lit(1).alias("places"), exact.F.lit(1).alias("id")))
+    assert {r["group_size"] for r in got(exact.exact_groups(df))} == {1}
 
 
 def plain_components(sets, num):
@@ -285,6 +304,39 @@ def test_substrings(docs, nothing):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+def test_substrings_of_a_passage_in_most_documents(spark, monkeypatch):
+    """Splitters cut through the runs of a passage's anchors; every equal window is still found."""
+    monkeypatch.setattr(substrings, "partitions", lambda s: 24)
+    monkeypatch.setattr(substrings, "TOGETHER", 50)
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    passage = text(20)
+    rows = [(k, text(rng.randint(1, 20)) + " " + passage[rng.randrange(5) :] + text(3)) for k in range(150)] + [(7, passage), (None, passage), (200, passage[:60] + passage[:60])]
+    rng.shuffle(rows)
+    seen, want = {}, collections.Counter()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for k, t in order:
+        for i in range(len(t) - 49):
+            seen.setdefault(t[i : i + 50], k)
+    for k, t in order:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if seen[t[i : i + 50]] != k:
+                gone[i : i + 50] = b"\1" * 50
+        want[k, len(t), sum(gone), hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()] += 1
+    splitters = []
+    monkeypatch.setattr(substrings, "chosen", lambda sample, parts, own=substrings.chosen: splitters.append(own(sample, parts)) or splitters[-1])
+    rows = got(substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in rows) == want
+    assert {len(x) > substrings.K for x in splitters[0]} == {True, False}
+
+
+def test_multikey_order():
+    words = np.random.default_rng(1).integers(0, 3, (500, 4)).astype(np.uint64)
+    order = substrings.multikey_order(words)
+    assert sorted(order.tolist()) == list(range(500)) and words[order].tolist() == sorted(words.tolist())
+
+
 def test_quality(spark, docs, nothing):
     labels = spark.createDataFrame([(k, int(k % 2), 0) for k in range(60)] + [(3, 1, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     assert got(quality.quality_scores(nothing, labels)) == []
@@ -297,26 +349,51 @@ def test_quality(spark, docs, nothing):
     assert sum(r["predicted"] == 1 - r["doc_id"] % 2 for r in held) / len(held) >= 0.95
 
 
-def test_leaks(spark, nothing):
+def plain_leaks(rows, items):
+    """{(doc_id, item): (distance, start)} by the edit distance of every window."""
+    out = {}
+    for k, text in rows:
+        own = leaks.words_of(text or "").tolist()
+        for i, item in items:
+            w = leaks.words_of(item or "").tolist()
+            if w:
+                best = min(((leaks.edit_distance(w, own[p : p + len(w)], len(w)), p) for p in range(len(own))), default=(len(w), 0))
+                if best[0] <= len(w) // 5 and own:
+                    out[k, i] = best
+    return out
+
+
+def test_leaks(spark, docs, nothing):
+    """Hits against all windows, with word edits up to the bound: recall 0.9 at least, and nothing else; and not without the samples."""
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = {k: text(rng.randint(14, 40)) for k in range(20)}
-    rows, want = [], set()
-    for k in range(200):
+    items = [(k, " ".join(text(rng.choice((5, 6, 9, 14, 20, 31, 40, 70, 130))))) for k in range(30)] + [(99, None), (98, "."), (97, "one two three four"), (96, "Single")]
+    rows = []
+    for k in range(120):
         body = text(80)
         if k % 2:
-            item = rng.randrange(20)
-            own = list(items[item])
+            own = items[rng.randrange(30)][1].split()
             for _ in range(rng.randint(0, len(own) // 5)):
-                own[rng.randrange(len(own))] = "other"
-            body[30:30] = own
-            want.add((k, item))
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = ["other"] if rng.random() < 0.7 else []
+            body[rng.choice((0, 30, 80)) : 30] = own
         rows.append((k, " ".join(body)))
-    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(99, None), (98, "a b"), (None, "x")], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]) for r in got(leaks.benchmark_leaks(spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string"), benchmark))}
-    assert len(found & want) >= 0.9 * len(want) and not found - want
-    assert got(leaks.benchmark_leaks(nothing, benchmark)) == []
+    rows += [(500, None), (501, ""), (502, "say one, two THREE four now"), (503, "a single one two three")]
+    want = plain_leaks(rows, items)
+    benchmark = spark.createDataFrame([*items, (None, "x")], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"]) for r in got(leaks.benchmark_leaks(df, benchmark))}
+    assert (502, 97) in found and (503, 96) in found and len(want) > 50
+    assert not found.keys() - want.keys() and len(found) >= 0.9 * len(want)
+    assert sum(found[k] == want[k] for k in found) >= 0.9 * len(found)
+    assert got(leaks.benchmark_leaks(nothing, benchmark)) == [] == got(leaks.benchmark_leaks(docs, benchmark.limit(0)))
+    kept = leaks.without_leaks(docs.withColumnRenamed("lang", "leaked"), spark.createDataFrame([(1, ROWS[63][1][500:800])], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "leaked", *docs.columns[3:]] and {r["doc_id"] for r in got(kept)} == TEXTS.keys() - {63}
+    block = leaks.Items(items)
+    block.marks = {c: np.zeros_like(m) for c, m in block.marks.items()}
+    data = np.frombuffer(items[0][1].encode(), dtype=np.uint8)
+    assert not block.hits(*leaks.normal_words(data, np.array([0, len(data)])), 1)
 
 
 def test_edit_distance():
