@@ -103,11 +103,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def identified(df: DataFrame) -> tuple[DataFrame, str, str]:
+def identified(df: DataFrame, names: tuple[str, str] | None = None) -> tuple[DataFrame, str, str]:
     """df with two last columns that tell each row from all others in every scan, and their names: its file and its place there.
 
-    A table that isn't read from files is written to the shared folder first.
+    A table that isn't read from files is written to the shared folder first. names: df has these columns already.
     """
+    if names:
+        return df, *names
     file, at = unused(df, "in_file"), unused(df, "at_row")
     columns = lambda x: x.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
     try:

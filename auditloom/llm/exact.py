@@ -69,9 +69,9 @@ def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def chunk_recipes(documents: DataFrame) -> DataFrame:
+def chunk_recipes(documents: DataFrame, names: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, where the row stands, code_points, text_sha256 and the recipe: 28 bytes for each chunk, in order."""
-    rows, file, at = identified(documents)
+    rows, file, at = identified(documents, names)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(file).alias("in_file"), F.col(at).alias("at_row"), text_of().alias("text")).mapInArrow(recipes, SCHEMA)
 
 
@@ -103,9 +103,9 @@ def identifier_lists(found: DataFrame) -> DataFrame:
     return whole.select(*ROW, F.transform("list", lambda x: x["id"]).alias("ids"))
 
 
-def exact_rows(documents: DataFrame) -> DataFrame:
+def exact_rows(documents: DataFrame, names: tuple[str, str] | None = None) -> DataFrame:
     """One row per row: doc_id, where it stands (see identified), keep (that of the row that stays), group_size and text_sha256."""
-    found = materialise(chunk_recipes(documents), "recipes")
+    found = materialise(chunk_recipes(documents, names), "recipes")
     lists = materialise(found.drop("recipe").join(identifier_lists(found), [*ROW]), "lists")
     own = F.struct((-F.col("code_points")).alias("less"), F.col("doc_id").isNull().alias("without"), "doc_id", *ROW)
     groups = lists.groupBy("ids", "text_sha256").agg(F.min(own).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")

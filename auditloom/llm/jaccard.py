@@ -496,11 +496,11 @@ def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.withColumn("part", F.pmod(F.xxhash64("hub"), F.lit(partitions(members.sparkSession) * 4))).groupBy("part").applyInArrow(near(num, den), "a long, b long")
 
 
-def jaccard_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def jaccard_rows(documents: DataFrame, size: int, num: int, den: int, names: tuple[str, str] | None = None) -> DataFrame:
     """One row per row: doc_id, in_file and at_row (see identified), n_shingles, and root: that of the row of its component with the least doc_id."""
     spark = documents.sparkSession
     parts = partitions(spark)
-    rows, file, at = identified(documents)
+    rows, file, at = identified(documents, names)
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(file).alias("in_file"), F.col(at).alias("at_row"), text_of().alias("text"))
     seen = materialise(texts.mapInArrow(profile(size, num, den, parts), PROFILE), "profiles")
     docs = seen.where(F.col("bucket").isNull()).select("doc_id", "in_file", "at_row", "n", "sid", "check", "sketch")
