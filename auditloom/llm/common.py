@@ -228,10 +228,30 @@ def routed(documents: DataFrame, first: int | None = None) -> DataFrame:
     return (out if first is None else out.where(F.col("split") < first)).drop("split")
 
 
+#: A run of rows of one group on its way: compressed column by column.
+PACKED = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, doc_id, text) to (g, kind 1, payload): the rows of a batch that share g in one, compressed."""
+    for batch in batches:
+        g = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+        order = np.argsort(g, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.zeros(0, np.int64)
+        payloads = []
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(g)], strict=True):
+            own = pa.array(order[lo:hi])
+            rows = pa.record_batch([batch.column(1).take(own), batch.column(2).cast(pa.large_string()).take(own)], schema=PACKED)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            payloads.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(g[order[edges]], pa.int64()), pa.array(np.ones(len(edges), np.int32)), pa.array(payloads, pa.binary())], names=["g", "kind", "payload"])
+
+
 def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Rows (g, doc_id, text) and answers (g, payload) dealt by g: within a group the answers come first."""
-    asked = answers.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload")
-    both = rows.select("g", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload")).unionByName(asked)
+    """Rows (g, doc_id, text), packed, and answers (g, payload) dealt by g: (g, kind, payload), within a group the answers first."""
+    both = rows.mapInArrow(pack, "g long, kind int, payload binary").unionByName(answers.select("g", F.lit(0).alias("kind"), "payload"))
     return both.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "kind")
 
 
@@ -239,18 +259,18 @@ def by_group(batches: Iterator[pa.RecordBatch], prepare: Callable[[list[bytes]],
     """Runs over with_answers() rows: step(prepare(the group's answers), g, doc ids, texts) for each run of a group's rows."""
     group, payloads, ready = None, [], None
     for batch in batches:
-        g, kind = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
-        edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (kind[1:] != kind[:-1]))) if len(g) else np.zeros(0, bool)).tolist()
-        for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
-            if g[lo] != group:
-                group, payloads, ready = g[lo], [], None
-            if kind[lo] == 0:
-                payloads += batch.column(4).slice(lo, hi - lo).to_pylist()
+        for g, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if g != group:
+                group, payloads, ready = g, [], None
+            if kind == 0:
+                payloads.append(payload.as_py())
                 continue
             if ready is None:
                 ready = (prepare(payloads),)
                 payloads = []
-            yield from step(ready[0], int(group), batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo))
+            with pa.ipc.open_stream(payload.as_buffer()) as held:
+                for rows in held:
+                    yield from step(ready[0], g, rows.column(0), rows.column(1))
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

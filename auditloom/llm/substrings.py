@@ -3,12 +3,11 @@
 A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller
 doc_id. Of the K-byte strings in every such window the one with the least hash is its
 anchor; equal windows have equal anchors at equal places, so it is enough to sort the
-suffixes that start at anchors, 1 byte in 14. Every window of an anchor holds the anchor
-with the HALF bytes after it, or with the HALF bytes before it. A first pass counts both
-strings by hash, 5 bytes each, and tells each group of rows which of its own occur in two
-documents; windows that hold neither go no further.
+suffixes that start at anchors, 1 byte in 14, and among them those whose anchor occurs in
+two documents (a first pass counts anchors by hash, 5 bytes each, and tells each group of
+rows which of its own are shared).
 
-The suffixes that are left, each with the bytes before it that its windows need, are
+Those suffixes, each with the bytes before it that its windows need, are
 range-partitioned by leading bytes at sampled splitters. A splitter lies between two
 anchors, unless one anchor fills a bucket by itself. Each bucket is sorted by its leading
 bytes, 8 at a time, ties alone by the next 8 (as multikey quicksort does, with numpy's sort
@@ -35,6 +34,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +44,6 @@ from .common import SPLITS, buffers, by_group, discard, ids_of, materialise, mix
 LENGTH, K = 50, 24
 PLACES = LENGTH - K + 1
 LEFT = PLACES - 1
-#: Bytes after an anchor that its windows with the lesser places hold, and before it those with the greater ones.
-HALF = (PLACES - 1) // 2
 #: Hashes a task gathers before it sends them on; suffixes of a group that are compared before they are; rows that are hashed at once in a bucket.
 GATHER, TOGETHER, ROWS = 2_000_000, 200_000, 20_000
 #: Suffixes in the sample that splitters are taken from, and the groups of a file that give it.
@@ -67,7 +65,7 @@ HASH_MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
 SHARED = "g long, payload binary"
 COUNTED = "bucket int, g long, hashes binary, many binary"
-SUFFIXES = "bucket int, suffix binary, held binary"
+SUFFIXES = "bucket int, payload binary"
 MARKS = "g long, bucket int, payload binary"
 
 
@@ -117,17 +115,6 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors with what is counted of them: (place, first window, last window, hash after, whether it has windows there, hash before, whether there)."""
-    place, _, first, last = anchors(data, offsets)
-    sums = prefix_hashes(data)
-    after, before = place - last <= HALF, place - first >= HALF
-    one, two = np.zeros(len(place), dtype=np.uint64), np.zeros(len(place), dtype=np.uint64)
-    one[after] = span_hashes(sums, place[after], place[after] + K + HALF)
-    two[before] = ~span_hashes(sums, place[before] - HALF, place[before] + K)
-    return place, first, last, one & HASH_MASK, after, two & HASH_MASK, before
-
-
 def ask(buckets: int):  # noqa: ANN201
     """Batches of (g, doc_id, text) to the anchors in them, by bucket and group."""
 
@@ -152,9 +139,9 @@ def ask(buckets: int):  # noqa: ANN201
         for batch in batches:
             group = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
             for lo, _, data, offsets in buffers(batch.column(2), PIECE):
-                place, _, _, one, after, two, before = halves(data, offsets)
-                row = np.searchsorted(offsets, np.concatenate((place[after], place[before])), side="right") - 1
-                values = np.concatenate((one[after], two[before]))
+                place, hashes, _, _ = anchors(data, offsets)
+                row = np.searchsorted(offsets, place, side="right") - 1
+                values = hashes & HASH_MASK
                 # once for each row
                 order = np.lexsort((values, row))
                 values, row = values[order], row[order]
@@ -219,20 +206,20 @@ def suffixes(splitters: list[bytes], every: int = 1):  # noqa: ANN201
                 held["g"], held["id"], held["least"] = g, name[lead], owner[lead]
                 held["most"] = owner[order[np.append(new[1:], len(order)) - 1]]
                 # sorted rows compress better on their way
-                by = np.lexsort(np.ascontiguousarray(body[lead, :16]).view(">u8").T[::-1])
+                by = np.argsort(np.ascontiguousarray(body[lead]).view(f"S{LENGTH + LEFT}").ravel())
                 lead, held = lead[by], held[by]
                 bucket = np.searchsorted(bounds, np.ascontiguousarray(body[lead]).view(f"S{LENGTH + LEFT}").ravel(), side="right")
                 # the suffix, and the least and most bytes by which its windows start before the anchor
-                raw = np.concatenate((body[lead], near[lead, None].astype(np.uint8), far[lead, None].astype(np.uint8)), axis=1).tobytes()
-                at = np.arange(len(lead))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(_slices(raw, at, WIDE), pa.binary()), pa.array(_slices(held.tobytes(), at, HELD.itemsize), pa.binary())], names=["bucket", "suffix", "held"])
+                wide = np.concatenate((body[lead], near[lead, None].astype(np.uint8), far[lead, None].astype(np.uint8)), axis=1)
+                used = np.unique(bucket)
+                lo, hi = np.searchsorted(bucket, used), np.searchsorted(bucket, used, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed_rows(wide[i:j], held[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], names=["bucket", "payload"])
 
             count = 0
             # whole rows, or pieces of one: a suffix has the same name whatever it is read with
             for lo, hi, data, offsets in buffers(texts, PIECE):
-                place, first, last, one, after, two, before = halves(data, offsets)
-                after[after], before[before] = known(one[after]), known(two[before])
-                some = np.flatnonzero(after | before)
+                place, hashes, first, last = anchors(data, offsets)
+                some = np.flatnonzero(known(hashes & HASH_MASK))
                 name = named(data, place[some], first[some], last[some])
                 if every > 1:
                     some, name = some[name % np.uint64(every) == 0], name[name % np.uint64(every) == 0]
@@ -241,7 +228,6 @@ def suffixes(splitters: list[bytes], every: int = 1):  # noqa: ANN201
                 place = place[some]
                 owner = docs[lo:hi][np.searchsorted(offsets, place, side="right") - 1]
                 near, far = place - last[some], place - first[some]
-                near, far = np.where(after[some], near, np.maximum(near, HALF)), np.where(before[some], far, np.minimum(far, HALF))
                 at = place[:, None] + np.concatenate((np.arange(LENGTH), np.arange(-LEFT, 0)))
                 inside = (at >= (place - far)[:, None]) & (at < (place - near)[:, None] + LENGTH)
                 kept.append((name, owner, np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), near, far))
@@ -269,9 +255,24 @@ def chosen(sample: list[bytes], parts: int) -> list[bytes]:
     return out
 
 
-def _slices(raw: bytes, begin: np.ndarray, width: int) -> list[bytes]:
-    edges = (begin * width).tolist()
-    return [raw[i:j] for i, j in zip(edges, [*edges[1:], len(raw)], strict=True) if i < j]
+def packed_rows(wide: np.ndarray, held: np.ndarray) -> bytes:
+    """Suffixes in order, and byte by byte what is known of them, compressed; all are of one group."""
+    names = [held["id"], held["least"], held["most"] - held["least"]]
+    raw = [np.array([held["g"][0], len(wide)], dtype=np.int64).tobytes(), wide.tobytes(), *(np.ascontiguousarray(x).view(np.uint8).reshape(len(wide), 8).T.tobytes() for x in names)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def unpacked_rows(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    wides, helds = [], []
+    for payload in payloads:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), dtype=np.uint8)
+        g, n = raw[:16].view(np.int64).tolist()
+        wides.append(raw[16 : 16 + n * WIDE].reshape(n, WIDE))
+        names = np.ascontiguousarray(raw[16 + n * WIDE :].reshape(3, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(3, n)
+        held = np.empty(n, dtype=HELD)
+        held["g"], held["id"], held["least"], held["most"] = g, names[0].view(np.uint64), names[1], names[1] + names[2]
+        helds.append(held)
+    return np.concatenate(wides), np.concatenate(helds)
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -303,14 +304,12 @@ def compare(splitters: list[bytes], parts: int):  # noqa: ANN201
         batches = list(batches)
         if not sum(b.num_rows for b in batches):
             return
-        table = pa.Table.from_batches(batches)
-        wide = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
+        bucket = np.concatenate([np.asarray(b.column(0).to_numpy()) for b in batches])
+        wide, held = unpacked_rows([x for b in batches for x in b.column(1).to_pylist()])
         body, near, far = wide[:, : LENGTH + LEFT], wide[:, -2].astype(np.int64), wide[:, -1].astype(np.int64)
-        held = np.frombuffer(b"".join(table.column(2).to_pylist()), dtype=HELD)
-        bucket = np.asarray(table.column(0).to_numpy())
         # a splitter of an anchor's bytes alone lies before all of that anchor's suffixes
         cut = [k for k, b in ((0, int(bucket.min()) - 1), (-1, int(bucket.max()))) if 0 <= b < len(splitters) and len(splitters[b]) > K]
-        del table, batches
+        del batches
         padded = np.zeros((len(body), 80), dtype=np.uint8)
         padded[:, : LENGTH + LEFT] = body
         words = padded.view(">u8").astype(np.uint64)
@@ -485,8 +484,9 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     known = (shared.agg(F.sum(F.length("payload"))).collect()[0][0] or 0) // HASH_BYTES
     some = routed(documents, SAMPLED)
     told = shared.join(some.select("g").distinct(), "g", "left_semi")
-    sample = with_answers(some, told).mapInArrow(suffixes([], max(1, known // SPLITS // SAMPLE)), SUFFIXES).select(F.substring("suffix", 1, LENGTH + LEFT).alias("s"))
-    splitters = chosen([bytes(r["s"]) for r in sample.collect()], parts)
+    sample = with_answers(some, told).mapInArrow(suffixes([], max(1, known // SPLITS // SAMPLE)), SUFFIXES)
+    wide = [unpacked_rows([bytes(r["payload"])])[0] for r in sample.collect()]
+    splitters = chosen([x[: LENGTH + LEFT].tobytes() for w in wide for x in w], parts)
     found = with_answers(rows, shared).mapInArrow(suffixes(splitters), SUFFIXES)
     with small_batches(spark):
         marks = materialise(found.repartitionById(parts, "bucket").mapInArrow(compare(splitters, parts), MARKS), "marks")

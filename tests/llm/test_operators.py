@@ -144,10 +144,8 @@ def test_language_model_filter_grows(spark, monkeypatch):
     reduced = language_model.reduce_bucket(counted)
     payload = [x for x in reduced.column("payload").to_pylist() if x is not None]
     total, distinct = (next(x for x in reduced.column(k).to_pylist() if x is not None) for k in ("tokens", "distinct"))
-    answered = pa.RecordBatch.from_arrays(
-        [pa.array([7] * (len(payload) + len(rows))), pa.array([0] * len(payload) + [1] * len(rows)), pa.array([None] * len(payload) + [k for k, _ in rows], pa.int64()), pa.array([None] * len(payload) + [t for _, t in rows]), pa.array(payload + [None] * len(rows), pa.binary())],
-        names=["g", "kind", "doc_id", "text", "payload"],
-    )
+    texts = next(common.pack(iter([pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["g", "doc_id", "text"])])))
+    answered = pa.RecordBatch.from_arrays([pa.array([7] * (len(payload) + 1)), pa.array([0] * len(payload) + [1]), pa.array(payload + texts.column(2).to_pylist(), pa.binary())], names=["g", "kind", "payload"])
     one, two = collections.Counter(), collections.Counter()
     for k, t in rows:
         if training[k]:
