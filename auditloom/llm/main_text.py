@@ -2,16 +2,17 @@
 
 Markup is stripped into lines, one per block element. Text inside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is left
-out: such a line has length 0. The lengths of the lines are summed over a sliding window;
-where a sum rises above a threshold the text surges, where it falls to nothing it dives.
-The stretch with the most text between a surge and its dive holds the article. If an
-article or main element holds that stretch, its lines are the text. Else only lines left
-out make a sum fall to nothing, so a dive is an advert or form amid the text: all lines
-from the first surge on are the text, but for those in an article or main element elsewhere.
-
-Results in special cases: null, empty and text-free html give an empty text; markup cut
-off at the end is dropped; repeated rows each give a row; an empty table gives an empty
-one; columns other than page_id, url and html are not read.
+out. The lengths of the lines that remain are summed over a sliding window; where a sum
+reaches a threshold the text surges, after the last such window it dives. That is done for
+each article or main element by itself and for the lines outside of them. The part with
+the most text between its surge and its dive decides: if it is an article or main element,
+all such elements in which text surges are the text, whole; else the lines outside of them
+from the first surge to the last dive. Where nothing surges, all that remains is the text.
+
+Results in special cases: null, empty and text-free html give an empty text; of parts with
+equally much text the first decides; markup cut off at the end is dropped; repeated rows
+each give a row; a very long page is worked through once, line by line; an empty table gives
+an empty one; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -51,13 +52,15 @@ MARKS = {
     "pagination", "pager", "toolbar", "skip", "tags", "header", "topbar", "toc", "disclaimer", "feedback", "responses",
 }
 HOLDERS = {"article", "main"}
+#: Elements that such a word can exclude from inside an article.
+BOXES = {"div", "section", "ul", "ol", "dl", "table", "details", "figure"}
 # elements that a new block ends by itself
 CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "option", "optgroup", "body", "html", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 
 
-def outside(name: str, attributes: str) -> bool:
-    """Whether an element with this start tag holds no article text."""
-    if name in OUTSIDE:
+def outside(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element with this start tag holds no article text. inside: it stands in an article, where only boxes are told by whole words of their class or id."""
+    if name in OUTSIDE and not (inside and name == "header"):
         return True
     if not attributes or attributes.isspace():
         return False
@@ -67,8 +70,9 @@ def outside(name: str, attributes: str) -> bool:
             return True
         if key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and MARKS & set(re.split(r"[^a-z]+", re.sub(r"\d+", " ", value))):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "main") and not (name == "article" and value in ("article", "main")):
+            if inside and name in BOXES and MARKS & set(value.split()) or not inside and MARKS & set(re.split(r"[^a-z]+", re.sub(r"\d+", " ", value))):
+                return True
     return False
 
 
@@ -137,7 +141,7 @@ def lines(html: str) -> list[tuple[str, bool, int]]:
                 if stack[k][0] in ("ul", "ol", "menu", "dl", "table", "select", "tbody", "div", "article", "main"):
                     break
         above = stack[-1] if stack else ("", False, 0)
-        lost = above[1] or outside(name, attributes)
+        lost = above[1] or outside(name, attributes, above[2] > 0 and name != "article")
         holder = above[2]
         if not holder and (name in HOLDERS or re.search(r"""role\s*=\s*["']?main""", attributes, re.I)):
             holders += 1
@@ -152,43 +156,31 @@ def lines(html: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def surges(lengths: list[int]) -> list[tuple[int, int]]:
-    """[surge, dive) stretches of lines: from where the windowed sum reaches SURGE to where the lines of text end."""
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    out, at = [], 0
-    while at < len(lengths):
-        if sums[at] < SURGE or not lengths[at]:
-            at += 1
-            continue
-        end = at
-        while end < len(lengths) and sums[end] > 0:
-            end += 1
-        while not lengths[end - 1]:
-            end -= 1
-        out.append((at, end))
-        at = end + 1
-    return out
+def stretch(lengths: list[int]) -> tuple[int, int] | None:
+    """[surge, dive) of lines: from the first window whose sum reaches SURGE to the end of the last one; none if none does."""
+    sums = [sum(lengths[i : i + WINDOW]) for i in range(max(1, len(lengths) - WINDOW + 1))]
+    high = [i for i, x in enumerate(sums) if x >= SURGE]
+    return (high[0], min(len(lengths), high[-1] + WINDOW)) if high else None
 
 
 def main_text(html: str | None) -> str:
     """The article's text, one line per block."""
     if not html:
         return ""
-    found = lines(html)
-    lengths = [0 if gone else len(text) for text, gone, _ in found]
-    spans = surges(lengths)
-    if spans:
-        lo, hi = max(spans, key=lambda s: sum(lengths[s[0] : s[1]]))
-        inside = {holder for _, gone, holder in found[lo:hi] if holder and not gone}
+    found = [(text, holder) for text, gone, holder in lines(html) if not gone]
+    parts: dict[int, list[str]] = {}
+    for text, holder in found:
+        parts.setdefault(holder, []).append(text)
+    high = {h: s for h, own in parts.items() if (s := stretch([len(t) for t in own]))}
+    mass = {h: sum(len(t) for t in parts[h][lo:hi]) for h, (lo, hi) in high.items()}
+    best = max(mass, key=lambda h: (mass[h], -h), default=None)
+    if best is None:
+        kept = [text for text, holder in found if holder or len(parts) == 1] or [text for text, _ in found]
+    elif best:
+        kept = [text for text, holder in found if holder and holder in high]
     else:
-        lo, hi, inside = 0, len(found), {holder for _, gone, holder in found if holder and not gone}
-    if inside:
-        mass = {h: sum(n for n, (_, _, x) in zip(lengths, found, strict=True) if x == h) for h in inside}
-        best = max(mass, key=lambda h: (mass[h], -h))
-        return "\n".join(text for text, gone, holder in found if holder == best and not gone)
-    kept = [text for text, gone, holder in found if not gone and not holder]
-    joined = surges([len(text) for text in kept]) if spans else []
-    return "\n".join(kept[joined[0][0] :] if joined else kept)
+        kept = parts[0][slice(*high[0])]
+    return "\n".join(kept)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,10 +83,37 @@ def test_randomness_battery():
     rng = random.Random(1)
     random_ = [secrets.battery("".join(rng.choice(secrets.ENCODINGS[5][1]) for _ in range(40))) for _ in range(200)]
     assert sum(p is not None and p > 0.01 for p in random_) > 180
-    assert secrets.battery("thequickbrownfoxjumps") is None
+    assert secrets.battery("thequickbrownfoxjumpsoverthelazydog") < 0.01 and secrets.battery("short1") is None and secrets.battery("12345678901234567890") < 0.01
     assert secrets.battery("aaaaaaaaaaaaaaaaaaaaaaaa1111") < 1e-6
 
 
+def test_false_share_of_reported_tokens(spark):
+    """Random keys are found, letters-only ones too; of the spans reported few are slugs; without keys none are."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    slug = lambda: "-".join(rng.choice(vocabulary) for _ in range(4)) + f"-{rng.randrange(100, 999)}"
+    path = lambda: "/".join(rng.choice(vocabulary).capitalize() for _ in range(5))
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base62, base36 = secrets.DIGITS + secrets.LOW + secrets.UP, secrets.DIGITS + secrets.LOW
+    keys = [key(base62, rng.choice((20, 32, 48))) for _ in range(400)] + [key(base36, 32) for _ in range(100)]
+    ordinary = [slug() for _ in range(2000)] + [path() for _ in range(500)]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(12))
+    rows = [(k, f"{prose()} {t} {prose()}") for k, t in enumerate(keys + ordinary)]
+    schema = "doc_id long, text string"
+    found = {r["doc_id"] for r in got(secrets.secret_scan(spark.createDataFrame(rows, schema).repartition(4))) if r["n_random"]}
+    right = sum(k < len(keys) for k in found)
+    assert right >= 0.8 * len(keys) and len(found) - right <= 0.1 * len(found)
+    none = sum(r["n_random"] for r in got(secrets.secret_scan(spark.createDataFrame(rows[len(keys) :], schema).repartition(4))))
+    assert none <= 0.01 * len(ordinary)
+
+
+def test_bounds():
+    """Only as many tokens are reported as decoys allow."""
+    tokens, decoys = [(3, False, b, 10) for b in range(100)] + [(3, False, 500, 1000)], [(3, True, 50, 10), (3, True, 500, 990)]
+    assert secrets.bounds(tokens + decoys)[3] == secrets.ORDINARY and secrets.bounds(tokens + [(3, True, b, 10) for b in range(100)]) [3] <= 1
+    assert secrets.bounds([]) == [0] * len(secrets.LENGTHS)
+
+
 def luhn(s):
     return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(s))) % 10 == 0
 
@@ -412,6 +439,33 @@ def test_main_text():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p") == ""
 
 
+def test_main_text_of_several_articles():
+    one, two = "The first article goes on for long enough to surge here.", "The second article, too, is long enough to be kept whole."
+    page = f'<body><p>Top</p><article><header><h1>A</h1></header><p>{one}</p><p class="share price">Price.</p><p class="header-note" id="skip-1">Note.</p><div class="share">Share this</div><p>C</p></article><div class="ads"><p>Buy</p></div><article><p>{two}</p></article><article><p>Teaser.</p></article><article class="comment"><p>{one} {two}</p></article></body>'
+    assert main_text.main_text(page) == f"A\n{one}\nPrice.\nNote.\nC\n{two}"
+
+
+def test_windows_decide_the_borders(monkeypatch):
+    """Short lines before the surge and after the dive go; without windows they would stay."""
+    body = ["A paragraph of the text that is long enough.", "Short.", "Another paragraph of the text, long enough as well."]
+    page = "<body>" + "".join(f"<p>{t}</p>" for t in ["One", "Two", "Three", "Four", *body, "x", "Last", "Top", "Print", "Mail"]) + "</body>"
+    assert main_text.main_text(page) == "\n".join(["Three", "Four", *body, "x", "Last"])
+    monkeypatch.setattr(main_text, "SURGE", 1)
+    assert main_text.main_text(page).startswith("One") and main_text.main_text(page).endswith("Mail")
+
+
+def test_extract_of_odd_pages(spark):
+    """Null, empty, repeated, tied and very long pages, extra columns with clashing names, and no pages."""
+    long = "<p>" + "</p><p>".join(f"line {k} of a page that is very long" for k in range(30000)) + "</p>"
+    two = "<article><p>Forty code points of text in this article</p></article><article><p>Forty code points of text in that article</p></article>"
+    rows = [(1, "u", None, "t", 1), (2, None, "", "t", 1), (3, "u", "just words", "t", 1), (3, "u", "just words", "t", 1), (None, "u", two, "t", 1), (4, "u", long, "t", 1), (5, "u", "<p>a<p>b<script>x</script><!-- c -->", "t", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    found = [(r["page_id"], r["text"], r["n_chars"]) for r in got(main_text.extract(df))]
+    texts = ["", "", "just words", "just words", "Forty code points of text in this article\nForty code points of text in that article", "\n".join(f"line {k} of a page that is very long" for k in range(30000)), "a\nb"]
+    assert sorted(found, key=str) == sorted(((r[0], t, len(t)) for r, t in zip(rows, texts, strict=True)), key=str)
+    assert got(main_text.extract(df.limit(0))) == []
+
+
 @pytest.mark.parametrize("block", ['<div class="ad"><p>Buy</p><p>now</p><p>here</p></div>', "<nav><ul><li>A<li>B<li>C<li>D</ul></nav>", '<form><p>Join</p><p>our</p><p>letter</p><p>today</p></form>'])
 def test_main_text_around_blocks(block):
     """Without an article element, no paragraph beside a block that is left out is lost, short ones included."""
