@@ -26,6 +26,7 @@ text are not read, or passed on by without_leaks().
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from .common import LOWER, buffers, mix, prefix_hashes, span_hashes, text_of, un
 
 EDITS_PER = 5
 #: Walks of a window, samples of a walk, sampled steps in one, and bytes of items in one block.
-WALKS, REPEATS, PLACES, BLOCK_BYTES = 2, 10, 3, 4 << 20
+WALKS, REPEATS, PLACES, BLOCK_BYTES = 2, 7, 3, 4 << 20
 #: Least words of the size classes; a walk takes 3 steps for 2 words.
 CLASSES = (1, 2, 3, 4, 8, 16, 32)
 #: Bytes of text that walk at once, and starts at most to either side of a candidate that are verified.
@@ -95,15 +96,17 @@ def walks(words: np.ndarray, steps: int, walk: int) -> Iterator[np.ndarray]:
     at = np.arange(len(words))
     for i in range(steps):
         if i % 64 == 0:  # a word's random bits; past the end there are none
-            bits = np.append(mix(words + np.uint64((walk << 32 | i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), np.uint64(0)).view(np.int64)
+            bits = np.append(mix(words + np.uint64((walk << 32 | i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), np.uint64(0))
+            planes = np.ascontiguousarray(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1)[:, : min(64, steps - i)].T)
         yield at
-        at = at + (bits >> (i % 64) & 1).take(at)
+        at = at + planes[i % 64].take(at)
 
 
 def steps_of(size: int) -> int:
     return max(1, 3 * size // 2)
 
 
+@functools.cache
 def samples(size: int, walk: int) -> list[list[int]]:
     """The steps that each repetition samples of a walk over windows of a class: one in each of PLACES equal parts."""
     rng = np.random.default_rng([20, size, walk])
@@ -119,8 +122,9 @@ def sampled(words: np.ndarray, sizes: list[int], apart: bool = False) -> Iterato
     """
     padded = np.append(words, np.uint64(0))
     for walk in range(WALKS):
-        where = list(walks(words, steps_of(max(sizes)), walk))
-        seen = [padded.take(at) for at in where]
+        wanted = {i for size in sizes for places in samples(size, walk) for i in places}
+        where = list(walks(words, max(wanted) + 1, walk))
+        seen = [padded.take(at) if i in wanted else None for i, at in enumerate(where)]
         for size in sizes:
             for k, places in enumerate(samples(size, walk)):
                 if apart and size > 2 * PLACES and len({int(where[i][0]) for i in places}) < PLACES:
@@ -136,7 +140,9 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], least: int = 1) -> None:
         self.items = [(i, w) for i, w in ((i, words_of(t or "")) for i, t in items) if len(w) >= least]
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.lists = [w.tolist() for _, w in self.items]
+        self.sets = [set(w) for w in self.lists]
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
             size = max(c for c in CLASSES if c <= len(w))
             for offset in sorted({*range(0, len(w) - size + 1, size), len(w) - size}):
@@ -172,7 +178,7 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done: set[tuple[int, int]] = set()
         for k, p in zip(*(x.tolist() for x in self.candidates(words)), strict=True):
-            own, size = self.items[k][1].tolist(), len(self.items[k][1])
+            own, size, known = self.lists[k], len(self.lists[k]), self.sets[k]
             edits = size // EDITS_PER
             row = int(rows[min(max(p, 0) + size // 2, len(rows) - 1)]) if size > 1 else int(rows[p])
             # the window may have begun in the row before, or end in the one after
@@ -180,7 +186,9 @@ class Items:
                 lo, hi = int(begin[r]), int(begin[r + 1])
 
                 def distance(q: int, most: int) -> int:
-                    return edit_distance(own, words[q : min(q + size, hi)].tolist(), most)  # noqa: B023
+                    window = words[q : min(q + size, hi)].tolist()  # noqa: B023
+                    # each word of the item that the window lacks is an edit at least
+                    return most + 1 if size - sum(map(known.__contains__, window)) > most else edit_distance(own, window, most)  # noqa: B023
 
                 # a window that begins s words beside another is at most 2 s edits nearer
                 q = min(max(p, lo), hi - 1)
