@@ -12,6 +12,7 @@ SHARE, SHORT, PROBE = 0.6, 20, 100
 SIMILAR = 0.6
 #: Words that site policies forbid; the first four need ASCII word borders.
 BLACKLIST = (("adult", r"porn|xxx|nude|naked|sex\s*tube"), ("gambling", "gamble|casino|betting|lottery"), ("piracy", "hack|crack|pirate|torrent|warez"), ("drugs", "drug|marijuana|cocaine|heroin"), ("zh", "色情|赌博|毒品|暴力|盗版"))
+#: Months as dates name them.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
@@ -64,8 +65,8 @@ def repeats(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(T.FILLER_REPEAT)).cast("long").alias("n_repeats"))
 
 
-def jaccard_pairs(main: DataFrame) -> DataFrame:
-    """site, a, b, similarity for the pages of a site that share a 4-gram, by an inverted index.
+def _similar_pairs(main: DataFrame) -> DataFrame:
+    """site, a, b, similarity (not rounded) for the pages of a site that share a 4-gram, by an inverted index.
 
     Pages with fewer than three grams are left out; pairs that share none have similarity 0.
     """
@@ -78,15 +79,20 @@ def jaccard_pairs(main: DataFrame) -> DataFrame:
     a, b = long.alias("a"), long.alias("b")
     both = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.page_id") < F.col("b.page_id")))
     common = both.groupBy(F.col("a.site").alias("site"), F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
-    return common.select("site", "a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity"))
+    return common.select("site", "a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity"))
+
+
+def jaccard_pairs(main: DataFrame) -> DataFrame:
+    """site, a, b, similarity for the pages of a site that share a 4-gram."""
+    return _similar_pairs(main).withColumn("similarity", F.round("similarity", 6))
 
 
 def duplication(main: DataFrame) -> DataFrame:
     """Per site: the highest similarity of two pages, the originality score, and the check's status."""
-    best = jaccard_pairs(main).groupBy("site").agg(F.max("similarity").alias("m"))
+    best = _similar_pairs(main).groupBy("site").agg(F.max("similarity").alias("m"))
     df = main.select("site").distinct().join(best, "site", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
     score = F.greatest(F.lit(0), F.least(F.lit(100), T.rounded((1 - F.col("m")) * 100))).cast("long")
-    return df.select("site", F.col("m").alias("max_similarity"), score.alias("originality_score"), F.when(F.col("m") >= SIMILAR, "warn").otherwise("pass").alias("status"))
+    return df.select("site", F.round("m", 6).alias("max_similarity"), score.alias("originality_score"), F.when(T.rounded(F.col("m") * 100) >= 60, "warn").otherwise("pass").alias("status"))
 
 
 def template_pairs(texts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import urls
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+#: Hosts of adverts.
 ADVERTS = "googlesyndication|doubleclick|adservice|adsense|pagead|adnxs|amazon-adsystem|facebook\\.com/plugins|google\\.com/ads|googletagmanager|googletagservices"
 #: Required pages, by URL and by link text.
 REQUIRED_PAGES = (
@@ -79,11 +80,12 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def internal_links(pages: DataFrame) -> DataFrame:
-    """Per page: links, and those that lead to content pages of the same site."""
+    """Per page: links, those within the site, and those that lead to content pages of it."""
     links = page_links(pages)
     p = urls.path(F.col("href"))
-    inside = (urls.site(F.col("href")) == F.col("site")) & urls.is_content(F.col("href")) & ~((p.isin("/", "")) & F.col("href").contains("?"))
-    return links.groupBy("site", "page_id").agg(F.count("*").alias("n_links"), F.count_if(inside).alias("n_internal"), F.count_distinct(F.when(inside, F.col("href"))).alias("n_distinct"))
+    same = urls.site(F.col("href")) == F.col("site")
+    inside = same & urls.is_content(F.col("href")) & ~((p.isin("/", "")) & F.col("href").contains("?"))
+    return links.groupBy("site", "page_id").agg(F.count("*").alias("n_links"), F.count_if(same).alias("n_same_site"), F.count_if(inside).alias("n_internal"), F.count_distinct(F.when(inside, F.col("href"))).alias("n_distinct"))
 
 
 def content_urls(pages: DataFrame) -> DataFrame:

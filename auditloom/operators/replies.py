@@ -9,7 +9,8 @@ from ..functions import scores as S
 from ..functions import urls
 from ..functions.text import rounded
 
-PAGE_TYPES = ("homepage", "content", "game_detail", "video_detail", "reference_detail", "required", "listing", "reference_listing", "utility", "unknown")
+#: Page types that a reply may name.
+PAGE_TYPES = ("homepage", "listing", "content", "game_detail", "video_detail", "reference_detail", "required", "utility")
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
@@ -23,14 +24,14 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     nested = F.get_json_object("body", "$.evaluation_details")
     df = replies.withColumn("body", body).withColumn("reply", F.when(nested.startswith("{"), nested).otherwise(F.col("body")))
     df = df.withColumns({d: S.clamped(F.col("reply"), d) for d in S.DIMENSIONS})
-    trust = F.lower(F.get_json_object("body", "$.confidence"))
+    trust = F.get_json_object("body", "$.confidence")
     kind = F.get_json_object("body", "$.pageType")
     kind = F.when(kind.isin(*PAGE_TYPES), kind)
     penalty = F.when(trust == "low", 2).when(trust == "medium", 1).otherwise(0)
     serves = F.coalesce(kind.isin("required", "utility"), F.lit(False))
     own = {d: F.greatest(F.lit(0), F.col(d) - penalty) if d in ("value", "originality") else F.col(d) for d in S.DIMENSIONS}
     own = {d: x if d == "compliance" else F.when(serves, 10).otherwise(x) for d, x in own.items()}
-    own["translation"] = F.when(serves | F.coalesce(F.lower("lang") == "en", F.lit(True)), 10).otherwise(F.col("translation"))
+    own["translation"] = F.when(serves | F.coalesce(F.col("lang").isin("", "en"), F.lit(True)), 10).otherwise(F.col("translation"))
     df = df.withColumns({d: F.when(F.col("body").isNotNull(), x).cast("long") for d, x in own.items()})
     mean = S.geometric([F.col(d) for d in S.DIMENSIONS])
     status = F.when(F.col("body").isNull(), "warn").when(mean >= 7, "pass").when(mean >= 4, "warn").otherwise("fail")
@@ -62,7 +63,8 @@ def site_scores(scored: DataFrame) -> DataFrame:
     counts = F.col("analysed") & ~F.col("type").isin("required", "utility")
     df = df.groupBy("site").agg(
         rounded(_weighted(F.col("ai_score"), F.col("w"))).alias("ai_score"),
-        F.round(_weighted(F.when(counts, F.col("vot")), F.when(counts, F.col("w"))), 6).alias("vot"),
+        # with replies, but none of a page that counts, the value is 0
+        F.when(F.bool_or("analysed"), F.round(F.coalesce(_weighted(F.when(counts, F.col("vot")), F.when(counts, F.col("w"))), F.lit(0.0)), 6)).alias("vot"),
         F.min("compliance").alias("least_compliance"),
         F.avg("relevance").alias("mean_relevance"),
     )
@@ -79,8 +81,8 @@ def dimension_stats(scored: DataFrame) -> DataFrame:
 
 
 def compliance_item(scored: DataFrame) -> DataFrame:
-    """Per site with analyses: pass, warn or fail by how many pages are grave (2 or less) or doubtful (5 or less)."""
+    """Per site with analyses: pass, warn or fail by how many pages are grave (2 or less) or doubtful (5 or less), and the mean."""
     c = F.coalesce("compliance", F.lit(S.MISSING))
-    df = scored.groupBy("site").agg(F.count("*").alias("n"), F.count("compliance").alias("known"), F.count_if(c <= 2).alias("n_grave"), F.count_if((c > 2) & (c <= 5)).alias("n_doubtful"))
+    df = scored.groupBy("site").agg(F.count("*").alias("n"), F.count("compliance").alias("known"), F.count_if(c <= 2).alias("n_grave"), F.count_if((c > 2) & (c <= 5)).alias("n_doubtful"), F.round(F.avg(c), 6).alias("mean_compliance"))
     status = F.when(F.col("n_grave") > 0, "fail").when(F.col("n_doubtful") > 0.2 * F.col("n"), "warn").otherwise("pass")
-    return df.where("known > 0").select("site", "n_grave", "n_doubtful", status.alias("status"))
+    return df.where("known > 0").select("site", "n_grave", "n_doubtful", "mean_compliance", status.alias("status"))

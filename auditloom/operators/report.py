@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -10,56 +10,80 @@ from ..functions import text as T
 from . import content, crawl
 
 #: Bucket of each check: H site-wide, C content, U use, L landing page.
-BUCKETS = {"site_scale": "H", "about": "H", "privacy": "H", "contact": "H", "terms": "H", "policy_keywords": "H", "ai_compliance": "H", "content_ratio": "C", "subpage_depth": "C", "filler": "C", "duplication": "C", "template": "C", "home_content": "L", "h1": "L", "internal_links": "L", "viewport": "L", "heading_order": "U", "navigation": "U"}
+BUCKETS = {"site_scale": "H", "about": "H", "privacy": "H", "contact": "H", "terms": "H", "policy_keywords": "H", "ai_compliance": "H", "content_ratio": "C", "subpage_depth": "C", "filler": "C", "duplication": "C", "template": "C", "game_description": "C", "iframe_quality": "C", "video_description": "C", "reference_entry": "C", "freshness": "C", "home_content": "L", "h1": "L", "internal_links": "L", "viewport": "L", "heading_order": "U", "navigation": "U"}
 
 
-def check_items(pages: DataFrame, compliance: DataFrame | None = None) -> DataFrame:
-    """site, item, bucket, status; compliance adds its own item where given.
+#: Types of sites whose texts are held to content rules; the others have items of their own.
+OTHER_TYPES = ("game", "video", "reference")
 
-    Markup is read once for all that a page says by itself; what a site says is one row,
-    and rows of sites become items only at the end.
+
+def check_items(pages: DataFrame, compliance: DataFrame | None = None, types: DataFrame | None = None, as_of: str = "2100-01-01") -> DataFrame:
+    """site, item, bucket, status; compliance (site, status, mean_compliance) adds its own item where given.
+
+    types: site, type; sites without a type are content sites. Markup is read once for all
+    that a page says by itself; what a site says is one row, and rows of sites become items
+    only at the end. A mean compliance of 7 or more softens a failed word check.
     """
     html = F.col("html")
     levels = crawl.heading_levels(html)
-    facts = pages.select(
-        "site",
-        "page_id",
-        "url",
-        T.visible(html).alias("text"),
-        crawl.h1_count(html).alias("h1_count"),
-        crawl.nav_text(html).alias("nav_text"),
-        crawl.has_viewport(html).alias("has_viewport"),
-        crawl.skips(levels, 1).alias("heading_skip"),
-    ).persist()
-    texts = facts.select("site", "page_id", "url", "text")
-    main = content.main_content(texts).persist()
-    fillers = F.sum(F.regexp_count("text", F.lit(T.FILLER_ZH)) + F.regexp_count("text", F.lit(T.FILLER_EN)))
+    texts = crawl.page_text(pages)
+    signals = crawl.page_signals(pages).select("page_id", "iframes", "canvases", "text_length")
+    facts = pages.select("site", "page_id", T.visible(html).alias("text"), crawl.h1_count(html).alias("h1_count"), crawl.nav_text(html).alias("nav_text"), crawl.has_viewport(html).alias("has_viewport"), crawl.skips(levels, 1).alias("heading_skip")).join(signals, "page_id")
+    main = content.main_content(texts)
+    c = F.col
+    fillers = F.sum(F.regexp_count("text", F.lit(T.FILLER_ZH)) + F.regexp_count("text", F.lit(T.FILLER_EN)) + F.regexp_count("text", F.lit(T.FILLER_REPEAT)))
     home = F.min_by(F.struct("h1_count", "nav_text", "has_viewport", "heading_skip"), "page_id")
-    sites = facts.groupBy("site").agg(F.count("*").alias("n"), fillers.alias("fillers"), home.alias("home"), F.min("page_id").alias("page_id"))
+    embeds = (c("iframes") > 0) | (c("canvases") > 0)
+    first = Window.partitionBy("site").orderBy("page_id")
+    sites = facts.withColumn("sub", F.row_number().over(first) > 1).groupBy("site").agg(
+        F.count("*").alias("n"),
+        fillers.alias("fillers"),
+        home.alias("home"),
+        F.min("page_id").alias("page_id"),
+        F.count_if(c("sub") & embeds).alias("n_embeds"),
+        F.count_if(c("sub") & embeds & (c("text_length") < 100)).alias("thin_embeds"),
+        F.count_if(c("sub") & (c("text_length") < 100)).alias("thin_entries"),
+        F.count_if(c("sub") & (c("text_length") < 50)).alias("thin_videos"),
+        F.sum("iframes").alias("iframes"),
+    )
     size = content.ratios(main).groupBy("site").agg(F.min_by("main_length", "page_id").alias("home_length"))
-    links = sites.select("site", "page_id").join(crawl.internal_links(pages), ["site", "page_id"]).select("site", "n_internal")
+    links = sites.select("site", "page_id").join(crawl.internal_links(pages), ["site", "page_id"]).select("site", "n_same_site")
     named = lambda df, name: df.select("site", F.col("status").alias(name))
     required = crawl.required_pages(pages).groupBy("site").agg(*(F.bool_or((F.col("required") == n) & (F.col("found_by") != "missing")).alias(n) for n, _, _ in crawl.REQUIRED_PAGES))
-    frames = [named(crawl.site_pages(pages), "site_scale"), named(content.policy_verdict(texts), "policy"), named(content.duplication(main), "dup"), content.ratio_status(main), size, required, links]
+    recent = texts.select("site", c("page_id").alias("text_id")).join(content.freshness(texts.select(c("page_id").alias("text_id"), "text"), as_of), "text_id").groupBy("site").agg(F.bool_or("recent").alias("recent"))
+    frames = [named(crawl.site_pages(pages), "site_scale"), named(content.policy_verdict(texts), "policy"), named(content.duplication(main), "dup"), content.ratio_status(main), size, required, links, recent]
     if compliance is not None:
-        frames.append(named(compliance, "comply"))
+        frames.append(compliance.select("site", F.col("status").alias("comply"), "mean_compliance"))
+    if types is not None:
+        frames.append(types.select("site", "type"))
     wide = sites
     for f in frames:
         wide = wide.join(f, "site", "left")
-    c = F.col
+    kind = F.coalesce("type", F.lit("content")) if types is not None else F.lit("content")
     warn = lambda ok: F.when(ok, "pass").otherwise("warn")
+    of = lambda name, x: F.when(kind == name, x)
+    plain = lambda x: F.when(~kind.isin(*OTHER_TYPES), x)
+    several = lambda x: F.when(c("n") > 1, x)
+    policy = c("policy")
+    if compliance is not None:
+        policy = F.when((c("policy") == "fail") & (c("mean_compliance") >= 7), "warn").otherwise(c("policy"))
     status = {
         "site_scale": c("site_scale"),
         **{n: warn(c(n)) for n, _, _ in crawl.REQUIRED_PAGES},
-        "policy_keywords": c("policy"),
-        "content_ratio": c("ratio_status"),
-        "subpage_depth": c("depth_status"),
-        "filler": warn(c("fillers") <= 3 * c("n")),
+        "policy_keywords": policy,
+        "content_ratio": plain(c("ratio_status")),
+        "subpage_depth": plain(several(c("depth_status"))),
+        "filler": plain(warn(c("fillers") <= 3 * c("n"))),
+        "home_content": plain(F.when(c("home_length") >= 500, "pass").otherwise("fail")),
+        "game_description": of("game", F.when(c("n_embeds") > 0, warn(c("thin_embeds") * 2 <= c("n_embeds")))),
+        "iframe_quality": of("game", F.when(c("iframes") > 0, warn(c("iframes") <= 20))),
+        "video_description": of("video", several(warn(c("thin_videos") * 2 <= c("n") - 1))),
+        "reference_entry": of("reference", several(warn(c("thin_entries") * 2 <= c("n") - 1))),
+        "freshness": warn(F.coalesce("recent", F.lit(False))),
         "duplication": c("dup"),
         "template": F.when(c("n") >= 3, "pass"),
-        "home_content": F.when(c("home_length") >= 500, "pass").otherwise("fail"),
         "h1": warn(c("home.h1_count") == 1),
-        "internal_links": warn(F.coalesce("n_internal", F.lit(0)) >= 5),
+        "internal_links": warn(F.coalesce("n_same_site", F.lit(0)) >= 5),
         "viewport": warn(c("home.has_viewport")),
         "heading_order": warn(~c("home.heading_skip")),
         "navigation": warn(c("home.nav_text") != ""),
@@ -86,8 +110,8 @@ def _tallied(items: DataFrame) -> DataFrame:
         n("skip").alias("skipped"),
         F.when(F.bool_or(hard & (F.col("status") == "fail")), "fail").when(F.bool_or(hard & (F.col("status") == "warn")), "warn").otherwise("ready").alias("hard_status"),
         F.count("*").alias("n"),
-        T.rounded(F.coalesce(F.avg(F.when(F.col("bucket").isin("H", "C", "U"), points)), F.lit(100.0))).alias("site_quality"),
-        T.rounded(F.coalesce(F.avg(F.when(F.col("bucket") == "L", points)), F.lit(100.0))).alias("home_quality"),
+        F.coalesce(F.avg(F.when(F.col("bucket").isin("H", "C", "U"), points)), F.lit(100.0)).alias("site_quality"),
+        F.coalesce(F.avg(F.when(F.col("bucket") == "L", points)), F.lit(100.0)).alias("home_quality"),
     )
 
 
@@ -98,12 +122,12 @@ def status_counts(items: DataFrame) -> DataFrame:
 
 
 def site_report(items: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per site: site and home quality, value, cap, composite and soft score, and hard status."""
+    """Per site: site and home quality, value, cap, composite and soft score, and hard status. Numbers are rounded last."""
     df = _tallied(items).join(scores, "site", "left")
-    vot = F.col("vot")
-    value = F.coalesce(T.rounded(vot), T.rounded((F.col("site_quality") + F.col("home_quality")) / 2))
-    soft = T.rounded(value * 0.6 + (F.col("site_quality") + F.col("home_quality")) / 2 * 0.4)
-    return df.select("site", "site_quality", "home_quality", value.alias("vot"), F.coalesce("cap", F.lit(100)).cast("long").alias("cap"), S.composite(T.rounded(vot), F.col("site_quality"), F.col("home_quality"), F.coalesce("cap", F.lit(100))).alias("composite"), soft.alias("soft_score"), "hard_status", "passed", "warned", "failed", F.round(F.col("warned") / F.col("n"), 6).alias("warning_ratio"))
+    site, home, cap = F.col("site_quality"), F.col("home_quality"), F.coalesce("cap", F.lit(100))
+    value = F.coalesce("vot", T.rounded((site + home) / 2).cast("double"))
+    soft = T.rounded(value * 0.6 + (site + home) / 2 * 0.4)
+    return df.select("site", T.rounded(site).alias("site_quality"), T.rounded(home).alias("home_quality"), T.rounded(value).alias("vot"), cap.cast("long").alias("cap"), S.composite(F.col("vot"), site, home, cap).alias("composite"), soft.alias("soft_score"), "hard_status", "passed", "warned", "failed", F.round(F.col("warned") / F.col("n"), 6).alias("warning_ratio"))
 
 
 def composites(rows: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def _types(s: SparkSession, d: str) -> DataFrame:
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    return report.check_items(_pages(s, d), replies.compliance_item(_scored(s, d)))
+    return report.check_items(_pages(s, d), replies.compliance_item(_scored(s, d)), _types(s, d), E.AS_OF)
 
 
 def _classes(s: SparkSession, d: str) -> DataFrame:

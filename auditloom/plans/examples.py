@@ -15,6 +15,9 @@ REPLIES = [
     ("en-US", '{"value": 6, "originality": 6, "relevance": 6, "compliance": 9, "translation": 2}'),
     ("fr", '{"value": "abc", "originality": 12, "relevance": -3, "compliance": null, "translation": 7.5}'),
     ("fr", "no object here"),
+    ("EN", '{"value": 8, "originality": 8, "relevance": 6, "compliance": 9, "translation": 2, "confidence": "Low", "pageType": "unknown"}'),
+    ("", '{"value": 8, "originality": 8, "relevance": 6, "compliance": 9, "translation": 2, "confidence": "certain", "pageType": "utility"}'),
+    ("", '{"value": 8, "originality": 8, "relevance": 6, "compliance": 9, "translation": 2, "pageType": "reference_listing"}'),
     ("fr", '{"value": 10, "originality": 10, "relevance": 10, "compliance": 0, "translation": 10}'),
 ]
 COMPOSITES = [(97, 94, 90, 10, 10), (97, 94, 90, 5, 10), (97, 94, 90, 10, 5), (None, 80, 60, 10, 10)]

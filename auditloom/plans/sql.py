@@ -115,6 +115,28 @@ def _required() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _month(x: str) -> str:
+    return f"CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(left({x}, 3))) + 2) // 3 AS INT)"
+
+
+def _fresh(table: str, key: str, as_of: str) -> str:
+    """The key's columns, the latest date in the text and whether it is recent."""
+    months = "January|February|March|April|May|June|July|August|September|October|November|December"
+    iso = q(r"([0-9]{4})[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})")
+    mdy = q(rf"(?i)({months})\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})")
+    dmy = q(r"(?i)([0-9]{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[A-Za-z0-9_]*\s+([0-9]{4})")
+    my = q(rf"(?i)({months})\s+([0-9]{{4}})")
+    g = lambda p, k: f"unnest(regexp_extract_all(text, {p}, {k}))"
+    parts = [f"SELECT {key}, {g(iso, 1)} AS y, CAST({g(iso, 2)} AS INT) AS m, {g(iso, 3)} AS d FROM {table}", f"SELECT {key}, {g(mdy, 3)}, {_month(g(mdy, 1))}, {g(mdy, 2)} FROM {table}", f"SELECT {key}, {g(dmy, 3)}, {_month(g(dmy, 2))}, {g(dmy, 1)} FROM {table}", f"SELECT {key}, {g(my, 2)}, {_month(g(my, 1))}, '1' FROM {table}"]
+    return f"""WITH parts AS ({' UNION ALL '.join(parts)}), found AS (SELECT {key}, try_cast(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day FROM parts),
+      best AS (SELECT {key}, max(day) AS latest FROM found WHERE day > DATE '2020-01-01' AND day <= DATE '{as_of}' GROUP BY {key})
+      SELECT {key}, CAST(latest AS VARCHAR) AS latest, coalesce(DATE '{as_of}' - latest <= 180, false) AS recent FROM {table} LEFT JOIN best USING ({key})"""
+
+
+def _dates() -> str:
+    return f"WITH t AS (SELECT CAST(text_id AS BIGINT) AS text_id, text FROM {values(E.TEXTS, 'text_id, text')}) SELECT * FROM ({_fresh('t', 'text_id', E.AS_OF)})"
+
+
 DIMS = ("value", "originality", "relevance", "compliance", "translation")
 _signal = lambda tag: count("html", rf"(?i)<{tag}[\s>]")
 _cards = count("html", r"""(?i)<(?:div|article|section|a)\s[^>]*class\s*=\s*["'][^"']*card""")
@@ -133,7 +155,7 @@ PARTS = {
     "raw_links": f"SELECT site, page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS base, unnest(list_zip(regexp_extract_all(html, {ANCHOR}, 1), regexp_extract_all(html, {ANCHOR}, 2))) AS l FROM p",
     "links": f"""SELECT * FROM (SELECT site, page_id, CASE WHEN regexp_matches(l[1], '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l[1] WHEN starts_with(l[1], '//') THEN regexp_extract(base, '^([^/]*)', 1) || l[1]
       WHEN starts_with(l[1], '/') THEN base || l[1] ELSE base || '/' || l[1] END AS href, {plain('l[2]')} AS anchor_text FROM raw_links) WHERE regexp_matches(href, '^https?://')""",
-    "internal": f"SELECT site, page_id, count(*) AS n_links, count(*) FILTER (inside) AS n_internal, count(DISTINCT href) FILTER (inside) AS n_distinct FROM (SELECT *, {host_of('href')} = site AND {is_content('href')} AS inside FROM links) GROUP BY site, page_id",
+    "internal": f"SELECT site, page_id, count(*) AS n_links, count(*) FILTER (same) AS n_same_site, count(*) FILTER (inside) AS n_internal, count(DISTINCT href) FILTER (inside) AS n_distinct FROM (SELECT *, {host_of('href')} = site AS same, {host_of('href')} = site AND {is_content('href')} AS inside FROM links) GROUP BY site, page_id",
     "content_links": f"SELECT DISTINCT site, href FROM links WHERE {host_of('href')} = site AND {is_content('href')}",
     "signals": f"""SELECT site, page_id, CAST(len(f) AS BIGINT) AS iframes, f, {_signal('canvas')} AS canvases, {_signal('article')} AS articles, {_signal('video')} AS videos, {solid(visible('html'))} AS text_length,
       CAST(len(list_filter(regexp_extract_all(html, {ANCHOR}, 1), lambda h: regexp_matches(h, '/(?:game|play|games)/'))) AS BIGINT) AS game_links, CASE WHEN {_cards} > 0 THEN {_cards} ELSE {_signal('li')} END AS list_items,
@@ -154,8 +176,9 @@ PARTS = {
     "words": f"SELECT site, page_id, list_filter(regexp_split_to_array(lower(main_text), {q(WS + '+')}), lambda w: length(w) > 1) AS w FROM main",
     "gram_lists": "SELECT site, page_id, CASE WHEN len(w) < 4 THEN w ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END AS g FROM words",
     "grams": "SELECT site, page_id, len(list_distinct(g)) AS n, unnest(list_distinct(g)) AS gram FROM gram_lists WHERE len(g) >= 3",
-    "jaccard": "SELECT a.site, a.page_id AS a, b.page_id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM grams a JOIN grams b ON a.site = b.site AND a.gram = b.gram AND a.page_id < b.page_id GROUP BY a.site, a.page_id, b.page_id, a.n, b.n",
-    "dup": f"SELECT site, m AS max_similarity, CAST(greatest(0, least(100, {near('(1 - m) * 100')})) AS BIGINT) AS originality_score, CASE WHEN m >= 0.6 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT s.site, coalesce(max(similarity), 0.0::DOUBLE) AS m FROM sites s LEFT JOIN jaccard USING (site) GROUP BY s.site)",
+    "alike": "SELECT a.site, a.page_id AS a, b.page_id AS b, count(*) / (a.n + b.n - count(*)) AS similarity FROM grams a JOIN grams b ON a.site = b.site AND a.gram = b.gram AND a.page_id < b.page_id GROUP BY a.site, a.page_id, b.page_id, a.n, b.n",
+    "jaccard": "SELECT site, a, b, round(similarity, 6) AS similarity FROM alike",
+    "dup": f"SELECT site, round(m, 6) AS max_similarity, CAST(greatest(0, least(100, {near('(1 - m) * 100')})) AS BIGINT) AS originality_score, CASE WHEN floor(m * 100 + 0.5) >= 60 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT s.site, coalesce(max(similarity), 0.0::DOUBLE) AS m FROM sites s LEFT JOIN alike USING (site) GROUP BY s.site)",
     "skeletons": f"SELECT site, page_id, left({replaced(replaced(replaced('text', '[a-zA-Z一-鿿]+', 'W'), '[0-9]+', 'N'), WS + '+', ' ')}, 1000) AS s FROM texts",
     "templates": """SELECT * FROM (SELECT a.site, a.page_id AS a, b.page_id AS b, round(len(list_filter(range(1, least(length(a.s), length(b.s)) + 1), lambda i: substr(a.s, i, 1) = substr(b.s, i, 1))) / greatest(length(a.s), length(b.s)), 6) AS similarity
       FROM skeletons a JOIN skeletons b ON a.site = b.site AND a.page_id < b.page_id WHERE a.s <> '' AND b.s <> '') WHERE similarity >= 0.6""",
@@ -174,22 +197,31 @@ PARTS = {
     "types": """SELECT site, n_pages, CASE WHEN video_points >= 3 THEN 'video' WHEN game_points >= 3 THEN 'game' WHEN tool THEN 'tool' WHEN reference_points >= 3 THEN 'reference' ELSE 'content' END AS type,
       CASE WHEN video_points >= 6 THEN 'high' WHEN video_points >= 3 THEN 'medium' WHEN game_points >= 6 THEN 'high' WHEN game_points >= 3 OR tool THEN 'medium' WHEN reference_points >= 6 THEN 'high' WHEN reference_points >= 3 THEN 'medium' ELSE 'high' END AS confidence,
       CAST(video_points AS BIGINT) AS video_points, CAST(game_points AS BIGINT) AS game_points, CAST(reference_points AS BIGINT) AS reference_points FROM (SELECT *, g0 - CASE WHEN ars >= 0.7 AND g0 < 3 THEN 2 ELSE 0 END AS game_points FROM points)""",
+    "plain": "SELECT site FROM types WHERE type NOT IN ('game', 'video', 'reference')",
     "scale": r"SELECT site, count(*) AS n_urls, CASE WHEN count(*) < 10 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT site, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS u FROM p UNION SELECT site, regexp_replace(regexp_replace(href, '#.*$', ''), '/+$', '') FROM content_links) GROUP BY site",
     "scored": f"SELECT site, p.page_id, {page_type(path_of('url'))} AS type, CAST(3 + 5 * quality AS BIGINT) AS value, CAST(CASE WHEN quality IS NOT NULL THEN 4 + p.page_id % 6 END AS BIGINT) AS originality, CAST(CASE WHEN quality IS NOT NULL THEN 5 + p.page_id % 5 END AS BIGINT) AS relevance, CAST(10 - 8 * toxic AS BIGINT) AS compliance, CAST(CASE WHEN quality IS NOT NULL THEN 6 + p.page_id % 4 END AS BIGINT) AS translation FROM p LEFT JOIN labels ON doc_id = p.page_id",
     "page_scores": f"SELECT site, page_id, type, relevance, compliance, quality_known, {near('pow(v * o * r * c * t, 0.2) * 10')} AS ai_score, round(pow(v * o * t, 1.0::DOUBLE / 3) * 10, 6) AS vot FROM (SELECT *, value IS NOT NULL AS quality_known, " + ", ".join(f"coalesce({d}, 5)::DOUBLE AS {d[0]}" for d in DIMS) + " FROM scored)",
-    "site_scores": f"SELECT *, CAST(CASE WHEN least_compliance < 6 THEN 50 WHEN mean_relevance < 6 THEN 60 ELSE 100 END AS BIGINT) AS cap FROM (SELECT site, {near('sum(w * ai_score) / sum(w)')} AS ai_score, round(sum(w * vot) FILTER (counts) / sum(w) FILTER (counts), 6) AS vot, min(compliance) AS least_compliance, round(avg(relevance), 6) AS mean_relevance FROM (SELECT *, CAST({by_type(U.SCORE_WEIGHTS, 0.5)} AS DOUBLE) AS w, quality_known AND type NOT IN ('required', 'utility') AS counts FROM page_scores) GROUP BY site)",
+    "site_scores": f"SELECT *, CAST(CASE WHEN least_compliance < 6 THEN 50 WHEN mean_relevance < 6 THEN 60 ELSE 100 END AS BIGINT) AS cap FROM (SELECT site, {near('sum(w * ai_score) / sum(w)')} AS ai_score, CASE WHEN bool_or(quality_known) THEN round(coalesce(sum(w * vot) FILTER (counts) / sum(w) FILTER (counts), 0), 6) END AS vot, min(compliance) AS least_compliance, round(avg(relevance), 6) AS mean_relevance FROM (SELECT *, CAST({by_type(U.SCORE_WEIGHTS, 0.5)} AS DOUBLE) AS w, quality_known AND type NOT IN ('required', 'utility') AS counts FROM page_scores) GROUP BY site)",
     "stats": "SELECT site, dimension, floor(avg(v) * 10 + 0.5) / 10 AS mean, min(v) AS least, count(*) FILTER (v < 6) AS n_low, floor(count(*) FILTER (v < 6) * 1000 / count(*) + 0.5) / 10 AS low_percent FROM (" + " UNION ALL ".join(f"SELECT site, '{d}' AS dimension, coalesce({d}, 5) AS v FROM scored" for d in DIMS) + ") GROUP BY site, dimension",
-    "comply": "SELECT site, g AS n_grave, d AS n_doubtful, CASE WHEN g > 0 THEN 'fail' WHEN d > 0.2 * n THEN 'warn' ELSE 'pass' END AS status FROM (SELECT site, count(*) AS n, count(compliance) AS k, count(*) FILTER (coalesce(compliance, 5) <= 2) AS g, count(*) FILTER (coalesce(compliance, 5) > 2 AND coalesce(compliance, 5) <= 5) AS d FROM scored GROUP BY site) WHERE k > 0",
-    "items": f"""SELECT site, 'site_scale' AS item, 'H' AS bucket, status FROM scale UNION ALL SELECT site, required, 'H', CASE found_by WHEN 'missing' THEN 'warn' ELSE 'pass' END FROM required UNION ALL SELECT site, 'policy_keywords', 'H', status FROM verdict
-      UNION ALL SELECT site, 'ai_compliance', 'H', status FROM comply UNION ALL SELECT site, 'duplication', 'C', status FROM dup UNION ALL SELECT site, 'content_ratio', 'C', ratio_status FROM ratio_sites UNION ALL SELECT site, 'subpage_depth', 'C', depth_status FROM ratio_sites
-      UNION ALL SELECT site, 'filler', 'C', CASE WHEN sum({count('text', T.FILLER_ZH)} + {count('text', T.FILLER_EN)}) <= 3 * count(*) THEN 'pass' ELSE 'warn' END FROM texts GROUP BY site UNION ALL SELECT site, 'template', 'C', 'pass' FROM p GROUP BY site HAVING count(*) >= 3
-      UNION ALL SELECT r.site, 'home_content', 'L', CASE WHEN main_length >= 500 THEN 'pass' ELSE 'fail' END FROM ratio r JOIN home USING (site, page_id) UNION ALL SELECT m.site, 'h1', 'L', CASE WHEN h1_count = 1 THEN 'pass' ELSE 'warn' END FROM meta m JOIN home USING (site, page_id)
-      UNION ALL SELECT m.site, 'navigation', 'U', CASE WHEN nav_text <> '' THEN 'pass' ELSE 'warn' END FROM meta m JOIN home USING (site, page_id) UNION ALL SELECT h.site, 'internal_links', 'L', CASE WHEN coalesce(n_internal, 0) >= 5 THEN 'pass' ELSE 'warn' END FROM home h LEFT JOIN internal USING (site, page_id)
+    "comply": "SELECT site, g AS n_grave, d AS n_doubtful, round(mc, 6) AS mean_compliance, CASE WHEN g > 0 THEN 'fail' WHEN d > 0.2 * n THEN 'warn' ELSE 'pass' END AS status FROM (SELECT site, count(*) AS n, count(compliance) AS k, avg(coalesce(compliance, 5)) AS mc, count(*) FILTER (coalesce(compliance, 5) <= 2) AS g, count(*) FILTER (coalesce(compliance, 5) > 2 AND coalesce(compliance, 5) <= 5) AS d FROM scored GROUP BY site) WHERE k > 0",
+    "fresh": _fresh("texts", "site, page_id", "2025-06-30"),
+    "subs": "SELECT g.site, count(*) - 1 AS n, sum(iframes) AS frames, count(*) FILTER (g.page_id <> h.page_id AND iframes + canvases > 0) AS embeds, count(*) FILTER (g.page_id <> h.page_id AND iframes + canvases > 0 AND text_length < 100) AS thin_embeds, count(*) FILTER (g.page_id <> h.page_id AND text_length < 100) AS thin, count(*) FILTER (g.page_id <> h.page_id AND text_length < 50) AS thinner FROM signals g JOIN home h USING (site) GROUP BY g.site",
+    # phrases repeated many times in a row can't be told in this dialect; only sites of the plain type have this item
+    "items": f"""SELECT site, 'site_scale' AS item, 'H' AS bucket, status FROM scale UNION ALL SELECT site, required, 'H', CASE found_by WHEN 'missing' THEN 'warn' ELSE 'pass' END FROM required
+      UNION ALL SELECT v.site, 'policy_keywords', 'H', CASE WHEN v.status = 'fail' AND mean_compliance >= 7 THEN 'warn' ELSE v.status END FROM verdict v LEFT JOIN comply USING (site)
+      UNION ALL SELECT site, 'ai_compliance', 'H', status FROM comply UNION ALL SELECT site, 'duplication', 'C', status FROM dup
+      UNION ALL SELECT site, 'content_ratio', 'C', ratio_status FROM ratio_sites JOIN plain USING (site) UNION ALL SELECT site, 'subpage_depth', 'C', depth_status FROM ratio_sites JOIN plain USING (site) WHERE n_sub > 0
+      UNION ALL SELECT site, 'filler', 'C', CASE WHEN sum({count('text', T.FILLER_ZH)} + {count('text', T.FILLER_EN)}) <= 3 * count(*) THEN 'pass' ELSE 'warn' END FROM texts JOIN plain USING (site) GROUP BY site UNION ALL SELECT site, 'template', 'C', 'pass' FROM p GROUP BY site HAVING count(*) >= 3
+      UNION ALL SELECT site, 'freshness', 'C', CASE WHEN bool_or(recent) THEN 'pass' ELSE 'warn' END FROM fresh GROUP BY site
+      UNION ALL SELECT site, 'game_description', 'C', CASE WHEN thin_embeds / embeds > 0.5 THEN 'warn' ELSE 'pass' END FROM subs JOIN types USING (site) WHERE type = 'game' AND embeds > 0 UNION ALL SELECT site, 'iframe_quality', 'C', CASE WHEN frames > 20 THEN 'warn' ELSE 'pass' END FROM subs JOIN types USING (site) WHERE type = 'game' AND frames > 0
+      UNION ALL SELECT site, 'video_description', 'C', CASE WHEN thinner / n > 0.5 THEN 'warn' ELSE 'pass' END FROM subs JOIN types USING (site) WHERE type = 'video' AND n > 0 UNION ALL SELECT site, 'reference_entry', 'C', CASE WHEN thin / n > 0.5 THEN 'warn' ELSE 'pass' END FROM subs JOIN types USING (site) WHERE type = 'reference' AND n > 0
+      UNION ALL SELECT r.site, 'home_content', 'L', CASE WHEN main_length >= 500 THEN 'pass' ELSE 'fail' END FROM ratio r JOIN home USING (site, page_id) JOIN plain USING (site) UNION ALL SELECT m.site, 'h1', 'L', CASE WHEN h1_count = 1 THEN 'pass' ELSE 'warn' END FROM meta m JOIN home USING (site, page_id)
+      UNION ALL SELECT m.site, 'navigation', 'U', CASE WHEN nav_text <> '' THEN 'pass' ELSE 'warn' END FROM meta m JOIN home USING (site, page_id) UNION ALL SELECT h.site, 'internal_links', 'L', CASE WHEN coalesce(n_same_site, 0) >= 5 THEN 'pass' ELSE 'warn' END FROM home h LEFT JOIN internal USING (site, page_id)
       UNION ALL SELECT s.site, 'viewport', 'L', CASE WHEN has_viewport THEN 'pass' ELSE 'warn' END FROM signals s JOIN home USING (site, page_id) UNION ALL SELECT s.site, 'heading_order', 'U', CASE WHEN heading_skip THEN 'warn' ELSE 'pass' END FROM heads s JOIN home USING (site, page_id)""",
     "tally": f"""SELECT site, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'fail') AS failed,
       CASE WHEN bool_or(bucket = 'H' AND status = 'fail') THEN 'fail' WHEN bool_or(bucket = 'H' AND status = 'warn') THEN 'warn' ELSE 'ready' END AS hard_status, round(count(*) FILTER (status = 'warn') / count(*), 6) AS warning_ratio,
       CAST(CASE WHEN count(*) FILTER (status = 'warn') / count(*) > 0.15 THEN floor((count(*) FILTER (status = 'warn') / count(*) - 0.15::DOUBLE) * 100 + 0.5) ELSE 0 END AS BIGINT) AS penalty, {near("count(*) FILTER (status = 'pass') * 100 / count(*)")} AS pass_percent FROM items GROUP BY site""",
-    "quality": f"SELECT site, {near('''coalesce(avg(s) FILTER (bucket IN ('H', 'C', 'U')), 100)''')} AS sq, {near('''coalesce(avg(s) FILTER (bucket = 'L'), 100)''')} AS hq FROM (SELECT *, CASE status WHEN 'pass' THEN 100 WHEN 'warn' THEN 40 ELSE 0 END AS s FROM items) GROUP BY site",
+    "quality": f"SELECT site, coalesce(avg(s) FILTER (bucket IN ('H', 'C', 'U')), 100) AS sq, coalesce(avg(s) FILTER (bucket = 'L'), 100) AS hq FROM (SELECT *, CASE status WHEN 'pass' THEN 100 WHEN 'warn' THEN 40 ELSE 0 END AS s FROM items) GROUP BY site",
 }
 
 ORDER = list(PARTS)
@@ -204,34 +236,18 @@ def composite(vot: str, site: str, home: str, cap: str) -> str:
     return f"CAST(greatest(0, least(100, {near(f'least({v} * {site} / 100 * {home} / 100, {cap})')})) AS BIGINT)"
 
 
-def _month(x: str) -> str:
-    return f"CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(left({x}, 3))) + 2) // 3 AS INT)"
-
-
-def _dates() -> str:
-    iso = q(r"([0-9]{4})[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})")
-    mdy = q(rf"(?i)({content.MONTHS})\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})")
-    dmy = q(r"(?i)([0-9]{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[A-Za-z0-9_]*\s+([0-9]{4})")
-    my = q(rf"(?i)({content.MONTHS})\s+([0-9]{{4}})")
-    g = lambda p, k: f"unnest(regexp_extract_all(text, {p}, {k}))"
-    parts = [f"SELECT text_id, {g(iso, 1)} AS y, CAST({g(iso, 2)} AS INT) AS m, {g(iso, 3)} AS d FROM t", f"SELECT text_id, {g(mdy, 3)}, {_month(g(mdy, 1))}, {g(mdy, 2)} FROM t", f"SELECT text_id, {g(dmy, 3)}, {_month(g(dmy, 2))}, {g(dmy, 1)} FROM t", f"SELECT text_id, {g(my, 2)}, {_month(g(my, 1))}, '1' FROM t"]
-    return f"""WITH t AS {values(E.TEXTS, 'text_id, text')}, parts AS ({' UNION ALL '.join(parts)}), found AS (SELECT text_id, try_cast(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day FROM parts),
-      best AS (SELECT text_id, max(day) AS latest FROM found WHERE day > DATE '2020-01-01' AND day <= DATE '{E.AS_OF}' GROUP BY text_id)
-      SELECT CAST(t.text_id AS BIGINT) AS text_id, CAST(latest AS VARCHAR) AS latest, coalesce(DATE '{E.AS_OF}' - latest <= 180, false) AS recent FROM t LEFT JOIN best USING (text_id)"""
-
-
 def _replies() -> str:
     def score(d: str) -> str:
         raw = f"json_extract_string(reply, '$.{d}')"
         return f"CASE WHEN NOT list_contains(json_keys(reply), '{d}') THEN 5 WHEN {raw} IS NULL THEN 0 ELSE greatest(0, least(10, floor(coalesce(CASE WHEN trim({raw}) = '' THEN 0 ELSE try_cast({raw} AS DOUBLE) END, 5) + 0.5))) END"
 
     serves = "coalesce(kind IN ('required', 'utility'), false)"
-    own = {"value": "greatest(0, value - penalty)", "originality": "greatest(0, originality - penalty)", "relevance": "relevance", "compliance": "compliance", "translation": "CASE WHEN coalesce(lower(lang) = 'en', true) THEN 10 ELSE translation END"}
+    own = {"value": "greatest(0, value - penalty)", "originality": "greatest(0, originality - penalty)", "relevance": "relevance", "compliance": "compliance", "translation": "CASE WHEN coalesce(lang IN ('', 'en'), true) THEN 10 ELSE translation END"}
     cols = ", ".join(f"CAST(CASE WHEN body IS NULL THEN NULL {'' if d == 'compliance' else f'WHEN {serves} THEN 10'} ELSE {x} END AS BIGINT) AS {d}" for d, x in own.items())
     mean = "pow(value::DOUBLE * originality * relevance * compliance * translation, 0.2)"
-    kinds = ", ".join(f"'{k}'" for k in ("homepage", "content", "game_detail", "video_detail", "reference_detail", "required", "listing", "reference_listing", "utility", "unknown"))
+    kinds = ", ".join(f"'{k}'" for k in ("homepage", "listing", "content", "game_detail", "video_detail", "reference_detail", "required", "utility"))
     return f"""WITH r AS {values(E.REPLIES, 'reply_id, lang, response')}, b AS (SELECT *, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS body FROM r),
-      n AS (SELECT *, coalesce(CAST(json_extract(body, '$.evaluation_details') AS VARCHAR), body) AS reply, lower(json_extract_string(body, '$.confidence')) AS trust, CASE WHEN json_extract_string(body, '$.pageType') IN ({kinds}) THEN json_extract_string(body, '$.pageType') END AS kind FROM b),
+      n AS (SELECT *, coalesce(CAST(json_extract(body, '$.evaluation_details') AS VARCHAR), body) AS reply, json_extract_string(body, '$.confidence') AS trust, CASE WHEN json_extract_string(body, '$.pageType') IN ({kinds}) THEN json_extract_string(body, '$.pageType') END AS kind FROM b),
       s AS (SELECT *, {', '.join(f'{score(d)} AS {d}' for d in DIMS)}, CASE trust WHEN 'low' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS penalty FROM n), f AS (SELECT reply_id, kind, body, {cols} FROM s)
       SELECT CAST(reply_id AS BIGINT) AS reply_id, {', '.join(DIMS)}, CASE WHEN body IS NULL THEN 'warn' WHEN {mean} >= 7 THEN 'pass' WHEN {mean} >= 4 THEN 'warn' ELSE 'fail' END AS status, kind AS page_type FROM f"""
 
@@ -301,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
         "robots_sitemaps": ROBOTS_SQL,
         "sitemap_expand": SITEMAP_SQL,
         "suggestion_dedup": f"SELECT CAST(ordinal AS BIGINT) AS ordinal, suggestion FROM {values(E.SUGGESTIONS, 'ordinal, suggestion')} QUALIFY row_number() OVER (PARTITION BY left(suggestion, 40) ORDER BY ordinal) = 1",
-        "site_quality_report": _sql(f"""SELECT q.site, sq AS site_quality, hq AS home_quality, {near('coalesce(v, (sq + hq) / 2)')} AS vot, coalesce(cap, 100) AS cap, {composite('v', 'sq', 'hq', 'coalesce(cap, 100)')} AS composite,
-          {near(f"{near('coalesce(v, (sq + hq) / 2)')} * 0.6::DOUBLE + (sq + hq) / 2 * 0.4::DOUBLE")} AS soft_score, hard_status, passed, warned, failed, warning_ratio, n_pages, type
-          FROM quality q LEFT JOIN (SELECT site, {near('vot')} AS v, cap FROM site_scores) s USING (site) JOIN tally USING (site) JOIN types USING (site)"""),
+        "site_quality_report": _sql(f"""SELECT q.site, {near('sq')} AS site_quality, {near('hq')} AS home_quality, {near('x')} AS vot, coalesce(cap, 100) AS cap, {composite('v', 'sq', 'hq', 'coalesce(cap, 100)')} AS composite,
+          {near("x * 0.6::DOUBLE + (sq + hq) / 2 * 0.4::DOUBLE")} AS soft_score, hard_status, passed, warned, failed, warning_ratio, n_pages, type
+          FROM (SELECT *, coalesce(v, {near('(sq + hq) / 2')}::DOUBLE) AS x FROM quality LEFT JOIN (SELECT site, vot AS v, cap FROM site_scores) USING (site)) q JOIN tally USING (site) JOIN types USING (site)"""),
     }
