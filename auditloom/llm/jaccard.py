@@ -530,7 +530,7 @@ def jaccard_rows(documents: DataFrame, size: int, num: int, den: int, names: tup
         large = materialise(large, "large")
         over = not large.isEmpty()
         small = members.join(large, "cluster", "left_anti") if over else members
-        own = texts.drop("doc_id").join(small.select("cluster", "cid", "in_file", "at_row"), ["in_file", "at_row"]).select("cluster", "cid", "text")
+        own = texts.drop("doc_id").join(small.select("cluster", "cid", "in_file", "at_row").hint("merge"), ["in_file", "at_row"]).select("cluster", "cid", "text")
         found.append(materialise(own.repartition(parts, "cluster").sortWithinPartitions("cluster", "cid").mapInArrow(settle(size, num, den), "cid long, root long"), "settled"))
         if not over:
             break
