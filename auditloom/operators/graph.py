@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def prepare(spark: SparkSession) -> None:
+    """Sets a folder for checkpoints where the session names none, as in tests."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditloom-"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the least node reachable.
 
     Labels jump to the label of their label, so the rounds grow with the logarithm of a
     cluster's width; each round is checkpointed.
     """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir() and not edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditloom-"))
+    prepare(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     before = None
