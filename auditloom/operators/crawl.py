@@ -11,6 +11,15 @@ from ..functions import urls
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 #: Hosts of adverts.
 ADVERTS = "googlesyndication|doubleclick|adservice|adsense|pagead|adnxs|amazon-adsystem|facebook\\.com/plugins|google\\.com/ads|googletagmanager|googletagservices"
+#: Classes of listed things, of pagination, of groups of things, of search forms.
+CARDS = "card|item|entry|post|game-card|video-card|list-item|result-item"
+PAGINATION = "pagination|page-nav"
+GROUPS = "categories|category-list|tags|tag-list|genres|genre-list"
+SEARCH = "search-form|search-box"
+TAG, FRAME = r"(?is)<[a-z][a-z0-9]*(?:\s[^>]*)?>", r"(?is)<iframe(?:\s[^>]*)?>"
+#: Frames of 50 pixels or less, or hidden ones, by their own attributes; style sheets aren't read.
+SMALL = r"""(?is)\s(?:width|height)\s*=\s*["']?(?:[0-9]|[1-4][0-9]|50)(?:px)?["'\s>]|\sstyle\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)"""
+PAGE_STEP = r"^(?:next|previous|prev|page\s*[0-9]+|[0-9]+\s*of\s*[0-9]+|»|‹|›|«)$"
 #: Required pages, by URL and by link text.
 REQUIRED_PAGES = (
     ("about", "/about", "about|关于我们|关于"),
@@ -20,6 +29,32 @@ REQUIRED_PAGES = (
 )
 
 
+def classed(names: str) -> str:
+    """A pattern for a tag's class attribute that holds one of the names as a whole word."""
+    held = lambda q: rf"{q}(?:[^{q}]*\s)?(?:{names})(?:\s[^{q}]*)?{q}"
+    return rf"""\s(?i:class)\s*=\s*(?:{held('"')}|{held("'")})"""
+
+
+def within(tag: str, attribute: str, pieces: str) -> str:
+    """A pattern for a tag whose attribute holds one of the pieces."""
+    return rf"""<(?i:{tag})(?:\s[^>]*)?\s(?i:{attribute})\s*=\s*(?:"[^"]*(?:{pieces})|'[^']*(?:{pieces}))"""
+
+
+def equals(tag: str, attribute: str, values: str) -> str:
+    """A pattern for a tag whose attribute is one of the values."""
+    return rf"""<(?i:{tag})(?:\s[^>]*)?\s(?i:{attribute})\s*=\s*["'](?:{values})["']"""
+
+
+ANY = "[a-z][a-z0-9]*"
+LISTED = rf"^<(?i:article|figure)[\s>]|{classed(CARDS)}"
+HAS_PAGINATION = "|".join((equals("a", "rel", "next|prev"), f"<(?i:{ANY})(?:\\s[^>]*)?{classed(PAGINATION)}", within("nav", "aria-label", "[Pp]age")))
+HAS_CATEGORIES = "|".join((f"<(?i:{ANY})(?:\\s[^>]*)?{classed(GROUPS)}", within(ANY, "class", "category|filter|sort")))
+HAS_SEARCH = "|".join((equals("input", "type", "(?i:search)"), equals(ANY, "role", "search"), within("form", "action", "search"), f"<(?i:{ANY})(?:\\s[^>]*)?{classed(SEARCH)}", equals("input", "name", "q|search|query")))
+LANG = (r"""(?is)<html(?:\s[^>]*)?\slang\s*=\s*["']([^"']*)["']""", r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']content-language["'][^>]*content\s*=\s*["']([^"']*)["']""")
+DESCRIPTION = r"""(?is)<meta\s[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["']([^"']*)["']"""
+OG_DESCRIPTION = r"""(?is)<meta\s[^>]*property\s*=\s*["']og:description["'][^>]*content\s*=\s*["']([^"']*)["']"""
+
+
 def _plain(markup: Column) -> Column:
     return T.trimmed(T.decoded(F.regexp_replace(markup, "<[^>]*>", "")))
 
@@ -53,15 +88,16 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def page_meta(pages: DataFrame) -> DataFrame:
-    """Title, description, language, first menu and footer, and level-one headings."""
+    """Title, descriptions, language (the page's, else the header's, else en; empty stays empty), first menu and footer, and level-one headings."""
     html = F.col("html")
     heads = F.transform(F.regexp_extract_all(html, F.lit("(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>"), F.lit(1)), lambda x: _plain(x))
     return pages.select(
         "site",
         "page_id",
         _plain(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.coalesce(F.regexp_extract(html, r"""(?is)<meta\s[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["']([^"']*)["']""", 1), F.lit("")).alias("description"),
-        F.coalesce(T.first_group(html, r"""(?is)<html[^>]*\slang\s*=\s*["']([^"']*)["']"""), F.lit("en")).alias("lang"),
+        F.regexp_extract(html, DESCRIPTION, 1).alias("description"),
+        F.regexp_extract(html, OG_DESCRIPTION, 1).alias("og_description"),
+        F.when(html.rlike(LANG[0]), F.regexp_extract(html, LANG[0], 1)).when(html.rlike(LANG[1]), F.regexp_extract(html, LANG[1], 1)).otherwise("en").alias("lang"),
         nav_text(html).alias("nav_text"),
         _plain(F.regexp_extract(html, "(?is)<footer[^>]*>(.*?)</footer>", 1)).alias("footer_text"),
         F.array_join(heads, " ").alias("h1_text"),
@@ -69,14 +105,21 @@ def page_meta(pages: DataFrame) -> DataFrame:
     )
 
 
+def resolved(raw: Column, url: Column) -> Column:
+    """A link's address from its page's; dot segments stay as they are."""
+    bare = F.regexp_replace(url, "[?#].*$", "")
+    folder = F.when(urls.path(bare).contains("/"), F.regexp_extract(bare, "^(.*/)", 1)).otherwise(F.concat(bare, F.lit("/")))
+    out = F.when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), raw).when(raw.startswith("//"), F.concat(F.regexp_extract(url, "^([^/]*)", 1), raw)).when(raw.startswith("/"), F.concat(urls.origin(url), raw))
+    out = out.when((raw == "") | raw.startswith("#"), F.concat(F.regexp_replace(url, "#.*$", ""), raw)).when(raw.startswith("?"), F.concat(bare, raw))
+    return out.otherwise(F.concat(folder, F.regexp_replace(raw, r"^(?:\./)+", "")))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """site, page_id, pos, href, anchor_text: links in order, resolved against the page's origin; only http ones."""
-    html, base = F.col("html"), urls.origin(F.col("url"))
+    """site, page_id, pos, href, anchor_text: links in order, resolved against the page; only http ones."""
+    html = F.col("html")
     found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("a"))
-    links = pages.select("site", "page_id", base.alias("base"), F.posexplode(found).alias("pos", "link"))
-    raw = F.col("link.h")
-    href = F.when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), raw).when(raw.startswith("//"), F.concat(F.regexp_extract("base", "^([^/]*)", 1), raw)).when(raw.startswith("/"), F.concat("base", raw)).otherwise(F.concat("base", F.lit("/"), raw))
-    return links.select("site", "page_id", F.col("pos").cast("long").alias("pos"), href.alias("href"), _plain(F.col("link.a")).alias("anchor_text")).where(F.col("href").rlike("^https?://"))
+    links = pages.select("site", "page_id", "url", F.posexplode(found).alias("pos", "link"))
+    return links.select("site", "page_id", F.col("pos").cast("long").alias("pos"), resolved(F.trim("link.h"), F.col("url")).alias("href"), _plain(F.col("link.a")).alias("anchor_text")).where(F.col("href").rlike("^https?://"))
 
 
 def internal_links(pages: DataFrame) -> DataFrame:
@@ -96,26 +139,30 @@ def content_urls(pages: DataFrame) -> DataFrame:
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
-    """Counts and flags from which site types are told."""
+    """Counts and flags from which site types are told; frames count where they can be seen and are no adverts."""
     html = F.col("html")
-    frames = F.filter(F.regexp_extract_all(html, F.lit(r"""(?is)<iframe\s[^>]*?(?:data-src|data-lazy-src|data-lazyloaded-src|src)\s*=\s*["']([^"']*)["']"""), F.lit(1)), lambda x: ~x.rlike(f"(?i){ADVERTS}"))
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
+    own = lambda tag, name: F.nullif(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    source = lambda tag: F.coalesce(own(tag, "src"), own(tag, "data-src"), own(tag, "data-lazy-src"), F.lit(""))
+    frames = F.filter(F.regexp_extract_all(html, F.lit(FRAME), F.lit(0)), lambda t: ~t.rlike(SMALL) & ~source(t).rlike(f"(?i){ADVERTS}"))
+    sources = F.filter(F.transform(frames, lambda t: F.coalesce(F.nullif(source(t), F.lit("")), own(t, "data-lazyloaded-src"), F.lit(""))), lambda x: x != "")
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), lambda h: resolved(F.trim(h), F.col("url")))
     number = lambda tag: F.regexp_count(html, F.lit(rf"(?i)<{tag}[\s>]")).cast("long")
-    cards = F.regexp_count(html, F.lit(r"""(?i)<(?:div|article|section|a)\s[^>]*class\s*=\s*["'][^"']*card""")).cast("long")
+    listed = F.size(F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(LISTED))).cast("long")
+    steps = F.exists(F.regexp_extract_all(html, F.lit(r"(?is)<a(?:\s[^>]*)?>(.*?)</a>"), F.lit(1)), lambda a: F.lower(_plain(a)).rlike(PAGE_STEP))
     return pages.select(
         "site",
         "page_id",
-        frames.alias("iframe_srcs"),
+        sources.alias("iframe_srcs"),
         F.size(frames).cast("long").alias("iframes"),
         number("canvas").alias("canvases"),
         number("article").alias("articles"),
         number("video").alias("videos"),
         T.solid_length(T.visible(html)).alias("text_length"),
-        F.size(F.filter(hrefs, lambda h: h.rlike("/(?:game|play|games)/"))).cast("long").alias("game_links"),
-        F.when(cards > 0, cards).otherwise(number("li")).alias("list_items"),
-        html.rlike(r"""(?i)class\s*=\s*["'][^"']*pagination|rel\s*=\s*["']next["']""").alias("has_pagination"),
-        html.rlike(r"""(?i)class\s*=\s*["'][^"']*categor""").alias("has_categories"),
-        html.rlike(r"""(?i)<input\s[^>]*type\s*=\s*["']search["']|role\s*=\s*["']search["']|<form\s[^>]*search""").alias("has_search"),
+        F.size(F.filter(hrefs, lambda h: h.rlike("(?i)/(?:game|play|games)/"))).cast("long").alias("game_links"),
+        F.when(listed > 0, listed).otherwise(number("li")).alias("list_items"),
+        (html.rlike(HAS_PAGINATION) | steps).alias("has_pagination"),
+        html.rlike(HAS_CATEGORIES).alias("has_categories"),
+        html.rlike(HAS_SEARCH).alias("has_search"),
         has_viewport(html).alias("has_viewport"),
     )
 

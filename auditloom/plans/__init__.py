@@ -60,6 +60,11 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return out.join(_types(s, d).select("site", "n_pages", "type"), "site")
 
 
+def _cases(s: SparkSession) -> DataFrame:
+    rows = _numbered(s, E.PAGES, "page_id int, path string, html string")
+    return rows.select(F.lit("cases.example").alias("site"), F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("https://cases.example"), "path").alias("url"), "html")
+
+
 def _expanded(s: SparkSession) -> DataFrame:
     return crawl.sitemap_urls(crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")), tables.inline(s, E.SITEMAPS, "sitemap string, xml string"))
 
@@ -75,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_meta": lambda s, d: crawl.page_meta(_pages(s, d)),
         "page_links_internal": lambda s, d: crawl.internal_links(_pages(s, d)),
         "page_signals": lambda s, d: crawl.page_signals(_pages(s, d)).drop("iframe_srcs"),
+        "signal_cases": lambda s, d: crawl.page_signals(_cases(s)).withColumn("sources", F.array_join("iframe_srcs", " ")).drop("iframe_srcs"),
+        "meta_cases": lambda s, d: crawl.page_meta(_cases(s)).select("page_id", "title", "description", "og_description", "lang", "h1_text"),
+        "link_cases": lambda s, d: crawl.page_links(_cases(s)).select("page_id", "href", "anchor_text"),
         "heading_skip": lambda s, d: crawl.headings(_pages(s, d)),
         "required_pages": lambda s, d: crawl.required_pages(_pages(s, d)),
         "main_content": lambda s, d: _main(s, d).select("site", "page_id", "main_text"),

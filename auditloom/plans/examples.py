@@ -31,4 +31,15 @@ SITEMAPS = [
     ("https://c.example/deep3.xml", "<urlset><url><loc>https://c.example/end</loc></url></urlset>"),
 ]
 SUGGESTIONS = ["Add an about page so that readers know who writes here", "Add an about page so that readers know who writes here, soon", "Write longer articles", "Write longer articles", "Fix links"]
+PAGES = [
+    ("", "<html lang=\"\"><head><title> A &amp; B </title><meta name=\"description\" content=\"d\"></head><body><h1>One</h1><h1>Two</h1><a href=\"x\">x</a></body></html>"),
+    ("/a/b?q=1#f", "<html><head><meta http-equiv=\"Content-Language\" content=\"fr\"><meta property=\"og:description\" content=\"og\"></head><a href=\"c\">c</a><a href=\"?r\">r</a><a href=\"#s\">s</a><a href=\"./games/t\">t</a><a href=\"//other.example/GAME/u\">u</a><a href=\"/v\"> Page 2 </a><a href=\"mailto:w\">w</a></html>"),
+    ("/frames", "<iframe></iframe><iframe data-src=\"https://g.example/embed\" src=\"https://f.example/1\"></iframe><iframe src=\"https://ad.doubleclick.net/x\"></iframe><iframe width=\"50\" src=\"https://s.example/\"></iframe><iframe width=51 data-lazyloaded-src=\"https://l.example/\"></iframe><iframe style=\"display: none\" src=\"https://h.example/\"></iframe>"),
+    ("/list", "<article><p class=\"a card b\">1</p></article><figure>2</figure><div class=\"cards discard\">3</div><ul><li>4</li></ul><div class=\"tag-list\"></div><form action=\"/search\"></form>"),
+    ("/items", "<ul><li>1</li><li>2</li></ul><a rel=\"prev\" href=\"/1\">back</a><div class=\"my-filter\"></div><input name=\"q\">"),
+    ("/more", "<nav aria-label=\"Pages\"></nav><div class='genres'></div><div role=\"search\"></div>"),
+    ("/class", "<div class=\"x page-nav\"></div><div class=\"x-pagination\"></div><div class=\"search-box\"></div>"),
+    ("/next", "<a>\u00bb</a><input type=\"SEARCH\">"),
+    ("/none", "<a href=\"/n\">nextly</a><input type=\"text\" name=\"quest\"><div class=\"pages searching\" data-rel=\"next\"></div>"),
+]
 AS_OF = "2025-06-30"

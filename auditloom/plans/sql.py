@@ -97,7 +97,18 @@ def word(x: str, kind: str) -> str:
 
 ANCHOR = q(crawl.ANCHOR)
 H1 = q(r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>")
-IFRAME = q(r"""(?is)<iframe\s[^>]*?(?:data-src|data-lazy-src|data-lazyloaded-src|src)\s*=\s*["']([^"']*)["']""")
+
+
+def _own(tag: str, *names: str) -> str:
+    """The first attribute of a tag that isn't empty."""
+    return "coalesce(" + ", ".join(f"""nullif(regexp_extract({tag}, {q(rf'(?is)\s{n}' + r"""\s*=\s*["']([^"']*)["']""")}, 1), '')""" for n in names) + ", '')"
+
+
+def resolved(x: str) -> str:
+    bare = "regexp_replace(url, '[?#].*$', '')"
+    return f"""CASE WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {x} WHEN starts_with({x}, '//') THEN regexp_extract(url, '^([^/]*)', 1) || {x} WHEN starts_with({x}, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || {x}
+      WHEN {x} = '' OR starts_with({x}, '#') THEN regexp_replace(url, '#.*$', '') || {x} WHEN starts_with({x}, '?') THEN {bare} || {x}
+      ELSE (CASE WHEN contains({path_of(bare)}, '/') THEN regexp_extract({bare}, '^(.*/)', 1) ELSE {bare} || '/' END) || regexp_replace({x}, '^(?:\\./)+', '') END"""
 
 
 def _policy() -> str:
@@ -139,7 +150,6 @@ def _dates() -> str:
 
 DIMS = ("value", "originality", "relevance", "compliance", "translation")
 _signal = lambda tag: count("html", rf"(?i)<{tag}[\s>]")
-_cards = count("html", r"""(?i)<(?:div|article|section|a)\s[^>]*class\s*=\s*["'][^"']*card""")
 _match = lambda pattern: f"regexp_matches(html, {q(pattern)})"
 
 PARTS = {
@@ -148,20 +158,19 @@ PARTS = {
     "home": "SELECT site, min(page_id) AS page_id FROM p GROUP BY site",
     "texts": f"SELECT site, page_id, url, {visible('html')} AS text FROM p",
     "meta": f"""SELECT site, page_id, {plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-      regexp_extract(html, {q(r'''(?is)<meta\s[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["']([^"']*)["']''')}, 1) AS description,
-      coalesce(nullif(regexp_extract(html, {q(r'''(?is)<html[^>]*\slang\s*=\s*["']([^"']*)["']''')}, 1), ''), 'en') AS lang,
+      regexp_extract(html, {q(crawl.DESCRIPTION)}, 1) AS description, regexp_extract(html, {q(crawl.OG_DESCRIPTION)}, 1) AS og_description,
+      CASE WHEN {_match(crawl.LANG[0])} THEN regexp_extract(html, {q(crawl.LANG[0])}, 1) WHEN {_match(crawl.LANG[1])} THEN regexp_extract(html, {q(crawl.LANG[1])}, 1) ELSE 'en' END AS lang,
       {plain("regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1)")} AS nav_text, {plain("regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")} AS footer_text,
       array_to_string(list_transform(regexp_extract_all(html, {H1}, 1), lambda x: {plain('x')}), ' ') AS h1_text, {_signal('h1')} AS h1_count FROM p""",
-    "raw_links": f"SELECT site, page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS base, unnest(list_zip(regexp_extract_all(html, {ANCHOR}, 1), regexp_extract_all(html, {ANCHOR}, 2))) AS l FROM p",
-    "links": f"""SELECT * FROM (SELECT site, page_id, CASE WHEN regexp_matches(l[1], '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l[1] WHEN starts_with(l[1], '//') THEN regexp_extract(base, '^([^/]*)', 1) || l[1]
-      WHEN starts_with(l[1], '/') THEN base || l[1] ELSE base || '/' || l[1] END AS href, {plain('l[2]')} AS anchor_text FROM raw_links) WHERE regexp_matches(href, '^https?://')""",
+    "raw_links": f"SELECT site, page_id, url, unnest(list_zip(regexp_extract_all(html, {ANCHOR}, 1), regexp_extract_all(html, {ANCHOR}, 2))) AS l FROM p",
+    "links": f"SELECT * FROM (SELECT site, page_id, {resolved('trim(l[1])')} AS href, {plain('l[2]')} AS anchor_text FROM raw_links) WHERE regexp_matches(href, '^https?://')",
     "internal": f"SELECT site, page_id, count(*) AS n_links, count(*) FILTER (same) AS n_same_site, count(*) FILTER (inside) AS n_internal, count(DISTINCT href) FILTER (inside) AS n_distinct FROM (SELECT *, {host_of('href')} = site AS same, {host_of('href')} = site AND {is_content('href')} AS inside FROM links) GROUP BY site, page_id",
     "content_links": f"SELECT DISTINCT site, href FROM links WHERE {host_of('href')} = site AND {is_content('href')}",
-    "signals": f"""SELECT site, page_id, CAST(len(f) AS BIGINT) AS iframes, f, {_signal('canvas')} AS canvases, {_signal('article')} AS articles, {_signal('video')} AS videos, {solid(visible('html'))} AS text_length,
-      CAST(len(list_filter(regexp_extract_all(html, {ANCHOR}, 1), lambda h: regexp_matches(h, '/(?:game|play|games)/'))) AS BIGINT) AS game_links, CASE WHEN {_cards} > 0 THEN {_cards} ELSE {_signal('li')} END AS list_items,
-      {_match(r'''(?i)class\s*=\s*["'][^"']*pagination|rel\s*=\s*["']next["']''')} AS has_pagination, {_match(r'''(?i)class\s*=\s*["'][^"']*categor''')} AS has_categories,
-      {_match(r'''(?i)<input\s[^>]*type\s*=\s*["']search["']|role\s*=\s*["']search["']|<form\s[^>]*search''')} AS has_search, {_match(r'''(?i)<meta\s[^>]*name\s*=\s*["']viewport["']''')} AS has_viewport
-      FROM (SELECT *, list_filter(regexp_extract_all(html, {IFRAME}, 1), lambda x: NOT regexp_matches(x, {q('(?i)' + crawl.ADVERTS)})) AS f FROM p)""",
+    "signals": f"""SELECT site, page_id, CAST(len(f) AS BIGINT) AS iframes, list_filter(list_transform(f, lambda x: {_own('x', 'src', 'data-src', 'data-lazy-src', 'data-lazyloaded-src')}), lambda x: x <> '') AS f, {_signal('canvas')} AS canvases, {_signal('article')} AS articles, {_signal('video')} AS videos, {solid(visible('html'))} AS text_length,
+      CAST(len(list_filter(regexp_extract_all(html, {ANCHOR}, 1), lambda h: regexp_matches({resolved('trim(h)')}, '(?i)/(?:game|play|games)/'))) AS BIGINT) AS game_links, CASE WHEN n > 0 THEN n ELSE {_signal('li')} END AS list_items,
+      {_match(crawl.HAS_PAGINATION)} OR len(list_filter(regexp_extract_all(html, '(?is)<a(?:\\s[^>]*)?>(.*?)</a>', 1), lambda a: regexp_matches(lower({plain('a')}), {q(crawl.PAGE_STEP)}))) > 0 AS has_pagination, {_match(crawl.HAS_CATEGORIES)} AS has_categories,
+      {_match(crawl.HAS_SEARCH)} AS has_search, {_match(r'''(?i)<meta\s[^>]*name\s*=\s*["']viewport["']''')} AS has_viewport
+      FROM (SELECT *, list_filter(regexp_extract_all(html, {q(crawl.FRAME)}), lambda x: NOT regexp_matches(x, {q(crawl.SMALL)}) AND NOT regexp_matches({_own('x', 'src', 'data-src', 'data-lazy-src')}, {q('(?i)' + crawl.ADVERTS)})) AS f, CAST(len(list_filter(regexp_extract_all(html, {q(crawl.TAG)}), lambda x: regexp_matches(x, {q(crawl.LISTED)}))) AS BIGINT) AS n FROM p)""",
     "heads": r"""SELECT site, page_id, CAST(len(v) AS BIGINT) AS n_headings, len(list_filter(range(1, len(v)), lambda i: v[i] - v[i + 1] > 1)) > 0 AS heading_skip, len(list_filter(range(1, len(v)), lambda i: v[i + 1] - v[i] > 1)) > 0 AS heading_skip_down
       FROM (SELECT site, page_id, list_transform(regexp_extract_all(html, '(?i)<h([1-6])[\s>]', 1), lambda x: CAST(x AS INT)) AS v FROM p)""",
     "required": _required(),
@@ -227,8 +236,8 @@ PARTS = {
 ORDER = list(PARTS)
 
 
-def _sql(final: str) -> str:
-    return "WITH RECURSIVE " + ", ".join(f"{'reach(node, root)' if k == 'reach' else k} AS ({v})" for k, v in PARTS.items()) + " " + final
+def _sql(final: str, **instead: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(f"{'reach(node, root)' if k == 'reach' else k} AS ({v})" for k, v in (PARTS | instead).items()) + " " + final
 
 
 def composite(vot: str, site: str, home: str, cap: str) -> str:
@@ -273,6 +282,10 @@ SITEMAP_SQL = f"""WITH RECURSIVE files AS (SELECT regexp_replace(sitemap, '/+$',
   SELECT DISTINCT w.site, l.url FROM walk w JOIN locs l ON l.sitemap = w.sitemap AND NOT l.idx AND regexp_matches(l.url, '^https?://')"""
 
 
+def _cases() -> str:
+    return f"SELECT 'cases.example' AS site, CAST(k AS BIGINT) AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "url_normalize_dedup": f"SELECT {host_of('url')} AS site, page_id, url, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS norm_url FROM pages QUALIFY row_number() OVER (PARTITION BY {host_of('url')}, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') ORDER BY page_id) = 1",
@@ -284,6 +297,9 @@ def oracle_sql() -> dict[str, str]:
         "page_meta": _sql("SELECT * FROM meta"),
         "page_links_internal": _sql("SELECT * FROM internal"),
         "page_signals": _sql("SELECT * EXCLUDE (f) FROM signals"),
+        "signal_cases": _sql("SELECT * EXCLUDE (f), array_to_string(f, ' ') AS sources FROM signals", p=_cases()),
+        "meta_cases": _sql("SELECT page_id, title, description, og_description, lang, h1_text FROM meta", p=_cases()),
+        "link_cases": _sql("SELECT page_id, href, anchor_text FROM links", p=_cases()),
         "heading_skip": _sql("SELECT * FROM heads"),
         "required_pages": _sql("SELECT * FROM required"),
         "main_content": _sql("SELECT site, page_id, main_text FROM main"),

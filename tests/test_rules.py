@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom import plans
 from auditloom.functions import scores as S
 from auditloom.functions import urls
 from auditloom.operators import report, replies
@@ -60,6 +61,18 @@ def test_replies(spark):
     assert (got[3]["translation"], got[3]["page_type"]) == (10, "listing") and (got[4]["value"], got[4]["status"]) == (None, "warn")
 
 
+def test_extraction(spark):
+    q = plans.queries()
+    got = {r["page_id"]: r for r in q["signal_cases"](spark, "").collect()}
+    assert [got[k]["iframes"] for k in range(9)] == [0, 0, 3, 0, 0, 0, 0, 0, 0] and got[2]["sources"] == "https://f.example/1 https://l.example/"
+    assert [got[k]["list_items"] for k in range(9)] == [0, 0, 0, 3, 2, 0, 0, 0, 0] and got[1]["game_links"] == 2
+    flags = {k: "".join(n for n, c in (("p", "has_pagination"), ("c", "has_categories"), ("s", "has_search")) if got[k][c]) for k in got}
+    assert flags == {0: "", 1: "p", 2: "", 3: "cs", 4: "pcs", 5: "pcs", 6: "ps", 7: "ps", 8: ""}
+    meta = {r["page_id"]: r for r in q["meta_cases"](spark, "").collect()}
+    assert [meta[k]["lang"] for k in (0, 1, 2)] == ["", "fr", "en"] and meta[1]["og_description"] == "og" and meta[0]["h1_text"] == "One Two"
+    assert [r["href"] for r in q["link_cases"](spark, "").where("page_id < 2").collect()] == ["https://cases.example/" + x for x in ("x", "a/c", "a/b?r", "a/b?q=1#s", "a/games/t")] + ["https://other.example/GAME/u", "https://cases.example/v"]
+
+
 def test_page_types(spark):
     want = {"/": "homepage", "/about-us": "required", "/blog/about-x": "required", "/en/login": "utility", "/ja/blog/my-post": "content", "/games/x": "game_detail", "/watch/1": "video_detail", "/wiki/Topic": "reference_detail", "/archive": "reference_listing", "/tv": "listing", "/ja/categories": "unknown", "/Blog/x": "unknown"}
     df = spark.createDataFrame([(p,) for p in want], "p string")
