@@ -14,7 +14,7 @@ PAGE_TYPES = ("homepage", "listing", "content", "game_detail", "video_detail", "
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """reply_id, lang, response to five scores and a status; a reply without an object gives nulls and warn.
+    """reply_id, lang, response to five scores, a status, reasons and suggestions; a reply without an object gives nulls and warn.
 
     Low and medium confidence lower value and originality; pages that only serve a function
     and English pages are not held to what can't apply to them.
@@ -35,7 +35,13 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     df = df.withColumns({d: F.when(F.col("body").isNotNull(), x).cast("long") for d, x in own.items()})
     mean = S.geometric([F.col(d) for d in S.DIMENSIONS])
     status = F.when(F.col("body").isNull(), "warn").when(mean >= 7, "pass").when(mean >= 4, "warn").otherwise("fail")
-    return df.select(F.col("reply_id").cast("long").alias("reply_id"), *S.DIMENSIONS, status.alias("status"), kind.alias("page_type"))
+    text = lambda at, name: F.coalesce(F.get_json_object(at, f"$.{name}"), F.lit(""))
+    known = lambda x: F.when(F.col("body").isNotNull(), x)
+    label = F.coalesce(F.get_json_object("body", "$.relevanceLabel"), F.when(F.col("relevance") >= 7, "relevant").when(F.col("relevance") >= 4, "tangential").otherwise("off-topic"))
+    texts = [known(label).alias("relevance_label"), F.coalesce(known(text("body", "assessment")), F.lit("Analysis failed")).alias("assessment")]
+    texts += [known(text("reply", f"{d}_reason")).alias(f"{d}_reason") for d in S.DIMENSIONS]
+    texts += [F.coalesce(F.from_json(F.get_json_object("body", "$.suggestions"), "array<string>"), F.array().cast("array<string>")).alias("suggestions")]
+    return df.select(F.col("reply_id").cast("long").alias("reply_id"), *S.DIMENSIONS, status.alias("status"), kind.alias("page_type"), *texts)
 
 
 def stand_in_scores(pages: DataFrame, labels: DataFrame) -> DataFrame:

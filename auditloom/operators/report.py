@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -136,14 +136,26 @@ def composites(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("case_id").cast("long").alias("case_id"), S.composite(F.col("vot"), F.col("site_quality"), F.col("home_quality"), cap).alias("composite"))
 
 
-def approval(rows: DataFrame) -> DataFrame:
-    """A rule-based estimate, 0 to 100, of a site's chance to be accepted, and how sure it is."""
+def approval(rows: DataFrame, key: str = "case_id") -> DataFrame:
+    """A rule-based estimate, 0 to 100, of a site's chance to be accepted, how sure it is, and the first five of its reasons."""
     c = F.col
+    rules = [
+        [(c("composite") >= 75, 25, "composite_high"), (c("composite") >= 50, 10, "composite_mid"), (F.lit(True), -15, "composite_low")],
+        [(c("hard_status") == "ready", 15, "hard_ready"), (c("hard_status") == "fail", -25, "hard_fail"), (F.lit(True), -10, "hard_warn")],
+        [(c("ai_score") <= 0, 0, None), (c("ai_score") >= 60, 10, "ai_high"), (c("ai_score") >= 40, 5, None), (F.lit(True), -10, "ai_low")],
+        [(c("least_originality") >= 6, 5, None), (c("least_originality") < 4, -10, "originality_low")],
+        [(c("low_ratio") >= 0.5, -10, "many_low"), (c("low_ratio") < 0.2, 5, None)],
+    ]
+
+    def picked(rule: list, at: int, default: Column) -> Column:
+        out = F.when(rule[0][0], F.lit(rule[0][at]))
+        for r in rule[1:]:
+            out = out.when(r[0], F.lit(r[at]))
+        return F.coalesce(out, default)
+
     points = F.lit(50)
-    points += F.when(c("composite") >= 75, 25).when(c("composite") >= 50, 10).otherwise(-15)
-    points += F.when(c("hard_status") == "ready", 15).when(c("hard_status") == "fail", -25).otherwise(-10)
-    points += F.when(c("ai_score") <= 0, 0).when(c("ai_score") >= 60, 10).when(c("ai_score") >= 40, 5).otherwise(-10)
-    points += F.when(c("least_originality") >= 6, 5).when(c("least_originality") < 4, -10).otherwise(0)
-    points += F.when(c("low_ratio") >= 0.5, -10).when(c("low_ratio") < 0.2, 5).otherwise(0)
+    for rule in rules:
+        points += picked(rule, 1, F.lit(0))
+    reasons = F.slice(F.array_compact(F.array(*(picked(r, 2, F.lit(None).cast("string")) for r in rules))), 1, 5)
     trust = F.when(c("n_pages") >= 10, "high").when(c("n_pages") >= 5, "medium").otherwise("low")
-    return rows.select(c("case_id").cast("long").alias("case_id"), F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("long").alias("probability"), trust.alias("confidence"))
+    return rows.select(key, F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("long").alias("probability"), trust.alias("confidence"), F.array_join(reasons, ", ").alias("factors"))

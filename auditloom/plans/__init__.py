@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import content, crawl, replies, report, sampling, site_type
+from ..operators import content, crawl, details, replies, report, resources, sampling, site_type, topics
 from ..sources import tables
 from . import examples as E
 from .sql import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
 
-BUDGET, MOST = 5, 8
+BUDGET, MOST, CANDIDATES = 5, 8, 50
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,40 @@ def _cases(s: SparkSession) -> DataFrame:
     return rows.select(F.lit("cases.example").alias("site"), F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("https://cases.example"), "path").alias("url"), "html")
 
 
+def _topics(s: SparkSession, d: str) -> DataFrame:
+    return topics.home_topics(crawl.page_meta(_pages(s, d)))
+
+
+def _topic_cases(s: SparkSession) -> DataFrame:
+    rows = _numbered(s, E.METAS, "page_id int, site string, title string, description string, og_description string, h1_text string, nav_text string")
+    return topics.home_topics(rows)
+
+
+def _details(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d)
+    return details.page_details(p, content.ratios(_main(s, d)), crawl.page_signals(p), crawl.page_meta(p), _types(s, d), _scored(s, d))
+
+
+def _parsed(s: SparkSession) -> DataFrame:
+    return replies.parse_replies(_numbered(s, E.REPLIES, "reply_id int, lang string, response string"))
+
+
+def _approved(s: SparkSession, d: str) -> DataFrame:
+    scored = _scored(s, d)
+    return report.approval(details.approval_inputs(_report(s, d), replies.dimension_stats(scored), replies.site_scores(scored), _details(s, d)), "site")
+
+
+def _resources(s: SparkSession) -> DataFrame:
+    sites = tables.inline(s, [*((r[0],) for r in E.RESOURCES), ("e.example",)], "site string")
+    return resources.resource_items(sites, tables.inline(s, E.RESOURCES, "site string, robots_ok boolean, robots_txt string, sitemap_ok boolean, ads_ok boolean"))
+
+
+def _sources(s: SparkSession) -> DataFrame:
+    files = tables.inline(s, E.SITEMAPS, "sitemap string, xml string")
+    own = tables.inline(s, [("a.example", "https://a.example/t.xml")], "site string, sitemap string")
+    return resources.sitemap_sources(crawl.sitemap_urls(own, files), _expanded(s))
+
+
 def _expanded(s: SparkSession) -> DataFrame:
     return crawl.sitemap_urls(crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")), tables.inline(s, E.SITEMAPS, "sitemap string, xml string"))
 
@@ -99,7 +133,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "policy_verdict": lambda s, d: content.policy_verdict(_texts(s, d)),
         "site_type_detect": _types,
         "site_scale": lambda s, d: crawl.site_pages(_pages(s, d)),
-        "ai_parse_scores": lambda s, d: replies.parse_replies(_numbered(s, E.REPLIES, "reply_id int, lang string, response string")),
+        "ai_parse_scores": lambda s, d: _parsed(s).select("reply_id", *replies.S.DIMENSIONS, "status", "page_type"),
+        "ai_reply_texts": lambda s, d: _parsed(s).select("reply_id", "relevance_label", "assessment", *(f"{x}_reason" for x in replies.S.DIMENSIONS), F.array_join("suggestions", "; ").alias("suggestions")),
+        "site_topics": _topics,
+        "topic_cases": lambda s, d: _topic_cases(s),
+        "topic_replies": lambda s, d: topics.parse_topics(tables.inline(s, E.TOPICS, "site string, response string")),
+        "site_type_resolved": lambda s, d: topics.resolved_types(_types(s, d), _topics(s, d).where("type is not null")),
+        "page_prompts": lambda s, d: topics.prompts(_texts(s, d), _topics(s, d)),
+        "summary_replies": lambda s, d: topics.parse_summaries(_numbered(s, E.SUMMARIES, "reply_id int, response string")),
+        "page_details": _details,
+        "problem_pages": lambda s, d: _details(s, d).where(details.is_problem()).select("site", "page_id", "display_status", "issues"),
+        "pages_by_type": lambda s, d: details.pages_by_type(_details(s, d)),
+        "report_markdown": lambda s, d: details.markdown(_report(s, d), details.pages_by_type(_details(s, d))),
+        "site_approval": _approved,
+        "crawl_candidates": lambda s, d: details.candidates(crawl.content_urls(_pages(s, d)), _pages(s, d), CANDIDATES),
+        "resource_items": lambda s, d: _resources(s),
+        "sitemap_sources": lambda s, d: _sources(s),
+        "flat_sitemap": lambda s, d: resources.flat_sitemap(tables.inline(s, E.SITEMAPS, "sitemap string, xml string").withColumnRenamed("sitemap", "site")),
+        "dead_links": lambda s, d: crawl.split_responses(tables.inline(s, E.RESPONSES, "site string, url string, status int"))[1].select("site", "url", "reason"),
+        "link_items": lambda s, d: resources.link_items(tables.inline(s, E.HOME_LINKS, "site string, n_links int, n_same_site int"), tables.inline(s, E.RESPONSES, "site string, url string, status int")),
         "page_ai_score": lambda s, d: replies.page_scores(_scored(s, d)).select("site", "page_id", "ai_score"),
         "page_vot": lambda s, d: replies.page_scores(_scored(s, d)).where("analysed").select("site", "page_id", "vot"),
         "site_ai_score": lambda s, d: replies.site_scores(_scored(s, d)).select("site", "ai_score"),
@@ -112,7 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hard_status": lambda s, d: report.status_counts(_items(s, d)).select("site", "hard_status", "passed", "warned", "failed", "pass_percent"),
         "warning_ratio": lambda s, d: report.status_counts(_items(s, d)).select("site", "warning_ratio", "penalty"),
         "composite_score": lambda s, d: report.composites(_numbered(s, E.COMPOSITES, "case_id int, vot int, site_quality int, home_quality int, least_compliance int, mean_relevance int")),
-        "approval_estimate": lambda s, d: report.approval(_numbered(s, E.APPROVALS, "case_id int, composite int, hard_status string, ai_score int, least_originality int, low_percent int, n_pages int").withColumn("low_ratio", F.col("low_percent") / 100)),
+        "approval_estimate": lambda s, d: report.approval(_numbered(s, E.APPROVALS, "case_id int, composite int, hard_status string, ai_score int, least_originality int, low_percent int, n_pages int").withColumns({"low_ratio": F.col("low_percent") / 100, "case_id": F.col("case_id").cast("long")})),
         "robots_sitemaps": lambda s, d: crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")),
         "sitemap_expand": lambda s, d: _expanded(s),
         "suggestion_dedup": lambda s, d: sampling.distinct_suggestions(_numbered(s, E.SUGGESTIONS, "ordinal int, suggestion string")),

@@ -20,6 +20,24 @@ REPLIES = [
     ("", '{"value": 8, "originality": 8, "relevance": 6, "compliance": 9, "translation": 2, "pageType": "reference_listing"}'),
     ("fr", '{"value": 10, "originality": 10, "relevance": 10, "compliance": 0, "translation": 10}'),
 ]
+REPLIES += [("fr", 'So: {"evaluation_details": {"value": 6, "relevance": 5, "value_reason": "thin"}, "relevanceLabel": "close", "assessment": "so so", "suggestions": ["write more", "cite"]}'), ("fr", '{"value": 6, "relevance": 5, "value_reason": "flat"}')]
+TOPICS = [
+    ("a.example", '{"type": "game", "topic": "Chess", "description": "d", "confidence": "high", "isYMYL": true, "nicheFocusScore": 14}'),
+    ("b.example", 'Well: {"type": "shop", "nicheFocusScore": 0, "isYMYL": false}'),
+    ("c.example", '{"topic": "T", "nicheFocusScore": "7"}'),
+    ("d.example", "no idea"),
+]
+SUMMARIES = ['{"probability": 130, "verdict": "v", "analysis": "a", "reasons": ["r", "s"], "topActions": [], "detailedSummary": "x"}', 'hm {"probability": "-4"} hm', '{"verdict": "only"}', "none"]
+RESOURCES = [("a.example", True, "Sitemap: https://a.example/s.xml", False, True), ("b.example", True, "Allow: /", False, False), ("c.example", False, "sitemap: x", True, None), ("d.example", True, "x\n  SITEMAP: y", None, True)]
+RESPONSES = [("a.example", "u1", 404), ("a.example", "u2", None), ("a.example", "u3", 200), ("b.example", "u4", 500), ("c.example", "u5", 399)]
+HOME_LINKS = [("a.example", 10, 6), ("b.example", 6, 6), ("c.example", 4, 4), ("d.example", 0, 0)]
+METAS = [
+    ("a.example", "A long title", "A description that is longer than twenty characters and, with all that is said here, longer than a hundred of them.", "", "Head", "Tools | About"),
+    ("b.example", "Title", "", "Twenty-one characters here, and more", "Head", "Wiki"),
+    ("c.example", "A long title", "", "Twenty-one characters here", "Head", "Wiki"),
+    ("d.example", "", "A description that is longer than twenty characters and, with all that is said here, longer than a hundred of them.", "", "Head", "Home"),
+    ("e.example", "", "", "", "", ""),
+]
 COMPOSITES = [(97, 94, 90, 10, 10), (97, 94, 90, 5, 10), (97, 94, 90, 10, 5), (None, 80, 60, 10, 10)]
 APPROVALS = [(82, "ready", 70, 6, 10, 12), (40, "fail", 30, 3, 60, 3), (60, "warn", 0, 5, 30, 7), (75, "ready", 45, 9, 50, 10)]
 ROBOTS = [("a.example", "User-agent: *\nSitemap: https://a.example/s.xml\nsitemap:https://a.example/i.xml/"), ("b.example", "Disallow: /"), ("c.example", "SITEMAP: https://c.example/deep0.xml\r\nAllow: /")]

@@ -148,6 +148,20 @@ def _dates() -> str:
     return f"WITH t AS (SELECT CAST(text_id AS BIGINT) AS text_id, text FROM {values(E.TEXTS, 'text_id, text')}) SELECT * FROM ({_fresh('t', 'text_id', E.AS_OF)})"
 
 
+def _topics(meta: str) -> str:
+    return f"""SELECT site, score AS meta_score, score < 2 AS meta_incomplete, CASE WHEN score < 2 THEN NULL WHEN regexp_matches(nav_text, '(?i)calc|convert|generator|tool|checker|builder') THEN 'tool' WHEN regexp_matches(nav_text, '(?i)wiki|glossary|encyclopedia|dictionary|reference|archive') THEN 'reference' ELSE 'content' END AS type,
+      CASE WHEN score < 2 THEN NULL WHEN t <> '' THEN t WHEN h1_text <> '' THEN h1_text ELSE 'Unknown' END AS topic, CASE WHEN score < 2 THEN NULL WHEN d <> '' THEN left(d, 300) WHEN h1_text <> t THEN left(h1_text, 300) ELSE '' END AS description, CASE WHEN score < 2 THEN NULL WHEN t <> '' AND length(d) > 50 THEN 'high' ELSE 'medium' END AS confidence
+      FROM (SELECT *, CAST(length(t) > 5 AS BIGINT) + CAST(length(d) > 20 AS BIGINT) + CAST(length(d) > 100 AS BIGINT) AS score FROM (SELECT site, nav_text, h1_text, {trimmed('title')} AS t, CASE WHEN description <> '' THEN description ELSE og_description END AS d FROM {meta} WHERE page_id IN (SELECT min(page_id) FROM {meta} GROUP BY site)))"""
+
+
+def _factors(composite: str) -> str:
+    """The estimate over columns h, a, o, l (low ratio), n."""
+    c = composite
+    return f"""CAST(greatest(0, least(100, 50 + CASE WHEN {c} >= 75 THEN 25 WHEN {c} >= 50 THEN 10 ELSE -15 END + CASE h WHEN 'ready' THEN 15 WHEN 'fail' THEN -25 ELSE -10 END + CASE WHEN a <= 0 THEN 0 WHEN a >= 60 THEN 10 WHEN a >= 40 THEN 5 ELSE -10 END
+          + CASE WHEN o >= 6 THEN 5 WHEN o < 4 THEN -10 ELSE 0 END + CASE WHEN l >= 0.5 THEN -10 WHEN l < 0.2 THEN 5 ELSE 0 END)) AS BIGINT) AS probability, CASE WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence,
+      concat_ws(', ', CASE WHEN {c} >= 75 THEN 'composite_high' WHEN {c} >= 50 THEN 'composite_mid' ELSE 'composite_low' END, CASE h WHEN 'ready' THEN 'hard_ready' WHEN 'fail' THEN 'hard_fail' ELSE 'hard_warn' END, CASE WHEN a >= 60 THEN 'ai_high' WHEN a > 0 AND a < 40 THEN 'ai_low' END, CASE WHEN o < 4 THEN 'originality_low' END, CASE WHEN l >= 0.5 THEN 'many_low' END) AS factors"""
+
+
 DIMS = ("value", "originality", "relevance", "compliance", "translation")
 _signal = lambda tag: count("html", rf"(?i)<{tag}[\s>]")
 _match = lambda pattern: f"regexp_matches(html, {q(pattern)})"
@@ -213,6 +227,15 @@ PARTS = {
     "site_scores": f"SELECT *, CAST(CASE WHEN least_compliance < 6 THEN 50 WHEN mean_relevance < 6 THEN 60 ELSE 100 END AS BIGINT) AS cap FROM (SELECT site, {near('sum(w * ai_score) / sum(w)')} AS ai_score, CASE WHEN bool_or(quality_known) THEN round(coalesce(sum(w * vot) FILTER (counts) / sum(w) FILTER (counts), 0), 6) END AS vot, min(compliance) AS least_compliance, round(avg(relevance), 6) AS mean_relevance FROM (SELECT *, CAST({by_type(U.SCORE_WEIGHTS, 0.5)} AS DOUBLE) AS w, quality_known AND type NOT IN ('required', 'utility') AS counts FROM page_scores) GROUP BY site)",
     "stats": "SELECT site, dimension, floor(avg(v) * 10 + 0.5) / 10 AS mean, min(v) AS least, count(*) FILTER (v < 6) AS n_low, floor(count(*) FILTER (v < 6) * 1000 / count(*) + 0.5) / 10 AS low_percent FROM (" + " UNION ALL ".join(f"SELECT site, '{d}' AS dimension, coalesce({d}, 5) AS v FROM scored" for d in DIMS) + ") GROUP BY site, dimension",
     "comply": "SELECT site, g AS n_grave, d AS n_doubtful, round(mc, 6) AS mean_compliance, CASE WHEN g > 0 THEN 'fail' WHEN d > 0.2 * n THEN 'warn' ELSE 'pass' END AS status FROM (SELECT site, count(*) AS n, count(compliance) AS k, avg(coalesce(compliance, 5)) AS mc, count(*) FILTER (coalesce(compliance, 5) <= 2) AS g, count(*) FILTER (coalesce(compliance, 5) > 2 AND coalesce(compliance, 5) <= 5) AS d FROM scored GROUP BY site) WHERE k > 0",
+    "topics": _topics("meta"),
+    "details": f"""SELECT site, page_id, title, t AS page_type, lang, total_length AS total_chars, main_length AS content_chars, ratio_percent AS content_ratio, cs AS content_status, concat_ws('; ', CASE WHEN e = 'game' AND t = 'game_detail' THEN 'game can''t be verified' WHEN e = 'video' AND t = 'video_detail' THEN 'video can''t be verified' END,
+      CASE WHEN cs = 'warn' THEN 'Thin content (' || main_length || ' chars)' END) AS issues, e AS embed, a AS ai_status, CASE WHEN value IS NOT NULL THEN CASE WHEN relevance >= 7 THEN 'relevant' WHEN relevance >= 4 THEN 'tangential' ELSE 'off-topic' END END AS relevance_label,
+      CAST(CASE a WHEN 'fail' THEN 0 WHEN 'warn' THEN 70 ELSE 100 END AS BIGINT) AS score, CASE WHEN cs = 'pass' AND a <> 'pass' THEN a ELSE cs END AS display_status
+      FROM (SELECT *, CASE WHEN kind = 'content' AND t NOT IN ('required', 'utility') AND main_length < 300 THEN 'warn' ELSE 'pass' END AS cs, CASE WHEN iframes + canvases > 0 THEN 'game' WHEN videos > 0 THEN 'video' ELSE 'none' END AS e, CASE WHEN value IS NULL THEN NULL WHEN g >= 7 THEN 'pass' WHEN g >= 4 THEN 'warn' ELSE 'fail' END AS a
+        FROM (SELECT p.site, p.page_id, {page_type(path_of('p.url'))} AS t, r.total_length, r.main_length, r.ratio_percent, s.iframes, s.canvases, s.videos, m.title, m.lang, k.type AS kind, c.value, c.relevance, pow(c.value::DOUBLE * c.originality * c.relevance * c.compliance * c.translation, 0.2) AS g
+          FROM p JOIN ratio r USING (page_id) JOIN signals s USING (page_id) JOIN meta m USING (page_id) JOIN types k ON k.site = p.site JOIN scored c USING (page_id)))""",
+    "groups": """SELECT site, page_type, CASE page_type WHEN 'homepage' THEN 1 WHEN 'listing' THEN 2 WHEN 'reference_listing' THEN 3 WHEN 'content' THEN 4 WHEN 'game_detail' THEN 5 WHEN 'video_detail' THEN 6 WHEN 'reference_detail' THEN 7 WHEN 'required' THEN 8 WHEN 'utility' THEN 9 ELSE 10 END::BIGINT AS position,
+      count(*) FILTER (bad) AS n_problems, count(*) FILTER (NOT bad) AS n_ok FROM (SELECT *, page_type NOT IN ('required', 'utility') AND (content_status <> 'pass' OR issues <> '' OR coalesce(ai_status <> 'pass', false)) AS bad FROM details) GROUP BY site, page_type""",
     "fresh": _fresh("texts", "site, page_id", "2025-06-30"),
     "subs": "SELECT g.site, count(*) - 1 AS n, sum(iframes) AS frames, count(*) FILTER (g.page_id <> h.page_id AND iframes + canvases > 0) AS embeds, count(*) FILTER (g.page_id <> h.page_id AND iframes + canvases > 0 AND text_length < 100) AS thin_embeds, count(*) FILTER (g.page_id <> h.page_id AND text_length < 100) AS thin, count(*) FILTER (g.page_id <> h.page_id AND text_length < 50) AS thinner FROM signals g JOIN home h USING (site) GROUP BY g.site",
     # phrases repeated many times in a row can't be told in this dialect; only sites of the plain type have this item
@@ -245,7 +268,7 @@ def composite(vot: str, site: str, home: str, cap: str) -> str:
     return f"CAST(greatest(0, least(100, {near(f'least({v} * {site} / 100 * {home} / 100, {cap})')})) AS BIGINT)"
 
 
-def _replies() -> str:
+def _replies(texts: bool = False) -> str:
     def score(d: str) -> str:
         raw = f"json_extract_string(reply, '$.{d}')"
         return f"CASE WHEN NOT list_contains(json_keys(reply), '{d}') THEN 5 WHEN {raw} IS NULL THEN 0 ELSE greatest(0, least(10, floor(coalesce(CASE WHEN trim({raw}) = '' THEN 0 ELSE try_cast({raw} AS DOUBLE) END, 5) + 0.5))) END"
@@ -255,10 +278,16 @@ def _replies() -> str:
     cols = ", ".join(f"CAST(CASE WHEN body IS NULL THEN NULL {'' if d == 'compliance' else f'WHEN {serves} THEN 10'} ELSE {x} END AS BIGINT) AS {d}" for d, x in own.items())
     mean = "pow(value::DOUBLE * originality * relevance * compliance * translation, 0.2)"
     kinds = ", ".join(f"'{k}'" for k in ("homepage", "listing", "content", "game_detail", "video_detail", "reference_detail", "required", "utility"))
+    js = lambda at, name: f"json_extract_string({at}, '$.{name}')"
+    if texts:
+        last = f"""CASE WHEN body IS NOT NULL THEN coalesce({js('body', 'relevanceLabel')}, CASE WHEN relevance >= 7 THEN 'relevant' WHEN relevance >= 4 THEN 'tangential' ELSE 'off-topic' END) END AS relevance_label, CASE WHEN body IS NULL THEN 'Analysis failed' ELSE coalesce({js('body', 'assessment')}, '') END AS assessment,
+          {', '.join(f"CASE WHEN body IS NOT NULL THEN coalesce({js('reply', d + '_reason')}, '') END AS {d}_reason" for d in DIMS)}, coalesce(array_to_string(CAST(json_extract(body, '$.suggestions') AS VARCHAR[]), '; '), '') AS suggestions"""
+    else:
+        last = f"{', '.join(DIMS)}, CASE WHEN body IS NULL THEN 'warn' WHEN {mean} >= 7 THEN 'pass' WHEN {mean} >= 4 THEN 'warn' ELSE 'fail' END AS status, kind AS page_type"
     return f"""WITH r AS {values(E.REPLIES, 'reply_id, lang, response')}, b AS (SELECT *, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS body FROM r),
       n AS (SELECT *, coalesce(CAST(json_extract(body, '$.evaluation_details') AS VARCHAR), body) AS reply, json_extract_string(body, '$.confidence') AS trust, CASE WHEN json_extract_string(body, '$.pageType') IN ({kinds}) THEN json_extract_string(body, '$.pageType') END AS kind FROM b),
-      s AS (SELECT *, {', '.join(f'{score(d)} AS {d}' for d in DIMS)}, CASE trust WHEN 'low' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS penalty FROM n), f AS (SELECT reply_id, kind, body, {cols} FROM s)
-      SELECT CAST(reply_id AS BIGINT) AS reply_id, {', '.join(DIMS)}, CASE WHEN body IS NULL THEN 'warn' WHEN {mean} >= 7 THEN 'pass' WHEN {mean} >= 4 THEN 'warn' ELSE 'fail' END AS status, kind AS page_type FROM f"""
+      s AS (SELECT *, {', '.join(f'{score(d)} AS {d}' for d in DIMS)}, CASE trust WHEN 'low' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS penalty FROM n), f AS (SELECT reply_id, kind, body, reply, {cols} FROM s)
+      SELECT CAST(reply_id AS BIGINT) AS reply_id, {last} FROM f"""
 
 
 def _freshness() -> str:
@@ -282,6 +311,11 @@ SITEMAP_SQL = f"""WITH RECURSIVE files AS (SELECT regexp_replace(sitemap, '/+$',
   SELECT DISTINCT w.site, l.url FROM walk w JOIN locs l ON l.sitemap = w.sitemap AND NOT l.idx AND regexp_matches(l.url, '^https?://')"""
 
 
+REPORT_SQL = f"""SELECT q.site, {near('sq')} AS site_quality, {near('hq')} AS home_quality, {near('x')} AS vot, coalesce(cap, 100) AS cap, {composite('v', 'sq', 'hq', 'coalesce(cap, 100)')} AS composite,
+          {near("x * 0.6::DOUBLE + (sq + hq) / 2 * 0.4::DOUBLE")} AS soft_score, hard_status, passed, warned, failed, warning_ratio, n_pages, type
+          FROM (SELECT *, coalesce(v, {near('(sq + hq) / 2')}::DOUBLE) AS x FROM quality LEFT JOIN (SELECT site, vot AS v, cap FROM site_scores) USING (site)) q JOIN tally USING (site) JOIN types USING (site)"""
+
+
 def _cases() -> str:
     return f"SELECT 'cases.example' AS site, CAST(k AS BIGINT) AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')}"
 
@@ -328,12 +362,35 @@ def oracle_sql() -> dict[str, str]:
         "hard_status": _sql("SELECT site, hard_status, passed, warned, failed, pass_percent FROM tally"),
         "warning_ratio": _sql("SELECT site, warning_ratio, penalty FROM tally"),
         "composite_score": f"SELECT CAST(case_id AS BIGINT) AS case_id, {composite('vot', 'sq', 'hq', 'CASE WHEN c < 6 THEN 50 WHEN r < 6 THEN 60 ELSE 100 END')} AS composite FROM {values(E.COMPOSITES, 'case_id, vot, sq, hq, c, r')}",
-        "approval_estimate": f"""SELECT CAST(case_id AS BIGINT) AS case_id, CAST(greatest(0, least(100, 50 + CASE WHEN c >= 75 THEN 25 WHEN c >= 50 THEN 10 ELSE -15 END + CASE h WHEN 'ready' THEN 15 WHEN 'fail' THEN -25 ELSE -10 END + CASE WHEN a <= 0 THEN 0 WHEN a >= 60 THEN 10 WHEN a >= 40 THEN 5 ELSE -10 END
-          + CASE WHEN o >= 6 THEN 5 WHEN o < 4 THEN -10 ELSE 0 END + CASE WHEN l >= 50 THEN -10 WHEN l < 20 THEN 5 ELSE 0 END)) AS BIGINT) AS probability, CASE WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM {values(E.APPROVALS, 'case_id, c, h, a, o, l, n')}""",
+        "approval_estimate": f"SELECT CAST(case_id AS BIGINT) AS case_id, {_factors('c')} FROM (SELECT case_id, c, h, a, o, n, low / 100 AS l FROM {values(E.APPROVALS, 'case_id, c, h, a, o, low, n')})",
         "robots_sitemaps": ROBOTS_SQL,
         "sitemap_expand": SITEMAP_SQL,
         "suggestion_dedup": f"SELECT CAST(ordinal AS BIGINT) AS ordinal, suggestion FROM {values(E.SUGGESTIONS, 'ordinal, suggestion')} QUALIFY row_number() OVER (PARTITION BY left(suggestion, 40) ORDER BY ordinal) = 1",
-        "site_quality_report": _sql(f"""SELECT q.site, {near('sq')} AS site_quality, {near('hq')} AS home_quality, {near('x')} AS vot, coalesce(cap, 100) AS cap, {composite('v', 'sq', 'hq', 'coalesce(cap, 100)')} AS composite,
-          {near("x * 0.6::DOUBLE + (sq + hq) / 2 * 0.4::DOUBLE")} AS soft_score, hard_status, passed, warned, failed, warning_ratio, n_pages, type
-          FROM (SELECT *, coalesce(v, {near('(sq + hq) / 2')}::DOUBLE) AS x FROM quality LEFT JOIN (SELECT site, vot AS v, cap FROM site_scores) USING (site)) q JOIN tally USING (site) JOIN types USING (site)"""),
+        "site_quality_report": _sql(REPORT_SQL),
+        "ai_reply_texts": _replies(True),
+        "site_topics": _sql("SELECT * FROM topics"),
+        "topic_cases": f"WITH m AS {values(E.METAS, 'page_id, site, title, description, og_description, h1_text, nav_text')} {_topics('m')}",
+        "topic_replies": f"""SELECT site, CASE WHEN json_extract_string(b, '$.type') IN ('content', 'tool', 'game', 'video', 'reference') THEN json_extract_string(b, '$.type') ELSE 'unsupported' END AS type, coalesce(json_extract_string(b, '$.topic'), 'Unknown') AS topic, CASE WHEN b IS NULL THEN 'Topic analysis failed' ELSE coalesce(json_extract_string(b, '$.description'), '') END AS description,
+          coalesce(json_extract_string(b, '$.confidence'), 'low') AS confidence, CASE WHEN b IS NOT NULL THEN coalesce(json_extract_string(b, '$.isYMYL') = 'true', false) END AS is_ymyl, CASE WHEN json_type(b, '$.nicheFocusScore') <> 'VARCHAR' THEN CAST(greatest(1, least(10, CAST(json_extract_string(b, '$.nicheFocusScore') AS DOUBLE))) AS DOUBLE) END AS focus
+          FROM (SELECT site, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM {values(E.TOPICS, 'k, site, response')})""",
+        "site_type_resolved": _sql("SELECT t.site, coalesce(o.type, t.type) AS type, CASE WHEN o.type IS NULL THEN t.confidence ELSE o.confidence END AS confidence FROM types t LEFT JOIN topics o USING (site)"),
+        "page_prompts": _sql("""SELECT x.site, page_id, 'Rate this page from 0 to 10 for value, originality, relevance, compliance and translation. Answer with one JSON object.' || chr(10) || coalesce('Topic: ' || topic || chr(10), '') || coalesce('Type: ' || type || chr(10), '') || coalesce('About: ' || description || chr(10), '')
+          || 'Page: ' || url || chr(10) || chr(10) || left(text, 5000) AS prompt FROM texts x LEFT JOIN topics USING (site)"""),
+        "summary_replies": f"""SELECT CAST(k AS BIGINT) AS reply_id, CASE WHEN p IS NOT NULL THEN CAST(greatest(0, least(100, p)) AS DOUBLE) END AS probability, {', '.join(f"coalesce(json_extract_string(b, '$.{f}'), '') AS {a}" for f, a in (('verdict', 'verdict'), ('analysis', 'analysis'), ('detailedSummary', 'summary')))},
+          {', '.join(f"coalesce(array_to_string(CAST(json_extract(b, '$.{f}') AS VARCHAR[]), '; '), '') AS {a}" for f, a in (('reasons', 'reasons'), ('topActions', 'actions')))} FROM (SELECT *, try_cast(json_extract_string(b, '$.probability') AS DOUBLE) AS p FROM (SELECT k, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM {values(E.SUMMARIES, 'k, response')}) WHERE b IS NOT NULL)""",
+        "page_details": _sql("SELECT * FROM details"),
+        "problem_pages": _sql("SELECT site, page_id, display_status, issues FROM details WHERE content_status <> 'pass' OR issues <> '' OR ai_status <> 'pass'"),
+        "pages_by_type": _sql("SELECT * FROM groups"),
+        "report_markdown": _sql(f"""SELECT r.site, '# ' || r.site || chr(10) || chr(10) || 'Score: ' || composite || '/100. Requirements: ' || hard_status || '. Checks: ' || passed || ' passed, ' || warned || ' warned, ' || failed || ' failed.' || chr(10) || chr(10) || g.lines AS markdown
+          FROM ({REPORT_SQL}) r JOIN (SELECT site, string_agg('- ' || page_type || ': ' || n_problems || ' with problems, ' || n_ok || ' without', chr(10) ORDER BY position) AS lines FROM groups GROUP BY site) g USING (site)"""),
+        "site_approval": _sql(f"""SELECT site, {_factors('composite')} FROM (SELECT r.site, composite, hard_status AS h, n, CASE WHEN known THEN ai_score ELSE 0 END AS a, CASE WHEN known THEN least_o END AS o, CASE WHEN known THEN low / n END AS l FROM ({REPORT_SQL}) r JOIN (SELECT site, count(*) AS n, bool_or(ai_status IS NOT NULL) AS known FROM details GROUP BY site) USING (site)
+          JOIN (SELECT site, max(n_low) AS low, min(least) FILTER (dimension = 'originality') AS least_o FROM stats GROUP BY site) USING (site) JOIN (SELECT site, ai_score FROM site_scores) USING (site))"""),
+        "crawl_candidates": _sql("""SELECT * FROM (SELECT site, u AS norm_url, row_number() OVER (PARTITION BY site ORDER BY u) AS rank FROM (SELECT DISTINCT site, regexp_replace(regexp_replace(href, '#.*$', ''), '/+$', '') AS u FROM content_links EXCEPT SELECT site, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') FROM p)) WHERE rank <= 50"""),
+        "resource_items": f"""WITH r AS (SELECT * FROM {values(E.RESOURCES, 'k, site, robots_ok, robots_txt, sitemap_ok, ads_ok')} UNION ALL SELECT 9, 'e.example', NULL, NULL, NULL, NULL), f AS (SELECT site, coalesce(robots_ok, false) AS robots, coalesce(sitemap_ok, false) OR coalesce(robots_ok AND regexp_matches(robots_txt, '(?im)^[ \\t\\r]*sitemap:\\s*\\S'), false) AS sitemap, coalesce(ads_ok, false) AS ads FROM r)
+          {' UNION ALL '.join(f"SELECT site, '{n}' AS item, 'L' AS bucket, CASE WHEN {n} THEN 'pass' ELSE 'warn' END AS status FROM f" for n in ('robots', 'sitemap', 'ads'))}""",
+        "sitemap_sources": f"SELECT site, url FROM ({SITEMAP_SQL}) WHERE site <> 'a.example' UNION SELECT 'a.example', 'https://a.example/9'",
+        "flat_sitemap": f"SELECT DISTINCT sitemap AS site, unnest(regexp_extract_all(xml, '<loc>([^<]+)', 1)) AS url FROM {values(E.SITEMAPS, 'k, sitemap, xml')}",
+        "dead_links": f"SELECT site, url, coalesce(CAST(status AS VARCHAR), 'timeout') AS reason FROM {values(E.RESPONSES, 'k, site, url, status')} WHERE status IS NULL OR status >= 400",
+        "link_items": f"""SELECT site, dead AS n_dead, round(ratio, 6) AS dead_ratio, CASE WHEN ratio < 0.2 AND same >= 5 THEN 'pass' ELSE 'warn' END AS status FROM (SELECT *, CASE WHEN n > 0 THEN dead / n ELSE 0.0::DOUBLE END AS ratio FROM (SELECT l.site, any_value(n) AS n, any_value(same) AS same, count(url) AS dead FROM {values(E.HOME_LINKS, 'k, site, n, same')} l
+          LEFT JOIN (SELECT * FROM {values(E.RESPONSES, 'k, site, url, status')} WHERE status IS NULL OR status >= 400) r USING (site) GROUP BY l.site))""",
     }

@@ -25,7 +25,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few fixed rows, as a plan without any job."""
     names = [c.split()[0] for c in schema.split(", ")]
-    literal = lambda x: "null" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    literal = lambda x: "null" if x is None else str(x).lower() if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
