@@ -249,10 +249,10 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(g[order[edges]], pa.int64()), pa.array(np.ones(len(edges), np.int32)), pa.array(payloads, pa.binary())], names=["g", "kind", "payload"])
 
 
-def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Rows (g, doc_id, text), packed, and answers (g, payload) dealt by g: (g, kind, payload), within a group the answers first."""
+def with_answers(rows: DataFrame, answers: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows (g, doc_id, text), packed, and answers (g, payload) dealt by g among parts tasks: (g, kind, payload), within a group the answers first."""
     both = rows.mapInArrow(pack, "g long, kind int, payload binary").unionByName(answers.select("g", F.lit(0).alias("kind"), "payload"))
-    return both.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "kind")
+    return both.repartition(parts or partitions(rows.sparkSession), "g").sortWithinPartitions("g", "kind")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], prepare: Callable[[list[bytes]], object], step: Callable[[object, int, pa.Array, pa.Array], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ HASHES, BITS_PER_GRAM = 3, 16
 BIGRAM = 0.6
 #: Tokens and bigrams gathered before they are sent on.
 GATHER = 3_000_000
+#: Tasks per shuffle partition among which groups are dealt: a task's batch holds what its groups hold.
+SPREAD = 4
 END = np.uint64(0x7E57AB1E0FC0FFEE)
 START = np.uint64(0x0DDBA11C0DE0F00D)
 #: A listed bigram is told by its leading 40 bits among those of its group.
@@ -74,6 +76,14 @@ def summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return v[new], np.add.reduceat(c, new) if len(new) else c
 
 
+def summed_in_ranges(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """summed() of arrays in order, a sixteenth of the values at a time, so that few copies are held at once."""
+    edges = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
+    cuts = [[0, *np.searchsorted(v, edges).tolist(), len(v)] for v in values]
+    done = [summed([v[c[k] : c[k + 1]] for v, c in zip(values, cuts, strict=True)], [n[c[k] : c[k + 1]].astype(np.int64) for n, c in zip(counts, cuts, strict=True)]) for k in range(16)]
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
 def planes(x: np.ndarray) -> bytes:
     """The first bytes of all values, then the second ones and so on: zeros and the leading bytes of ordered values compress away."""
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
@@ -207,12 +217,14 @@ def reduce_bucket(table: pa.Table) -> pa.Table:
     held-out row is listed from level 1 on.
     """
     empty = np.zeros(0, np.uint64)
-    values = lambda name, kind: [unplanes(x, kind) if x is not None else empty.astype(kind) for x in table.column(name).to_pylist()]
+    values = lambda name, kind: [unplanes(x.as_py(), kind) if x.is_valid else empty.astype(kind) for x in table.column(name)]
     g = np.array(table.column("g").to_pylist())
     v, c = values("grams", np.uint64), values("counts", np.uint32)
     bv, bc, held = values("bigrams", np.uint64), values("pairs", np.uint32), values("held", np.uint64)
-    words, counts = summed(v, [x.astype(np.int64) for x in c])
-    two, pairs = summed(bv, [x.astype(np.int64) for x in bc])
+    del table
+    words, counts = summed_in_ranges(v, c)
+    two, pairs = summed_in_ranges(bv, bc)
+    del c, bc
     known = counts > 0
     segment = Segment(np.concatenate((words[known], two)), np.concatenate((counts[known], pairs)))
     word_levels, two_levels = segment.level(words), segment.level(two)
@@ -293,5 +305,5 @@ def language_model_scores(documents: DataFrame) -> DataFrame:
     release(spark)
     total, distinct = reduced.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).collect()[0]
     answers = reduced.where(F.col("payload").isNotNull()).select("g", "payload")
-    scored = with_answers(rows, answers).mapInArrow(scorer(total, distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = with_answers(rows, answers, SPREAD * parts).mapInArrow(scorer(total, distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (hash_share(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
