@@ -7,6 +7,7 @@ bytes at a time (a single text longer than the bound is handled alone).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -91,6 +92,15 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, [p for p in paths if "/auditloom/" in p])
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: idle workers stay, and with them what they once held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not every C library has it
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

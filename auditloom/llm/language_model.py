@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, by_group, hash_share, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, with_answers, word_spans
+from .common import LOWER, buffers, by_group, give_back, hash_share, materialise, mix, partitions, prefix_hashes, release, routed, span_hashes, with_answers, word_spans
 
 FOLDS, HELD_OUT = 5, 1
 #: The filter's hash functions, and bits spent on an n-gram.
@@ -141,7 +141,9 @@ def gather(buckets: int):  # noqa: ANN201
                 if held > GATHER:
                     yield from flush()
                     held = 0
+                    give_back()
         yield from flush()
+        give_back()
 
     return run
 
@@ -245,7 +247,10 @@ def reduce_bucket(table: pa.Table) -> pa.Table:
     n = len(payload)
     kinds = {"g": pa.int64(), "payload": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64()}
     columns = {"g": [*groups, None], "payload": [*payload, None], "tokens": [None] * n + [int(counts.sum())], "distinct": [None] * n + [int(known.sum())]}
-    return pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()})
+    out = pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()})
+    del v, bv, held, payload, columns, segment
+    give_back()
+    return out
 
 
 def looked_up(keys: np.ndarray, levels_: np.ndarray, asked: np.ndarray, default: np.ndarray) -> np.ndarray:
@@ -289,6 +294,7 @@ def scorer(total: int, distinct: int):  # noqa: ANN201
             )
 
         yield from by_group(batches, unpacked, step)
+        give_back()
 
     return run
 
