@@ -63,19 +63,25 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for a table, which is removed when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/auditloom/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = []
+        atexit.register(_remove, spark, _made[app])
+    _made[app].append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str, keep: bool = True) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors.
 
     The table is removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/auditloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _made:
-        _made[app] = []
-        atexit.register(_remove, spark, _made[app])
-    _made[app].append(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
