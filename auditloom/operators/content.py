@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .graph import components, prepare
 
-SHARE, SHORT, PROBE = 0.6, 20, 100
 SIMILAR = 0.6
 #: Distinct skeletons of a site that one side of a comparison holds, on average.
 BLOCK = 256
@@ -20,28 +19,6 @@ BLACKLIST = (("adult", r"porn|xxx|nude|naked|sex\s*tube"), ("gambling", "gamble|
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
-def main_content(texts: DataFrame) -> DataFrame:
-    """site, page_id, url, text, main_text: without paragraphs that most other pages of the site have too.
-
-    Pages are first reduced to distinct texts and probes per site, so the theta join within
-    a site compares each pair once.
-    """
-    para = T.trimmed(F.col("p"))
-    pages = texts.withColumn("n_site", F.count("*").over(Window.partitionBy("site"))).withColumn("n_same", F.count("*").over(Window.partitionBy("site", "text")))
-    parts = pages.select("site", "page_id", "text", "n_site", "n_same", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "p")).withColumn("p", para).where("p <> ''")
-    parts = parts.withColumn("probe", F.when((F.length("p") >= SHORT) & (F.col("n_site") > 1), F.substring(T.collapsed(F.col("p")), 1, PROBE)))
-    probes = parts.where("probe is not null").select("site", "probe").distinct()
-    bodies = texts.groupBy("site", "text").agg(F.count("*").alias("copies")).select("site", T.collapsed(F.col("text")).alias("body"), "copies")
-    held = probes.join(bodies, (probes["site"] == bodies["site"]) & F.contains(bodies["body"], probes["probe"])).groupBy(probes["site"], "probe").agg(F.sum("copies").alias("held"))
-    counted = parts.join(held, ["site", "probe"], "left")
-    others = F.col("n_site") - F.col("n_same")
-    # a page's own text holds its paragraph, as do its equals, which don't count
-    keep = F.col("probe").isNull() | (F.coalesce("held", F.lit(0)) - F.col("n_same") < F.ceil(others * SHARE))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), "\n\n")
-    kept = counted.where(keep).groupBy("page_id").agg(joined.alias("main_text"))
-    return texts.join(kept, "page_id", "left").select("site", "page_id", "url", "text", F.coalesce("main_text", F.lit("")).alias("main_text"))
-
-
 def ratios(main: DataFrame) -> DataFrame:
     """Per page: lengths of the text and its main part without white space, and their ratio in percent."""
     total, own = T.solid_length(F.col("text")), T.solid_length(F.col("main_text"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 
 def prepare(spark: SparkSession) -> None:
-    """Sets a folder for checkpoints where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditloom-"))
+    """Sets a folder for checkpoints where the session names none, as in tests; on a cluster it must name one."""
+    shared_folder(spark)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from . import content, crawl
+from . import boilerplate, content, crawl
 
 #: Bucket of each check: H site-wide, C content, U use, L landing page.
 BUCKETS = {"site_scale": "H", "about": "H", "privacy": "H", "contact": "H", "terms": "H", "policy_keywords": "H", "ai_compliance": "H", "content_ratio": "C", "subpage_depth": "C", "filler": "C", "duplication": "C", "template": "C", "game_description": "C", "iframe_quality": "C", "video_description": "C", "reference_entry": "C", "freshness": "C", "home_content": "L", "h1": "L", "internal_links": "L", "viewport": "L", "heading_order": "U", "navigation": "U"}
@@ -29,7 +29,7 @@ def check_items(pages: DataFrame, compliance: DataFrame | None = None, types: Da
     texts = crawl.page_text(pages)
     signals = crawl.page_signals(pages).select("page_id", "iframes", "canvases", "text_length")
     facts = pages.select("site", "page_id", T.visible(html).alias("text"), crawl.h1_count(html).alias("h1_count"), crawl.nav_text(html).alias("nav_text"), crawl.has_viewport(html).alias("has_viewport"), crawl.skips(levels, 1).alias("heading_skip")).join(signals, "page_id")
-    main = content.main_content(texts)
+    main = boilerplate.main_content(texts)
     c = F.col
     fillers = F.sum(F.regexp_count("text", F.lit(T.FILLER_ZH)) + F.regexp_count("text", F.lit(T.FILLER_EN)) + F.regexp_count("text", F.lit(T.FILLER_REPEAT)))
     home = F.min_by(F.struct("h1_count", "nav_text", "has_viewport", "heading_skip"), "page_id")

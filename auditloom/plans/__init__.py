@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import content, crawl, details, replies, report, resources, sampling, site_type, topics
+from ..operators import boilerplate, content, crawl, details, replies, report, resources, sampling, site_type, topics
 from ..sources import tables
 from . import examples as E
 from .sql import oracle_sql
@@ -28,7 +28,7 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _main(s: SparkSession, d: str) -> DataFrame:
-    return content.main_content(_texts(s, d))
+    return boilerplate.main_content(_texts(s, d))
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:

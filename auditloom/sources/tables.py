@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table out among all cores where it is read in fewer tasks than that (a small file, or one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, page_id, url, html; the site's page with the least page_id is its home page."""
-    df = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    df = spread(table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")))
     return df.select(urls.site(F.col("url")).alias("site"), "page_id", "url", "html")
 
 
