@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import closest
 from .graph import components, prepare
 
 SIMILAR = 0.6
@@ -46,34 +47,30 @@ def repeats(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(T.FILLER_REPEAT)).cast("long").alias("n_repeats"))
 
 
-def _similar_pairs(main: DataFrame) -> DataFrame:
-    """site, a, b, similarity (not rounded) for the pages of a site that share a 4-gram, by an inverted index.
-
-    Pages with fewer than three grams are left out; pairs that share none have similarity 0.
-    """
-    own = main.select("site", "page_id", T.words(F.col("main_text")).alias("own"))
-    # at least three grams, told by the words: a filter on the grams, written or inferred from explode(),
-    # would be pushed below them and split the text again for every gram
+def _grams(main: DataFrame) -> DataFrame:
+    """site, page_id, g: the distinct 4-grams of pages that have at least three grams."""
+    # explode() of one row keeps the optimizer from putting the words' expression into each gram's
+    once = lambda x: F.explode(F.array(x))
+    own = main.select("site", "page_id", once(T.words(F.col("main_text"))).alias("own"))
     enough = own.where((F.size("own") == T.LEAST_GRAMS) | (F.size("own") >= T.LEAST_GRAMS + T.GRAM - 1))
-    grams = enough.select("site", "page_id", T.grams("own").alias("g")).select("site", "page_id", F.array_distinct("g").alias("g"))
-    long = grams.select("site", "page_id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
-    a, b = long.alias("a"), long.alias("b")
-    both = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.page_id") < F.col("b.page_id")))
-    common = both.groupBy(F.col("a.site").alias("site"), F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
-    return common.select("site", "a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity"))
+    return enough.select("site", "page_id", once(F.array_distinct(T.grams("own"))).alias("g"))
 
 
 def jaccard_pairs(main: DataFrame) -> DataFrame:
-    """site, a, b, similarity for the pages of a site that share a 4-gram."""
-    return _similar_pairs(main).withColumn("similarity", F.round("similarity", 6))
+    """site, a, b, similarity for all pages of a site that share a 4-gram, by an inverted index; there are as many as pairs that share something."""
+    long = _grams(main).select("site", "page_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    a, b = long.alias("a"), long.alias("b")
+    both = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.page_id") < F.col("b.page_id")))
+    common = both.groupBy(F.col("a.site").alias("site"), F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
+    return common.select("site", "a", "b", F.round(closest.similarity(F.col("k"), F.col("na"), F.col("nb")), 6).alias("similarity"))
 
 
 def duplication(main: DataFrame) -> DataFrame:
-    """Per site: the highest similarity of two pages, the originality score, and the check's status."""
-    best = _similar_pairs(main).groupBy("site").agg(F.max("similarity").alias("m"))
-    df = main.select("site").distinct().join(best, "site", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    """Per site: the two pages most alike, their similarity, the originality score, and the check's status; grams are told apart by 64 bits."""
+    sets = _grams(main).select("site", "page_id", F.transform("g", lambda x: F.xxhash64(x)).alias("grams"), F.sha2(F.array_join(F.array_sort("g"), "\n"), 256).alias("digest"))
+    df = main.select("site").distinct().join(closest.closest_pairs(sets), "site", "left").withColumn("m", F.coalesce("similarity", F.lit(0.0)))
     score = F.greatest(F.lit(0), F.least(F.lit(100), T.rounded((1 - F.col("m")) * 100))).cast("long")
-    return df.select("site", F.round("m", 6).alias("max_similarity"), score.alias("originality_score"), F.when(T.rounded(F.col("m") * 100) >= 60, "warn").otherwise("pass").alias("status"))
+    return df.select("site", F.round("m", 6).alias("max_similarity"), score.alias("originality_score"), F.when(T.rounded(F.col("m") * 100) >= 60, "warn").otherwise("pass").alias("status"), F.col("a").alias("page_a"), F.col("b").alias("page_b"))
 
 
 def _shapes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

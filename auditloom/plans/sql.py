@@ -201,7 +201,7 @@ PARTS = {
     "grams": "SELECT site, page_id, len(list_distinct(g)) AS n, unnest(list_distinct(g)) AS gram FROM gram_lists WHERE len(g) >= 3",
     "alike": "SELECT a.site, a.page_id AS a, b.page_id AS b, count(*) / (a.n + b.n - count(*)) AS similarity FROM grams a JOIN grams b ON a.site = b.site AND a.gram = b.gram AND a.page_id < b.page_id GROUP BY a.site, a.page_id, b.page_id, a.n, b.n",
     "jaccard": "SELECT site, a, b, round(similarity, 6) AS similarity FROM alike",
-    "dup": f"SELECT site, round(m, 6) AS max_similarity, CAST(greatest(0, least(100, {near('(1 - m) * 100')})) AS BIGINT) AS originality_score, CASE WHEN floor(m * 100 + 0.5) >= 60 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT s.site, coalesce(max(similarity), 0.0::DOUBLE) AS m FROM sites s LEFT JOIN alike USING (site) GROUP BY s.site)",
+    "dup": f"SELECT site, round(m, 6) AS max_similarity, CAST(greatest(0, least(100, {near('(1 - m) * 100')})) AS BIGINT) AS originality_score, CASE WHEN floor(m * 100 + 0.5) >= 60 THEN 'warn' ELSE 'pass' END AS status, a AS page_a, b AS page_b FROM (SELECT s.site, a, b, coalesce(similarity, 0.0::DOUBLE) AS m FROM sites s LEFT JOIN (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY site ORDER BY similarity DESC, a, b) = 1) USING (site))",
     "skeletons": f"SELECT site, page_id, left({replaced(replaced(replaced('text', '[a-zA-Z一-鿿]+', 'W'), '[0-9]+', 'N'), WS + '+', ' ')}, 1000) AS s FROM texts",
     "templates": """SELECT * FROM (SELECT a.site, a.page_id AS a, b.page_id AS b, round(len(list_filter(range(1, least(length(a.s), length(b.s)) + 1), lambda i: substr(a.s, i, 1) = substr(b.s, i, 1))) / greatest(length(a.s), length(b.s)), 6) AS similarity
       FROM skeletons a JOIN skeletons b ON a.site = b.site AND a.page_id < b.page_id WHERE a.s <> '' AND b.s <> '') WHERE similarity >= 0.6""",
