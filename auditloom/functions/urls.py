@@ -34,6 +34,27 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def folded(p: Column) -> Column:
+    """A path without dot segments: a fold over its segments, on which two dots drop the segment before; empty segments stay."""
+    segments = F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/")))
+    one = lambda x: F.replace(F.lower(x), F.lit("%2e"), F.lit(".")) == "."
+    two = lambda x: F.replace(F.lower(x), F.lit("%2e"), F.lit(".")) == ".."
+    step = lambda done, x: F.when(two(x), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(one(x), done).otherwise(F.concat(done, F.array(x)))
+    # a last dot segment leaves its folder: an empty last segment
+    ended = F.when(F.element_at(segments, -1).rlike(r"(?i)^(?:\.|%2e){1,2}$"), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+    out = F.concat(F.lit("/"), F.array_join(F.aggregate(ended, F.array().cast("array<string>"), step), "/"))
+    return F.when(p == "", "/").when(p.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), out).otherwise(p)
+
+
+def canonical(url: Column) -> Column:
+    """An http address as browsers write it: scheme and host in lower case, no default port, a path without dot segments."""
+    parts = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(.*)$"
+    scheme, host = F.lower(F.regexp_extract(url, parts, 1)), F.lower(F.regexp_extract(url, parts, 2))
+    port = F.when(scheme == "http", ":80").otherwise(":443")
+    host = F.when(F.endswith(host, port), F.substring_index(host, ":", 1)).otherwise(host)
+    return F.when(url.rlike("(?i)^https?://"), F.concat(scheme, F.lit("://"), host, folded(F.regexp_extract(url, parts, 3)), F.regexp_extract(url, parts, 4))).otherwise(url)
+
+
 def normalised(url: Column) -> Column:
     """Without fragment and trailing slashes."""
     return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/+$", "")

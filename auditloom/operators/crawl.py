@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from . import ranking
 
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+#: A link's address, in double, single or no quotes, and its markup.
+ANCHOR = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 #: Hosts of adverts.
 ADVERTS = "googlesyndication|doubleclick|adservice|adsense|pagead|adnxs|amazon-adsystem|facebook\\.com/plugins|google\\.com/ads|googletagmanager|googletagservices"
 #: Classes of listed things, of pagination, of groups of things, of search forms.
@@ -106,20 +108,27 @@ def page_meta(pages: DataFrame) -> DataFrame:
 
 
 def resolved(raw: Column, url: Column) -> Column:
-    """A link's address from its page's; dot segments stay as they are."""
+    """A link's address from its page's, as browsers resolve it; tabs and line breaks in it are nothing."""
+    raw = F.regexp_replace(T.trimmed(raw), r"[\t\n\r]", "")
     bare = F.regexp_replace(url, "[?#].*$", "")
     folder = F.when(urls.path(bare).contains("/"), F.regexp_extract(bare, "^(.*/)", 1)).otherwise(F.concat(bare, F.lit("/")))
     out = F.when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), raw).when(raw.startswith("//"), F.concat(F.regexp_extract(url, "^([^/]*)", 1), raw)).when(raw.startswith("/"), F.concat(urls.origin(url), raw))
     out = out.when((raw == "") | raw.startswith("#"), F.concat(F.regexp_replace(url, "#.*$", ""), raw)).when(raw.startswith("?"), F.concat(bare, raw))
-    return out.otherwise(F.concat(folder, F.regexp_replace(raw, r"^(?:\./)+", "")))
+    return urls.canonical(out.otherwise(F.concat(folder, raw)))
+
+
+def anchors(html: Column) -> Column:
+    """(h, a) of each link in order: its address as written and its markup."""
+    group = lambda k: F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(k))
+    zipped = F.arrays_zip(*(group(k).alias(n) for k, n in enumerate("dsua", 1)))
+    return F.transform(zipped, lambda x: F.struct(F.concat(x["d"], x["s"], x["u"]).alias("h"), x["a"].alias("a")))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """site, page_id, pos, href, anchor_text: links in order, resolved against the page; only http ones."""
     html = F.col("html")
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("a"))
-    links = pages.select("site", "page_id", "url", F.posexplode(found).alias("pos", "link"))
-    return links.select("site", "page_id", F.col("pos").cast("long").alias("pos"), resolved(F.trim("link.h"), F.col("url")).alias("href"), _plain(F.col("link.a")).alias("anchor_text")).where(F.col("href").rlike("^https?://"))
+    links = pages.select("site", "page_id", "url", F.posexplode(anchors(html)).alias("pos", "link"))
+    return links.select("site", "page_id", F.col("pos").cast("long").alias("pos"), resolved(F.col("link.h"), F.col("url")).alias("href"), _plain(F.col("link.a")).alias("anchor_text")).where(F.col("href").rlike("^https?://"))
 
 
 def internal_links(pages: DataFrame) -> DataFrame:
@@ -145,7 +154,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
     source = lambda tag: F.coalesce(own(tag, "src"), own(tag, "data-src"), own(tag, "data-lazy-src"), F.lit(""))
     frames = F.filter(F.regexp_extract_all(html, F.lit(FRAME), F.lit(0)), lambda t: ~t.rlike(SMALL) & ~source(t).rlike(f"(?i){ADVERTS}"))
     sources = F.filter(F.transform(frames, lambda t: F.coalesce(F.nullif(source(t), F.lit("")), own(t, "data-lazyloaded-src"), F.lit(""))), lambda x: x != "")
-    hrefs = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), lambda h: resolved(F.trim(h), F.col("url")))
+    hrefs = F.transform(anchors(html), lambda x: resolved(x["h"], F.col("url")))
     number = lambda tag: F.regexp_count(html, F.lit(rf"(?i)<{tag}[\s>]")).cast("long")
     listed = F.size(F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(LISTED))).cast("long")
     steps = F.exists(F.regexp_extract_all(html, F.lit(r"(?is)<a(?:\s[^>]*)?>(.*?)</a>"), F.lit(1)), lambda a: F.lower(_plain(a)).rlike(PAGE_STEP))
@@ -173,17 +182,24 @@ def headings(pages: DataFrame) -> DataFrame:
     return df.select("site", "page_id", F.size("levels").cast("long").alias("n_headings"), skips(F.col("levels"), 1).alias("heading_skip"), skips(F.col("levels"), -1).alias("heading_skip_down"))
 
 
-def required_pages(pages: DataFrame) -> DataFrame:
-    """Per site and required page: whether a link's URL, or else its text, shows it."""
-    links = page_links(pages)
-    tests = []
-    for name, in_url, in_text in REQUIRED_PAGES:
-        tests += [F.bool_or(F.col("href").rlike(f"(?i){in_url}")).alias(f"{name}_url"), F.bool_or(F.col("anchor_text").rlike(f"(?i){in_text}")).alias(f"{name}_text")]
-    sites = pages.select("site").distinct()
-    found = sites.join(links.groupBy("site").agg(*tests), "site", "left")
-    # one row of flags per site, turned into one row per required page
-    rows = [F.struct(F.lit(n).alias("required"), F.when(F.col(f"{n}_url"), "url").when(F.col(f"{n}_text"), "text").otherwise("missing").alias("found_by")) for n, _, _ in REQUIRED_PAGES]
-    return found.select("site", F.explode(F.array(*rows)).alias("r")).select("site", "r.required", "r.found_by")
+def required_pages(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
+    """site, required, found_by, found_url: by each pattern of its address among the links in order, then in the sitemap (site, page_id, url), and only then by link texts."""
+    hits = lambda value, pieces, by: [F.when(value.rlike(f"(?i){p}"), F.struct(F.lit(by == "text").alias("late"), F.lit(k).alias("k"), F.lit(by == "sitemap").alias("second"))) for k, p in enumerate(pieces)]
+
+    def matches(df: DataFrame, url: Column, text: Column | None, by: str) -> DataFrame:
+        rows = []
+        for name, in_url, in_text in REQUIRED_PAGES:
+            found = hits(url, in_url.split("|"), by) + (hits(text, in_text.split("|"), "text") if text is not None else [])
+            rows.append(F.struct(F.lit(name).alias("required"), F.array_min(F.array(*found)).alias("rank")))
+        return df.select("site", "page_id", "pos", url.alias("url"), F.explode(F.array(*rows)).alias("r")).where("r.rank is not null").select("site", "r.required", F.struct("r.rank", "page_id", "pos", "url").alias("hit"))
+
+    found = matches(page_links(pages), F.col("href"), F.col("anchor_text"), "url")
+    if sitemap is not None:
+        found = found.unionByName(matches(sitemap.withColumn("pos", F.lit(0).cast("long")), F.col("url"), None, "sitemap"))
+    best = found.groupBy("site", "required").agg(F.min("hit").alias("hit"))
+    all_ = pages.select("site").distinct().select("site", F.explode(F.array(*(F.lit(n) for n, _, _ in REQUIRED_PAGES))).alias("required"))
+    by = F.when(F.col("hit").isNull(), "missing").when(F.col("hit.rank.late"), "text").when(F.col("hit.rank.second"), "sitemap").otherwise("url")
+    return all_.join(best, ["site", "required"], "left").select("site", "required", by.alias("found_by"), F.col("hit.url").alias("found_url"))
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -192,6 +208,20 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
     return pages.select("site", "page_id", "url", urls.normalised(F.col("url")).alias("norm_url")).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+def site_urls(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """site, norm_url, url, source, ordinal: addresses to crawl, the home page's content links in order, then the sitemap's, each normal form once.
+
+    sitemap: site, page_id (its order), url. ordinal counts from 1 within a site.
+    """
+    home = pages.groupBy("site").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("h")).select("site", "h.*")
+    linked = page_links(home).select("site", F.col("pos").alias("at"), F.col("href").alias("url"), F.lit(0).alias("from_sitemap"))
+    listed = sitemap.select("site", F.col("page_id").alias("at"), "url", F.lit(1).alias("from_sitemap"))
+    both = linked.unionByName(listed).where((urls.site(F.col("url")) == F.col("site")) & urls.is_content(F.col("url")) & ~(urls.path(F.col("url")).isin("/", "") & F.col("url").contains("?")))
+    first = both.groupBy("site", urls.normalised(F.col("url")).alias("norm_url")).agg(F.min(F.struct("from_sitemap", "at", "url")).alias("f")).select("site", "norm_url", "f.*")
+    ordered = ranking.ranked(first, ["site"], [F.asc("from_sitemap"), F.asc("at"), F.asc("norm_url")], "ordinal")
+    return ordered.select("site", "norm_url", "url", F.when(F.col("from_sitemap") == 1, "sitemap").otherwise("link").alias("source"), "ordinal")
+
+
 def site_pages(pages: DataFrame) -> DataFrame:
     """Pages of a site: distinct normal URLs crawled or linked."""
     all_ = pages.select("site", urls.normalised(F.col("url")).alias("u")).unionByName(content_urls(pages).select("site", urls.normalised(F.col("href")).alias("u"))).distinct()
@@ -226,11 +256,6 @@ def sitemap_urls(roots: DataFrame, files: DataFrame, deepest: int = 3) -> DataFr
     return out.distinct()
 
 
-def new_urls(candidates: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Candidates of a site that were not crawled, by normal URL."""
-    return candidates.join(crawled.select("site", "norm_url"), ["site", "norm_url"], "left_anti")
-
-
 def split_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(alive, dead) responses: a status of 400 or more, or none, is dead; dead rows say why."""
     dead = F.coalesce(F.col("status") >= 400, F.lit(True))

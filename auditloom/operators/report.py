@@ -49,7 +49,7 @@ def check_items(pages: DataFrame, compliance: DataFrame | None = None, types: Da
     size = content.ratios(main).groupBy("site").agg(F.min_by("main_length", "page_id").alias("home_length"))
     links = sites.select("site", "page_id").join(crawl.internal_links(pages), ["site", "page_id"]).select("site", "n_same_site")
     named = lambda df, name: df.select("site", F.col("status").alias(name))
-    required = crawl.required_pages(pages).groupBy("site").agg(*(F.bool_or((F.col("required") == n) & (F.col("found_by") != "missing")).alias(n) for n, _, _ in crawl.REQUIRED_PAGES))
+    required = crawl.required_pages(pages, pages.select("site", "page_id", "url")).groupBy("site").agg(*(F.bool_or((F.col("required") == n) & (F.col("found_by") != "missing")).alias(n) for n, _, _ in crawl.REQUIRED_PAGES))
     recent = texts.select("site", c("page_id").alias("text_id")).join(content.freshness(texts.select(c("page_id").alias("text_id"), "text"), as_of), "text_id").groupBy("site").agg(F.bool_or("recent").alias("recent"))
     frames = [named(crawl.site_pages(pages), "site_scale"), named(content.policy_verdict(texts), "policy"), named(content.duplication(main), "dup"), content.ratio_status(main), size, required, links, recent]
     if compliance is not None:

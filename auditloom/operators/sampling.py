@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import rounded
+from . import ranking
+
+#: Characters by which suggestions are told apart.
+OPENING = 40
 
 
 def by_freshness(paths: DataFrame) -> DataFrame:
-    """ordinal, path, date and rank: later dates first, then as given."""
-    df = paths.withColumn("date", urls.path_date(F.col("path")))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("date"), "ordinal"))
-    return df.select(F.col("ordinal").cast("long").alias("ordinal"), "path", F.col("date").cast("string").alias("date"), rank.cast("long").alias("rank"))
+    """site, ordinal, path, date and rank within the site: later dates first, then as given."""
+    df = paths.select("site", F.col("ordinal").cast("long").alias("ordinal"), "path", urls.path_date(F.col("path")).alias("date"))
+    out = ranking.ranked(df, ["site"], [F.desc_nulls_last("date"), F.asc("ordinal")])
+    return out.select("site", "ordinal", "path", F.col("date").cast("string").alias("date"), "rank")
 
 
 def sample_by_type(pages: DataFrame, budget: int, most: int) -> DataFrame:
@@ -28,7 +32,11 @@ def sample_by_type(pages: DataFrame, budget: int, most: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(last).cast("long")).where(F.col("rank") <= most).select("site", "page_id", "type", "rank")
 
 
-def distinct_suggestions(rows: DataFrame) -> DataFrame:
-    """The first suggestion of each opening of 40 characters."""
-    first = Window.partitionBy(F.substring("suggestion", 1, 40)).orderBy("ordinal")
-    return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(F.col("ordinal").cast("long").alias("ordinal"), "suggestion")
+def merged_suggestions(suggestions: DataFrame, actions: DataFrame) -> DataFrame:
+    """site, position, suggestion: the actions of the site's summary as they are, then of its pages' suggestions the first of each opening of OPENING characters.
+
+    Both inputs: site, ordinal, suggestion.
+    """
+    first = suggestions.groupBy("site", F.substring("suggestion", 1, OPENING).alias("opening")).agg(F.min(F.struct("ordinal", "suggestion")).alias("f")).select("site", F.lit(1).alias("late"), "f.ordinal", "f.suggestion")
+    both = first.unionByName(actions.select("site", F.lit(0).alias("late"), F.col("ordinal").cast("long").alias("ordinal"), "suggestion"))
+    return ranking.ranked(both, ["site"], [F.asc("late"), F.asc("ordinal"), F.asc("suggestion")], "position").select("site", "position", "suggestion")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import boilerplate, content, crawl, details, replies, report, resources, sampling, site_type, topics
+from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, site_type, topics
 from ..sources import tables
+from . import derived as D
 from . import examples as E
 from .sql import oracle_sql
 
@@ -40,6 +41,18 @@ def _numbered(s: SparkSession, values: list, names: str) -> DataFrame:
     return tables.inline(s, rows, names)
 
 
+def _derived(s: SparkSession, d: str, text: str) -> DataFrame:
+    """Rows that a text of derived.py makes of the crawl."""
+    with_ = {"pages": _pages(s, d)} if "{pages}" in text else {"links": crawl.page_links(_pages(s, d)).select("site", "href")}
+    return s.sql(text, **with_)
+
+
+def _beside(s: SparkSession, d: str, text: str, fixed: DataFrame) -> DataFrame:
+    """The derived rows and fixed ones."""
+    made = _derived(s, d, text)
+    return made.unionByName(fixed.select(*(F.col(c).cast(made.schema[c].dataType).alias(c) for c in made.columns)))
+
+
 def _types(s: SparkSession, d: str) -> DataFrame:
     p = _pages(s, d)
     return site_type.site_type(site_type.site_features(crawl.page_signals(p), crawl.page_meta(p)))
@@ -60,18 +73,20 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return out.join(_types(s, d).select("site", "n_pages", "type"), "site")
 
 
-def _cases(s: SparkSession) -> DataFrame:
+def _cases(s: SparkSession, d: str) -> DataFrame:
+    """The crawl, and a site of pages that reach every branch."""
     rows = _numbered(s, E.PAGES, "page_id int, path string, html string")
-    return rows.select(F.lit("cases.example").alias("site"), F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("https://cases.example"), "path").alias("url"), "html")
+    fixed = rows.select(F.lit("cases.example").alias("site"), F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("https://cases.example"), "path").alias("url"), "html")
+    return _pages(s, d).unionByName(fixed)
 
 
 def _topics(s: SparkSession, d: str) -> DataFrame:
     return topics.home_topics(crawl.page_meta(_pages(s, d)))
 
 
-def _topic_cases(s: SparkSession) -> DataFrame:
+def _topic_cases(s: SparkSession, d: str) -> DataFrame:
     rows = _numbered(s, E.METAS, "page_id int, site string, title string, description string, og_description string, h1_text string, nav_text string")
-    return topics.home_topics(rows)
+    return topics.home_topics(crawl.page_meta(_pages(s, d)).select("page_id", "site", "title", "description", "og_description", "h1_text", "nav_text").unionByName(rows.withColumn("page_id", F.col("page_id").cast("long"))))
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
@@ -79,8 +94,8 @@ def _details(s: SparkSession, d: str) -> DataFrame:
     return details.page_details(p, content.ratios(_main(s, d)), crawl.page_signals(p), crawl.page_meta(p), _types(s, d), _scored(s, d))
 
 
-def _parsed(s: SparkSession) -> DataFrame:
-    return replies.parse_replies(_numbered(s, E.REPLIES, "reply_id int, lang string, response string"))
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return replies.parse_replies(_beside(s, d, D.REPLIES, _numbered(s, E.REPLIES, "reply_id int, lang string, response string")))
 
 
 def _approved(s: SparkSession, d: str) -> DataFrame:
@@ -88,19 +103,57 @@ def _approved(s: SparkSession, d: str) -> DataFrame:
     return report.approval(details.approval_inputs(_report(s, d), replies.dimension_stats(scored), replies.site_scores(scored), _details(s, d)), "site")
 
 
-def _resources(s: SparkSession) -> DataFrame:
-    sites = tables.inline(s, [*((r[0],) for r in E.RESOURCES), ("e.example",)], "site string")
-    return resources.resource_items(sites, tables.inline(s, E.RESOURCES, "site string, robots_ok boolean, robots_txt string, sitemap_ok boolean, ads_ok boolean"))
+def _resources(s: SparkSession, d: str) -> DataFrame:
+    sites = tables.inline(s, [*((r[0],) for r in E.RESOURCES), ("e.example",)], "site string").unionByName(_pages(s, d).select("site"))
+    fixed = tables.inline(s, E.RESOURCES, "site string, robots_ok boolean, robots_txt string, sitemap_ok boolean, ads_ok boolean")
+    return resources.resource_items(sites, _beside(s, d, D.RESOURCES, fixed))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """sitemap, xml of files: those of the crawl, at most D.FILE addresses each, and fixed ones."""
+    lines = _derived(s, d, D.SITEMAP_LINES).groupBy("sitemap", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("spot", "line"))), lambda x: x["line"]), "").alias("body"))
+    own = lines.select("sitemap", F.concat(F.lit("<"), "kind", F.lit(">"), "body", F.lit("</"), "kind", F.lit(">")).alias("xml"))
+    return own.unionByName(tables.inline(s, E.SITEMAPS, "sitemap string, xml string"))
+
+
+def _robots(s: SparkSession, d: str) -> DataFrame:
+    own = _derived(s, d, D.RESOURCES).where("robots_ok").select("site", "robots_txt")
+    return crawl.robots_sitemaps(own.unionByName(tables.inline(s, E.ROBOTS, "site string, robots_txt string")))
+
+
+def _expanded(s: SparkSession, d: str) -> DataFrame:
+    return crawl.sitemap_urls(_robots(s, d), _files(s, d))
+
+
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    default = _derived(s, d, D.RESOURCES).where("sitemap_ok").select("site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("sitemap"))
+    default = default.unionByName(tables.inline(s, [("a.example", "https://a.example/t.xml")], "site string, sitemap string"))
+    return resources.sitemap_sources(crawl.sitemap_urls(default, _files(s, d)), _expanded(s, d))
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    return _beside(s, d, D.RESPONSES, tables.inline(s, E.RESPONSES, "site string, url string, status int"))
+
+
+def _home_links(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d)
+    home = p.groupBy("site").agg(F.min("page_id").alias("page_id")).join(crawl.internal_links(p), ["site", "page_id"]).select("site", "n_links", "n_same_site")
+    return home.unionByName(tables.inline(s, E.HOME_LINKS, "site string, n_links int, n_same_site int"))
+
+
+def _suggestions(s: SparkSession, d: str) -> DataFrame:
+    fixed = _numbered(s, E.SUGGESTIONS, "ordinal int, suggestion string").withColumn("site", F.lit("fixed.example"))
+    return sampling.merged_suggestions(_beside(s, d, D.SUGGESTIONS, fixed), _derived(s, d, D.ACTIONS))
 
 
-def _sources(s: SparkSession) -> DataFrame:
-    files = tables.inline(s, E.SITEMAPS, "sitemap string, xml string")
-    own = tables.inline(s, [("a.example", "https://a.example/t.xml")], "site string, sitemap string")
-    return resources.sitemap_sources(crawl.sitemap_urls(own, files), _expanded(s))
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    own = _pages(s, d).select("site", (F.col("page_id") + 1000).alias("ordinal"), urls.path(F.col("url")).alias("path"))
+    return own.unionByName(_numbered(s, E.PATHS, "ordinal int, path string").withColumn("site", F.lit("fixed.example")))
 
 
-def _expanded(s: SparkSession) -> DataFrame:
-    return crawl.sitemap_urls(crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")), tables.inline(s, E.SITEMAPS, "sitemap string, xml string"))
+def _dated(s: SparkSession, d: str) -> DataFrame:
+    own = tables.table(s, d, "documents").select((F.col("doc_id") + 1000).alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return content.freshness(own.unionByName(_numbered(s, E.TEXTS, "text_id int, text string")), E.AS_OF)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -108,17 +161,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "url_normalize_dedup": lambda s, d: crawl.distinct_pages(_pages(s, d)),
         "url_classify": _classes,
         "content_url_filter": lambda s, d: crawl.content_urls(_pages(s, d)),
-        "url_freshness": lambda s, d: sampling.by_freshness(_numbered(s, E.PATHS, "ordinal int, path string")),
+        "url_freshness": lambda s, d: sampling.by_freshness(_paths(s, d)),
         "stratified_sample": lambda s, d: sampling.sample_by_type(_pages(s, d), BUDGET, MOST),
         "page_text": lambda s, d: _texts(s, d).select("site", "page_id", "text"),
         "page_meta": lambda s, d: crawl.page_meta(_pages(s, d)),
         "page_links_internal": lambda s, d: crawl.internal_links(_pages(s, d)),
         "page_signals": lambda s, d: crawl.page_signals(_pages(s, d)).drop("iframe_srcs"),
-        "signal_cases": lambda s, d: crawl.page_signals(_cases(s)).withColumn("sources", F.array_join("iframe_srcs", " ")).drop("iframe_srcs"),
-        "meta_cases": lambda s, d: crawl.page_meta(_cases(s)).select("page_id", "title", "description", "og_description", "lang", "h1_text"),
-        "link_cases": lambda s, d: crawl.page_links(_cases(s)).select("page_id", "href", "anchor_text"),
+        "signal_cases": lambda s, d: crawl.page_signals(_cases(s, d)).withColumn("sources", F.array_join("iframe_srcs", " ")).drop("iframe_srcs"),
+        "meta_cases": lambda s, d: crawl.page_meta(_cases(s, d)).select("site", "page_id", "title", "description", "og_description", "lang", "h1_text"),
+        "link_cases": lambda s, d: crawl.page_links(_cases(s, d)).select("site", "page_id", "pos", "href", "anchor_text"),
         "heading_skip": lambda s, d: crawl.headings(_pages(s, d)),
-        "required_pages": lambda s, d: crawl.required_pages(_pages(s, d)),
+        "required_pages": lambda s, d: crawl.required_pages(_pages(s, d), _pages(s, d).select("site", "page_id", "url")),
+        "site_url_order": lambda s, d: crawl.site_urls(_pages(s, d), _pages(s, d).select("site", "page_id", "url")),
+        "crawl_depth": lambda s, d: frontier.depths(_derived(s, d, D.CHAINED)),
+        "crawl_reach": lambda s, d: frontier.reach(frontier.depths(_derived(s, d, D.CHAINED))),
         "main_content": lambda s, d: _main(s, d).select("site", "page_id", "main_text"),
         "content_ratio_depth": lambda s, d: content.ratio_status(_main(s, d)),
         "content_ratio_pages": lambda s, d: content.ratios(_main(s, d)),
@@ -128,30 +184,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplication_score": lambda s, d: content.duplication(_main(s, d)),
         "template_pairs": lambda s, d: content.template_pairs(_texts(s, d)),
         "template_clusters": lambda s, d: content.template_clusters(_texts(s, d)),
-        "freshness_dates": lambda s, d: content.freshness(_numbered(s, E.TEXTS, "text_id int, text string").withColumn("text_id", F.col("text_id").cast("long")), E.AS_OF),
+        "freshness_dates": _dated,
         "policy_keywords": lambda s, d: content.policy_hits(_texts(s, d)),
         "policy_verdict": lambda s, d: content.policy_verdict(_texts(s, d)),
         "site_type_detect": _types,
         "site_scale": lambda s, d: crawl.site_pages(_pages(s, d)),
-        "ai_parse_scores": lambda s, d: _parsed(s).select("reply_id", *replies.S.DIMENSIONS, "status", "page_type"),
-        "ai_reply_texts": lambda s, d: _parsed(s).select("reply_id", "relevance_label", "assessment", *(f"{x}_reason" for x in replies.S.DIMENSIONS), F.array_join("suggestions", "; ").alias("suggestions")),
+        "ai_parse_scores": lambda s, d: _parsed(s, d).select("reply_id", *replies.S.DIMENSIONS, "status", "page_type"),
+        "ai_reply_texts": lambda s, d: _parsed(s, d).select("reply_id", "relevance_label", "assessment", *(f"{x}_reason" for x in replies.S.DIMENSIONS), F.array_join("suggestions", "; ").alias("suggestions")),
         "site_topics": _topics,
-        "topic_cases": lambda s, d: _topic_cases(s),
-        "topic_replies": lambda s, d: topics.parse_topics(tables.inline(s, E.TOPICS, "site string, response string")),
+        "topic_cases": _topic_cases,
+        "topic_replies": lambda s, d: topics.parse_topics(_beside(s, d, D.TOPICS, tables.inline(s, E.TOPICS, "site string, response string"))),
         "site_type_resolved": lambda s, d: topics.resolved_types(_types(s, d), _topics(s, d).where("type is not null")),
         "page_prompts": lambda s, d: topics.prompts(_texts(s, d), _topics(s, d)),
-        "summary_replies": lambda s, d: topics.parse_summaries(_numbered(s, E.SUMMARIES, "reply_id int, response string")),
+        "summary_replies": lambda s, d: topics.parse_summaries(_beside(s, d, D.SUMMARIES, _numbered(s, E.SUMMARIES, "reply_id int, response string"))),
         "page_details": _details,
         "problem_pages": lambda s, d: _details(s, d).where(details.is_problem()).select("site", "page_id", "display_status", "issues"),
         "pages_by_type": lambda s, d: details.pages_by_type(_details(s, d)),
         "report_markdown": lambda s, d: details.markdown(_report(s, d), details.pages_by_type(_details(s, d))),
         "site_approval": _approved,
         "crawl_candidates": lambda s, d: details.candidates(crawl.content_urls(_pages(s, d)), _pages(s, d), CANDIDATES),
-        "resource_items": lambda s, d: _resources(s),
-        "sitemap_sources": lambda s, d: _sources(s),
-        "flat_sitemap": lambda s, d: resources.flat_sitemap(tables.inline(s, E.SITEMAPS, "sitemap string, xml string").withColumnRenamed("sitemap", "site")),
-        "dead_links": lambda s, d: crawl.split_responses(tables.inline(s, E.RESPONSES, "site string, url string, status int"))[1].select("site", "url", "reason"),
-        "link_items": lambda s, d: resources.link_items(tables.inline(s, E.HOME_LINKS, "site string, n_links int, n_same_site int"), tables.inline(s, E.RESPONSES, "site string, url string, status int")),
+        "resource_items": _resources,
+        "sitemap_sources": _sources,
+        "flat_sitemap": lambda s, d: resources.flat_sitemap(_files(s, d).withColumnRenamed("sitemap", "site")),
+        "dead_links": lambda s, d: crawl.split_responses(_responses(s, d))[1].select("site", "url", "reason"),
+        "link_items": lambda s, d: resources.link_items(_home_links(s, d), _responses(s, d)),
         "page_ai_score": lambda s, d: replies.page_scores(_scored(s, d)).select("site", "page_id", "ai_score"),
         "page_vot": lambda s, d: replies.page_scores(_scored(s, d)).where("analysed").select("site", "page_id", "vot"),
         "site_ai_score": lambda s, d: replies.site_scores(_scored(s, d)).select("site", "ai_score"),
@@ -163,10 +219,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_scores": lambda s, d: report.category_scores(_items(s, d)),
         "hard_status": lambda s, d: report.status_counts(_items(s, d)).select("site", "hard_status", "passed", "warned", "failed", "pass_percent"),
         "warning_ratio": lambda s, d: report.status_counts(_items(s, d)).select("site", "warning_ratio", "penalty"),
-        "composite_score": lambda s, d: report.composites(_numbered(s, E.COMPOSITES, "case_id int, vot int, site_quality int, home_quality int, least_compliance int, mean_relevance int")),
-        "approval_estimate": lambda s, d: report.approval(_numbered(s, E.APPROVALS, "case_id int, composite int, hard_status string, ai_score int, least_originality int, low_percent int, n_pages int").withColumns({"low_ratio": F.col("low_percent") / 100, "case_id": F.col("case_id").cast("long")})),
-        "robots_sitemaps": lambda s, d: crawl.robots_sitemaps(tables.inline(s, E.ROBOTS, "site string, robots_txt string")),
-        "sitemap_expand": lambda s, d: _expanded(s),
-        "suggestion_dedup": lambda s, d: sampling.distinct_suggestions(_numbered(s, E.SUGGESTIONS, "ordinal int, suggestion string")),
+        "composite_score": lambda s, d: report.composites(_beside(s, d, D.COMPOSITES, _numbered(s, E.COMPOSITES, "case_id int, vot int, site_quality int, home_quality int, least_compliance int, mean_relevance int"))),
+        "approval_estimate": lambda s, d: report.approval(_beside(s, d, D.APPROVALS, _numbered(s, E.APPROVALS, "case_id int, composite int, hard_status string, ai_score int, least_originality int, low_percent int, n_pages int")).withColumn("low_ratio", F.col("low_percent") / 100)),
+        "robots_sitemaps": _robots,
+        "sitemap_expand": _expanded,
+        "suggestion_dedup": _suggestions,
         "site_quality_report": _report,
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import content, crawl, site_type
+from . import derived as D
 from . import examples as E
 
 WS = r"[\s\x{000b}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -58,6 +59,20 @@ def values(rows: list, names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in numbered)}) AS v({names}))"
 
 
+CRAWL = "(SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS site, page_id, url, coalesce(html, '') AS html FROM pages)"
+
+
+def made(text: str) -> str:
+    """Rows that a text of derived.py makes of the crawl."""
+    return text.format(pages=CRAWL, links="links")
+
+
+def beside(text: str, rows: list, names: str, fixed: str = "k") -> str:
+    """Derived rows and fixed ones, the latter numbered in the column `fixed`."""
+    columns = [c.strip() for c in names.split(",")]
+    return f"(SELECT {', '.join(columns)} FROM ({made(text)}) AS made_ UNION ALL SELECT {', '.join(columns)} FROM {values(rows, names if fixed in columns else fixed + ', ' + names)})"
+
+
 def path_of(x: str) -> str:
     return f"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
@@ -104,11 +119,31 @@ def _own(tag: str, *names: str) -> str:
     return "coalesce(" + ", ".join(f"""nullif(regexp_extract({tag}, {q(rf'(?is)\s{n}' + r"""\s*=\s*["']([^"']*)["']""")}, 1), '')""" for n in names) + ", '')"
 
 
-def resolved(x: str) -> str:
+def canonical(x: str) -> str:
+    """An http address with scheme and host in lower case, without default port and dot segments."""
+    path = path_of(x)
+    dots = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
+    pieces = f"list_transform(string_split({path}, '/')[2:], lambda z: CASE WHEN lower(replace(lower(z), '%2e', '.')) IN ('.', '..') THEN replace(lower(z), '%2e', '.') ELSE z END)"
+    ended = f"CASE WHEN regexp_matches({path}, '(?i)/(?:\\.|%2e){{1,2}}$') THEN list_concat({pieces}, ['']) ELSE {pieces} END"
+    folded = f"'/' || array_to_string(list_reduce(list_transform({ended}, lambda z: [z]), lambda done, z: CASE WHEN z[1] = '..' THEN list_slice(done, 1, greatest(len(done) - 1, 0)) WHEN z[1] = '.' THEN done ELSE list_concat(done, z) END, CAST([] AS VARCHAR[])), '/')"
+    host = rf"regexp_replace(lower(regexp_extract({x}, '^([A-Za-z]+://[^/?#]*)', 1)), '^(http://[^:]*):80$|^(https://[^:]*):443$', '\1\2')"
+    return f"CASE WHEN regexp_matches({x}, '(?i)^https?://') THEN {host} || CASE WHEN {path} = '' THEN '/' WHEN regexp_matches({path}, {q(dots)}) THEN {folded} ELSE {path} END || regexp_extract({x}, '^[A-Za-z]+://[^?#]*(.*)$', 1) ELSE {x} END"
+
+
+def joined(x: str) -> str:
+    """A link's written address put to its page's, not yet canonical."""
     bare = "regexp_replace(url, '[?#].*$', '')"
     return f"""CASE WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {x} WHEN starts_with({x}, '//') THEN regexp_extract(url, '^([^/]*)', 1) || {x} WHEN starts_with({x}, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || {x}
       WHEN {x} = '' OR starts_with({x}, '#') THEN regexp_replace(url, '#.*$', '') || {x} WHEN starts_with({x}, '?') THEN {bare} || {x}
-      ELSE (CASE WHEN contains({path_of(bare)}, '/') THEN regexp_extract({bare}, '^(.*/)', 1) ELSE {bare} || '/' END) || regexp_replace({x}, '^(?:\\./)+', '') END"""
+      ELSE (CASE WHEN contains({path_of(bare)}, '/') THEN regexp_extract({bare}, '^(.*/)', 1) ELSE {bare} || '/' END) || {x} END"""
+
+
+def written(x: str) -> str:
+    return f"regexp_replace({trimmed(x)}, '[\\t\\n\\r]', '', 'g')"
+
+
+def _anchor_hits(k: int) -> str:
+    return f"regexp_extract_all(html, {ANCHOR}, {k})"
 
 
 def _policy() -> str:
@@ -119,11 +154,20 @@ def _policy() -> str:
     return " UNION ALL ".join(parts)
 
 
+#: Required pages: patterns of the address in order, then of the link's text. Written out, not taken from the operators.
+ASKED = {"about": (["/about"], ["about", "关于我们", "关于"]), "privacy": (["/privacy"], ["privacy", "隐私"]), "contact": (["/contact"], ["contact", "联系"]), "terms": (["/terms", "/legal"], ["terms", "legal", "条款"])}
+
+
 def _required() -> str:
-    parts = []
-    for name, in_url, in_text in crawl.REQUIRED_PAGES:
-        parts.append(f"SELECT s.site, '{name}' AS required, CASE WHEN bool_or(regexp_matches(l.href, {q('(?i)' + in_url)})) THEN 'url' WHEN bool_or(regexp_matches(l.anchor_text, {q('(?i)' + in_text)})) THEN 'text' ELSE 'missing' END AS found_by FROM sites s LEFT JOIN links l USING (site) GROUP BY s.site")
-    return " UNION ALL ".join(parts)
+    hits = []
+    for name, (in_url, in_text) in ASKED.items():
+        for k, x in enumerate(in_url):
+            hits.append(f"SELECT site, '{name}' AS required, 'url' AS found_by, href AS found_url, 0 AS late, {k} AS k, 0 AS second, page_id, pos FROM links WHERE regexp_matches(href, '(?i){x}')")
+            hits.append(f"SELECT site, '{name}', 'sitemap', url, 0, {k}, 1, page_id, 0 FROM p WHERE regexp_matches(url, '(?i){x}')")
+        hits += [f"SELECT site, '{name}', 'text', href, 1, {k}, 0, page_id, pos FROM links WHERE regexp_matches(anchor_text, '(?i){x}')" for k, x in enumerate(in_text)]
+    first = f"SELECT * FROM ({' UNION ALL '.join(hits)}) QUALIFY row_number() OVER (PARTITION BY site, required ORDER BY late, k, second, page_id, pos, found_url) = 1"
+    names = ", ".join(f"('{n}')" for n in ASKED)
+    return f"SELECT s.site, r.required, coalesce(h.found_by, 'missing') AS found_by, h.found_url FROM sites s CROSS JOIN (VALUES {names}) AS r(required) LEFT JOIN ({first}) h ON h.site = s.site AND h.required = r.required"
 
 
 def _month(x: str) -> str:
@@ -145,7 +189,7 @@ def _fresh(table: str, key: str, as_of: str) -> str:
 
 
 def _dates() -> str:
-    return f"WITH t AS (SELECT CAST(text_id AS BIGINT) AS text_id, text FROM {values(E.TEXTS, 'text_id, text')}) SELECT * FROM ({_fresh('t', 'text_id', E.AS_OF)})"
+    return f"WITH t AS (SELECT CAST(text_id AS BIGINT) AS text_id, text FROM (SELECT doc_id + 1000 AS text_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT text_id, text FROM {values(E.TEXTS, 'text_id, text')})) SELECT * FROM ({_fresh('t', 'text_id', E.AS_OF)})"
 
 
 def _topics(meta: str) -> str:
@@ -176,15 +220,22 @@ PARTS = {
       CASE WHEN {_match(crawl.LANG[0])} THEN regexp_extract(html, {q(crawl.LANG[0])}, 1) WHEN {_match(crawl.LANG[1])} THEN regexp_extract(html, {q(crawl.LANG[1])}, 1) ELSE 'en' END AS lang,
       {plain("regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1)")} AS nav_text, {plain("regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")} AS footer_text,
       array_to_string(list_transform(regexp_extract_all(html, {H1}, 1), lambda x: {plain('x')}), ' ') AS h1_text, {_signal('h1')} AS h1_count FROM p""",
-    "raw_links": f"SELECT site, page_id, url, unnest(list_zip(regexp_extract_all(html, {ANCHOR}, 1), regexp_extract_all(html, {ANCHOR}, 2))) AS l FROM p",
-    "links": f"SELECT * FROM (SELECT site, page_id, {resolved('trim(l[1])')} AS href, {plain('l[2]')} AS anchor_text FROM raw_links) WHERE regexp_matches(href, '^https?://')",
+    "anchor_rows": f"SELECT site, page_id, url, unnest(list_zip({_anchor_hits(1)}, {_anchor_hits(2)}, {_anchor_hits(3)}, {_anchor_hits(4)})) AS l, unnest(range(len({_anchor_hits(4)}))) AS pos FROM p",
+    "raw_links": f"SELECT site, page_id, url, pos, {written('concat(l[1], l[2], l[3])')} AS raw, l[4] AS inner_html FROM anchor_rows",
+    "joined_links": f"SELECT site, page_id, pos, {joined('raw')} AS whole, inner_html FROM raw_links",
+    "all_links": f"SELECT site, page_id, pos, {canonical('whole')} AS href, {plain('inner_html')} AS anchor_text FROM joined_links",
+    "links": "SELECT * FROM all_links WHERE regexp_matches(href, '^https?://')",
     "internal": f"SELECT site, page_id, count(*) AS n_links, count(*) FILTER (same) AS n_same_site, count(*) FILTER (inside) AS n_internal, count(DISTINCT href) FILTER (inside) AS n_distinct FROM (SELECT *, {host_of('href')} = site AS same, {host_of('href')} = site AND {is_content('href')} AS inside FROM links) GROUP BY site, page_id",
     "content_links": f"SELECT DISTINCT site, href FROM links WHERE {host_of('href')} = site AND {is_content('href')}",
     "signals": f"""SELECT site, page_id, CAST(len(f) AS BIGINT) AS iframes, list_filter(list_transform(f, lambda x: {_own('x', 'src', 'data-src', 'data-lazy-src', 'data-lazyloaded-src')}), lambda x: x <> '') AS f, {_signal('canvas')} AS canvases, {_signal('article')} AS articles, {_signal('video')} AS videos, {solid(visible('html'))} AS text_length,
-      CAST(len(list_filter(regexp_extract_all(html, {ANCHOR}, 1), lambda h: regexp_matches({resolved('trim(h)')}, '(?i)/(?:game|play|games)/'))) AS BIGINT) AS game_links, CASE WHEN n > 0 THEN n ELSE {_signal('li')} END AS list_items,
+      CAST((SELECT count(*) FROM all_links a WHERE a.page_id = page_rows.page_id AND a.site = page_rows.site AND regexp_matches(a.href, '(?i)/(?:game|play|games)/')) AS BIGINT) AS game_links, CASE WHEN n > 0 THEN n ELSE {_signal('li')} END AS list_items,
       {_match(crawl.HAS_PAGINATION)} OR len(list_filter(regexp_extract_all(html, '(?is)<a(?:\\s[^>]*)?>(.*?)</a>', 1), lambda a: regexp_matches(lower({plain('a')}), {q(crawl.PAGE_STEP)}))) > 0 AS has_pagination, {_match(crawl.HAS_CATEGORIES)} AS has_categories,
       {_match(crawl.HAS_SEARCH)} AS has_search, {_match(r'''(?i)<meta\s[^>]*name\s*=\s*["']viewport["']''')} AS has_viewport
-      FROM (SELECT *, list_filter(regexp_extract_all(html, {q(crawl.FRAME)}), lambda x: NOT regexp_matches(x, {q(crawl.SMALL)}) AND NOT regexp_matches({_own('x', 'src', 'data-src', 'data-lazy-src')}, {q('(?i)' + crawl.ADVERTS)})) AS f, CAST(len(list_filter(regexp_extract_all(html, {q(crawl.TAG)}), lambda x: regexp_matches(x, {q(crawl.LISTED)}))) AS BIGINT) AS n FROM p)""",
+      FROM (SELECT *, list_filter(regexp_extract_all(html, {q(crawl.FRAME)}), lambda x: NOT regexp_matches(x, {q(crawl.SMALL)}) AND NOT regexp_matches({_own('x', 'src', 'data-src', 'data-lazy-src')}, {q('(?i)' + crawl.ADVERTS)})) AS f, CAST(len(list_filter(regexp_extract_all(html, {q(crawl.TAG)}), lambda x: regexp_matches(x, {q(crawl.LISTED)}))) AS BIGINT) AS n FROM p) page_rows""",
+    "nodes": "SELECT site, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS norm_url, min(page_id) AS page_id FROM p GROUP BY 1, 2",
+    "hops": "SELECT DISTINCT n.site, n.norm_url AS source, regexp_replace(regexp_replace(c.href, '#.*$', ''), '/+$', '') AS target FROM links c JOIN nodes n ON n.page_id = c.page_id JOIN content_links k ON k.site = c.site AND k.href = c.href",
+    "walks": "SELECT site, norm_url, 0 AS depth FROM nodes QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1 UNION SELECT w.site, n.norm_url, w.depth + 1 FROM walks w JOIN hops h ON h.site = w.site AND h.source = w.norm_url JOIN nodes n ON n.site = h.site AND n.norm_url = h.target WHERE w.depth < 400",
+    "depths": "SELECT n.site, n.page_id, n.norm_url, CAST(w.depth AS BIGINT) AS depth FROM nodes n LEFT JOIN (SELECT site, norm_url, min(depth) AS depth FROM walks GROUP BY 1, 2) w USING (site, norm_url)",
     "heads": r"""SELECT site, page_id, CAST(len(v) AS BIGINT) AS n_headings, len(list_filter(range(1, len(v)), lambda i: v[i] - v[i + 1] > 1)) > 0 AS heading_skip, len(list_filter(range(1, len(v)), lambda i: v[i + 1] - v[i] > 1)) > 0 AS heading_skip_down
       FROM (SELECT site, page_id, list_transform(regexp_extract_all(html, '(?i)<h([1-6])[\s>]', 1), lambda x: CAST(x AS INT)) AS v FROM p)""",
     "required": _required(),
@@ -284,7 +335,7 @@ def _replies(texts: bool = False) -> str:
           {', '.join(f"CASE WHEN body IS NOT NULL THEN coalesce({js('reply', d + '_reason')}, '') END AS {d}_reason" for d in DIMS)}, coalesce(array_to_string(CAST(json_extract(body, '$.suggestions') AS VARCHAR[]), '; '), '') AS suggestions"""
     else:
         last = f"{', '.join(DIMS)}, CASE WHEN body IS NULL THEN 'warn' WHEN {mean} >= 7 THEN 'pass' WHEN {mean} >= 4 THEN 'warn' ELSE 'fail' END AS status, kind AS page_type"
-    return f"""WITH r AS {values(E.REPLIES, 'reply_id, lang, response')}, b AS (SELECT *, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS body FROM r),
+    return f"""WITH r AS {beside(D.REPLIES, E.REPLIES, 'reply_id, lang, response', 'reply_id')}, b AS (SELECT *, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS body FROM r),
       n AS (SELECT *, coalesce(CAST(json_extract(body, '$.evaluation_details') AS VARCHAR), body) AS reply, json_extract_string(body, '$.confidence') AS trust, CASE WHEN json_extract_string(body, '$.pageType') IN ({kinds}) THEN json_extract_string(body, '$.pageType') END AS kind FROM b),
       s AS (SELECT *, {', '.join(f'{score(d)} AS {d}' for d in DIMS)}, CASE trust WHEN 'low' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS penalty FROM n), f AS (SELECT reply_id, kind, body, reply, {cols} FROM s)
       SELECT CAST(reply_id AS BIGINT) AS reply_id, {last} FROM f"""
@@ -294,7 +345,8 @@ def _freshness() -> str:
     p = q(r"/(20[12][0-9])(?:[-/](1[0-2]|0?[1-9])(?:[^0-9].*|$)|[^0-9].*$|$)")
     d = q(r"/20[12][0-9][-/](?:1[0-2]|0?[1-9])[-/](3[01]|[12][0-9]|0?[1-9])(?:[^0-9]|$)")
     day = f"try_cast(regexp_extract(path, {p}, 1) || '-' || lpad(coalesce(nullif(regexp_extract(path, {p}, 2), ''), '06'), 2, '0') || '-' || lpad(coalesce(nullif(regexp_extract(path, {d}, 1), ''), '15'), 2, '0') AS DATE)"
-    return f"SELECT CAST(ordinal AS BIGINT) AS ordinal, path, CAST(day AS VARCHAR) AS date, row_number() OVER (ORDER BY day DESC NULLS LAST, ordinal) AS rank FROM (SELECT *, {day} AS day FROM {values(E.PATHS, 'ordinal, path')})"
+    rows = f"(SELECT site, page_id + 1000 AS ordinal, {path_of('url')} AS path FROM {CRAWL} UNION ALL SELECT 'fixed.example', ordinal, path FROM {values(E.PATHS, 'ordinal, path')})"
+    return f"SELECT site, CAST(ordinal AS BIGINT) AS ordinal, path, CAST(day AS VARCHAR) AS date, row_number() OVER (PARTITION BY site ORDER BY day DESC NULLS LAST, ordinal) AS rank FROM (SELECT *, {day} AS day FROM {rows})"
 
 
 def _sample(budget: int, most: int) -> str:
@@ -304,20 +356,32 @@ def _sample(budget: int, most: int) -> str:
       SELECT site, page_id, type, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY always DESC, w DESC, type, page_id) AS rank FROM k) WHERE rank <= {most}"""
 
 
-ROBOTS_SQL = f"SELECT DISTINCT site, regexp_extract(trim(replace(line, chr(13), '')), '(?i)^sitemap:\\s*(\\S+)', 1) AS sitemap FROM (SELECT site, unnest(string_split(robots_txt, chr(10))) AS line FROM {values(E.ROBOTS, 'k, site, robots_txt')}) WHERE regexp_matches(trim(line), '(?i)^sitemap:\\s*\\S')"
-SITEMAP_SQL = f"""WITH RECURSIVE files AS (SELECT regexp_replace(sitemap, '/+$', '') AS sitemap, xml, regexp_matches(xml, '(?i)<sitemap[\\s>]') AS idx FROM {values(E.SITEMAPS, 'k, sitemap, xml')}), roots AS ({ROBOTS_SQL}),
+FILES_SQL = f"(SELECT sitemap, '<' || kind || '>' || string_agg(line, '' ORDER BY spot, line) || '</' || kind || '>' AS xml FROM ({made(D.SITEMAP_LINES)}) AS made_ GROUP BY sitemap, kind UNION ALL SELECT sitemap, xml FROM {values(E.SITEMAPS, 'k, sitemap, xml')})"
+ROBOTS_SQL = f"SELECT DISTINCT site, regexp_extract(trim(replace(line, chr(13), '')), '(?i)^sitemap:\\s*(\\S+)', 1) AS sitemap FROM (SELECT site, unnest(string_split(robots_txt, chr(10))) AS line FROM (SELECT site, robots_txt FROM ({made(D.RESOURCES)}) AS made_ WHERE robots_ok UNION ALL SELECT site, robots_txt FROM {values(E.ROBOTS, 'k, site, robots_txt')})) WHERE regexp_matches(trim(line), '(?i)^sitemap:\\s*\\S')"
+
+
+def _walked(roots: str) -> str:
+    """site, url of the pages that sitemaps name from roots (site, sitemap) on, three indexes deep."""
+    return f"""WITH RECURSIVE files AS (SELECT regexp_replace(sitemap, '/+$', '') AS sitemap, xml, regexp_matches(xml, '(?i)<sitemap[\\s>]') AS idx FROM {FILES_SQL}), roots AS ({roots}),
   locs AS (SELECT sitemap, idx, unnest(regexp_extract_all(xml, '(?s)<loc>\\s*(.*?)\\s*</loc>', 1)) AS url FROM files), walk(site, sitemap, depth) AS (SELECT site, regexp_replace(sitemap, '/+$', ''), 0 FROM roots
   UNION SELECT w.site, regexp_replace(l.url, '/+$', ''), w.depth + 1 FROM walk w JOIN locs l ON l.sitemap = w.sitemap AND l.idx AND regexp_matches(l.url, '^https?://') WHERE w.depth < 3)
   SELECT DISTINCT w.site, l.url FROM walk w JOIN locs l ON l.sitemap = w.sitemap AND NOT l.idx AND regexp_matches(l.url, '^https?://')"""
 
 
+SITEMAP_SQL = _walked(ROBOTS_SQL)
+DEFAULT_SQL = _walked(f"SELECT site, 'https://' || site || '/sitemap.xml' AS sitemap FROM ({made(D.RESOURCES)}) AS made_ WHERE sitemap_ok UNION ALL SELECT 'a.example', 'https://a.example/t.xml'")
+
+
 REPORT_SQL = f"""SELECT q.site, {near('sq')} AS site_quality, {near('hq')} AS home_quality, {near('x')} AS vot, coalesce(cap, 100) AS cap, {composite('v', 'sq', 'hq', 'coalesce(cap, 100)')} AS composite,
           {near("x * 0.6::DOUBLE + (sq + hq) / 2 * 0.4::DOUBLE")} AS soft_score, hard_status, passed, warned, failed, warning_ratio, n_pages, type
           FROM (SELECT *, coalesce(v, {near('(sq + hq) / 2')}::DOUBLE) AS x FROM quality LEFT JOIN (SELECT site, vot AS v, cap FROM site_scores) USING (site)) q JOIN tally USING (site) JOIN types USING (site)"""
 
 
 def _cases() -> str:
-    return f"SELECT 'cases.example' AS site, CAST(k AS BIGINT) AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')}"
+    return f"SELECT 'cases.example' AS site, CAST(k AS BIGINT) AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')} UNION ALL SELECT * FROM {CRAWL}"
+
+
+CHAINED = f"SELECT site, page_id, url, html FROM ({made(D.CHAINED)}) AS made_"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -332,8 +396,8 @@ def oracle_sql() -> dict[str, str]:
         "page_links_internal": _sql("SELECT * FROM internal"),
         "page_signals": _sql("SELECT * EXCLUDE (f) FROM signals"),
         "signal_cases": _sql("SELECT * EXCLUDE (f), array_to_string(f, ' ') AS sources FROM signals", p=_cases()),
-        "meta_cases": _sql("SELECT page_id, title, description, og_description, lang, h1_text FROM meta", p=_cases()),
-        "link_cases": _sql("SELECT page_id, href, anchor_text FROM links", p=_cases()),
+        "meta_cases": _sql("SELECT site, page_id, title, description, og_description, lang, h1_text FROM meta", p=_cases()),
+        "link_cases": _sql("SELECT site, page_id, pos, href, anchor_text FROM links", p=_cases()),
         "heading_skip": _sql("SELECT * FROM heads"),
         "required_pages": _sql("SELECT * FROM required"),
         "main_content": _sql("SELECT site, page_id, main_text FROM main"),
@@ -361,23 +425,24 @@ def oracle_sql() -> dict[str, str]:
         "category_scores": _sql("SELECT site, bucket, CAST(sum(CASE status WHEN 'pass' THEN 100 WHEN 'warn' THEN 40 ELSE 0 END) AS BIGINT) AS score, count(*) * 100 AS max_score FROM items GROUP BY site, bucket"),
         "hard_status": _sql("SELECT site, hard_status, passed, warned, failed, pass_percent FROM tally"),
         "warning_ratio": _sql("SELECT site, warning_ratio, penalty FROM tally"),
-        "composite_score": f"SELECT CAST(case_id AS BIGINT) AS case_id, {composite('vot', 'sq', 'hq', 'CASE WHEN c < 6 THEN 50 WHEN r < 6 THEN 60 ELSE 100 END')} AS composite FROM {values(E.COMPOSITES, 'case_id, vot, sq, hq, c, r')}",
-        "approval_estimate": f"SELECT CAST(case_id AS BIGINT) AS case_id, {_factors('c')} FROM (SELECT case_id, c, h, a, o, n, low / 100 AS l FROM {values(E.APPROVALS, 'case_id, c, h, a, o, low, n')})",
+        "composite_score": f"SELECT CAST(case_id AS BIGINT) AS case_id, {composite('vot', 'sq', 'hq', 'CASE WHEN c < 6 THEN 50 WHEN r < 6 THEN 60 ELSE 100 END')} AS composite FROM (SELECT * FROM ({made(D.COMPOSITES)}) AS made_(case_id, vot, sq, hq, c, r) UNION ALL SELECT * FROM {values(E.COMPOSITES, 'case_id, vot, sq, hq, c, r')})",
+        "approval_estimate": f"SELECT CAST(case_id AS BIGINT) AS case_id, {_factors('c')} FROM (SELECT case_id, c, h, a, o, n, low / 100 AS l FROM (SELECT * FROM ({made(D.APPROVALS)}) AS made_(case_id, c, h, a, o, low, n) UNION ALL SELECT * FROM {values(E.APPROVALS, 'case_id, c, h, a, o, low, n')}))",
         "robots_sitemaps": ROBOTS_SQL,
         "sitemap_expand": SITEMAP_SQL,
-        "suggestion_dedup": f"SELECT CAST(ordinal AS BIGINT) AS ordinal, suggestion FROM {values(E.SUGGESTIONS, 'ordinal, suggestion')} QUALIFY row_number() OVER (PARTITION BY left(suggestion, 40) ORDER BY ordinal) = 1",
+        "suggestion_dedup": f"""SELECT site, row_number() OVER (PARTITION BY site ORDER BY late, ordinal, suggestion) AS position, suggestion FROM (SELECT site, 0 AS late, ordinal, suggestion FROM ({made(D.ACTIONS)}) AS made_
+          UNION ALL (SELECT site, 1, ordinal, suggestion FROM (SELECT * FROM ({made(D.SUGGESTIONS)}) AS made_ UNION ALL SELECT 'fixed.example', ordinal, suggestion FROM {values(E.SUGGESTIONS, 'ordinal, suggestion')}) QUALIFY row_number() OVER (PARTITION BY site, left(suggestion, 40) ORDER BY ordinal, suggestion) = 1))""",
         "site_quality_report": _sql(REPORT_SQL),
         "ai_reply_texts": _replies(True),
         "site_topics": _sql("SELECT * FROM topics"),
-        "topic_cases": f"WITH m AS {values(E.METAS, 'page_id, site, title, description, og_description, h1_text, nav_text')} {_topics('m')}",
+        "topic_cases": _sql("SELECT * FROM topics", meta=PARTS["meta"].replace("SELECT site, page_id,", "SELECT page_id, site,", 1) + f" UNION ALL SELECT page_id, site, title, description, og_description, 'en', nav_text, '', h1_text, 0 FROM {values(E.METAS, 'page_id, site, title, description, og_description, h1_text, nav_text')}"),
         "topic_replies": f"""SELECT site, CASE WHEN json_extract_string(b, '$.type') IN ('content', 'tool', 'game', 'video', 'reference') THEN json_extract_string(b, '$.type') ELSE 'unsupported' END AS type, coalesce(json_extract_string(b, '$.topic'), 'Unknown') AS topic, CASE WHEN b IS NULL THEN 'Topic analysis failed' ELSE coalesce(json_extract_string(b, '$.description'), '') END AS description,
           coalesce(json_extract_string(b, '$.confidence'), 'low') AS confidence, CASE WHEN b IS NOT NULL THEN coalesce(json_extract_string(b, '$.isYMYL') = 'true', false) END AS is_ymyl, CASE WHEN json_type(b, '$.nicheFocusScore') <> 'VARCHAR' THEN CAST(greatest(1, least(10, CAST(json_extract_string(b, '$.nicheFocusScore') AS DOUBLE))) AS DOUBLE) END AS focus
-          FROM (SELECT site, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM {values(E.TOPICS, 'k, site, response')})""",
+          FROM (SELECT site, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM {beside(D.TOPICS, E.TOPICS, 'site, response')})""",
         "site_type_resolved": _sql("SELECT t.site, coalesce(o.type, t.type) AS type, CASE WHEN o.type IS NULL THEN t.confidence ELSE o.confidence END AS confidence FROM types t LEFT JOIN topics o USING (site)"),
         "page_prompts": _sql("""SELECT x.site, page_id, 'Rate this page from 0 to 10 for value, originality, relevance, compliance and translation. Answer with one JSON object.' || chr(10) || coalesce('Topic: ' || topic || chr(10), '') || coalesce('Type: ' || type || chr(10), '') || coalesce('About: ' || description || chr(10), '')
           || 'Page: ' || url || chr(10) || chr(10) || left(text, 5000) AS prompt FROM texts x LEFT JOIN topics USING (site)"""),
         "summary_replies": f"""SELECT CAST(k AS BIGINT) AS reply_id, CASE WHEN p IS NOT NULL THEN CAST(greatest(0, least(100, p)) AS DOUBLE) END AS probability, {', '.join(f"coalesce(json_extract_string(b, '$.{f}'), '') AS {a}" for f, a in (('verdict', 'verdict'), ('analysis', 'analysis'), ('detailedSummary', 'summary')))},
-          {', '.join(f"coalesce(array_to_string(CAST(json_extract(b, '$.{f}') AS VARCHAR[]), '; '), '') AS {a}" for f, a in (('reasons', 'reasons'), ('topActions', 'actions')))} FROM (SELECT *, try_cast(json_extract_string(b, '$.probability') AS DOUBLE) AS p FROM (SELECT k, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM {values(E.SUMMARIES, 'k, response')}) WHERE b IS NOT NULL)""",
+          {', '.join(f"coalesce(array_to_string(CAST(json_extract(b, '$.{f}') AS VARCHAR[]), '; '), '') AS {a}" for f, a in (('reasons', 'reasons'), ('topActions', 'actions')))} FROM (SELECT *, try_cast(json_extract_string(b, '$.probability') AS DOUBLE) AS p FROM (SELECT k, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM (SELECT reply_id AS k, response FROM {beside(D.SUMMARIES, E.SUMMARIES, 'reply_id, response', 'reply_id')})) WHERE b IS NOT NULL)""",
         "page_details": _sql("SELECT * FROM details"),
         "problem_pages": _sql("SELECT site, page_id, display_status, issues FROM details WHERE content_status <> 'pass' OR issues <> '' OR ai_status <> 'pass'"),
         "pages_by_type": _sql("SELECT * FROM groups"),
@@ -386,11 +451,17 @@ def oracle_sql() -> dict[str, str]:
         "site_approval": _sql(f"""SELECT site, {_factors('composite')} FROM (SELECT r.site, composite, hard_status AS h, n, CASE WHEN known THEN ai_score ELSE 0 END AS a, CASE WHEN known THEN least_o END AS o, CASE WHEN known THEN low / n END AS l FROM ({REPORT_SQL}) r JOIN (SELECT site, count(*) AS n, bool_or(ai_status IS NOT NULL) AS known FROM details GROUP BY site) USING (site)
           JOIN (SELECT site, max(n_low) AS low, min(least) FILTER (dimension = 'originality') AS least_o FROM stats GROUP BY site) USING (site) JOIN (SELECT site, ai_score FROM site_scores) USING (site))"""),
         "crawl_candidates": _sql("""SELECT * FROM (SELECT site, u AS norm_url, row_number() OVER (PARTITION BY site ORDER BY u) AS rank FROM (SELECT DISTINCT site, regexp_replace(regexp_replace(href, '#.*$', ''), '/+$', '') AS u FROM content_links EXCEPT SELECT site, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') FROM p)) WHERE rank <= 50"""),
-        "resource_items": f"""WITH r AS (SELECT * FROM {values(E.RESOURCES, 'k, site, robots_ok, robots_txt, sitemap_ok, ads_ok')} UNION ALL SELECT 9, 'e.example', NULL, NULL, NULL, NULL), f AS (SELECT site, coalesce(robots_ok, false) AS robots, coalesce(sitemap_ok, false) OR coalesce(robots_ok AND regexp_matches(robots_txt, '(?im)^[ \\t\\r]*sitemap:\\s*\\S'), false) AS sitemap, coalesce(ads_ok, false) AS ads FROM r)
+        "resource_items": f"""WITH r AS (SELECT * FROM {beside(D.RESOURCES, E.RESOURCES, 'site, robots_ok, robots_txt, sitemap_ok, ads_ok')} UNION ALL SELECT 'e.example', NULL, NULL, NULL, NULL), f AS (SELECT site, coalesce(robots_ok, false) AS robots, coalesce(sitemap_ok, false) OR coalesce(robots_ok AND regexp_matches(robots_txt, '(?im)^[ \\t\\r]*sitemap:\\s*\\S'), false) AS sitemap, coalesce(ads_ok, false) AS ads FROM r)
           {' UNION ALL '.join(f"SELECT site, '{n}' AS item, 'L' AS bucket, CASE WHEN {n} THEN 'pass' ELSE 'warn' END AS status FROM f" for n in ('robots', 'sitemap', 'ads'))}""",
-        "sitemap_sources": f"SELECT site, url FROM ({SITEMAP_SQL}) WHERE site <> 'a.example' UNION SELECT 'a.example', 'https://a.example/9'",
-        "flat_sitemap": f"SELECT DISTINCT sitemap AS site, unnest(regexp_extract_all(xml, '<loc>([^<]+)', 1)) AS url FROM {values(E.SITEMAPS, 'k, sitemap, xml')}",
-        "dead_links": f"SELECT site, url, coalesce(CAST(status AS VARCHAR), 'timeout') AS reason FROM {values(E.RESPONSES, 'k, site, url, status')} WHERE status IS NULL OR status >= 400",
-        "link_items": f"""SELECT site, dead AS n_dead, round(ratio, 6) AS dead_ratio, CASE WHEN ratio < 0.2 AND same >= 5 THEN 'pass' ELSE 'warn' END AS status FROM (SELECT *, CASE WHEN n > 0 THEN dead / n ELSE 0.0::DOUBLE END AS ratio FROM (SELECT l.site, any_value(n) AS n, any_value(same) AS same, count(url) AS dead FROM {values(E.HOME_LINKS, 'k, site, n, same')} l
-          LEFT JOIN (SELECT * FROM {values(E.RESPONSES, 'k, site, url, status')} WHERE status IS NULL OR status >= 400) r USING (site) GROUP BY l.site))""",
+        "sitemap_sources": f"WITH d AS ({DEFAULT_SQL}) SELECT site, url FROM ({SITEMAP_SQL}) WHERE site NOT IN (SELECT site FROM d) UNION SELECT site, url FROM d",
+        "flat_sitemap": f"SELECT DISTINCT sitemap AS site, unnest(regexp_extract_all(xml, '<loc>([^<]+)', 1)) AS url FROM {FILES_SQL}",
+        "dead_links": _sql(f"SELECT site, url, coalesce(CAST(status AS VARCHAR), 'timeout') AS reason FROM {beside(D.RESPONSES, E.RESPONSES, 'site, url, status')} WHERE status IS NULL OR status >= 400"),
+        "link_items": _sql(f"""SELECT site, dead AS n_dead, round(ratio, 6) AS dead_ratio, CASE WHEN ratio < 0.2 AND same >= 5 THEN 'pass' ELSE 'warn' END AS status FROM (SELECT *, CASE WHEN n > 0 THEN dead / n ELSE 0.0::DOUBLE END AS ratio FROM (SELECT l.site, any_value(n) AS n, any_value(same) AS same, count(url) AS dead
+          FROM (SELECT site, n_links AS n, n_same_site AS same FROM internal JOIN home USING (site, page_id) UNION ALL SELECT site, n, same FROM {values(E.HOME_LINKS, 'k, site, n, same')}) l
+          LEFT JOIN (SELECT * FROM {beside(D.RESPONSES, E.RESPONSES, 'site, url, status')} WHERE status IS NULL OR status >= 400) r USING (site) GROUP BY l.site))"""),
+        "site_url_order": _sql("""SELECT site, norm_url, url, CASE k WHEN 0 THEN 'link' ELSE 'sitemap' END AS source, row_number() OVER (PARTITION BY site ORDER BY k, spot, norm_url) AS ordinal
+          FROM (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS norm_url FROM (SELECT l.site, href AS url, 0 AS k, pos AS spot FROM links l JOIN home USING (site, page_id) UNION ALL SELECT site, url, 1, page_id FROM p) WHERE %s = site AND %s
+          QUALIFY row_number() OVER (PARTITION BY site, norm_url ORDER BY k, spot, url) = 1)""" % (host_of("url"), is_content("url"))),
+        "crawl_depth": _sql("SELECT * FROM depths", p=CHAINED),
+        "crawl_reach": _sql("SELECT site, count(*) AS n_pages, count(depth) AS n_reached, count(*) - count(depth) AS n_unreachable, max(depth) AS deepest, round(avg(depth), 6) AS mean_depth FROM depths GROUP BY site", p=CHAINED),
     }
