@@ -128,7 +128,9 @@ def page_links(pages: DataFrame) -> DataFrame:
     """site, page_id, pos, href, anchor_text: links in order, resolved against the page; only http ones."""
     html = F.col("html")
     links = pages.select("site", "page_id", "url", F.posexplode(anchors(html)).alias("pos", "link"))
-    return links.select("site", "page_id", F.col("pos").cast("long").alias("pos"), resolved(F.col("link.h"), F.col("url")).alias("href"), _plain(F.col("link.a")).alias("anchor_text")).where(F.col("href").rlike("^https?://"))
+    # explode() of one row: the address is worked out once, not again in each filter on it
+    links = links.select("site", "page_id", F.col("pos").cast("long").alias("pos"), "link.a", F.explode(F.array(resolved(F.col("link.h"), F.col("url")))).alias("href"))
+    return links.where(F.col("href").rlike("^https?://")).select("site", "page_id", "pos", "href", _plain(F.col("a")).alias("anchor_text"))
 
 
 def internal_links(pages: DataFrame) -> DataFrame:

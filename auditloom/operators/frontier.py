@@ -10,6 +10,10 @@ from ..sources.scratch import stored
 from . import crawl
 
 
+#: Rounds whose pages are written together again, so that the plan doesn't grow with the rounds.
+TOGETHER = 8
+
+
 def link_graph(pages: DataFrame, redirects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the first page of each normal URL of a site, and the distinct links between them that a crawl follows.
 
@@ -46,6 +50,8 @@ def depths(pages: DataFrame, redirects: DataFrame | None = None, deepest: int |
         if wave.isEmpty():
             break
         reached = reached.unionByName(wave)
+        if depth % TOGETHER == 0:
+            reached = stored(reached, "depth")
     return nodes.join(reached, ["site", "norm_url"], "left").select("site", "page_id", "norm_url", F.col("depth").cast("long").alias("depth"))
 
 

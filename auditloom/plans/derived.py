@@ -35,6 +35,7 @@ APPROVALS = """SELECT page_id + 1000 AS case_id, page_id * 7 % 101 AS composite,
 #: A suggestion for each page, and actions for each site as a whole.
 SUGGESTIONS = """SELECT site, page_id AS ordinal, CASE page_id % 4 WHEN 0 THEN 'Say who writes here and why readers should trust it, page ' || page_id WHEN 1 THEN 'Add figures of your own' WHEN 2 THEN 'Add figures of your own ' ELSE 'Page ' || page_id || ' repeats what others of the site say; make it stand on its own' END AS suggestion FROM {pages}"""
 ACTIONS = """SELECT site, k AS ordinal, 'Add figures of your own, first of all on page ' || (h + k) AS suggestion FROM (SELECT site, min(page_id) AS h FROM {pages} GROUP BY site) AS t, (SELECT 0 AS k UNION ALL SELECT 1 AS k) AS n WHERE h % 3 <> 0"""
-#: The crawl's pages with links to pages after them, so that there is something to follow; one in five is left by itself.
-CHAINED = """SELECT site, page_id, url, html || CASE WHEN n1 IS NULL OR page_id % 5 = 0 THEN '' ELSE '<a href="' || n1 || '">next</a>' END || CASE WHEN n3 IS NULL OR page_id % 4 = 1 THEN '' ELSE '<a href=' || n3 || '#x>later</a>' END AS html
-  FROM (SELECT *, lead(url, 1) OVER (PARTITION BY site ORDER BY page_id) AS n1, lead(url, 3) OVER (PARTITION BY site ORDER BY page_id) AS n3 FROM {pages}) AS t"""
+#: The crawl's pages with links to two later ones each, page k of a site to pages 2k and 2k + 1, so that there is something to follow; nothing leads to one page in seven.
+CHAINED = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM {pages}),
+  n AS (SELECT site, CAST(floor(k / 2) AS BIGINT) AS k, min(url) AS first, max(url) AS last FROM t WHERE page_id % 7 <> 0 GROUP BY site, CAST(floor(k / 2) AS BIGINT))
+  SELECT t.site, t.page_id, t.url, CASE WHEN n.k IS NULL THEN t.html ELSE t.html || '<a class="n" href="' || n.first || '">first</a><a href=' || n.last || '#x>last</a>' END AS html FROM t LEFT JOIN n ON n.site = t.site AND n.k = t.k"""
