@@ -19,10 +19,10 @@ MARKUP = (
 )
 #: Character references, &amp; last.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-#: Phrases that fill space.
+#: Phrases that fill space, and units of ten to thirty characters of one line, four times or more in a row.
 FILLER_ZH = "总之|综上所述|总的来说|简单来说|众所周知|毫无疑问|显而易见"
 FILLER_EN = "(?i)in conclusion|as we all know|it goes without saying|needless to say"
-FILLER_REPEAT = r"(?s)(.{10,30})\1{3,}"
+FILLER_REPEAT = r"([^\n\r\u2028\u2029]{10,30})\1{3,}"
 GRAM, LEAST_GRAMS = 4, 3
 SKELETON = 1000
 

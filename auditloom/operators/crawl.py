@@ -149,8 +149,8 @@ def content_urls(pages: DataFrame) -> DataFrame:
     return links.where((urls.site(F.col("href")) == F.col("site")) & urls.is_content(F.col("href")) & ~((p.isin("/", "")) & F.col("href").contains("?"))).select("site", "href").distinct()
 
 
-def page_signals(pages: DataFrame) -> DataFrame:
-    """Counts and flags from which site types are told; frames count where they can be seen and are no adverts."""
+def page_signals(pages: DataFrame, *more: Column) -> DataFrame:
+    """Counts and flags from which site types are told; frames count where they can be seen and are no adverts. more: further columns of pages."""
     html = F.col("html")
     own = lambda tag, name: F.nullif(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
     source = lambda tag: F.coalesce(own(tag, "src"), own(tag, "data-src"), own(tag, "data-lazy-src"), F.lit(""))
@@ -175,6 +175,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
         html.rlike(HAS_CATEGORIES).alias("has_categories"),
         html.rlike(HAS_SEARCH).alias("has_search"),
         has_viewport(html).alias("has_viewport"),
+        *more,
     )
 
 

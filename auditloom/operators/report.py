@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources.scratch import stored
 from . import boilerplate, content, crawl
 
 #: Bucket of each check: H site-wide, C content, U use, L landing page.
@@ -21,15 +22,16 @@ def check_items(pages: DataFrame, compliance: DataFrame | None = None, types: Da
     """site, item, bucket, status; compliance (site, status, mean_compliance) adds its own item where given.
 
     types: site, type; sites without a type are content sites. Markup is read once for all
-    that a page says by itself; what a site says is one row, and rows of sites become items
+    that a page says by itself, once more for its links; what a site says is one row, and rows of sites become items
     only at the end. A mean compliance of 7 or more softens a failed word check.
     """
     html = F.col("html")
     levels = crawl.heading_levels(html)
-    texts = crawl.page_text(pages)
-    signals = crawl.page_signals(pages).select("page_id", "iframes", "canvases", "text_length")
-    facts = pages.select("site", "page_id", T.visible(html).alias("text"), crawl.h1_count(html).alias("h1_count"), crawl.nav_text(html).alias("nav_text"), crawl.has_viewport(html).alias("has_viewport"), crawl.skips(levels, 1).alias("heading_skip")).join(signals, "page_id")
-    main = boilerplate.main_content(texts)
+    # two narrow tables for all that follows: what each page's markup says by itself, and main texts
+    own = (F.col("url"), T.visible(html).alias("text"), crawl.h1_count(html).alias("h1_count"), crawl.nav_text(html).alias("nav_text"), crawl.skips(levels, 1).alias("heading_skip"))
+    facts = stored(crawl.page_signals(pages, *own).drop("iframe_srcs", "list_items", "game_links"), "facts")
+    texts = facts.select("site", "page_id", "url", "text")
+    main = stored(boilerplate.main_content(texts), "main")
     c = F.col
     fillers = F.sum(F.regexp_count("text", F.lit(T.FILLER_ZH)) + F.regexp_count("text", F.lit(T.FILLER_EN)) + F.regexp_count("text", F.lit(T.FILLER_REPEAT)))
     home = F.min_by(F.struct("h1_count", "nav_text", "has_viewport", "heading_skip"), "page_id")
