@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls
 from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, site_type, topics
-from ..sources import tables
+from ..sources import reports, scratch, tables
 from . import derived as D
 from . import examples as E
 from .sql import oracle_sql
@@ -73,6 +73,16 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return out.join(_types(s, d).select("site", "n_pages", "type"), "site")
 
 
+def _saved(s: SparkSession, d: str) -> DataFrame:
+    """Reports written one file a site, read again and scored again."""
+    scores, types = replies.site_scores(_scored(s, d)).select("site", "vot", "cap"), _types(s, d).select("site", "n_pages", "type")
+    folder = scratch.scratch(s, "site-reports")
+    reports.write_site_reports(reports.rows_of(types.join(scores, "site", "left").select("site", "vot", "cap", "n_pages", "type"), _items(s, d), _details(s, d)), folder, "audit")
+    found, _ = reports.read_site_reports(s, folder)
+    heads = reports.saved_heads(found)
+    return report.site_report(reports.saved_items(found), heads.select("site", "vot", "cap")).join(heads.select("site", "n_pages", "type"), "site")
+
+
 def _cases(s: SparkSession, d: str) -> DataFrame:
     """The crawl, and a site of pages that reach every branch."""
     rows = _numbered(s, E.PAGES, "page_id int, path string, html string")
@@ -225,4 +235,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sitemap_expand": _expanded,
         "suggestion_dedup": _suggestions,
         "site_quality_report": _report,
+        "saved_report_scores": _saved,
     }

@@ -432,6 +432,7 @@ def oracle_sql() -> dict[str, str]:
         "suggestion_dedup": f"""SELECT site, row_number() OVER (PARTITION BY site ORDER BY late, ordinal, suggestion) AS position, suggestion FROM (SELECT site, 0 AS late, ordinal, suggestion FROM ({made(D.ACTIONS)}) AS made_
           UNION ALL (SELECT site, 1, ordinal, suggestion FROM (SELECT * FROM ({made(D.SUGGESTIONS)}) AS made_ UNION ALL SELECT 'fixed.example', ordinal, suggestion FROM {values(E.SUGGESTIONS, 'ordinal, suggestion')}) QUALIFY row_number() OVER (PARTITION BY site, left(suggestion, 40) ORDER BY ordinal, suggestion) = 1))""",
         "site_quality_report": _sql(REPORT_SQL),
+        "saved_report_scores": _sql(REPORT_SQL),
         "ai_reply_texts": _replies(True),
         "site_topics": _sql("SELECT * FROM topics"),
         "topic_cases": _sql("SELECT * FROM topics", meta=PARTS["meta"].replace("SELECT site, page_id,", "SELECT page_id, site,", 1) + f" UNION ALL SELECT page_id, site, title, description, og_description, 'en', nav_text, '', h1_text, 0 FROM {values(E.METAS, 'page_id, site, title, description, og_description, h1_text, nav_text')}"),

@@ -33,14 +33,19 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; it is removed when the driver's Python ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is removed when the driver's Python ends."""
     path = f"{shared_folder(spark)}/scratch/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     app = spark.sparkContext.applicationId
     if app not in _written:
         _written[app] = []
         atexit.register(_remove, spark, _written[app])
     _written[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,16 +36,6 @@ def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Reports written by write_reports() or saved one to a file."""
-    return spark.read.option("multiLine", True).json(path)
-
-
-def write_reports(df: DataFrame, path: str) -> None:
-    """One JSON object a line, partitioned as the plan is."""
-    df.write.mode("errorifexists").json(path)
-
-
 @dataclasses.dataclass
 class Settings:
     """Parameters of an audit, with their defaults."""
