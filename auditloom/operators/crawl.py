@@ -73,6 +73,11 @@ def has_viewport(html: Column) -> Column:
     return html.rlike(r"""(?i)<meta\s[^>]*name\s*=\s*["']viewport["']""")
 
 
+def language(html: Column) -> Column:
+    """The page's language, else the header's, else en; empty stays empty."""
+    return F.when(html.rlike(LANG[0]), F.regexp_extract(html, LANG[0], 1)).when(html.rlike(LANG[1]), F.regexp_extract(html, LANG[1], 1)).otherwise("en")
+
+
 def heading_levels(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])[\s>]"), F.lit(1)), lambda x: x.cast("int"))
 
@@ -99,7 +104,7 @@ def page_meta(pages: DataFrame) -> DataFrame:
         _plain(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
         F.regexp_extract(html, DESCRIPTION, 1).alias("description"),
         F.regexp_extract(html, OG_DESCRIPTION, 1).alias("og_description"),
-        F.when(html.rlike(LANG[0]), F.regexp_extract(html, LANG[0], 1)).when(html.rlike(LANG[1]), F.regexp_extract(html, LANG[1], 1)).otherwise("en").alias("lang"),
+        language(html).alias("lang"),
         nav_text(html).alias("nav_text"),
         _plain(F.regexp_extract(html, "(?is)<footer[^>]*>(.*?)</footer>", 1)).alias("footer_text"),
         F.array_join(heads, " ").alias("h1_text"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import crawl
 
 #: Types that a reply may name; menus of tools and of reference works.
 SITE_TYPES = ("content", "tool", "game", "video", "reference")
@@ -66,13 +67,27 @@ def resolved_types(types: DataFrame, topics: DataFrame) -> DataFrame:
     return types.join(told, "site", "left").select("site", F.coalesce("told", "type").alias("type"), F.when(F.col("told").isNotNull(), F.col("sure")).otherwise(F.col("confidence")).alias("confidence"))
 
 
-def prompts(texts: DataFrame, topics: DataFrame, most: int = 5000) -> DataFrame:
-    """site, page_id, prompt: what a model is asked about a page, with the site's topic and the text's first characters."""
+#: What a reply must hold: all that parse_replies() reads.
+ASKED = """You judge pages for an advertising programme. Answer with one JSON object and nothing else.
+pageType: one of homepage, listing, content, game_detail, video_detail, reference_detail, required, utility.
+evaluation_details: an object with value, originality, relevance, compliance and translation, each from 0 to 10, and with the reason of each in value_reason, originality_reason, relevance_reason, compliance_reason and translation_reason.
+relevanceLabel: relevant, tangential or off-topic. confidence: high, medium or low. assessment: a short text. suggestions: one to three texts.
+"""
+
+
+def prompts(pages: DataFrame, topics: DataFrame, date: str, language: str = "English", most: int = 5000) -> DataFrame:
+    """site, page_id, prompt: what a model is asked about a page, with the date, the reply's language, the site's topic, what the markup shows, and the text's first characters."""
     told = topics.select("site", "topic", "type", "description")
+    html = F.col("html")
+    own = crawl.page_signals(pages, F.col("url"), T.visible(html).alias("text"), crawl.language(html).alias("lang"))
     part = lambda head, value: F.when(value.isNotNull(), F.concat(F.lit(head), value, F.lit("\n"))).otherwise("")
-    asked = "Rate this page from 0 to 10 for value, originality, relevance, compliance and translation. Answer with one JSON object.\n"
-    df = texts.join(told, "site", "left")
-    return df.select("site", "page_id", F.concat(F.lit(asked), part("Topic: ", F.col("topic")), part("Type: ", F.col("type")), part("About: ", F.col("description")), F.lit("Page: "), F.col("url"), F.lit("\n\n"), F.substring("text", 1, most)).alias("prompt"))
+    said = lambda c: F.col(c).cast("string")
+    embed = F.when((F.col("iframes") > 0) | (F.col("canvases") > 0), "game").when(F.col("videos") > 0, "video").otherwise("none")
+    listing = F.concat(F.lit("Listing: "), said("list_items"), F.lit(" items, pagination "), said("has_pagination"), F.lit(", categories "), said("has_categories"), F.lit(", search "), said("has_search"), F.lit("\n"))
+    declared = F.concat(F.lit("Declared language: "), F.when(F.col("lang") == "", "English").otherwise(F.col("lang")), F.lit("\n"))
+    head = F.lit(f"{ASKED}Date: {date}\nLanguage of the reply: {language}\n")
+    df = own.join(told, "site", "left")
+    return df.select("site", "page_id", F.concat(head, part("Topic: ", F.col("topic")), part("Type: ", F.col("type")), part("About: ", F.col("description")), declared, F.lit("Embed: "), embed, F.lit("\n"), listing, F.lit("Page: "), F.col("url"), F.lit("\n\n"), F.substring("text", 1, most)).alias("prompt"))
 
 
 def json_list(body: Column | str, name: str) -> Column:

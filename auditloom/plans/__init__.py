@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, site_type, topics
+from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, scorer, site_type, topics
 from ..sources import reports, scratch, tables
 from . import derived as D
 from . import examples as E
@@ -94,6 +94,17 @@ def _topics(s: SparkSession, d: str) -> DataFrame:
     return topics.home_topics(crawl.page_meta(_pages(s, d)))
 
 
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    return topics.prompts(_pages(s, d), _topics(s, d), E.AS_OF)
+
+
+def _scored_replies(s: SparkSession, d: str) -> DataFrame:
+    """Scores of the rehearsed replies to all pages; without a reply there are none."""
+    got = scorer.replies(_prompts(s, d), scorer.Rehearsal(), wait=0.0)
+    told = crawl.page_meta(_pages(s, d)).select("page_id", "lang")
+    return replies.parse_replies(got.join(told, "page_id").select(F.col("page_id").alias("reply_id"), "lang", F.coalesce("response", F.lit("")).alias("response"))).select("reply_id", *replies.S.DIMENSIONS, "status")
+
+
 def _topic_cases(s: SparkSession, d: str) -> DataFrame:
     rows = _numbered(s, E.METAS, "page_id int, site string, title string, description string, og_description string, h1_text string, nav_text string")
     return topics.home_topics(crawl.page_meta(_pages(s, d)).select("page_id", "site", "title", "description", "og_description", "h1_text", "nav_text").unionByName(rows.withColumn("page_id", F.col("page_id").cast("long"))))
@@ -205,7 +216,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topic_cases": _topic_cases,
         "topic_replies": lambda s, d: topics.parse_topics(_beside(s, d, D.TOPICS, tables.inline(s, E.TOPICS, "site string, response string"))),
         "site_type_resolved": lambda s, d: topics.resolved_types(_types(s, d), _topics(s, d).where("type is not null")),
-        "page_prompts": lambda s, d: topics.prompts(_texts(s, d), _topics(s, d)),
+        "page_prompts": _prompts,
+        "page_replies": lambda s, d: scorer.replies(_prompts(s, d), scorer.Rehearsal(), wait=0.0),
+        "page_reply_scores": _scored_replies,
         "summary_replies": lambda s, d: topics.parse_summaries(_beside(s, d, D.SUMMARIES, _numbered(s, E.SUMMARIES, "reply_id int, response string"))),
         "page_details": _details,
         "problem_pages": lambda s, d: _details(s, d).where(details.is_problem()).select("site", "page_id", "display_status", "issues"),

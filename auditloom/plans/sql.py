@@ -381,6 +381,16 @@ def _cases() -> str:
     return f"SELECT 'cases.example' AS site, CAST(k AS BIGINT) AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')} UNION ALL SELECT * FROM {CRAWL}"
 
 
+PROMPTS_SQL = f"""SELECT x.site, x.page_id, {q("""You judge pages for an advertising programme. Answer with one JSON object and nothing else.
+pageType: one of homepage, listing, content, game_detail, video_detail, reference_detail, required, utility.
+evaluation_details: an object with value, originality, relevance, compliance and translation, each from 0 to 10, and with the reason of each in value_reason, originality_reason, relevance_reason, compliance_reason and translation_reason.
+relevanceLabel: relevant, tangential or off-topic. confidence: high, medium or low. assessment: a short text. suggestions: one to three texts.
+Date: 2025-06-30
+Language of the reply: English
+""")} || coalesce('Topic: ' || t.topic || chr(10), '') || coalesce('Type: ' || t.type || chr(10), '') || coalesce('About: ' || t.description || chr(10), '') || 'Declared language: ' || CASE WHEN m.lang = '' THEN 'English' ELSE m.lang END || chr(10)
+  || 'Embed: ' || CASE WHEN iframes > 0 OR canvases > 0 THEN 'game' WHEN videos > 0 THEN 'video' ELSE 'none' END || chr(10) || 'Listing: ' || list_items || ' items, pagination ' || has_pagination || ', categories ' || has_categories || ', search ' || has_search || chr(10)
+  || 'Page: ' || x.url || chr(10) || chr(10) || left(x.text, 5000) AS prompt FROM texts x JOIN signals g USING (page_id) JOIN meta m USING (page_id) LEFT JOIN topics t ON t.site = x.site"""
+REHEARSED = """'{"value": ' || n % 10 || ', "originality": ' || n % 7 || ', "relevance": ' || n % 9 || ', "compliance": 9, "translation": 8, "confidence": "high"}'"""
 CHAINED = f"SELECT site, page_id, url, html FROM ({made(D.CHAINED)}) AS made_"
 
 
@@ -440,8 +450,11 @@ def oracle_sql() -> dict[str, str]:
           coalesce(json_extract_string(b, '$.confidence'), 'low') AS confidence, CASE WHEN b IS NOT NULL THEN coalesce(json_extract_string(b, '$.isYMYL') = 'true', false) END AS is_ymyl, CASE WHEN json_type(b, '$.nicheFocusScore') <> 'VARCHAR' THEN CAST(greatest(1, least(10, CAST(json_extract_string(b, '$.nicheFocusScore') AS DOUBLE))) AS DOUBLE) END AS focus
           FROM (SELECT site, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM {beside(D.TOPICS, E.TOPICS, 'site, response')})""",
         "site_type_resolved": _sql("SELECT t.site, coalesce(o.type, t.type) AS type, CASE WHEN o.type IS NULL THEN t.confidence ELSE o.confidence END AS confidence FROM types t LEFT JOIN topics o USING (site)"),
-        "page_prompts": _sql("""SELECT x.site, page_id, 'Rate this page from 0 to 10 for value, originality, relevance, compliance and translation. Answer with one JSON object.' || chr(10) || coalesce('Topic: ' || topic || chr(10), '') || coalesce('Type: ' || type || chr(10), '') || coalesce('About: ' || description || chr(10), '')
-          || 'Page: ' || url || chr(10) || chr(10) || left(text, 5000) AS prompt FROM texts x LEFT JOIN topics USING (site)"""),
+        "page_prompts": _sql(f"SELECT * FROM ({PROMPTS_SQL})"),
+        "page_replies": _sql(f"""SELECT site, page_id, CASE WHEN n % 11 <> 0 THEN {REHEARSED} END AS response, CASE WHEN n % 11 = 0 THEN 'ValueError: no answer' END AS error, CAST(CASE WHEN n % 11 = 0 THEN 3 WHEN n % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts
+          FROM (SELECT site, page_id, length(prompt) AS n FROM ({PROMPTS_SQL}))"""),
+        "page_reply_scores": _sql(f"""SELECT reply_id, CASE WHEN n % 11 <> 0 THEN n % 10 END AS value, CASE WHEN n % 11 <> 0 THEN n % 7 END AS originality, CASE WHEN n % 11 <> 0 THEN n % 9 END AS relevance, CASE WHEN n % 11 <> 0 THEN CAST(9 AS BIGINT) END AS compliance, CASE WHEN n % 11 <> 0 THEN CAST(CASE WHEN lang IN ('', 'en') THEN 10 ELSE 8 END AS BIGINT) END AS translation,
+          CASE WHEN n % 11 = 0 THEN 'warn' WHEN mean >= 7 THEN 'pass' WHEN mean >= 4 THEN 'warn' ELSE 'fail' END AS status FROM (SELECT page_id AS reply_id, lang, n, pow((n % 10)::DOUBLE * (n % 7) * (n % 9) * 9 * CASE WHEN lang IN ('', 'en') THEN 10 ELSE 8 END, 0.2) AS mean FROM (SELECT page_id, length(prompt) AS n FROM ({PROMPTS_SQL})) JOIN meta USING (page_id))"""),
         "summary_replies": f"""SELECT CAST(k AS BIGINT) AS reply_id, CASE WHEN p IS NOT NULL THEN CAST(greatest(0, least(100, p)) AS DOUBLE) END AS probability, {', '.join(f"coalesce(json_extract_string(b, '$.{f}'), '') AS {a}" for f, a in (('verdict', 'verdict'), ('analysis', 'analysis'), ('detailedSummary', 'summary')))},
           {', '.join(f"coalesce(array_to_string(CAST(json_extract(b, '$.{f}') AS VARCHAR[]), '; '), '') AS {a}" for f, a in (('reasons', 'reasons'), ('topActions', 'actions')))} FROM (SELECT *, try_cast(json_extract_string(b, '$.probability') AS DOUBLE) AS p FROM (SELECT k, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM (SELECT reply_id AS k, response FROM {beside(D.SUMMARIES, E.SUMMARIES, 'reply_id, response', 'reply_id')})) WHERE b IS NOT NULL)""",
         "page_details": _sql("SELECT * FROM details"),
