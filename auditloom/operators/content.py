@@ -36,6 +36,18 @@ def ratio_status(main: DataFrame) -> DataFrame:
     return df.select("site", "n_low", F.when(F.col("n_low") > 0, "fail").otherwise("pass").alias("ratio_status"), "n_sub", "n_thin", thin.alias("depth_status"))
 
 
+def findings(main: DataFrame, as_of: str) -> DataFrame:
+    """site, finding, page_id, detail: the pages behind the counts: too small a main part (low_ratio), thin subpages, long pages without a recent date (stale)."""
+    first = main.groupBy("site").agg(F.min("page_id").alias("home"))
+    recent = freshness(main.select(F.col("page_id").alias("text_id"), "text"), as_of).select(F.col("text_id").alias("page_id"), "recent")
+    df = ratios(main).join(main.select("page_id", F.length("text").alias("n")), "page_id").join(recent, "page_id").join(first, "site")
+    size = F.col("main_length").cast("string")
+    low = (F.col("main_length") / F.greatest(F.col("total_length"), F.lit(1)) < 0.3) & (F.col("total_length") > 200)
+    tests = [("low_ratio", low, F.concat(F.col("ratio_percent").cast("string"), F.lit("% ("), size, F.lit(" chars)"))), ("thin", (F.col("page_id") != F.col("home")) & (F.col("main_length") < 300), F.concat(size, F.lit(" chars"))), ("stale", ~F.col("recent") & (F.col("n") > 200), F.lit(""))]
+    rows = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(n).alias("finding"), d.alias("detail"))) for n, t, d in tests)))
+    return df.select("site", "page_id", F.explode(rows).alias("f")).select("site", "f.finding", "page_id", "f.detail")
+
+
 def filler(texts: DataFrame, key: str) -> DataFrame:
     """Counts of filler phrases, Chinese and English, per text."""
     t = F.coalesce("text", F.lit(""))

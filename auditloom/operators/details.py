@@ -86,8 +86,15 @@ def approval_inputs(report: DataFrame, stats: DataFrame, ai_scores: DataFrame, d
     return df.select("site", "composite", "hard_status", F.coalesce(known(F.col("ai_score")), F.lit(0)).alias("ai_score"), known(F.col("least")).alias("least_originality"), known(F.col("n_low") / F.col("n_pages")).alias("low_ratio"), "n_pages")
 
 
-def candidates(linked: DataFrame, crawled: DataFrame, most: int) -> DataFrame:
-    """site, norm_url, rank: linked addresses that weren't crawled, the first `most` of a site by address."""
-    own = linked.select("site", urls.normalised(F.col("href")).alias("norm_url")).distinct()
+def with_replies(details: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Page records with what the model said of the page: scores, reasons, assessment and suggestions; null (no suggestions) where it said nothing. parsed: parse_replies() rows by page_id."""
+    told = [*S.DIMENSIONS, *(f"{d}_reason" for d in S.DIMENSIONS), "assessment", "suggestions"]
+    return details.join(parsed.select("page_id", *told), "page_id", "left").select(*details.columns, *told[:-1], F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+
+
+def candidates(links: DataFrame, crawled: DataFrame, most: int) -> DataFrame:
+    """site, norm_url, rank: linked content addresses that weren't crawled, the first `most` of a site in the order found (by page, then place)."""
+    inside = (urls.site(F.col("href")) == F.col("site")) & urls.is_content(F.col("href")) & ~(urls.path(F.col("href")).isin("/", "") & F.col("href").contains("?"))
+    own = links.where(inside).groupBy("site", urls.normalised(F.col("href")).alias("norm_url")).agg(F.min(F.struct("page_id", "pos")).alias("found"))
     fresh = own.join(crawled.select("site", urls.normalised(F.col("url")).alias("norm_url")), ["site", "norm_url"], "left_anti")
-    return fresh.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("norm_url"))).where(F.col("rank") <= most)
+    return fresh.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("found", "norm_url"))).where(F.col("rank") <= most).select("site", "norm_url", "rank")

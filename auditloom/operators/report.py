@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..sources.scratch import stored
-from . import boilerplate, content, crawl
+from . import boilerplate, content, crawl, timing
 
 #: Bucket of each check: H site-wide, C content, U use, L landing page.
 BUCKETS = {"site_scale": "H", "about": "H", "privacy": "H", "contact": "H", "terms": "H", "policy_keywords": "H", "ai_compliance": "H", "content_ratio": "C", "subpage_depth": "C", "filler": "C", "duplication": "C", "template": "C", "game_description": "C", "iframe_quality": "C", "video_description": "C", "reference_entry": "C", "freshness": "C", "home_content": "L", "h1": "L", "internal_links": "L", "viewport": "L", "heading_order": "U", "navigation": "U"}
@@ -18,20 +18,22 @@ BUCKETS = {"site_scale": "H", "about": "H", "privacy": "H", "contact": "H", "ter
 OTHER_TYPES = ("game", "video", "reference")
 
 
-def check_items(pages: DataFrame, compliance: DataFrame | None = None, types: DataFrame | None = None, as_of: str = "2100-01-01") -> DataFrame:
+def check_items(pages: DataFrame, compliance: DataFrame | None = None, types: DataFrame | None = None, as_of: str = "2100-01-01", phases: timing.Phases | None = None) -> DataFrame:
     """site, item, bucket, status; compliance (site, status, mean_compliance) adds its own item where given.
 
     types: site, type; sites without a type are content sites. Markup is read once for all
     that a page says by itself, once more for its links; what a site says is one row, and rows of sites become items
     only at the end. A mean compliance of 7 or more softens a failed word check.
+    phases measures the two tables that are written on the way.
     """
     html = F.col("html")
     levels = crawl.heading_levels(html)
     # two narrow tables for all that follows: what each page's markup says by itself, and main texts
     own = (F.col("url"), T.visible(html).alias("text"), crawl.h1_count(html).alias("h1_count"), crawl.nav_text(html).alias("nav_text"), crawl.skips(levels, 1).alias("heading_skip"))
-    facts = stored(crawl.page_signals(pages, *own).drop("iframe_srcs", "list_items", "game_links"), "facts")
+    keep = phases.stored if phases else stored
+    facts = keep(crawl.page_signals(pages, *own).drop("iframe_srcs", "list_items", "game_links"), "facts")
     texts = facts.select("site", "page_id", "url", "text")
-    main = stored(boilerplate.main_content(texts), "main")
+    main = keep(boilerplate.main_content(texts), "main")
     c = F.col
     fillers = F.sum(F.regexp_count("text", F.lit(T.FILLER_ZH)) + F.regexp_count("text", F.lit(T.FILLER_EN)) + F.regexp_count("text", F.lit(T.FILLER_REPEAT)))
     home = F.min_by(F.struct("h1_count", "nav_text", "has_viewport", "heading_skip"), "page_id")

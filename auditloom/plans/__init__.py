@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, scorer, site_type, topics
+from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, scorer, site_type, timing, topics
 from ..sources import reports, scratch, tables
 from . import derived as D
 from . import examples as E
@@ -73,6 +73,13 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return out.join(_types(s, d).select("site", "n_pages", "type"), "site")
 
 
+def _phases(s: SparkSession, d: str) -> DataFrame:
+    """The phases of the check items and the rows of each; how long each took isn't the same twice."""
+    phases = timing.Phases()
+    phases.stored(report.check_items(_pages(s, d), replies.compliance_item(_scored(s, d)), _types(s, d), E.AS_OF, phases), "items")
+    return phases.report(s).select("phase", "position", "n_rows")
+
+
 def _saved(s: SparkSession, d: str) -> DataFrame:
     """Reports written one file a site, read again and scored again."""
     scores, types = replies.site_scores(_scored(s, d)).select("site", "vot", "cap"), _types(s, d).select("site", "n_pages", "type")
@@ -221,11 +228,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_reply_scores": _scored_replies,
         "summary_replies": lambda s, d: topics.parse_summaries(_beside(s, d, D.SUMMARIES, _numbered(s, E.SUMMARIES, "reply_id int, response string"))),
         "page_details": _details,
+        "page_records": lambda s, d: details.with_replies(_details(s, d), _parsed(s, d).withColumn("page_id", F.col("reply_id") - 1000)).withColumn("suggestions", F.array_join("suggestions", "; ")),
+        "content_findings": lambda s, d: content.findings(_main(s, d), E.AS_OF),
+        "report_phases": _phases,
         "problem_pages": lambda s, d: _details(s, d).where(details.is_problem()).select("site", "page_id", "display_status", "issues"),
         "pages_by_type": lambda s, d: details.pages_by_type(_details(s, d)),
         "report_markdown": lambda s, d: details.markdown(_report(s, d), details.pages_by_type(_details(s, d))),
         "site_approval": _approved,
-        "crawl_candidates": lambda s, d: details.candidates(crawl.content_urls(_pages(s, d)), _pages(s, d), CANDIDATES),
+        "crawl_candidates": lambda s, d: details.candidates(crawl.page_links(_pages(s, d)), _pages(s, d), CANDIDATES),
         "resource_items": _resources,
         "sitemap_sources": _sources,
         "flat_sitemap": lambda s, d: resources.flat_sitemap(_files(s, d).withColumnRenamed("sitemap", "site")),

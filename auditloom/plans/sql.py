@@ -458,13 +458,19 @@ def oracle_sql() -> dict[str, str]:
         "summary_replies": f"""SELECT CAST(k AS BIGINT) AS reply_id, CASE WHEN p IS NOT NULL THEN CAST(greatest(0, least(100, p)) AS DOUBLE) END AS probability, {', '.join(f"coalesce(json_extract_string(b, '$.{f}'), '') AS {a}" for f, a in (('verdict', 'verdict'), ('analysis', 'analysis'), ('detailedSummary', 'summary')))},
           {', '.join(f"coalesce(array_to_string(CAST(json_extract(b, '$.{f}') AS VARCHAR[]), '; '), '') AS {a}" for f, a in (('reasons', 'reasons'), ('topActions', 'actions')))} FROM (SELECT *, try_cast(json_extract_string(b, '$.probability') AS DOUBLE) AS p FROM (SELECT k, nullif(regexp_extract(response, '(?s)\\{{.*\\}}', 0), '') AS b FROM (SELECT reply_id AS k, response FROM {beside(D.SUMMARIES, E.SUMMARIES, 'reply_id, response', 'reply_id')})) WHERE b IS NOT NULL)""",
         "page_details": _sql("SELECT * FROM details"),
+        "page_records": _sql(f"SELECT d.*, {', '.join(f'a.{x}' for x in DIMS)}, {', '.join(f'b.{x}_reason' for x in DIMS)}, b.assessment, coalesce(b.suggestions, '') AS suggestions FROM details d LEFT JOIN ({_replies()}) a ON a.reply_id = d.page_id + 1000 LEFT JOIN ({_replies(True)}) b ON b.reply_id = d.page_id + 1000"),
+        "content_findings": _sql(f"""SELECT site, 'low_ratio' AS finding, page_id, ratio_percent || '% (' || main_length || ' chars)' AS detail FROM ratio WHERE main_length / greatest(total_length, 1) < 0.3 AND total_length > 200
+          UNION ALL SELECT r.site, 'thin', r.page_id, main_length || ' chars' FROM ratio r JOIN home h ON h.site = r.site AND h.page_id <> r.page_id WHERE main_length < 300
+          UNION ALL SELECT x.site, 'stale', x.page_id, '' FROM texts x JOIN ({_fresh('texts', 'page_id', E.AS_OF)}) f USING (page_id) WHERE NOT recent AND length(text) > 200"""),
+        "report_phases": _sql("SELECT 'facts' AS phase, CAST(1 AS BIGINT) AS position, count(*) AS n_rows FROM p UNION ALL SELECT 'main', 2, count(*) FROM p UNION ALL SELECT 'items', 3, count(*) FROM items"),
         "problem_pages": _sql("SELECT site, page_id, display_status, issues FROM details WHERE content_status <> 'pass' OR issues <> '' OR ai_status <> 'pass'"),
         "pages_by_type": _sql("SELECT * FROM groups"),
         "report_markdown": _sql(f"""SELECT r.site, '# ' || r.site || chr(10) || chr(10) || 'Score: ' || composite || '/100. Requirements: ' || hard_status || '. Checks: ' || passed || ' passed, ' || warned || ' warned, ' || failed || ' failed.' || chr(10) || chr(10) || g.lines AS markdown
           FROM ({REPORT_SQL}) r JOIN (SELECT site, string_agg('- ' || page_type || ': ' || n_problems || ' with problems, ' || n_ok || ' without', chr(10) ORDER BY position) AS lines FROM groups GROUP BY site) g USING (site)"""),
         "site_approval": _sql(f"""SELECT site, {_factors('composite')} FROM (SELECT r.site, composite, hard_status AS h, n, CASE WHEN known THEN ai_score ELSE 0 END AS a, CASE WHEN known THEN least_o END AS o, CASE WHEN known THEN low / n END AS l FROM ({REPORT_SQL}) r JOIN (SELECT site, count(*) AS n, bool_or(ai_status IS NOT NULL) AS known FROM details GROUP BY site) USING (site)
           JOIN (SELECT site, max(n_low) AS low, min(least) FILTER (dimension = 'originality') AS least_o FROM stats GROUP BY site) USING (site) JOIN (SELECT site, ai_score FROM site_scores) USING (site))"""),
-        "crawl_candidates": _sql("""SELECT * FROM (SELECT site, u AS norm_url, row_number() OVER (PARTITION BY site ORDER BY u) AS rank FROM (SELECT DISTINCT site, regexp_replace(regexp_replace(href, '#.*$', ''), '/+$', '') AS u FROM content_links EXCEPT SELECT site, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') FROM p)) WHERE rank <= 50"""),
+        "crawl_candidates": _sql("""SELECT site, norm_url, row_number() OVER (PARTITION BY site ORDER BY page_id, pos, norm_url) AS rank FROM (SELECT l.site, regexp_replace(regexp_replace(l.href, '#.*$', ''), '/+$', '') AS norm_url, page_id, pos FROM links l JOIN content_links USING (site, href)
+          QUALIFY row_number() OVER (PARTITION BY l.site, norm_url ORDER BY page_id, pos) = 1) c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.site = c.site AND regexp_replace(regexp_replace(p.url, '#.*$', ''), '/+$', '') = c.norm_url) QUALIFY rank <= 50"""),
         "resource_items": f"""WITH r AS (SELECT * FROM {beside(D.RESOURCES, E.RESOURCES, 'site, robots_ok, robots_txt, sitemap_ok, ads_ok')} UNION ALL SELECT 'e.example', NULL, NULL, NULL, NULL), f AS (SELECT site, coalesce(robots_ok, false) AS robots, coalesce(sitemap_ok, false) OR coalesce(robots_ok AND regexp_matches(robots_txt, '(?im)^[ \\t\\r]*sitemap:\\s*\\S'), false) AS sitemap, coalesce(ads_ok, false) AS ads FROM r)
           {' UNION ALL '.join(f"SELECT site, '{n}' AS item, 'L' AS bucket, CASE WHEN {n} THEN 'pass' ELSE 'warn' END AS status FROM f" for n in ('robots', 'sitemap', 'ads'))}""",
         "sitemap_sources": f"WITH d AS ({DEFAULT_SQL}) SELECT site, url FROM ({SITEMAP_SQL}) WHERE site NOT IN (SELECT site FROM d) UNION SELECT site, url FROM d",

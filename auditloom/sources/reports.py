@@ -31,9 +31,10 @@ SCHEMA = f"site string, report {HEAD}, items array<{ITEM}>, pages array<{PAGE}>,
 
 
 def file_name(site: str, stamp: str) -> str:
-    """<site>-<stamp>.json; a site that isn't a plain host gets a digest, so that no two share a name."""
-    plain = re.sub(r"[^a-z0-9.-]", "_", site)
-    return f"{plain}-{stamp}.json" if plain == site and site else f"{plain}-{hashlib.sha256(site.encode()).hexdigest()[:12]}-{stamp}.json"
+    """<site>-<stamp>.json; a site that isn't a plain host gets a digest, so that no two share a name, and a first letter, since files that begin with _ or . are hidden from readers."""
+    if re.fullmatch("[a-z0-9][a-z0-9.-]*", site):
+        return f"{site}-{stamp}.json"
+    return f"site{re.sub('[^a-z0-9.-]', '_', site)}-{hashlib.sha256(site.encode()).hexdigest()[:12]}-{stamp}.json"
 
 
 @dataclasses.dataclass
