@@ -166,12 +166,21 @@ class Segment:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
         self.bits = segment_bits(len(grams))
-        self.cells = np.zeros(self.bits, dtype=bool)
+        self.cells = np.zeros(self.bits // 8 + 1, dtype=np.uint8)
         of = levels(counts)
         for level in range(1, int(of.max()) + 1 if len(of) else 1):
             here = grams[of >= level]
             for k in range(HASHES):
-                self.cells[places(here, level, k, self.bits)] = True
+                self._set(places(here, level, k, self.bits))
+
+    def _set(self, at: np.ndarray) -> None:
+        """One bit of its byte at a time: equal places write the same."""
+        for bit in range(8):
+            own = at[(at & 7) == bit] >> 3
+            self.cells[own] |= np.uint8(1 << bit)
+
+    def _has(self, at: np.ndarray) -> np.ndarray:
+        return (self.cells[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
 
     def level(self, grams: np.ndarray) -> np.ndarray:
         """The highest level up to which the filter has each n-gram; 0 if it has none."""
@@ -179,7 +188,7 @@ class Segment:
         alive, level = np.arange(len(grams)), 1
         while len(alive) and level < 64:
             for k in range(HASHES):
-                alive = alive[self.cells[places(grams[alive], level, k, self.bits)]]
+                alive = alive[self._has(places(grams[alive], level, k, self.bits))]
             out[alive] = level
             level += 1
         return out
