@@ -127,7 +127,11 @@ def identified(df: DataFrame, names: tuple[str, str] | None = None) -> tuple[Dat
     if names:
         return df, *names
     file, at = unused(df, "in_file"), unused(df, "at_row")
-    columns = lambda x: x.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+
+    def columns(x: DataFrame) -> DataFrame:
+        scan = x.metadataColumn("_metadata")  # also where the table has a column of that name
+        return x.select("*", F.xxhash64(scan.getField("file_path")).alias(file), scan.getField("row_index").alias(at))
+
     try:
         return columns(df), file, at
     except AnalysisException:

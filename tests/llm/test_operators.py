@@ -480,3 +480,15 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (7, 9), (5, 5)] + [(k, k + 1) for k in range(100, 130)], "a long, b long")
     found = {r["node"]: r["component"] for r in got(common.components(links))}
     assert found == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {k: 100 for k in range(100, 131)}
+
+
+def test_a_column_named_metadata(spark, tmp_path):
+    """A user's _metadata column neither hides the scan's own nor is lost."""
+    rows = [(1, "one two three four five six", "m1"), (2, "one two three four five six", "m2"), (3, "seven", "m3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _metadata string")
+    df.write.parquet(str(tmp_path / "t"))
+    for own in (df, spark.read.parquet(str(tmp_path / "t"))):
+        found, file, at = common.identified(own)
+        assert sorted(r["_metadata"] for r in got(found)) == ["m1", "m2", "m3"] and found.select(file, at).distinct().count() == 3
+        assert {r["doc_id"]: r["keep_id"] for r in got(exact.exact_groups(own))} == {1: 1, 2: 1, 3: 3}
+        assert {r["doc_id"]: r["component_id"] for r in got(jaccard.jaccard_components(own))} == {1: 1, 2: 1, 3: 3}
