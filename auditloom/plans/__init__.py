@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, scorer, site_type, timing, topics
+from ..operators import boilerplate, content, crawl, details, frontier, replies, report, resources, sampling, scorer, site_type, styles, timing, topics
 from ..sources import reports, scratch, tables
 from . import derived as D
 from . import examples as E
@@ -93,7 +93,7 @@ def _saved(s: SparkSession, d: str) -> DataFrame:
 def _cases(s: SparkSession, d: str) -> DataFrame:
     """The crawl, and a site of pages that reach every branch."""
     rows = _numbered(s, E.PAGES, "page_id int, path string, html string")
-    fixed = rows.select(F.lit("cases.example").alias("site"), F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("https://cases.example"), "path").alias("url"), "html")
+    fixed = rows.select(F.lit("cases.example").alias("site"), (F.col("page_id") + E.CASES).alias("page_id"), F.concat(F.lit("https://cases.example"), "path").alias("url"), "html")
     return _pages(s, d).unionByName(fixed)
 
 
@@ -198,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "signal_cases": lambda s, d: crawl.page_signals(_cases(s, d)).withColumn("sources", F.array_join("iframe_srcs", " ")).drop("iframe_srcs"),
         "meta_cases": lambda s, d: crawl.page_meta(_cases(s, d)).select("site", "page_id", "title", "description", "og_description", "lang", "h1_text"),
         "link_cases": lambda s, d: crawl.page_links(_cases(s, d)).select("site", "page_id", "pos", "href", "anchor_text"),
+        "page_styles": lambda s, d: styles.page_styles(_cases(s, d)),
         "heading_skip": lambda s, d: crawl.headings(_pages(s, d)),
         "required_pages": lambda s, d: crawl.required_pages(_pages(s, d), _pages(s, d).select("site", "page_id", "url")),
         "site_url_order": lambda s, d: crawl.site_urls(_pages(s, d), _pages(s, d).select("site", "page_id", "url")),

@@ -49,6 +49,8 @@ SITEMAPS = [
     ("https://c.example/deep3.xml", "<urlset><url><loc>https://c.example/end</loc></url></urlset>"),
 ]
 SUGGESTIONS = ["Add an about page so that readers know who writes here", "Add an about page so that readers know who writes here, soon", "Write longer articles", "Write longer articles", "Fix links"]
+#: Number of the first page below; the crawl has none as high.
+CASES = 10**12
 PAGES = [
     ("", "<html lang=\"\"><head><title> A &amp; B </title><meta name=\"description\" content=\"d\"></head><body><h1>One</h1><h1>Two</h1><a href=\"x\">x</a></body></html>"),
     ("/a/b?q=1#f", "<html><head><meta http-equiv=\"Content-Language\" content=\"fr\"><meta property=\"og:description\" content=\"og\"></head><a href=\"c\">c</a><a href=\"?r\">r</a><a href=\"#s\">s</a><a href=\"./games/t\">t</a><a href=\"//other.example/GAME/u\">u</a><a href=\"/v\"> Page 2 </a><a href=\"mailto:w\">w</a></html>"),
@@ -59,5 +61,7 @@ PAGES = [
     ("/class", "<div class=\"x page-nav\"></div><div class=\"x-pagination\"></div><div class=\"search-box\"></div>"),
     ("/next", "<a>\u00bb</a><input type=\"SEARCH\">"),
     ("/none", "<a href=\"/n\">nextly</a><input type=\"text\" name=\"quest\"><div class=\"pages searching\" data-rel=\"next\"></div>"),
+    ("/styles", "<style>/* p{font-size:1px} */ p, .small.x { font-size: 11px } #big{font-size:2em} .tiny{FONT-SIZE:8pt;display:block} @media print { .gone { display : none } } div .deep{display:none}</style><!-- <p>no</p> --><p>a</p><p id='big'>b</p><p class='tiny'>c</p><p style='font-size: 12px'>d</p><span class=\"tiny\">e</span><a class='none'>f</a>"),
+    ("/covers", "<style>.hide{display:none}.modal-x{opacity:0}#popup2{visibility:hidden}div.modal{opacity:1}iframe.small{width:40px}</style><div class='modal'></div><div class='modal hide'></div><div class='modal-x'></div><div id='popup1'></div><div id='popup2'></div><div id='overlay'></div><div class='my-overlay' style='opacity:0.5'></div><div class='popup' style='display:none'></div><iframe class='small'></iframe><iframe width=50></iframe><iframe width='51px' height='9%'></iframe><iframe class='hide'></iframe>"),
 ]
 AS_OF = "2025-06-30"

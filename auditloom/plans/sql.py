@@ -378,7 +378,7 @@ REPORT_SQL = f"""SELECT q.site, {near('sq')} AS site_quality, {near('hq')} AS ho
 
 
 def _cases() -> str:
-    return f"SELECT 'cases.example' AS site, CAST(k AS BIGINT) AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')} UNION ALL SELECT * FROM {CRAWL}"
+    return f"SELECT 'cases.example' AS site, k + {E.CASES} AS page_id, 'https://cases.example' || path AS url, html FROM {values(E.PAGES, 'k, path, html')} UNION ALL SELECT * FROM {CRAWL}"
 
 
 PROMPTS_SQL = f"""SELECT x.site, x.page_id, {q("""You judge pages for an advertising programme. Answer with one JSON object and nothing else.
@@ -391,6 +391,34 @@ Language of the reply: English
   || 'Embed: ' || CASE WHEN iframes > 0 OR canvases > 0 THEN 'game' WHEN videos > 0 THEN 'video' ELSE 'none' END || chr(10) || 'Listing: ' || list_items || ' items, pagination ' || has_pagination || ', categories ' || has_categories || ', search ' || has_search || chr(10)
   || 'Page: ' || x.url || chr(10) || chr(10) || left(x.text, 5000) AS prompt FROM texts x JOIN signals g USING (page_id) JOIN meta m USING (page_id) LEFT JOIN topics t ON t.site = x.site"""
 REHEARSED = """'{"value": ' || n % 10 || ', "originality": ' || n % 7 || ', "relevance": ' || n % 9 || ', "compliance": 9, "translation": 8, "confidence": "high"}'"""
+
+
+def _attribute(name: str) -> str:
+    pattern = q(rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    return "concat(" + ", ".join(f"regexp_extract(t, {pattern}, {k})" for k in (1, 2, 3)) + ")"
+
+
+def _styles() -> str:
+    """Rules of style elements and elements met by key; written from the same rules as the operator."""
+    value = lambda p: f"trim(list_extract(regexp_extract_all(lower(body), {q(r'(?:^|[;{\s])' + p + r'\s*:\s*([^;!}]+)')}, 1), -1))"
+    px = lambda x: f"CASE WHEN regexp_matches({x}, '^([0-9]*\\.?[0-9]+)(?:px|pt|r?em)?$') THEN try_cast(regexp_extract({x}, '^([0-9]*\\.?[0-9]+)', 1) AS DOUBLE) * CASE WHEN {x} LIKE '%pt' THEN 4 / 3 WHEN {x} LIKE '%em' THEN 16 ELSE 1 END END"
+    names = ("font-size", "display", "visibility", "opacity", "width", "height")
+    won = ", ".join(f"(SELECT {value(p)} FROM met m WHERE m.page_id = e.page_id AND m.at_ = e.at_ AND {value(p)} IS NOT NULL ORDER BY rank DESC LIMIT 1) AS v{k}" for k, p in enumerate(names))
+    simple = q(r"^([a-zA-Z][a-zA-Z0-9]*)?(?:([.#])([A-Za-z_-][A-Za-z0-9_-]*))?$")
+    return rf"""WITH p AS ({_cases()}), bare AS (SELECT site, page_id, {replaced(replaced('html', '(?s)<!--.*?-->', ''), '(?is)<script[^>]*>.*?</script>', '')} AS html FROM p),
+      css AS (SELECT page_id, {replaced("array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), chr(10))", r'(?s)/\*.*?\*/', '')} AS css FROM bare),
+      blocks AS (SELECT page_id, unnest(regexp_extract_all(css, '([^{{}};]+)\{{([^{{}}]*)\}}', 1)) AS s, unnest(regexp_extract_all(css, '([^{{}};]+)\{{([^{{}}]*)\}}', 2)) AS body, unnest(range(len(regexp_extract_all(css, '([^{{}};]+)\{{([^{{}}]*)\}}', 1)))) AS k FROM css),
+      ones AS (SELECT page_id, k, body, trim(regexp_replace(u, '\s+', ' ', 'g')) AS s FROM (SELECT page_id, k, body, unnest(string_split(s, ',')) AS u FROM blocks)),
+      rules AS (SELECT page_id, body, lower(regexp_extract(s, {simple}, 1)) AS tag, regexp_extract(s, {simple}, 2) AS kind, regexp_extract(s, {simple}, 3) AS name, k FROM ones WHERE s <> '' AND regexp_matches(s, {simple})),
+      tags AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<[a-z][a-z0-9]*(?:\s[^>]*)?>')) AS t, unnest(range(len(regexp_extract_all(html, '(?is)<[a-z][a-z0-9]*(?:\s[^>]*)?>')))) AS at_ FROM bare),
+      el AS (SELECT page_id, at_, lower(regexp_extract(t, '^<([A-Za-z0-9]+)', 1)) AS tag, {_attribute('class')} AS c, {_attribute('id')} AS id, {_attribute('style')} AS own, {_attribute('width')} AS w, {_attribute('height')} AS h FROM tags),
+      met AS (SELECT e.page_id, e.at_, r.body, CASE r.kind WHEN '#' THEN 100 WHEN '.' THEN 10 ELSE 0 END * 1000000 + CASE WHEN r.tag <> '' THEN 1000000 ELSE 0 END + r.k AS rank FROM el e JOIN rules r ON r.page_id = e.page_id AND (r.tag = '' OR r.tag = e.tag)
+        AND CASE r.kind WHEN '#' THEN r.name = e.id WHEN '.' THEN list_contains(regexp_split_to_array(e.c, '\s+'), r.name) ELSE true END UNION ALL SELECT page_id, at_, own, 1000000000000000 FROM el WHERE own <> ''),
+      seen AS (SELECT e.*, {won} FROM el e), flags AS (SELECT *, coalesce(v1 = 'none', false) OR coalesce(v2 = 'hidden', false) AS hidden, {px('v0')} AS font, coalesce({px('v4')}, {px('w')}) AS wide, coalesce({px('v5')}, {px('h')}) AS high FROM seen)
+      SELECT b.site, b.page_id, count(*) FILTER (tag IN ('p', 'span', 'a', 'li') AND font > 0 AND font < 12) AS small_letters, count(*) FILTER ((regexp_matches(c, 'modal|popup|overlay') OR regexp_matches(id, 'modal|popup')) AND NOT hidden AND coalesce(try_cast(v3 AS DOUBLE) <> 0, true)) AS popups,
+        count(*) FILTER (tag = 'iframe' AND (hidden OR coalesce(wide <= 50, false) OR coalesce(high <= 50, false))) AS unseen_frames FROM bare b LEFT JOIN flags f ON f.page_id = b.page_id GROUP BY b.site, b.page_id"""
+
+
 CHAINED = f"SELECT site, page_id, url, html FROM ({made(D.CHAINED)}) AS made_"
 
 
@@ -408,6 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "signal_cases": _sql("SELECT * EXCLUDE (f), array_to_string(f, ' ') AS sources FROM signals", p=_cases()),
         "meta_cases": _sql("SELECT site, page_id, title, description, og_description, lang, h1_text FROM meta", p=_cases()),
         "link_cases": _sql("SELECT site, page_id, pos, href, anchor_text FROM links", p=_cases()),
+        "page_styles": _styles(),
         "heading_skip": _sql("SELECT * FROM heads"),
         "required_pages": _sql("SELECT * FROM required"),
         "main_content": _sql("SELECT site, page_id, main_text FROM main"),

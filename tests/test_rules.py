@@ -64,14 +64,14 @@ def test_replies(spark):
 
 def test_extraction(spark):
     q = plans.queries()
-    got = {r["page_id"]: r for r in q["signal_cases"](spark, DATA).where("site = 'cases.example'").collect()}
+    got = {r["page_id"] - 10**12: r for r in q["signal_cases"](spark, DATA).where("site = 'cases.example'").collect()}
     assert [got[k]["iframes"] for k in range(9)] == [0, 0, 3, 0, 0, 0, 0, 0, 0] and got[2]["sources"] == "https://f.example/1 https://l.example/"
     assert [got[k]["list_items"] for k in range(9)] == [0, 0, 0, 3, 2, 0, 0, 0, 0] and got[1]["game_links"] == 2
     flags = {k: "".join(n for n, c in (("p", "has_pagination"), ("c", "has_categories"), ("s", "has_search")) if got[k][c]) for k in got}
-    assert flags == {0: "", 1: "p", 2: "", 3: "cs", 4: "pcs", 5: "pcs", 6: "ps", 7: "ps", 8: ""}
-    meta = {r["page_id"]: r for r in q["meta_cases"](spark, DATA).where("site = 'cases.example'").collect()}
+    assert flags == {0: "", 1: "p", 2: "", 3: "cs", 4: "pcs", 5: "pcs", 6: "ps", 7: "ps", 8: "", 9: "", 10: ""}
+    meta = {r["page_id"] - 10**12: r for r in q["meta_cases"](spark, DATA).where("site = 'cases.example'").collect()}
     assert [meta[k]["lang"] for k in (0, 1, 2)] == ["", "fr", "en"] and meta[1]["og_description"] == "og" and meta[0]["h1_text"] == "One Two"
-    assert [r["href"] for r in q["link_cases"](spark, DATA).where("site = 'cases.example' and page_id < 2").collect()] == ["https://cases.example/" + x for x in ("x", "a/c", "a/b?r", "a/b?q=1#s", "a/games/t")] + ["https://other.example/GAME/u", "https://cases.example/v"]
+    assert [r["href"] for r in q["link_cases"](spark, DATA).where("site = 'cases.example' and page_id < 1000000000002").orderBy("page_id", "pos").collect()] == ["https://cases.example/" + x for x in ("x", "a/c", "a/b?r", "a/b?q=1#s", "a/games/t")] + ["https://other.example/GAME/u", "https://cases.example/v"]
 
 
 def test_page_types(spark):
