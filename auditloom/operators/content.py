@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import closest
+from . import closest, templates
 from .graph import components, prepare
 
 SIMILAR = 0.6
-#: Distinct skeletons of a site that one side of a comparison holds, on average.
-BLOCK = 256
 #: Words that site policies forbid; the first four need ASCII word borders.
 BLACKLIST = (("adult", r"porn|xxx|nude|naked|sex\s*tube"), ("gambling", "gamble|casino|betting|lottery"), ("piracy", "hack|crack|pirate|torrent|warez"), ("drugs", "drug|marijuana|cocaine|heroin"), ("zh", "色情|赌博|毒品|暴力|盗版"))
 #: Months as dates name them.
@@ -91,68 +87,15 @@ def _shapes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, pages.groupBy("site", "s").agg(F.min("page_id").alias("shape"), F.count("*").alias("copies"))
 
 
-def _compared(shapes: DataFrame, forest: bool) -> DataFrame:
-    """site, a, b, same, longer of distinct skeletons that agree at SIMILAR of the longer one's places or more.
-
-    A site's skeletons fall into blocks of about BLOCK by hash, and each pair of blocks is one
-    group of bounded size, so a large site is spread over many tasks. With forest, a
-    group gives only its most similar pair and edges that connect what its pairs connect.
-    """
-    blocks = shapes.groupBy("site").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = shapes.join(blocks, "site").withColumn("own", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    sent = own.select("site", "shape", "s", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("site", "shape", "s", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        ids, mine = rows["shape"].to_numpy(), rows["own"].to_numpy()
-        codes = [np.frombuffer(s.encode("utf-32-le"), dtype="<u4") for s in rows["s"]]
-        sizes = np.array([len(c) for c in codes])
-        table = np.zeros((len(rows), sizes.max()), dtype="<u4")  # no character is 0
-        for k, c in enumerate(codes):
-            table[k, : len(c)] = c
-        right = np.arange(len(rows)) if i == j else np.flatnonzero(mine == j)
-        a, b, same = [], [], []
-        for k in np.flatnonzero(mine == i):
-            to = right[ids[right] > ids[k]] if i == j else right
-            n = ((table[to] == table[k]) & (table[k] != 0)).sum(axis=1)
-            near = n * 10 >= np.maximum(sizes[to], sizes[k]) * int(SIMILAR * 10)
-            a.append(np.full(near.sum(), k))
-            b.append(to[near])
-            same.append(n[near])
-        a, b, same = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b, same))
-        longer = np.maximum(sizes[a], sizes[b])
-        if forest and len(a):
-            root, kept = list(range(len(rows))), {int(np.argmax(same / longer))}
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                x, y = top(x), top(y)
-                if x != y:
-                    root[x] = y
-                    kept.add(at)
-            at = sorted(kept)
-            a, b, same, longer = a[at], b[at], same[at], longer[at]
-        return pd.DataFrame({"site": pd.Series([key[0]] * len(a), dtype=object), "a": ids[a], "b": ids[b], "same": same, "longer": longer})
-
-    # work grows with the square of a group's rows, so small bytes mustn't merge groups into few tasks
-    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "site", "i", "j").groupBy("site", "i", "j").applyInPandas(compare, "site string, a long, b long, same long, longer long")
-
-
 def template_pairs(texts: DataFrame) -> DataFrame:
     """site, a, b, similarity of pages whose skeletons agree at SIMILAR of the longer one's places or more.
 
-    Each pair of distinct skeletons is compared once; pages take their skeleton's pairs.
+    Distinct skeletons are compared; pages take their skeleton's pairs.
     """
     pages, shapes = _shapes(texts)
     members = pages.join(shapes.select("site", "s", "shape"), ["site", "s"]).select("site", "shape", "page_id")
     left, right = members.select("site", F.col("shape").alias("a"), F.col("page_id").alias("p")), members.select("site", F.col("shape").alias("b"), F.col("page_id").alias("q"))
-    apart = _compared(shapes, False).join(left, ["site", "a"]).join(right, ["site", "b"]).select("site", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.round(F.col("same") / F.col("longer"), 6).alias("similarity"))
+    apart = templates.compared(shapes, False).join(left, ["site", "a"]).join(right, ["site", "b"]).select("site", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.round(F.col("same") / F.col("longer"), 6).alias("similarity"))
     equal = left.join(right.withColumnRenamed("b", "a"), ["site", "a"]).where("p < q").select("site", F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("similarity"))
     return apart.unionByName(equal)
 
@@ -165,7 +108,7 @@ def template_clusters(texts: DataFrame) -> DataFrame:
     _, shapes = _shapes(texts)
     prepare(texts.sparkSession)
     shapes = shapes.checkpoint()
-    pairs = _compared(shapes, True).checkpoint()
+    pairs = templates.compared(shapes, True).checkpoint()
     found = components(pairs.select("a", "b"))
     clusters = shapes.join(found, shapes["shape"] == found["node"], "left").groupBy("site", F.coalesce("component", "shape").alias("c")).agg(F.sum("copies").alias("size"), F.max("copies").alias("equal"))
     sizes = clusters.groupBy("site").agg(F.max("size").alias("size"), F.max("equal").alias("equal"))
