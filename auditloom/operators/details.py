@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import messages
 from ..functions import scores as S
 from ..functions import urls
 
@@ -77,6 +78,39 @@ def markdown(report: DataFrame, groups: DataFrame) -> DataFrame:
     return report.join(lines, "site").select("site", F.concat(head, F.array_join(F.transform("g", lambda x: x["line"]), "\n")).alias("markdown"))
 
 
+#: Buckets in the order of reports.
+BUCKETS = ("H", "C", "L", "U")
+
+
+def report_lines(report: DataFrame, items: DataFrame, groups: DataFrame, details: DataFrame, lang: str) -> DataFrame:
+    """site, part, ordinal, line: a site's whole report as lines in order, in a language; a line a row, so that no site's report is one value.
+
+    Parts: 0 to 2 the head, 10 and on the buckets of checks, 20 and 21 the types of pages, 30 and 31 pages with problems.
+    """
+    c, lit = F.col, F.lit
+    word = lambda x: x.cast("string")
+    given = lambda **v: F.create_map(*(y for n, x in v.items() for y in (lit(n), word(x)))) if v else F.create_map().cast("map<string,string>")
+    row = lambda df, part, ordinal, key, params: df.select("site", part.cast("int").alias("part"), word(ordinal).alias("ordinal"), key.alias("key"), params.alias("params"))
+    place = F.array_position(F.array(*(lit(b) for b in BUCKETS)), c("bucket")) * 2 + 8
+    bad = details.where(is_problem())
+    rows = [
+        row(report, lit(0), lit(""), lit("head"), given(site=c("site"))),
+        row(report, lit(1), lit(""), lit("score"), given(composite=c("composite"), soft=c("soft_score"), hard=c("hard_status"))),
+        row(report, lit(2), lit(""), lit("counts"), given(passed=c("passed"), warned=c("warned"), failed=c("failed"))),
+        row(items.select("site", "bucket").distinct(), place, lit(""), F.concat(lit("bucket."), c("bucket")), given()),
+        row(items, place + 1, c("item"), F.concat(lit("item."), c("status")), given(item=c("item"))),
+        row(report, lit(20), lit(""), lit("pages"), given()),
+        row(groups, lit(21), F.lpad(word(c("position")), 4, "0"), lit("group"), given(type=c("page_type"), bad=c("n_problems"), ok=c("n_ok"))),
+        row(bad.select("site").distinct(), lit(30), lit(""), lit("problems"), given()),
+        row(bad, lit(31), F.lpad(word(c("page_id")), 20, "0"), lit("problem"), given(page=c("page_id"), status=c("display_status"), issues=c("issues"))),
+    ]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    told = F.broadcast(messages.texts(report.sparkSession, lang))  # a few dozen rows
+    return both.join(told, "key").select("site", "part", "ordinal", messages.filled(c("text"), c("params")).alias("line"))
+
+
 def approval_inputs(report: DataFrame, stats: DataFrame, ai_scores: DataFrame, details: DataFrame) -> DataFrame:
     """Per site what an estimate of its chances needs: scores, least originality, largest share of low scores, pages."""
     n = details.groupBy("site").agg(F.count("*").alias("n_pages"), F.bool_or(F.col("ai_status").isNotNull()).alias("analysed"))

@@ -68,9 +68,9 @@ def _classes(s: SparkSession, d: str) -> DataFrame:
     return own.unionByName(fixed).distinct().select("url", urls.page_type(urls.path(F.col("url"))).alias("type"))
 
 
-def _report(s: SparkSession, d: str) -> DataFrame:
-    out = report.site_report(_items(s, d), replies.site_scores(_scored(s, d)).select("site", "vot", "cap"))
-    return out.join(_types(s, d).select("site", "n_pages", "type"), "site")
+def _report(s: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    scores, types = replies.site_scores(_scored(s, d)).select("site", "vot", "cap"), _types(s, d).select("site", "n_pages", "type")
+    return report.site_report(_items(s, d) if items is None else items, scores).join(types, "site")
 
 
 def _phases(s: SparkSession, d: str) -> DataFrame:
@@ -122,6 +122,13 @@ def _details(s: SparkSession, d: str) -> DataFrame:
     return details.page_details(p, content.ratios(_main(s, d)), crawl.page_signals(p), crawl.page_meta(p), _types(s, d), _scored(s, d))
 
 
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """Whole reports as lines, in both languages."""
+    own, items = scratch.stored(_details(s, d), "details"), scratch.stored(_items(s, d), "items")
+    parts = scratch.stored(_report(s, d, items), "report"), items, details.pages_by_type(own), own
+    return details.report_lines(*parts, "en").withColumn("lang", F.lit("en")).unionByName(details.report_lines(*parts, "zh").withColumn("lang", F.lit("zh")))
+
+
 def _parsed(s: SparkSession, d: str) -> DataFrame:
     return replies.parse_replies(_beside(s, d, D.REPLIES, _numbered(s, E.REPLIES, "reply_id int, lang string, response string")))
 
@@ -235,6 +242,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "problem_pages": lambda s, d: _details(s, d).where(details.is_problem()).select("site", "page_id", "display_status", "issues"),
         "pages_by_type": lambda s, d: details.pages_by_type(_details(s, d)),
         "report_markdown": lambda s, d: details.markdown(_report(s, d), details.pages_by_type(_details(s, d))),
+        "report_lines": _lines,
         "site_approval": _approved,
         "crawl_candidates": lambda s, d: details.candidates(crawl.page_links(_pages(s, d)), _pages(s, d), CANDIDATES),
         "resource_items": _resources,

@@ -419,6 +419,24 @@ def _styles() -> str:
         count(*) FILTER (tag = 'iframe' AND (hidden OR coalesce(wide <= 50, false) OR coalesce(high <= 50, false))) AS unseen_frames FROM bare b LEFT JOIN flags f ON f.page_id = b.page_id GROUP BY b.site, b.page_id"""
 
 
+def _lines() -> str:
+    """Lines of whole reports in both languages, the texts written out."""
+    r, out = f"({REPORT_SQL}) r", []
+    bucket = "CASE bucket WHEN 'H' THEN 10 WHEN 'C' THEN 12 WHEN 'L' THEN 14 ELSE 16 END"
+    bad = "(SELECT * FROM details WHERE content_status <> 'pass' OR issues <> '' OR ai_status <> 'pass')"
+    for lang, t in {
+        "en": ("'# Audit of ' || site", "'Score ' || composite || ' of 100, soft score ' || soft_score || '; requirements: ' || hard_status || '.'", "passed || ' checks passed, ' || warned || ' to improve, ' || failed || ' failed.'", ("Requirements", "Content", "Landing page", "Use"), (": ", "passed", "to improve", "failed"), "Pages", "': ' || n_problems || ' with problems, ' || n_ok || ' without'", "Pages with problems"),
+        "zh": ("'# ' || site || ' 的检查'", "'得分 ' || composite || '/100，软分 ' || soft_score || '；要求：' || hard_status || '。'", "'通过 ' || passed || ' 项，待改进 ' || warned || ' 项，未通过 ' || failed || ' 项。'", ("要求", "内容", "首页", "使用"), ("：", "通过", "待改进", "未通过"), "页面", "'：有问题 ' || n_problems || '，无问题 ' || n_ok", "有问题的页面"),
+    }.items():
+        heads = " ".join(f"WHEN '{b}' THEN '## {n}'" for b, n in zip("HCLU", t[3], strict=True))
+        said = " ".join(f"WHEN '{x}' THEN '{n}'" for x, n in zip(("pass", "warn", "fail"), t[4][1:], strict=True))
+        rows = [f"SELECT site, 0 AS part, '' AS ordinal, {t[0]} AS line FROM {r}", f"SELECT site, 1, '', {t[1]} FROM {r}", f"SELECT site, 2, '', {t[2]} FROM {r}", f"SELECT DISTINCT site, {bucket}, '', CASE bucket {heads} END FROM items",
+          f"SELECT site, {bucket} + 1, item, '- ' || item || '{t[4][0]}' || CASE status {said} END FROM items", f"SELECT site, 20, '', '## {t[5]}' FROM {r}", f"SELECT site, 21, lpad(CAST(position AS VARCHAR), 4, '0'), '- ' || page_type || {t[6]} FROM groups",
+          f"SELECT DISTINCT site, 30, '', '## {t[7]}' FROM {bad}", f"SELECT site, 31, lpad(CAST(page_id AS VARCHAR), 20, '0'), '- ' || page_id || ': ' || display_status || ' ' || issues FROM {bad}"]
+        out += [f"SELECT *, '{lang}' AS lang FROM ({x})" for x in rows]
+    return " UNION ALL ".join(out)
+
+
 CHAINED = f"SELECT site, page_id, url, html FROM ({made(D.CHAINED)}) AS made_"
 
 
@@ -492,6 +510,7 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT r.site, 'thin', r.page_id, main_length || ' chars' FROM ratio r JOIN home h ON h.site = r.site AND h.page_id <> r.page_id WHERE main_length < 300
           UNION ALL SELECT x.site, 'stale', x.page_id, '' FROM texts x JOIN ({_fresh('texts', 'page_id', E.AS_OF)}) f USING (page_id) WHERE NOT recent AND length(text) > 200"""),
         "report_phases": _sql("SELECT 'facts' AS phase, CAST(1 AS BIGINT) AS position, count(*) AS n_rows FROM p UNION ALL SELECT 'main', 2, count(*) FROM p UNION ALL SELECT 'items', 3, count(*) FROM items"),
+        "report_lines": _sql(_lines()),
         "problem_pages": _sql("SELECT site, page_id, display_status, issues FROM details WHERE content_status <> 'pass' OR issues <> '' OR ai_status <> 'pass'"),
         "pages_by_type": _sql("SELECT * FROM groups"),
         "report_markdown": _sql(f"""SELECT r.site, '# ' || r.site || chr(10) || chr(10) || 'Score: ' || composite || '/100. Requirements: ' || hard_status || '. Checks: ' || passed || ' passed, ' || warned || ' warned, ' || failed || ' failed.' || chr(10) || chr(10) || g.lines AS markdown
