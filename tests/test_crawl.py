@@ -85,6 +85,13 @@ def test_freshness_rank(spark):
     assert got == {("s", "/2025/x"): (1, "2025-06-15"), ("s", "/2024/05/25"): (2, "2024-05-25"), ("s", "/x"): (3, None), ("s", "/x2"): (4, None), ("t", "/2020"): (1, "2020-06-15")}
 
 
+def test_a_number_is_no_year(spark):
+    """More than four digits are a number; months and days of more than two digits are none either."""
+    want = {"/de/20289": None, "/20248/05/06": None, "/2024": "2024-06-15", "/2024x": "2024-06-15", "/20289/2024-05": "2024-05-15", "/2024/123": "2024-06-15", "/2024/05/251": "2024-05-15"}
+    df = spark.createDataFrame([("s", k, p) for k, p in enumerate(want)], "site string, ordinal int, path string")
+    assert {r["path"]: r["date"] for r in sampling.by_freshness(df).collect()} == want
+
+
 def test_suggestions(spark):
     own = [("s", 1, "x" * 40 + "a"), ("s", 2, "x" * 40 + "b"), ("s", 3, "y"), ("t", 4, "y")]
     acts = [("s", 0, "y"), ("s", 1, "y")]
