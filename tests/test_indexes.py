@@ -6,9 +6,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from auditloom.operators import boilerplate, closest, content
+from auditloom.operators import batches, boilerplate, closest, content
 
 WS = r"\s\x0b\xa0  -     　﻿"
 
@@ -133,3 +134,14 @@ def test_duplication_names_the_pair(spark):
     found = {r["site"]: r for r in content.duplication(spark.createDataFrame([(s, i, "u", t, t) for s, i, t in rows], "site string, page_id long, url string, text string, main_text string")).collect()}
     assert (found["a"]["page_a"], found["a"]["page_b"], found["a"]["status"]) == (1, 2, "warn")
     assert found["b"]["page_a"] is None and found["c"]["max_similarity"] == 0 and found["c"]["originality_score"] == 100
+
+
+def test_one_site_spreads_over_tasks(spark, monkeypatch):
+    """Texts of one site come out of several tasks, are right, and pieces of a batch stay small."""
+    monkeypatch.setattr(boilerplate, "TOGETHER", 5)
+    texts = made_site(random.Random(9), 60)
+    df = boilerplate.main_content(spark.createDataFrame([("s", k, "u", t) for k, t in enumerate(texts)], "site string, page_id long, url string, text string"))
+    rows = df.selectExpr("page_id", "main_text", "spark_partition_id() AS at").collect()
+    assert {r["page_id"]: r["main_text"] for r in rows} == dict(enumerate(plain_main(texts))) and len({r["at"] for r in rows}) > 1
+    batch = pa.RecordBatch.from_pydict({"site": ["s"] * 6, "text": ["x" * n for n in (3, 3, 9, 1, 1, 1)]})
+    assert [b.column(1).to_pylist() for b in batches.pieces([batch], 1, 4)] == [["xxx"], ["xxx"], ["x" * 9], ["x"] * 3] and list(batches.pieces([batch.slice(0, 0)], 1)) == []
