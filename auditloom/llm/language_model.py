@@ -35,8 +35,8 @@ FOLDS, HELD_OUT = 5, 1
 HASHES, BITS_PER_GRAM = 3, 16
 #: Weight of the bigram's relative frequency.
 BIGRAM = 0.6
-#: Tokens and bigrams gathered before they are sent on.
-GATHER = 3_000_000
+#: Tokens and bigrams gathered before they are sent on, and bytes of text whose tokens are counted together.
+GATHER, TOGETHER = 3_000_000, 4 << 20
 #: Tasks per shuffle partition among which groups are dealt: a task's batch holds what its groups hold.
 SPREAD = 4
 END = np.uint64(0x7E57AB1E0FC0FFEE)
@@ -57,6 +57,20 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(words, last, END), np.insert(row, last, np.arange(rows))
 
 
+def token_runs(texts: pa.Array, step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, token hashes, rows from there) for runs of rows of about step bytes; hashed fewer bytes at a time, as that takes many times their size."""
+    kept, first, size = [], 0, 0
+    for lo, hi, data, offsets in buffers(texts):
+        if kept and size + len(data) > step:
+            yield (first, *map(np.concatenate, zip(*kept, strict=True)))
+            kept, first, size = [], lo, 0
+        words, rows = tokens(data, offsets)
+        kept.append((words, rows + (lo - first)))
+        size += len(data)
+    if kept:
+        yield (first, *map(np.concatenate, zip(*kept, strict=True)))
+
+
 def bigrams(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The hash of each token with the one before it, or the row's start."""
     before = np.empty_like(words)
@@ -112,21 +126,22 @@ def gather(buckets: int):  # noqa: ANN201
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for g, kinds in own.items():
+            # a group at a time, so that all of them are never held twice, nor sent as one batch
+            types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+            while own:
+                g, kinds = own.popitem()
                 parts = [dealt(*summed(*x), buckets) for x in kinds]
+                del kinds
+                rows = []
                 for b in set().union(*parts):
                     found = [x.get(b, (None, None)) for x in parts]
                     rows.append((b, g, *found[0], *found[1], found[2][0]))
-            own.clear()
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["bucket", "g", "grams", "counts", "bigrams", "pairs", "held"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "g", "grams", "counts", "bigrams", "pairs", "held"])
 
         for batch in batches:
             group, training = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
-            for lo, _, data, offsets in buffers(batch.column(2), 4 << 20):
-                words, rows = tokens(data, offsets)
+            for lo, words, rows in token_runs(batch.column(2), TOGETHER):
                 two = bigrams(words, rows)
                 learn = training[lo + rows].astype(bool)
                 g = group[lo + rows]
@@ -136,7 +151,7 @@ def gather(buckets: int):  # noqa: ANN201
                     counts = np.bincount(place, learn[mine], len(values)).astype(np.int64)
                     for kind, (v, c) in enumerate(((values, counts), *(np.unique(two[mine & x], return_counts=True) for x in (learn, ~learn)))):
                         own[one][kind][0].append(v)
-                        own[one][kind][1].append(c)
+                        own[one][kind][1].append(c.astype(np.uint32))
                         held += len(v)
                 if held > GATHER:
                     yield from flush()

@@ -159,6 +159,26 @@ def test_language_model(docs, nothing):
         assert r["score"] < 0
 
 
+def test_language_model_gathers_in_bounded_steps(monkeypatch):
+    rng, one, seen = np.random.default_rng(5), language_model.tokens, []
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, int(n))) for n in rng.integers(0, 400, 300)]
+    groups = [k % 7 for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([k % 5 > 0 for k in range(300)]), pa.array(texts)], names=["g", "training", "text"])
+    monkeypatch.setattr(common.buffers, "__defaults__", (10_000,))
+    monkeypatch.setattr(language_model, "tokens", lambda data, offsets: seen.append(len(data)) or one(data, offsets))
+    found = list(language_model.gather(3)(iter([batch])))
+    # tokens are hashed a few bytes at a time, and each group is sent by itself, once
+    assert max(seen) <= 10_000 < sum(seen)
+    assert sorted(set(b.column("g").to_pylist()).pop() for b in found) == list(range(7)) and all(len(set(b.column("g").to_pylist())) == 1 for b in found)
+    for b in found:
+        g = b.column("g")[0].as_py()
+        own = [t for t, x in zip(texts, groups, strict=True) if x == g]
+        kept = [(k, t) for k, (t, x) in enumerate(zip(texts, groups, strict=True)) if x == g and k % 5]
+        grams = sum(len(language_model.unplanes(x, np.uint64)) for x in b.column("grams").to_pylist() if x)
+        counts = sum(int(language_model.unplanes(x, np.uint32).sum()) for x in b.column("counts").to_pylist() if x)
+        assert grams == len({w for t in own for w in t.split()}) + 1 and counts == sum(len(t.split()) + 1 for _, t in kept)
+
+
 def test_language_model_filter_grows(spark, monkeypatch):
     """A filter of as many bits as its n-grams need, and scores as of exact quantised counts."""
     monkeypatch.setattr(language_model, "FILTER_BITS", 1 << 12, raising=False)
