@@ -145,3 +145,16 @@ def test_one_site_spreads_over_tasks(spark, monkeypatch):
     assert {r["page_id"]: r["main_text"] for r in rows} == dict(enumerate(plain_main(texts))) and len({r["at"] for r in rows}) > 1
     batch = pa.RecordBatch.from_pydict({"site": ["s"] * 6, "text": ["x" * n for n in (3, 3, 9, 1, 1, 1)]})
     assert [b.column(1).to_pylist() for b in batches.pieces([batch], 1, 4)] == [["xxx"], ["xxx"], ["x" * 9], ["x"] * 3] and list(batches.pieces([batch.slice(0, 0)], 1)) == []
+
+
+def test_only_openings_carry_spots():
+    """Anchors of texts are sent as bare numbers; places in openings, of openings alone."""
+    body = "".join(random.Random(4).choices("abcdefgh ", k=4000))
+    texts = pa.RecordBatch.from_arrays([pa.array(["s"]), pa.array([body])], names=["site", "body"])
+    found = pa.Table.from_batches(boilerplate._anchors(iter([texts])))
+    assert found.column_names == ["site", "gram"] and found.column("gram").to_pylist() == boilerplate.anchors(boilerplate.gram_hashes(body)).tolist()
+    probes = pa.RecordBatch.from_arrays([pa.array(["s", "t"]), pa.array([[body[:60], body[:60], "short one of twenty"], []], pa.list_(pa.string()))], names=["site", "probes"])
+    spots = pa.Table.from_batches(boilerplate._entries(iter([probes]))).to_pylist()
+    hashes = boilerplate.gram_hashes(body[:60])
+    want = {("s", int(hashes.min()), int(hashes.argmin()) * boilerplate.LENGTHS + 60), ("s", None, 19)}
+    assert {tuple(r.values()) for r in spots} == want and len(spots) == 2
