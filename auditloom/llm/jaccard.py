@@ -12,14 +12,16 @@ Equal sets are one class from the start. Within an index list, sets whose sizes
 sketches (parity bits, in number about the set's size and 1024 at least; their Hamming
 distance never exceeds the sets' difference) allow a link are joined to clusters; what
 goes on is a forest of such pairs, not all of them. The list of a key that more than LIST
-sets have is dealt over several tasks, and all its sets go into one cluster unseen. A set
+sets have is cut into shares, and each two shares are compared in a task of their own. A set
 lies in one cluster, so its text moves once, to the task that settles its cluster: there sets
 that aren't joined yet are compared, nearest first, and verified exactly.
 
 A cluster of more than CLUSTER sets (or TOKENS tokens) is split first. Its sets are
 compared with a centre, in as many tasks as it takes, and listed anew by what they differ
 in from it: two sets that link, and don't both link with the centre, share enough of those
-tokens to meet in a list. The lists give smaller clusters, and so on. So no link between
+tokens to meet in a list. Two that both link with it are joined by that and aren't compared
+again. The lists give smaller clusters, and so on; all rounds read the texts of clusters from
+a table of their own. So no link between
 sets is lost, and copies never meet in all pairs in more than a task's share.
 
 Results in special cases: a null text counts as empty; an empty set links with nothing;
@@ -47,8 +49,8 @@ COMMON, FREQUENT, LEAST = 4000, 200, (8, 64)
 MOST = 500_000
 #: Bits of a sketch at least, and 64-bit words of wide ones that are compared first.
 SKETCH, SHORT = 1024, 16
-#: Sets of a list that are compared at all, those that are compared in all pairs, and sets and tokens of a cluster that one task settles.
-LIST, SMALL, CLUSTER, TOKENS = 2048, 8, 4096, 8_000_000
+#: Sets of a list that one task compares, those that are compared in all pairs, and sets and tokens of a cluster that one task settles.
+LIST, SMALL, CLUSTER, TOKENS = 8192, 8, 16384, 8_000_000
 #: Sets and tokens in the sample that a cluster's centre is chosen from, and the Jaccard distance from it beyond which sets are far.
 SAMPLE, SAMPLE_TOKENS, FAR = 256, 2_000_000, 0.5
 #: A class of more than one in so many documents is looked up by broadcast.
@@ -267,8 +269,7 @@ def index(size: int, num: int, den: int, known: Index, buckets: int):  # noqa: A
 def lists(table: pa.Table) -> pa.Table:
     """A bucket of the index to its lists of two sets or more.
 
-    kind 0: key, a: the list's least set, b: a set of it; kind 1: a set b that goes with a without being looked at;
-    kind 2: the least set a of this bucket's share of a hot key's list.
+    kind 0: key, a: the list's least set, b: a set of it; kind 1: a set b of a list that is too long for one task, or of this bucket's share of one.
     """
     flags = np.array(table.column("hot").to_pylist(), dtype=bool)
     columns = [table.column(c).to_pylist() for c in ("keys", "sids")]
@@ -286,9 +287,7 @@ def lists(table: pa.Table) -> pa.Table:
         sizes = np.diff(np.concatenate((first, [len(keys)])))
         hub = np.repeat(sids[first], sizes)
         long = np.repeat(hot | (sizes > LIST), sizes)
-        out += [(0, keys, hub, sids, np.repeat(sizes > 1, sizes) & ~long), (1, keys, hub, sids, long & (hub != sids))]
-        if hot:
-            out.append((2, keys[first], sids[first], sids[first], np.ones(len(first), dtype=bool)))
+        out += [(0, keys, hub, sids, np.repeat(sizes > 1, sizes) & ~long), (1, keys, hub, sids, long)]
     parts = [(np.full(int(m.sum()), kind, dtype=np.int32), to_long(k[m]), h[m], s[m]) for kind, k, h, s, m in out]
     kind, key, a, b = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), *(np.zeros(0, np.int64),) * 3)
     return pa.table({"kind": pa.array(kind), "key": pa.array(key, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -313,17 +312,19 @@ class Forest:
 
 
 def near(num: int, den: int):  # noqa: ANN201
-    """Lists as (hub, id, n, sketch, keys), all of a hub's in one table, to pairs that join sets which may link.
+    """Lists as (hub, id, n, sketch, keys, tied), all of a hub's in one table, to pairs that join sets which may link.
 
-    A list of more than SMALL sets gives the edges of a forest that joins the same sets as all its pairs that may link.
+    Two tied sets are joined already: they aren't compared. A hub's lists of more than SMALL sets give the
+    edges of a forest that joins the same sets as all their other pairs that may link.
     """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("hub")
         keys = table.column("keys").combine_chunks()
         counts = np.diff(np.asarray(keys.offsets))
         row = np.repeat(np.arange(table.num_rows), counts)
         key, hub = keys.values.to_numpy(zero_copy_only=False), table.column("hub").to_numpy()
-        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        ids, n, tied = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("tied").to_numpy(zero_copy_only=False)
         bits = Sketches(table.column("sketch").to_pylist())
         order = np.lexsort((ids[row], key, hub[row]))
         row, key = row[order], key[order]
@@ -335,22 +336,32 @@ def near(num: int, den: int):  # noqa: ANN201
             pairs += [np.stack((row[at + i], row[at + j])) for i in range(size) for j in range(i + 1, size)]
         both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
         i, j = (np.ascontiguousarray(x) for x in both)
-        may = may_link(n[i], n[j], bits.apart(i, j), num, den)
+        may = may_link(n[i], n[j], bits.apart(i, j), num, den) & ~(tied[i] & tied[j])
         left, right = [i[may]], [j[may]]
+        label = np.arange(len(ids))
         for lo, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             own = row[lo : lo + size]
             own = own[np.argsort(n[own], kind="stable")]
-            joined, last = Forest(size), np.searchsorted(n[own] * num, n[own] * den, side="right")
+            was = label[own]
+            of, last, bound = was.copy(), np.searchsorted(n[own] * num, n[own] * den, side="right"), tied[own]
             for k in range(size - 1):
+                if (of == of[0]).all():
+                    break
                 rest = np.arange(k + 1, last[k])
-                rest = rest[joined.of[rest] != joined.of[k]]
+                rest = rest[(of[rest] != of[k]) & ~(bound[rest] & bound[k])]
                 if len(rest):
                     rest = rest[may_link(n[own[rest]], n[own[k]], bits.apart(np.full(len(rest), own[k]), own[rest]), num, den)]
+                if len(rest):
+                    rest = rest[np.unique(of[rest], return_index=True)[1]]
                     left.append(np.full(len(rest), own[k]))
                     right.append(own[rest])
-                    if len(rest):
-                        same = np.isin(joined.of, np.append(joined.of[rest], joined.of[k]))
-                        joined.of[same] = joined.of[same].min()
+                    same = np.isin(of, np.append(of[rest], of[k]))
+                    of[same] = of[same].min()
+            # the hub's other lists need not join these sets again
+            old, at = np.unique(was, return_index=True)
+            begin, end = np.searchsorted(hub, hub[own[0]]), np.searchsorted(hub, hub[own[0]], side="right")
+            place = np.minimum(np.searchsorted(old, label[begin:end]), len(old) - 1)
+            label[begin:end] = np.where(old[place] == label[begin:end], of[at][place], label[begin:end])
         a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
@@ -493,9 +504,19 @@ def split(size: int, num: int, den: int):  # noqa: ANN201
 
 def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
     """Lists (hub, id, n, sketch, keys) to pairs (a, b) of ids, all of a hub's lists in one group."""
+    if "tied" not in members.columns:
+        members = members.withColumn("tied", F.lit(False))
     return members.withColumn("part", F.pmod(F.xxhash64("hub"), F.lit(partitions(members.sparkSession) * 4))).groupBy("part").applyInArrow(near(num, den), "a long, b long")
 
 
+def _shares(long: DataFrame) -> DataFrame:
+    """Entries (key, id) of lists too long for one task to (hub, id, keys): a list's sets in shares, each two of which meet at a hub."""
+    sized = long.join(long.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("shares"), F.count("*").alias("m")).where("m > 1"), "key")
+    own = sized.select("key", "id", "shares", F.pmod(F.xxhash64("id"), "shares").cast("int").alias("own"))
+    met = own.select("key", "id", "shares", "own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("other")).where("shares = 1 or own <> other")
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("hub"), "id", F.array("key").alias("keys"))
+
+
 def jaccard_rows(documents: DataFrame, size: int, num: int, den: int, names: tuple[str, str] | None = None) -> DataFrame:
     """One row per row: doc_id, in_file and at_row (see identified), n_shingles, and root: that of the row of its component with the least doc_id."""
     spark = documents.sparkSession
@@ -517,24 +538,24 @@ def jaccard_rows(documents: DataFrame, size: int, num: int, den: int, names: tup
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # sets that may link, by sid: two sets that share one are told apart when texts are compared
     listed = posted.where("kind = 0").groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(F.collect_list("key").alias("keys"))
-    may = _edges(listed.join(classes.select(F.col("sid").alias("id"), "n", "sketch"), "id"), num, den)
-    shares = posted.where("kind = 2").select("key", "a")
-    chain = shares.join(shares.groupBy("key").agg(F.min("a").alias("b")), "key").select("b", "a")
-    stars = posted.where("kind = 1").select("a", "b").unionByName(chain.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    clusters = components(may.unionByName(stars))
+    listed = listed.unionByName(_shares(posted.where("kind = 1").select("key", F.col("b").alias("id"))))
+    clusters = components(_edges(listed.join(classes.select(F.col("sid").alias("id"), "n", "sketch"), "id"), num, den))
     members = materialise(classes.join(clusters.withColumnsRenamed({"node": "sid", "component": "cluster"}), "sid").select("cid", "cluster", "n", "sketch", "rep.in_file", "rep.at_row"), "members")
     discard(posted)
-    found, links = [], []
+    found, links, kept = [], [], None
     while True:
         large = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where((F.col("sets") > 2) & ((F.col("sets") > CLUSTER) | (F.col("tokens") > TOKENS)))
         large = materialise(large, "large")
         over = not large.isEmpty()
         small = members.join(large, "cluster", "left_anti") if over else members
-        own = texts.drop("doc_id").join(small.select("cluster", "cid", "in_file", "at_row").hint("merge"), ["in_file", "at_row"]).select("cluster", "cid", "text")
+        met = lambda x: texts.drop("doc_id").join(x.select("cluster", "cid", "in_file", "at_row").hint("merge"), ["in_file", "at_row"]).select("cluster", "cid", "text")
+        if over and kept is None:
+            kept = materialise(met(members).select("cid", "text"), "clustered")
+        own = met(small) if kept is None else kept.join(small.select("cluster", "cid"), "cid").select("cluster", "cid", "text")
         found.append(materialise(own.repartition(parts, "cluster").sortWithinPartitions("cluster", "cid").mapInArrow(settle(size, num, den), "cid long, root long"), "settled"))
         if not over:
             break
-        members = _split(texts, members.join(large, "cluster"), classes, links, size, num, den)
+        members = _split(kept, members.join(large, "cluster"), classes, links, size, num, den)
     release(spark)
     edges = found[0]
     if links:
@@ -552,7 +573,7 @@ def jaccard_rows(documents: DataFrame, size: int, num: int, den: int, names: tup
 def _split(texts: DataFrame, members: DataFrame, classes: DataFrame, links: list[DataFrame], size: int, num: int, den: int) -> DataFrame:
     """Members of clusters too large for one task to clusters that cover all their links but those with the centres, which go to links."""
     parts = partitions(texts.sparkSession)
-    own = texts.drop("doc_id").join(members, ["in_file", "at_row"]).select("cluster", "cid", "sets", "tokens", "text")
+    own = texts.join(members, "cid").select("cluster", "cid", "sets", "tokens", "text")
     # a sample of SAMPLE sets or so, fewer of large ones, and the least set
     first = members.groupBy("cluster").agg(F.min("cid").alias("first"))
     of = F.greatest(F.lit(1), F.ceil(F.col("sets") / F.least(F.lit(SAMPLE), F.greatest(F.lit(2), F.lit(SAMPLE_TOKENS) * F.col("sets") / F.col("tokens")))))
@@ -570,10 +591,10 @@ def _split(texts: DataFrame, members: DataFrame, classes: DataFrame, links: list
     keyed = out.where(F.col("key").isNotNull()).select("key", F.col("a").alias("id"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
     keyed = materialise(keyed.join(sizes, "key"), "lists")
-    stars = keyed.where((F.col("m") > LIST) & (F.col("hub") != F.col("id"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    listed = keyed.where(F.col("m") <= LIST).groupBy("hub", "id").agg(F.collect_list("key").alias("keys"))
-    may = _edges(listed.join(classes.select(F.col("cid").alias("id"), "n", "sketch"), "id"), num, den)
-    clusters = components(may.unionByName(stars)).withColumnsRenamed({"node": "cid", "component": "cluster"})
+    listed = keyed.where(F.col("m") <= LIST).groupBy("hub", "id").agg(F.collect_list("key").alias("keys")).unionByName(_shares(keyed.where(F.col("m") > LIST).select("key", "id")))
+    tied = links[-1].select(F.col("b").alias("id"), F.lit(True).alias("tied")).distinct()
+    sets = classes.select(F.col("cid").alias("id"), "n", "sketch").join(tied, "id", "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
+    clusters = components(_edges(listed.join(sets, "id"), num, den)).withColumnsRenamed({"node": "cid", "component": "cluster"})
     return materialise(members.drop("cluster", "sets", "tokens").join(clusters, "cid"), "members")
 
 

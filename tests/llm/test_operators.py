@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -310,6 +311,34 @@ def test_jaccard_of_many_near_copies(spark, monkeypatch, limits):
     assert len(set(least.values())) > 35 and found == least
 
 
+def test_near_copies_of_a_centre_are_split_once(spark, monkeypatch):
+    """Sets that all link with a centre, and share what they differ in, don't come back in rounds that each take one centre away."""
+    monkeypatch.setattr(jaccard, "CLUSTER", 12)
+    rounds, split = [], jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda *x: rounds.append(1) or split(*x))
+    base, rows = [f"w{k}" for k in range(300)], []
+    for k, edits in enumerate(list(itertools.combinations(range(8), 3))[:40]):
+        rows.append((k, " ".join(f"e{w}" if int(w[1:]) in {20 * e + 10 for e in edits} else w for w in base)))
+    found = got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80))
+    assert {r["component_id"] for r in found} == {0} and len(rounds) == 1
+
+
+def test_all_pairs_of_a_long_list_meet(spark, monkeypatch):
+    """The sets of a list beyond LIST are looked at: those that can't link aren't put into one cluster, and each two meet."""
+    monkeypatch.setattr(jaccard, "LIST", 8)
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(0, 1 << 63, 60).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.append(bases[k % 3], rng.integers(0, 1 << 63, 2).astype(np.uint64))) for k in range(40)]
+    rows = [(False, np.array([7], np.uint64).tobytes(), np.array([k], np.int64).tobytes()) for k in range(40)]
+    posted = spark.createDataFrame(jaccard.lists(pa.table({"hot": [h for h, _, _ in rows], "keys": [k for _, k, _ in rows], "sids": [s for _, _, s in rows]})).to_pandas())
+    listed = jaccard._shares(posted.where("kind = 1").select("key", jaccard.F.col("b").alias("id")))
+    met = {frozenset((a, b)) for r in listed.groupBy("hub").agg(jaccard.F.collect_list("id").alias("ids")).collect() for a in r["ids"] for b in r["ids"] if a != b}
+    assert posted.where("kind = 1").count() == 40 and len(met) == 40 * 39 // 2
+    known = spark.createDataFrame([(k, len(s), bytearray(jaccard.sketch(s))) for k, s in enumerate(sets)], "id long, n long, sketch binary")
+    found = {r["node"]: r["component"] for r in common.components(jaccard._edges(listed.join(known, "id"), 85, 100)).collect()}
+    assert found == {k: k % 3 for k in range(40)}
+
+
 def test_jaccard_of_repeated_and_missing_ids(spark):
     """Rows are told apart by where they stand, not by doc_id."""
     rng = random.Random(12)
