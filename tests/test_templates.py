@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from auditloom.operators import templates
@@ -95,3 +96,26 @@ def test_far_blocks_never_meet(spark):
     own = near.withColumnRenamed("ball", "block")
     blocks = own.select("block").distinct().count()
     assert templates.block_pairs(own).count() < blocks * (blocks + 1) / 2 and blocks > 2
+
+
+def test_pivots_go_to_each_part_once(spark, monkeypatch):
+    """Rows don't carry their site's pivots, batches stay small, and parts of a site give the distances to the same pivots."""
+    monkeypatch.setattr(templates, "PART", 7)
+    monkeypatch.setattr(templates, "STEP", 4)
+    rng = random.Random(4)
+    sites = {"x": list(made(rng, 4, 50, 0.1).values()), "y": list(made(rng, 2, 3, 0.3).values())}
+    pivots = {site: own[: templates.PIVOTS] for site, own in sites.items()}
+    rows = [(site, part, k, k, s) for site in sites for part in (0, 1) for k, s in enumerate(pivots[site])]
+    rows += [(site, k % 2, None, k, s) for site, own in sites.items() for k, s in enumerate(own)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["site", "part", "rn", "shape", "s"])
+    out = list(templates.near_pivots(iter([batch.slice(0, 9), batch.slice(9)])))
+    assert max(b.num_rows for b in out) <= 4
+    got = {(r["site"], r["shape"]): r for b in out for r in b.to_pylist()}
+    assert len(got) == 53
+    for (site, k), r in got.items():
+        want = [differing(p, sites[site][k]) for p in pivots[site]]
+        assert r["dists"] == want and r["ball"] == want.index(min(want))
+    shapes = spark.createDataFrame([(site, 100 * len(site) + k, s) for site, own in sites.items() for k, s in enumerate(own)], "site string, shape long, s string")
+    near = templates.placed(shapes).collect()
+    assert len(near) == 53 and all(0 in {d for r in near if r["site"] == site for d in [r["dists"][k]]} for site in sites for k in range(len(pivots[site])))
